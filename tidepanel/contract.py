@@ -27,6 +27,16 @@ MODEL_PARADIGMS = (
     ("GRU", "Recurrent DL"),
 )
 
+# Models beyond the report list.
+OWN_PARADIGMS = (
+    ("Mean", "Naive Baseline"),
+    ("AR(1)", "Econometric Baseline"),
+    ("Log + SARIMA", "Econometric"),
+    ("Holt-Winters (Damped)", "Exponential Smoothing"),
+    ("Direct Linear", "Direct Multi-step"),
+    ("Direct Boosted", "Direct Multi-step"),
+)
+
 
 def in_time(*keys: str) -> WindowSpec:
     """Window over one series (or one series and fold) in time order.
@@ -62,5 +72,5 @@ def period_step(freq: str) -> Column:
 
 def paradigm_of(model: Column) -> Column:
     """Paradigm label of a model name; unknown models keep their own name."""
-    pairs = [F.lit(x) for pair in MODEL_PARADIGMS for x in pair]
+    pairs = [F.lit(x) for pair in MODEL_PARADIGMS + OWN_PARADIGMS for x in pair]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), model), model)

@@ -2,47 +2,70 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-FIT = "beta array<double>, sse double, n int, inv_diag array<double>"
+# Ship this module's functions with the job; executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+DOUBLES = T.ArrayType(T.DoubleType())
+FIT = (
+    T.StructType().add("beta", DOUBLES).add("sse", T.DoubleType()).add("n", T.IntegerType()).add("inv_diag", DOUBLES)
+)
 
 
 def _solve(rows, k: int, alpha: float) -> tuple:
     a = np.vstack([np.asarray(r, dtype=float) for r in rows]) if rows is not None and len(rows) else np.empty((0, k + 1))
     x, y = a[:, :k], a[:, -1]
-    if len(a) < k or not np.isfinite(a).all():
+    if len(a) < (2 if alpha else k) or not np.isfinite(a).all():
         return None, None, len(a), None
-    gram = x.T @ x
     if alpha:
-        # The first column is the intercept and stays unpenalised.
-        gram = gram + alpha * np.diag([0.0] + [1.0] * (k - 1))
-        beta = np.linalg.lstsq(gram, x.T @ y, rcond=None)[0]
+        # Centring leaves the intercept (first column) unpenalised.
+        mx, my = x[:, 1:].mean(axis=0), y.mean()
+        c = x[:, 1:] - mx
+        slope = np.linalg.solve(c.T @ c + alpha * np.eye(k - 1), c.T @ (y - my))
+        beta = np.r_[my - mx @ slope, slope]
     else:
         beta = np.linalg.lstsq(x, y, rcond=None)[0]
     resid = y - x @ beta
-    return beta, float(resid @ resid), len(a), np.diag(np.linalg.pinv(gram))
+    return beta, float(resid @ resid), len(a), np.diag(np.linalg.pinv(x.T @ x))
 
 
 @F.pandas_udf(FIT)
-def _least_squares(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for design, used, alpha in batches:
-        fits = [_solve(d, int(k), float(a)) for d, k, a in zip(design, used, alpha)]
-        yield pd.DataFrame(fits, columns=["beta", "sse", "n", "inv_diag"])
+def _least_squares(
+    batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]],
+) -> Iterator[pd.DataFrame]:
+    for design, rows, used, alpha in batches:
+        fits = [
+            _solve(d, int(k), float(a)) if n > 0 else (None, None, 0, None)
+            for d, n, k, a in zip(design, rows, used, alpha)
+        ]
+        yield pd.DataFrame(fits, columns=FIT.names)
+
+
+# Keeps the optimizer from copying the call into each place that reads the fit,
+# so every design is solved once.
+_least_squares = _least_squares.asNondeterministic()
 
 
-def least_squares(design: Column, used: Column, alpha: float | Column = 0.0) -> Column:
-    """Fit the last entry of each design row on its first ``used`` entries.
+def with_fit(frame: DataFrame, out: str, design: Column, used: Column, alpha: float | Column = 0.0) -> DataFrame:
+    """Add ``out = struct(beta, sse, n, inv_diag)``: the last entry of each design row on its first ``used`` entries.
 
-    ``alpha`` is a ridge penalty on all but the first coefficient.  Gives
-    ``struct(beta, sse, n, inv_diag)``; ``beta`` is null when there are too few rows.
+    ``alpha`` is a ridge penalty on all but the first coefficient; ``beta`` is null
+    when there are too few rows.  The design is a column of its own and read
+    twice, so Spark evaluates it before the Python step instead of inside it.
     """
     penalty = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
-    return _least_squares(design, used.cast("int"), penalty)
+    made = frame.withColumn("_design", design)
+    rows = F.coalesce(F.size("_design"), F.lit(0))
+    return made.withColumn(out, _least_squares("_design", rows, used.cast("int"), penalty)).drop("_design")
 
 
 def standard_error(fit: Column, i: int) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.lstsq import least_squares, standard_error
+from tidepanel.functions.lstsq import standard_error, with_fit
 from tidepanel.functions.stats import array_mean, array_sum, chi2_sf, lagged_products, normal_cdf, normal_ppf
 
 Z95 = 1.959963984540054
@@ -250,14 +250,14 @@ def adf(packed: DataFrame, alpha: float = 0.05, keys: Sequence[str] = ("series_i
     base = packed.filter(n >= 15).withColumn("_top", top)
     tried = base.withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_top"))))
     design = _adf_design(v, F.col("_top") + 1, max_lag, F.col("_p"))
-    fitted = tried.withColumn("_fit", least_squares(design, F.col("_p") + 2))
+    fitted = with_fit(tried, "_fit", design, F.col("_p") + 2)
     nobs = F.col("_fit.n")
     aic = nobs * F.ln(F.col("_fit.sse") / nobs) + 2 * (F.col("_p") + 2)
     best = fitted.groupBy(*keys).agg(
         F.min_by("_p", F.struct(aic, F.col("_p"))).alias("lags_used"), F.first("values").alias("values")
     )
     own = _adf_design(v, F.col("lags_used") + 1, max_lag, F.col("lags_used"))
-    final = best.withColumn("_fit", least_squares(own, F.col("lags_used") + 2))
+    final = with_fit(best, "_fit", own, F.col("lags_used") + 2)
     tau = F.col("_fit.beta")[1] / standard_error(F.col("_fit"), 1)
     out = final.select(*keys, "lags_used", F.col("_fit.n").alias("n_obs"), tau.alias("statistic"))
     t = F.col("statistic")

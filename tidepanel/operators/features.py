@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.contract import add_periods, in_time
+from tidepanel.functions.stats import array_mean
 
 LAGS = (1, 2, 3, 6, 12)
 WINDOWS = (3, 6, 12)
@@ -111,6 +112,10 @@ def feature_matrix(
     return made.dropna(subset=feature_names(lags, windows, metrics))
 
 
+def _squares_about(values: Column, mean: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+
+
 def next_step_columns(
     history: Column,
     step_ts: Column,
@@ -126,12 +131,12 @@ def next_step_columns(
     out = {f"lag_{k}": F.when(enough, F.try_element_at(history, F.lit(-k))) for k in lags}
     for w in windows:
         tail = F.slice(history, F.when(enough, -w).otherwise(1), F.lit(w))
-        mean = F.aggregate(tail, F.lit(0.0), lambda a, x: a + x) / w
-        squares = F.aggregate(tail, F.lit(0.0), lambda a, x, m=mean: a + (x - m) * (x - m))
+        mean = array_mean(tail)
+        variance = _squares_about(tail, mean) / (w - 1)
         values = {
             "mean": mean,
-            "std": F.sqrt(squares / (w - 1)),
-            "var": squares / (w - 1),
+            "std": F.sqrt(variance),
+            "var": variance,
             "min": F.array_min(tail),
             "max": F.array_max(tail),
         }
@@ -141,6 +146,11 @@ def next_step_columns(
     return out
 
 
+def step_vector(history: Column, step_ts: Column, **options) -> Column:
+    """The features of ``next_step_columns`` as one array in ``feature_names`` order."""
+    return F.array(*[c.cast("double") for c in next_step_columns(history, step_ts, **options).values()])
+
+
 def next_step_features(packed: DataFrame, freq: str = "month") -> DataFrame:
     """One feature row per series for the first unseen period (input of ``splits.pack``)."""
     step_ts = add_periods(F.element_at("dates", -1), F.lit(1), freq)
