@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.contract import HORIZON, MODEL_PARADIGMS, paradigm_of
@@ -132,10 +132,12 @@ def resolve_seeds(n_seeds: int | None = None, configured: Sequence[int] = SEEDS)
     return [*configured, *(next(spare) for _ in range(n_seeds - len(configured)))][:n_seeds]
 
 
-def seed_table(spark: SparkSession, models: Sequence[str], seeds: Sequence[int]) -> DataFrame:
-    """One row per fit to run: stochastic models once per seed, others once with a null seed."""
-    rows = [(m, s) for m in models for s in (seeds if m in SEEDED_MODELS else (None,))]
-    return spark.createDataFrame(rows, "model string, seed int").withColumn("paradigm", paradigm_of(F.col("model")))
+def expected_fits(units: DataFrame, models: Sequence[str], seeds: Sequence[int] = SEEDS) -> DataFrame:
+    """One row per fit to run in each unit: stochastic models once per seed, others once with a null seed."""
+    fits = [(m, s) for m in models for s in (seeds if m in SEEDED_MODELS else (None,))]
+    plan = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(s).cast("int").alias("seed")) for m, s in fits])
+    rows = units.withColumn("_fit", F.explode(plan)).select(*units.columns, "_fit.model", "_fit.seed")
+    return rows.withColumn("paradigm", paradigm_of(F.col("model")))
 
 
 # --- per-fold tables -------------------------------------------------------------------------
