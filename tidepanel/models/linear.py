@@ -222,7 +222,8 @@ def sarima(
     base = base.withColumn("_e", F.when(b2.isNotNull(), resid))
     # Innovations after the sample are unknown and enter as zero.
     base = base.withColumn("_e", F.concat(F.col("_e"), F.array_repeat(F.lit(0.0), horizon)))
-    base = base.withColumn("_ahead", roll_out(w, horizon, lambda h, k: level(h, F.col("_e"), F.size(h) + 1)))
+    ahead = roll_out(w, horizon, lambda h, k: level(h, F.col("_e"), F.size(h) + 1))
+    base = base.withColumn("_ahead", F.when(F.size("_e") > 0, ahead))
     both = sp["d"] + 2 * F.when(sp["sd"] > 0, 1).otherwise(0)
 
     def restore(history: Column, deltas: Column) -> Column:
@@ -308,23 +309,22 @@ def ridge(
     warm = max(*lags, *windows)
     train, dates, n = F.col("train"), F.col("train_dates"), F.size("train")
 
-    def features(history: Column, ts: Column) -> Column:
-        return F.concat(F.array(F.lit(1.0)), step_vector(history, ts, **options))
+    def features(values: Column, t: Column, ts: Column) -> Column:
+        return F.concat(F.array(F.lit(1.0)), step_vector(values, t, ts, **options))
 
     ts = F.when(n > warm, F.sequence(F.lit(warm + 1), n)).otherwise(F.array().cast("array<int>"))
     design = F.transform(
-        ts,
-        lambda t: F.array_append(features(F.slice(train, F.lit(1), t - 1), F.element_at(dates, t)), F.element_at(train, t)),
+        ts, lambda t: F.array_append(features(train, t, F.element_at(dates, t)), F.element_at(train, t))
     )
     k = 1 + len(feature_names(lags, windows))
     made = with_fit(frame, "_fit", design, F.lit(k), alpha)
     beta = F.col("_fit.beta")
-    step = lambda h, s: dot(beta, features(h, add_periods(F.element_at(dates, -1), s, freq)))
+    step = lambda h, s: dot(beta, features(h, F.size(h) + 1, add_periods(F.element_at(dates, -1), s, freq)))
     made = made.withColumn(out, F.when(beta.isNotNull(), roll_out(train, horizon, step)))
     if keep_fit:
         fitted = F.concat(
             F.array_repeat(F.lit(None).cast("double"), F.least(F.lit(warm), n)),
-            F.transform(ts, lambda t: dot(beta, features(F.slice(train, F.lit(1), t - 1), F.element_at(dates, t)))),
+            F.transform(ts, lambda t: dot(beta, features(train, t, F.element_at(dates, t)))),
         )
         made = made.withColumn(f"{out}_fit", F.struct("_fit.beta", "_fit.sse", "_fit.n", fitted.alias("fitted")))
     return made.drop("_fit")

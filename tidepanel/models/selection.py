@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.contract import HORIZON
-from tidepanel.functions.stats import chi2_sf
 from tidepanel.models.linear import ridge, sarima, spec_name, spec_struct
 from tidepanel.models.trees import boosted_trees, pooled, random_forest
-from tidepanel.operators.diagnostics import ljung_box_columns, residual_tests
+from tidepanel.operators.diagnostics import residual_tests, with_centred, with_ljung_box
 from tidepanel.operators.metrics import METRICS, array_metrics
 
 # Search spaces.
@@ -53,10 +52,10 @@ def order_grid(
         *[c.alias(f"val_{name}") for name, c in scores.items()],
         F.filter("yhat_fit.resid", lambda x: x.isNotNull()).alias("_e"),
     )
-    lb = ljung_box_columns(F.col("_e"), 12)
-    scored = scored.withColumn("_q", F.when(F.size("_e") >= 10, lb["lb_stat"][0])).withColumn("_m", lb["lb_lags"][0])
-    scored = scored.withColumn("lb_p", F.when(F.col("_q").isNotNull(), chi2_sf(F.col("_q"), F.col("_m"))))
-    out = scored.withColumn("is_white_noise", F.coalesce(F.col("lb_p") >= alpha, F.lit(False))).drop("_q", "_m")
+    tested = with_ljung_box(with_centred(scored, "_e"), 12)
+    lb_p = F.when(F.size("_e") >= 10, F.col("lb_p")[0])
+    out = tested.withColumn("lb_p", lb_p).withColumn("is_white_noise", F.coalesce(F.col("lb_p") >= alpha, F.lit(False)))
+    out = out.drop("_mean", "_c", "_g0", "lb_lags", "lb_stat")
     return rank_candidates(out, criterion, "spec_id").withColumnRenamed("_e", "resid")
 
 

@@ -43,9 +43,8 @@ def _samples(frame: DataFrame) -> DataFrame:
     n = F.size("train")
     t = F.explode(F.sequence(F.lit(WARM_UP + 1), n))
     rows = frame.filter(n > WARM_UP).select(_scaled(F.col("train")).alias("z"), "train_dates", t.alias("t"))
-    history = F.slice("z", F.lit(1), F.col("t") - 1)
     return rows.select(
-        array_to_vector(step_vector(history, F.element_at("train_dates", F.col("t")))).alias("features"),
+        array_to_vector(step_vector(F.col("z"), F.col("t"), F.element_at("train_dates", F.col("t")))).alias("features"),
         F.element_at("z", F.col("t")).alias("label"),
     )
 
@@ -63,7 +62,7 @@ def pooled(frame: DataFrame, out: str, estimator, horizon: int = HORIZON, freq:
     for h in range(1, horizon + 1):
         ts = add_periods(F.element_at("train_dates", -1), F.lit(h), freq)
         # Too short series get a blank feature row and are nulled at the end.
-        usable = F.coalesce(step_vector(F.col("_z"), ts), F.array_repeat(F.lit(0.0), 17))
+        usable = F.coalesce(step_vector(F.col("_z"), F.size("_z") + 1, ts), F.array_repeat(F.lit(0.0), 17))
         state = state.withColumn("features", array_to_vector(usable))
         state = model.transform(state).withColumn("_z", F.array_append("_z", F.col("prediction")))
         state = state.drop("features", "prediction")

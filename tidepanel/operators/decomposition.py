@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepanel.contract import SEASON, in_time
-from tidepanel.functions.stats import array_sum
+
+# Ship this module's functions with the job; executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def classical(panel: DataFrame, period: int = SEASON, model: str = "additive") -> DataFrame:
@@ -37,92 +46,85 @@ def classical(panel: DataFrame, period: int = SEASON, model: str = "additive") -
 
 # --- STL -------------------------------------------------------------------------------------
 
-def _loess(values: Column, x: Column, q: int) -> Column:
-    """Local linear fit at position ``x`` (1-based, may lie one step outside) from the ``q`` nearest values."""
-    n = F.size(values)
-    left = F.greatest(F.lit(1), F.least(x - (q - 1) // 2, n - q + 1)).cast("int")
-    right = F.least(n, left + q - 1)
-    reach = F.greatest(x - left, right - x) + F.when(n < q, F.floor((q - n) / 2)).otherwise(0)
-    h = reach.cast("double")
-
-    def weight(d: Column) -> Column:
-        far = F.abs(d)
-        u = far / h
-        cube = 1 - u * u * u
-        return F.when(far > 0.999 * h, 0.0).when(far <= 0.001 * h, 1.0).otherwise(cube * cube * cube)
-
-    names = ("s0", "s1", "s2", "t0", "t1")
-    zero = F.struct(*[F.lit(0.0).alias(k) for k in names])
-
-    def add(a: Column, j: Column) -> Column:
-        d = (j - x).cast("double")
-        w, y = weight(d), F.element_at(values, j)
-        parts = (w, w * d, w * d * d, w * y, w * d * y)
-        return F.struct(*[(a[k] + part).alias(k) for k, part in zip(names, parts)])
-
-    def solve(a: Column) -> Column:
-        det = a["s0"] * a["s2"] - a["s1"] * a["s1"]
-        line = (a["s2"] * a["t0"] - a["s1"] * a["t1"]) / det
-        return F.when(det > 1e-9 * a["s0"] * a["s0"], line).otherwise(a["t0"] / a["s0"])
-
-    return F.aggregate(F.sequence(left, right), zero, add, solve)
-
-
-def _smooth(values: Column, q: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(values)), lambda i: _loess(values, i, q))
-
-
-def _moving_average(values: Column, width: int) -> Column:
-    last = F.size(values) - width + 1
-    return F.transform(F.sequence(F.lit(1), last), lambda i: array_sum(F.slice(values, i, F.lit(width))) / width)
-
-
 def _odd_above(x: float) -> int:
     """Smallest odd integer that is not below ``x``."""
     i = int(-(-x // 1))
     return i if i % 2 else i + 1
 
 
+def _loess_matrix(n: int, q: int, points: np.ndarray) -> np.ndarray:
+    """Weights of a local linear fit with ``q`` nearest neighbours: one row per evaluation point.
+
+    They depend on positions only, so one matrix smooths every series of a length.
+    """
+    out = np.zeros((len(points), n))
+    for r, x in enumerate(points):
+        left = int(np.clip(x - (q - 1) // 2, 0, max(n - q, 0)))
+        j = np.arange(left, min(left + q, n))
+        reach = float(max(x - j[0], j[-1] - x) + max(q - n, 0) // 2)
+        d = np.abs(j - x)
+        w = (1 - (d / reach) ** 3) ** 3
+        w[d > 0.999 * reach], w[d <= 0.001 * reach] = 0.0, 1.0
+        w /= w.sum()
+        centre = w @ j
+        spread = w @ (j - centre) ** 2
+        if np.sqrt(spread) > 0.001 * (n - 1):
+            w = w * (1 + (x - centre) / spread * (j - centre))
+        out[r, j] = w
+    return out
+
+
+def _moving_average(v: np.ndarray, width: int) -> np.ndarray:
+    c = np.cumsum(np.pad(v, ((0, 0), (1, 0))), axis=1)
+    return (c[:, width:] - c[:, :-width]) / width
+
+
+def _stl_block(y: np.ndarray, period: int, seasonal: int, inner: int) -> tuple[np.ndarray, np.ndarray]:
+    """Trend and seasonal part of many series of equal length (rows of ``y``)."""
+    n = y.shape[1]
+    trend_q, low_q = _odd_above(1.5 * period / (1 - 1.5 / seasonal)), _odd_above(period + 1)
+    every = np.arange(n)
+    to_low, to_trend = _loess_matrix(n, low_q, every).T, _loess_matrix(n, trend_q, every).T
+    sizes = {len(range(p, n, period)) for p in range(period)}
+    # Each phase is smoothed one period beyond both ends.
+    to_phase = {m: _loess_matrix(m, seasonal, np.arange(-1, m + 1)).T for m in sizes}
+    trend, season = np.zeros_like(y), np.zeros_like(y)
+    for _ in range(inner):
+        loose = y - trend
+        wide = np.empty((len(y), n + 2 * period))
+        for p in range(period):
+            phase = loose[:, p::period]
+            wide[:, p::period] = phase @ to_phase[phase.shape[1]]
+        low = _moving_average(_moving_average(_moving_average(wide, period), period), 3) @ to_low
+        season = wide[:, period:period + n] - low
+        trend = (y - season) @ to_trend
+    return trend, season
+
+
 def stl(packed: DataFrame, period: int = SEASON, seasonal: int = 13, inner: int = 2) -> DataFrame:
     """Seasonal-trend decomposition by loess of packed series (``ys``, ``dates``).
 
-    Two inner passes, degree 1, no robustness pass.  The whole recursion is a chain
-    of array expressions on one row per series, so it needs no shuffle and no
-    Python; a series needs two full periods.
+    Two inner passes, degree 1, no robustness pass; a series needs two full
+    periods.  Loess without robustness weights is linear, so a batch of series of
+    equal length is a few matrix products.
     """
-    trend_q = _odd_above(1.5 * period / (1 - 1.5 / seasonal))
-    low_q = _odd_above(period + 1)
-    base = packed.filter(F.size("ys") >= 2 * period)
-    y, n = F.col("ys"), F.size("ys")
-    out = base.withColumn("_trend", F.transform(y, lambda _: F.lit(0.0)))
-    for _ in range(inner):
-        out = out.withColumn("_loose", F.zip_with("ys", "_trend", lambda a, b: a - b))
-        phases = F.transform(
-            F.sequence(F.lit(1), F.lit(period)),
-            lambda p: F.transform(F.sequence(p, n, F.lit(period)), lambda i: F.element_at("_loose", i)),
-        )
-        out = out.withColumn("_subs", phases)
-        # Each phase is smoothed one period beyond both ends.
-        wide = F.transform(
-            F.sequence(F.lit(1 - period), n + period),
-            lambda pos: _loess(
-                F.element_at("_subs", (F.pmod(pos - 1, F.lit(period)) + 1).cast("int")),
-                (F.floor((pos - 1) / period) + 1).cast("int"),
-                seasonal,
-            ),
-        )
-        out = out.withColumn("_wide", wide)
-        low = out.withColumn("_ma", _moving_average(F.col("_wide"), period))
-        low = low.withColumn("_ma", _moving_average(F.col("_ma"), period))
-        low = low.withColumn("_ma", _moving_average(F.col("_ma"), 3))
-        out = low.withColumn("_low", _smooth(F.col("_ma"), low_q))
-        out = out.withColumn("_season", F.zip_with(F.slice("_wide", F.lit(period + 1), n), "_low", lambda a, b: a - b))
-        out = out.withColumn("_flat", F.zip_with("ys", "_season", lambda a, b: a - b))
-        out = out.withColumn("_trend", _smooth(F.col("_flat"), trend_q))
-    parts = F.arrays_zip(
-        F.col("dates").alias("ts"), y.alias("y"), F.col("_trend").alias("trend"), F.col("_season").alias("seasonal")
-    )
-    rows = out.select("series_id", F.explode(parts).alias("s"))
-    return rows.select(
-        "series_id", "s.ts", "s.y", "s.trend", "s.seasonal", (F.col("s.y") - F.col("s.trend") - F.col("s.seasonal")).alias("resid")
+    parts = T.StructType([T.StructField(k, T.ArrayType(T.DoubleType())) for k in ("trend", "seasonal")])
+
+    @F.pandas_udf(parts)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = pd.DataFrame({"trend": [None] * len(batch), "seasonal": [None] * len(batch)}, dtype=object)
+            for _, group in batch.groupby(batch.map(len)):
+                y = np.stack(group.to_list()).astype(float)
+                trend, season = _stl_block(y, period, seasonal, inner)
+                for i, t, s in zip(batch.index.get_indexer(group.index), trend, season):
+                    out.iat[i, 0], out.iat[i, 1] = t, s
+            yield out
+
+    base = packed.filter(F.size("ys") >= 2 * period).withColumn("_d", run.asNondeterministic()("ys"))
+    zipped = F.arrays_zip(
+        F.col("dates").alias("ts"), F.col("ys").alias("y"), F.col("_d.trend").alias("trend"), F.col("_d.seasonal").alias("seasonal")
     )
+    rows = base.select("series_id", F.explode(zipped).alias("s"))
+    resid = F.col("s.y") - F.col("s.trend") - F.col("s.seasonal")
+    return rows.select("series_id", "s.ts", "s.y", "s.trend", "s.seasonal", resid.alias("resid"))

@@ -39,16 +39,23 @@ def pack_values(rows: DataFrame, keys: Sequence[str] = ("series_id",), value: st
     return finite.groupBy(*keys).agg(packed.alias("_r")).select(*keys, F.col("_r.v").alias("values"))
 
 
-def centred(values: Column) -> Column:
-    mean = array_mean(values)
-    return F.transform(values, lambda x: x - mean)
+def with_centred(frame: DataFrame, values: str = "values") -> DataFrame:
+    """Add ``_mean``, the centred values ``_c`` and their sum of squares ``_g0``.
+
+    Each is a column read more than once by the next step, so Spark computes it
+    once per row instead of once per element inside a lambda.
+    """
+    made = frame.withColumn("_mean", array_mean(F.col(values)))
+    centred = F.transform(values, lambda x: x - F.col("_mean"))
+    made = made.withColumn("_c", F.when(F.col("_mean").isNotNull(), centred))
+    return made.withColumn("_g0", F.when(F.size("_c") > 0, lagged_products(F.col("_c"), F.lit(0))))
 
 
-def acf_array(values: Column, nlags: Column) -> Column:
-    """Autocorrelations at lags 0..nlags."""
-    c = centred(values)
-    total = lagged_products(c, F.lit(0))
-    return F.transform(F.sequence(F.lit(0), nlags), lambda k: F.try_divide(lagged_products(c, k), total))
+def acf_array(nlags: Column) -> Column:
+    """Autocorrelations at lags 0..nlags of a frame from ``with_centred``."""
+    c = F.col("_c")
+    r = F.transform(F.sequence(F.lit(0), nlags), lambda k: lagged_products(c, k) / F.col("_g0"))
+    return F.when(F.col("_g0") > 0, r)
 
 
 def usable_lags(values: Column, nlags: int) -> Column:
@@ -57,8 +64,8 @@ def usable_lags(values: Column, nlags: int) -> Column:
 
 def acf(packed: DataFrame, nlags: int = 24, keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """Autocorrelation per lag with Bartlett bounds; series too short for one lag give no rows."""
-    usable = packed.withColumn("_k", usable_lags(F.col("values"), nlags)).filter("_k >= 1")
-    long = usable.select(*keys, F.size("values").alias("n"), F.posexplode(acf_array(F.col("values"), F.col("_k"))).alias("lag", "acf"))
+    usable = with_centred(packed.withColumn("_k", usable_lags(F.col("values"), nlags)).filter("_k >= 1"))
+    long = usable.select(*keys, F.size("values").alias("n"), F.posexplode(acf_array(F.col("_k"))).alias("lag", "acf"))
     before = Window.partitionBy(*keys).orderBy("lag").rowsBetween(Window.unboundedPreceding, -1)
     # Lag 0 is exact; later variances use the squares of lags 1..k-1.
     squares = F.sum(F.when(F.col("lag") > 0, F.col("acf") * F.col("acf")).otherwise(0.0)).over(before)
@@ -66,29 +73,35 @@ def acf(packed: DataFrame, nlags: int = 24, keys: Sequence[str] = ("series_id",)
     return long.select(*keys, "lag", "acf", (F.col("acf") - half).alias("low"), (F.col("acf") + half).alias("high"))
 
 
+def _levinson(s: Column, out: Column) -> Column:
+    a = F.element_at(out, -1)
+    kept = F.zip_with(s["phi"], F.reverse(s["phi"]), lambda p, q: p - a * q)
+    return F.struct(F.array_append(kept, a).alias("phi"), (s["v"] * (1 - a * a)).alias("v"), out.alias("out"))
+
+
 def pacf_array(r: Column) -> Column:
     """Partial autocorrelations by the Durbin-Levinson recursion on autocorrelations ``r[0..K]``."""
     start = F.struct(
         F.array().cast("array<double>").alias("phi"), F.lit(1.0).alias("v"), F.array(F.lit(1.0)).alias("out")
     )
 
+    def reflect(s: Column, k: Column) -> Column:
+        terms = F.transform(s["phi"], lambda p, j: p * F.element_at(r, (k - j).cast("int")))
+        return F.try_divide(F.element_at(r, (k + 1).cast("int")) - array_sum(terms), s["v"])
+
     def step(s: Column, k: Column) -> Column:
-        phi = s["phi"]
-        back = F.transform(phi, lambda p, j: p * F.element_at(r, (k - j).cast("int")))
-        num = F.element_at(r, (k + 1).cast("int")) - array_sum(back)
-        a = F.try_divide(num, s["v"])
-        kept = F.zip_with(phi, F.reverse(phi), lambda p, q: p - a * q)
-        return F.struct(
-            F.array_append(kept, a).alias("phi"), (s["v"] * (1 - a * a)).alias("v"), F.array_append(s["out"], a).alias("out")
-        )
+        # The new coefficient is appended first and then read back from the output array.
+        out = F.array_append(s["out"], reflect(s, k))
+        moved = F.transform(F.array(F.struct(out.alias("out"))), lambda o: _levinson(s, o["out"]))
+        return F.element_at(moved, 1)
 
     return F.aggregate(F.sequence(F.lit(1), F.size(r) - 1), start, step, lambda s: s["out"])
 
 
 def pacf(packed: DataFrame, nlags: int = 24, keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """Yule-Walker partial autocorrelation per lag with bounds of +-z/sqrt(n)."""
-    usable = packed.withColumn("_k", usable_lags(F.col("values"), nlags)).filter("_k >= 1")
-    usable = usable.withColumn("_r", acf_array(F.col("values"), F.col("_k")))
+    usable = with_centred(packed.withColumn("_k", usable_lags(F.col("values"), nlags)).filter("_k >= 1"))
+    usable = usable.withColumn("_r", acf_array(F.col("_k"))).filter(F.size("_r") > 1)
     long = usable.select(*keys, F.size("values").alias("n"), F.posexplode(pacf_array(F.col("_r"))).alias("lag", "pacf"))
     half = F.when(F.col("lag") == 0, 0.0).otherwise(Z95 / F.sqrt(F.col("n").cast("double")))
     return long.select(*keys, "lag", "pacf", (F.col("pacf") - half).alias("low"), (F.col("pacf") + half).alias("high"))
@@ -96,9 +109,10 @@ def pacf(packed: DataFrame, nlags: int = 24, keys: Sequence[str] = ("series_id",
 
 # --- residual tests --------------------------------------------------------------------------
 
-def ljung_box_columns(values: Column, lags: int | Sequence[int] = 12) -> dict[str, Column]:
-    """Portmanteau statistic and p per lag, smallest p and white-noise flag inputs."""
-    n = F.size(values)
+def with_ljung_box(frame: DataFrame, lags: int | Sequence[int] = 12) -> DataFrame:
+    """Add ``lb_lags``, ``lb_stat`` and ``lb_p`` arrays to a frame from ``with_centred``."""
+    c = F.col("_c")
+    n = F.size(c)
     wanted = [lags] if isinstance(lags, int) else list(lags)
     cap = F.greatest(F.lit(1), F.least(F.lit(max(wanted)), (F.floor(n / 2) - 1).cast("int")))
     if isinstance(lags, int):
@@ -106,39 +120,37 @@ def ljung_box_columns(values: Column, lags: int | Sequence[int] = 12) -> dict[st
     else:
         inside = F.filter(F.array(*map(F.lit, wanted)), lambda k: k <= cap)
         used = F.when(F.size(inside) > 0, inside).otherwise(F.array(cap))
-    c = centred(values)
-    total = lagged_products(c, F.lit(0))
 
     def statistic(m: Column) -> Column:
-        terms = F.transform(F.sequence(F.lit(1), m), lambda k: F.pow(lagged_products(c, k) / total, F.lit(2.0)) / (n - k))
+        terms = F.transform(F.sequence(F.lit(1), m), lambda k: F.pow(lagged_products(c, k) / F.col("_g0"), F.lit(2.0)) / (n - k))
         return n * (n + 2) * array_sum(terms)
 
-    return {"lb_lags": used, "lb_stat": F.transform(used, statistic)}
+    made = frame.withColumn("lb_lags", used)
+    made = made.withColumn("lb_stat", F.when(F.col("_g0") > 0, F.transform("lb_lags", statistic)))
+    return made.withColumn("lb_p", F.zip_with("lb_stat", "lb_lags", chi2_sf))
 
 
 def residual_tests(packed: DataFrame, lags: int | Sequence[int] = 12, alpha: float = 0.05, keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """Ljung-Box, Jarque-Bera, Durbin-Watson and moments of residuals; needs 10 values."""
-    v = F.col("values")
+    v, d = F.col("values"), F.col("_c")
     n = F.size(v)
-    mean = array_mean(v)
-    d = centred(v)
     power = lambda p: array_sum(F.transform(d, lambda x: F.pow(x, F.lit(float(p))))) / n
     steps = F.zip_with(F.slice(v, F.lit(2), n - 1), F.slice(v, F.lit(1), n - 1), lambda a, b: (a - b) * (a - b))
-    usable = packed.filter(n >= 10).select(
+    made = with_ljung_box(with_centred(packed.filter(n >= 10)), lags)
+    made = made.withColumn("_m2", power(2)).withColumn("_m3", power(3)).withColumn("_m4", power(4))
+    out = made.select(
         *keys,
         n.alias("n"),
-        mean.alias("mean"),
-        F.sqrt(power(2) * n / (n - 1)).alias("std"),
+        F.col("_mean").alias("mean"),
+        F.sqrt(F.col("_m2") * n / (n - 1)).alias("std"),
         (array_sum(steps) / array_sum(F.transform(v, lambda x: x * x))).alias("durbin_watson"),
-        (power(3) / F.pow(power(2), F.lit(1.5))).alias("skew"),
-        (power(4) / F.pow(power(2), F.lit(2.0))).alias("kurtosis"),
-        *[c.alias(name) for name, c in ljung_box_columns(v, lags).items()],
+        (F.col("_m3") / F.pow(F.col("_m2"), F.lit(1.5))).alias("skew"),
+        (F.col("_m4") / (F.col("_m2") * F.col("_m2"))).alias("kurtosis"),
+        "lb_lags", "lb_stat", "lb_p",
     )
     jb = F.col("n") / 6.0 * (F.pow("skew", F.lit(2.0)) + F.pow(F.col("kurtosis") - 3, F.lit(2.0)) / 4)
-    out = usable.withColumn("jb_stat", jb).withColumn("jb_p", F.exp(-F.col("jb_stat") / 2))
-    out = out.withColumn("is_normal", F.col("jb_p") >= alpha)
-    out = out.withColumn("lb_p", F.zip_with("lb_stat", "lb_lags", lambda q, m: chi2_sf(q, m)))
-    out = out.withColumn("lb_min_p", F.array_min("lb_p"))
+    out = out.withColumn("jb_stat", jb).withColumn("jb_p", F.exp(-F.col("jb_stat") / 2))
+    out = out.withColumn("is_normal", F.col("jb_p") >= alpha).withColumn("lb_min_p", F.array_min("lb_p"))
     return out.withColumn("is_white_noise", F.col("lb_min_p") >= alpha)
 
 
@@ -183,38 +195,35 @@ def kpss(packed: DataFrame, regression: str = "c", alpha: float = 0.05, keys: Se
     """Level (``c``) or trend (``ct``) stationarity test with the automatic lag of Hobijn et al."""
     if regression not in KPSS_CRITICAL:
         raise ValueError(f"unknown regression {regression!r}")
-    v = F.col("values")
-    n = F.size(v)
-    if regression == "c":
-        resid = centred(v)
-    else:
-        half = (n + 1) / 2
-        slope = array_sum(F.transform(centred(v), lambda x, i: x * (i + 1 - half))) / (
-            n.cast("double") * (n.cast("double") * n - 1) / 12
-        )
-        resid = F.transform(centred(v), lambda x, i: x - slope * (i + 1 - half))
-    base = packed.filter(n >= 15).select(*keys, resid.alias("_e"), n.alias("n"))
-    e, m = F.col("_e"), F.floor(F.pow(F.col("n").cast("double"), F.lit(2.0 / 9.0))).cast("int")
-    products = F.transform(F.sequence(F.lit(1), m), lambda i: lagged_products(e, i) * 2 / F.col("n"))
-    s0 = lagged_products(e, F.lit(0)) / F.col("n") + array_sum(products)
-    s1 = array_sum(F.transform(products, lambda g, i: g * (i + 1)))
-    ratio = s1 / s0
-    gamma = 1.1447 * F.pow(ratio * ratio, F.lit(1.0 / 3.0))
-    lag = F.least(F.floor(gamma * F.pow(F.col("n").cast("double"), F.lit(1.0 / 3.0))).cast("int"), F.col("n") - 1)
-    base = base.withColumn("lags_used", lag)
+    base = with_centred(packed.filter(F.size("values") >= 15)).withColumn("n", F.size("values"))
+    n = F.col("n").cast("double")
+    if regression == "ct":
+        cross = array_sum(F.transform("_c", lambda x, i: x * (i + 1 - (F.col("n") + 1) / 2)))
+        base = base.withColumn("_slope", cross / (n * (n * n - 1) / 12))
+        line = F.transform("_c", lambda x, i: x - F.col("_slope") * (i + 1 - (F.col("n") + 1) / 2))
+        base = base.withColumn("_c", F.when(F.col("_slope").isNotNull(), line))
+        base = base.withColumn("_g0", F.when(F.size("_c") > 0, lagged_products(F.col("_c"), F.lit(0))))
+    e = F.col("_c")
+    m = F.floor(F.pow(n, F.lit(2.0 / 9.0))).cast("int")
+    base = base.withColumn("_near", F.transform(F.sequence(F.lit(1), m), lambda i: lagged_products(e, i) * 2 / n))
+    s0 = F.col("_g0") / n + array_sum(F.col("_near"))
+    s1 = array_sum(F.transform("_near", lambda g, i: g * (i + 1)))
+    base = base.withColumn("_ratio", s1 / s0)
+    gamma = 1.1447 * F.pow(F.col("_ratio") * F.col("_ratio"), F.lit(1.0 / 3.0))
+    base = base.withColumn("lags_used", F.least(F.floor(gamma * F.pow(n, F.lit(1.0 / 3.0))).cast("int"), F.col("n") - 1))
     tail = F.aggregate(
         F.sequence(F.lit(0), F.col("lags_used")),
         F.lit(0.0),
         lambda a, i: a + F.when(i > 0, 2 * lagged_products(e, i) * (1 - i / (F.col("lags_used") + 1.0))).otherwise(0.0),
     )
-    variance = (lagged_products(e, F.lit(0)) + tail) / F.col("n")
+    variance = (F.col("_g0") + tail) / n
     run = F.aggregate(
         e,
         F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")),
         lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + (a["s"] + x) * (a["s"] + x)).alias("q")),
         lambda a: a["q"],
     )
-    stat = run / (F.col("n").cast("double") * F.col("n") * variance)
+    stat = run / (n * n * variance)
     out = base.select(*keys, "n", "lags_used", stat.alias("statistic"))
     crit = KPSS_CRITICAL[regression]
     p = F.when(F.col("statistic") <= crit[0], KPSS_P[0])

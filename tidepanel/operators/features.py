@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.contract import add_periods, in_time
-from tidepanel.functions.stats import array_mean
 
 LAGS = (1, 2, 3, 6, 12)
 WINDOWS = (3, 6, 12)
@@ -112,50 +111,58 @@ def feature_matrix(
     return made.dropna(subset=feature_names(lags, windows, metrics))
 
 
-def _squares_about(values: Column, mean: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+def _moments(values: Column, start: Column, width: int, shift: Column) -> dict[str, Column]:
+    """Mean and sample variance of ``width`` values from one pass, taken around ``shift`` for accuracy."""
+    sums = F.aggregate(
+        F.slice(values, start, F.lit(width)),
+        F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")),
+        lambda a, x: F.struct(
+            (a["s"] + (x - shift)).alias("s"), (a["q"] + (x - shift) * (x - shift)).alias("q")
+        ),
+        lambda a: F.struct(
+            (shift + a["s"] / width).alias("mean"),
+            F.greatest((a["q"] - a["s"] * a["s"] / width) / (width - 1), F.lit(0.0)).alias("var"),
+        ),
+    )
+    return {"mean": sums["mean"], "var": sums["var"], "std": F.sqrt(sums["var"])}
 
 
-def next_step_columns(
-    history: Column,
+def step_columns(
+    values: Column,
+    t: Column,
     step_ts: Column,
     lags: Sequence[int] = LAGS,
     windows: Sequence[int] = WINDOWS,
     metrics: Sequence[str] = METRICS,
 ) -> dict[str, Column]:
-    """Features of the period after ``history`` (an ordered array), named as in ``feature_matrix``.
+    """Features of position ``t`` (1-based) from the values before it, named as in ``feature_matrix``.
 
-    Null when the history is shorter than the longest lag or window.
+    ``t`` may be one past the end of the array: the next period.  Null when fewer
+    values precede ``t`` than the longest lag or window.
     """
-    enough = F.size(history) >= max(*lags, *windows)
-    out = {f"lag_{k}": F.when(enough, F.try_element_at(history, F.lit(-k))) for k in lags}
+    enough = t > max(*lags, *windows)
+    out = {f"lag_{k}": F.when(enough, F.element_at(values, (t - k).cast("int"))) for k in lags}
     for w in windows:
-        tail = F.slice(history, F.when(enough, -w).otherwise(1), F.lit(w))
-        mean = array_mean(tail)
-        variance = _squares_about(tail, mean) / (w - 1)
-        values = {
-            "mean": mean,
-            "std": F.sqrt(variance),
-            "var": variance,
-            "min": F.array_min(tail),
-            "max": F.array_max(tail),
-        }
+        start = F.greatest(t - w, F.lit(1)).cast("int")
+        tail = F.slice(values, start, F.lit(w))
+        made = _moments(values, start, w, F.element_at(values, (t - 1).cast("int")))
+        made.update({"min": F.array_min(tail), "max": F.array_max(tail)})
         for m in metrics:
-            out[f"rolling_{m}_{w}"] = F.when(enough, values[m])
+            out[f"rolling_{m}_{w}"] = F.when(enough, made[m])
     out.update(calendar_of(step_ts))
     return out
 
 
-def step_vector(history: Column, step_ts: Column, **options) -> Column:
-    """The features of ``next_step_columns`` as one array in ``feature_names`` order."""
-    return F.array(*[c.cast("double") for c in next_step_columns(history, step_ts, **options).values()])
+def step_vector(values: Column, t: Column, step_ts: Column, **options) -> Column:
+    """The features of ``step_columns`` as one array in ``feature_names`` order."""
+    return F.array(*[c.cast("double") for c in step_columns(values, t, step_ts, **options).values()])
 
 
 def next_step_features(packed: DataFrame, freq: str = "month") -> DataFrame:
     """One feature row per series for the first unseen period (input of ``splits.pack``)."""
     step_ts = add_periods(F.element_at("dates", -1), F.lit(1), freq)
     frame = packed.select("series_id", step_ts.alias("ts"), "ys")
-    return _add(frame, next_step_columns(F.col("ys"), F.col("ts"))).drop("ys")
+    return _add(frame, step_columns(F.col("ys"), F.size("ys") + 1, F.col("ts"))).drop("ys")
 
 
 def sequence_windows(panel: DataFrame, past: int = 12, ahead: int = 12, keys: Sequence[str] = ("series_id",)) -> DataFrame:

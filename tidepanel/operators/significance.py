@@ -66,32 +66,19 @@ def paired_bootstrap(
     )
 
 
-def diebold_mariano_columns(d: Column, h: int, correct: bool = True) -> dict[str, Column]:
-    """Test of equal accuracy on an ordered array of loss differences.
-
-    Long-run variance with Bartlett weights to lag ``h - 1``; with the
-    small-sample factor the p-value is Student-t on n - 1 degrees of freedom.
-    """
-    n = F.size(d)
-    mean = array_mean(d)
-    centred = F.transform(d, lambda x: x - mean)
-
-    def gamma(k: Column) -> Column:
-        return lagged_products(centred, k) / n
-
-    lags = F.filter(F.sequence(F.lit(0), F.lit(h - 1)), lambda k: k < n)
-    lrv = F.aggregate(
-        lags, F.lit(0.0), lambda a, k: a + F.when(k == 0, gamma(k)).otherwise(2 * (1 - k / float(h)) * gamma(k))
-    )
-    return {"n": n, "mean_diff": mean, "lrv": F.when(n >= 2, lrv)}
-
-
 def diebold_mariano(losses: DataFrame, keys: Sequence[str], h: int = 12, correct: bool = True) -> DataFrame:
-    """``keys, n, mean_diff, statistic, p_value`` from an array column ``d`` per key.
+    """``keys, n, mean_diff, statistic, p_value`` from an ordered array ``d`` of loss differences per key.
 
-    Without variance the p-value is 1 for equal losses and null otherwise.
+    Long-run variance with Bartlett weights to lag ``h - 1``; with the small-sample
+    factor the p-value is Student-t on n - 1 degrees of freedom.  Without variance the p-value is 1 for equal losses and null otherwise.
     """
-    parts = losses.select(*keys, *[c.alias(name) for name, c in diebold_mariano_columns(F.col("d"), h).items()])
+    base = losses.select(*keys, "d", F.size("d").alias("n"), array_mean(F.col("d")).alias("mean_diff"))
+    c = F.transform("d", lambda x: x - F.col("mean_diff"))
+    base = base.withColumn("_c", F.when(F.col("mean_diff").isNotNull(), c))
+    lags = F.filter(F.sequence(F.lit(0), F.lit(h - 1)), lambda k: k < F.col("n"))
+    weight = lambda k: F.when(k == 0, 1.0).otherwise(2 * (1 - k / float(h)))
+    total = F.aggregate(lags, F.lit(0.0), lambda a, k: a + weight(k) * lagged_products(F.col("_c"), k))
+    parts = base.select(*keys, "n", "mean_diff", F.when(F.size("_c") >= 2, total / F.col("n")).alias("lrv"))
     n = F.col("n")
     raw = F.col("mean_diff") / F.sqrt(F.when(F.col("lrv") > 1e-15, F.col("lrv")) / n)
     factor = (n + 1 - 2 * h + h * (h - 1) / n) / n

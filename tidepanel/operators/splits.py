@@ -77,10 +77,12 @@ def pack(panel: DataFrame) -> DataFrame:
 
     This is the only shuffle the array models need: folds, fits, forecasts and
     metrics are then computed in place.  An array holds one value per calendar
-    period, so its size does not grow with the source table.
+    period, so its size does not grow with the source table.  Null values are
+    dropped, and a series without any value has no row.
     """
     ordered = F.array_sort(F.collect_list(F.struct("ts", "y")))
-    return panel.groupBy("series_id").agg(ordered.alias("_rows")).select(
+    seen = panel.filter(F.col("y").isNotNull())
+    return seen.groupBy("series_id").agg(ordered.alias("_rows")).select(
         "series_id",
         F.size("_rows").alias("n"),
         F.col("_rows.y").alias("ys"),
@@ -120,4 +122,15 @@ def packed_folds(
             F.slice("dates", end + 1, F.lit(horizon)).alias("test_dates"),
         )
     )
-    return folds.withColumn("scale", seasonal_scale(F.col("train"), season))
+    return spread(folds.withColumn("scale", seasonal_scale(F.col("train"), season)), "series_id", "fold")
+
+
+def spread(frame: DataFrame, *keys: str) -> DataFrame:
+    """Spread packed rows over the session's shuffle partitions before the costly fits.
+
+    Small frames would otherwise end up in one task.  The exchange also fixes the
+    arrays: without it the optimizer may move the expression behind an array into
+    the lambda that reads it and evaluate it once per element.
+    """
+    parts = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return frame.repartition(parts, *keys)
