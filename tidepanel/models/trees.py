@@ -6,8 +6,6 @@ seasonal-naive scale first, so series of any size share the model.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -16,8 +14,10 @@ from pyspark.sql import functions as F
 
 from tidepanel.contract import HORIZON, add_periods
 from tidepanel.operators.features import LAGS, WINDOWS, step_vector
+from tidepanel.session import ensure_checkpoint_dir
 
 WARM_UP = max(*LAGS, *WINDOWS)
+ROUNDS_PER_CHECKPOINT = 6
 
 
 def random_forest(n_trees: int = 100, max_depth: int = 10, min_split: int = 2, seed: int = 42) -> RandomForestRegressor:
@@ -53,9 +53,12 @@ def pooled(frame: DataFrame, out: str, estimator, horizon: int = HORIZON, freq:
     """Fit one estimator on all series of ``frame`` and roll every series forward ``horizon`` steps.
 
     Each round computes the next feature row from the grown history, so the
-    rounds are narrow projections without a shuffle.  The forecast column keeps
-    only the key columns through the rounds.  Any MLlib regressor can be passed.
+    rounds are narrow projections without a shuffle.  The grown state is
+    checkpointed every few rounds: the plan stays short, and no later filter can
+    be pushed into the chain and repeat its predictions.  Any MLlib regressor can
+    be passed.
     """
+    ensure_checkpoint_dir(frame.sparkSession)
     model = estimator.fit(_samples(frame))
     n = F.size("train")
     state = frame.withColumn("_z", F.when(n > WARM_UP, _scaled(F.col("train"))))
@@ -66,20 +69,13 @@ def pooled(frame: DataFrame, out: str, estimator, horizon: int = HORIZON, freq:
         state = state.withColumn("features", array_to_vector(usable))
         state = model.transform(state).withColumn("_z", F.array_append("_z", F.col("prediction")))
         state = state.drop("features", "prediction")
+        if h % ROUNDS_PER_CHECKPOINT == 0 or h == horizon:
+            state = state.checkpoint()
     tail = F.slice("_z", F.size("_z") - horizon + 1, F.lit(horizon))
     made = F.when(n > WARM_UP, F.transform(tail, lambda x: x * F.col("scale")))
     return state.withColumn(out, made).drop("_z")
 
 
-def pooled_per_fold(frame: DataFrame, out: str, estimator, folds: Sequence[int], horizon: int = HORIZON) -> DataFrame:
-    """``pooled`` once per fold, so no model sees a later origin's training rows."""
-    parts = [pooled(frame.filter(F.col("fold") == k), out, estimator, horizon) for k in folds]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
-
-
 def direct(
     frame: DataFrame,
     out: str,
