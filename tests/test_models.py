@@ -83,7 +83,7 @@ def test_ar_recovers_coefficients(spark):
     rng = np.random.default_rng(3)
     y = [0.0, 0.0]
     for e in rng.normal(0, 1, 800):
-        y.append(2 + 0.5 * y[-1] + 0.2 * y[-2] + e)
+        y.append(float(2 + 0.5 * y[-1] + 0.2 * y[-2] + e))
     df = spark.createDataFrame([(y,)], "train array<double>")
     r = ar(df, "o", 5, lags=2, keep_fit=True).first()
     assert np.allclose(r.o_fit.beta[1:], [0.5, 0.2], atol=0.08)

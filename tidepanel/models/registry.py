@@ -121,10 +121,10 @@ def all_forecasters(horizon: int = HORIZON, season: int = SEASON, spec: Column |
     return {**default_forecasters(horizon, season, spec), **extra_forecasters(horizon, season), **_REGISTERED}
 
 
-def add_forecasts(frame: DataFrame, forecasters: dict[str, Forecaster], prefix: str = "f") -> tuple[DataFrame, dict[str, str]]:
+def add_forecasts(frame: DataFrame, forecasters: dict[str, Forecaster], prefix: str = "forecast") -> tuple[DataFrame, dict[str, str]]:
     """Add one column per model side by side and return the frame with model -> column."""
     columns = {}
     for i, (name, make) in enumerate(forecasters.items()):
-        columns[name] = f"_{prefix}{i}"
+        columns[name] = f"{prefix}_{i}"
         frame = make(frame, columns[name])
     return frame, columns

@@ -11,6 +11,7 @@ from tidepanel.contract import HORIZON, SEASON
 from tidepanel.models import registry, trees
 from tidepanel.models.linear import sarima, spec_name, spec_struct
 from tidepanel.operators import backtest, metrics, reports, splits
+from tidepanel.session import ensure_checkpoint_dir
 from tidepanel.sources import sinks
 
 # Models that train one job per fold over all series.
@@ -47,19 +48,22 @@ def model_rows(
     helpers = [] if "Seasonal Naive" in names else ["Seasonal Naive"]
     wide, columns = registry.add_forecasts(folds, {m: makers[m] for m in [*names, *helpers]})
     refits = {m: f for m, f in registry.default_refits(horizon, spec).items() if m in names}
-    wide, refit_columns = registry.add_forecasts(wide, refits, "r")
+    wide, refit_columns = registry.add_forecasts(wide, refits, "refit")
     pooled_names = [m for m in models if m in POOLED]
     if pooled_names:
         parts = []
         for k in range(n_folds):
             part = wide.filter(F.col("fold") == k)
             for i, m in enumerate(pooled_names):
-                part = POOLED[m](part, f"_p{i}", horizon)
+                part = POOLED[m](part, f"pooled_{i}", horizon)
             parts.append(part)
         wide = parts[0]
         for part in parts[1:]:
             wide = wide.unionByName(part)
-        columns.update({m: f"_p{i}" for i, m in enumerate(pooled_names)})
+        columns.update({m: f"pooled_{i}" for i, m in enumerate(pooled_names)})
+    # The guard reads every forecast several times, so the fits are materialised first.
+    ensure_checkpoint_dir(folds.sparkSession)
+    wide = wide.checkpoint()
     rows = backtest.guarded_models(wide, columns, refit_columns, horizon)
     return rows.filter(F.col("model").isin(*models))
 
