@@ -81,12 +81,12 @@ def boxcox_grid(spark, d):
     return fit.select("series_id", F.round("lam", 3).alias("lam"), F.col("offset").alias("c"))
 
 
-@query("boxcox_round_trip", W(BRA, POS, SPLIT) + f"SELECT series_id, ts, {R('y', 2)} AS y_restored FROM sp")
+@query("boxcox_round_trip", W(BRA, POS, SPLIT) + f"SELECT series_id, ts, {R('y', 5)} AS y_restored FROM sp")
 def boxcox_round_trip(spark, d):
     panel, train = _labelled(spark, d)
     params = transforms.fit_boxcox(train)
     out = transforms.invert_boxcox(transforms.apply_boxcox(panel, params), params)
-    return rounded(out.select("series_id", "ts", "y_restored"), 2)
+    return rounded(out.select("series_id", "ts", "y_restored"), 5)
 
 
 # --- differencing ----------------------------------------------------------------------------
@@ -113,18 +113,18 @@ def diff_seasonal(spark, d):
 
 @query(
     "undo_regular",
-    W(NAT, POS) + f"SELECT series_id, ts, {R('y', 2)} AS level FROM q WHERE pos > n - 12 AND n > 12",
+    W(NAT, POS) + f"SELECT series_id, ts, {R('y', 5)} AS level FROM q WHERE pos > n - 12 AND n > 12",
 )
 def undo_regular(spark, d):
     rows = splits.with_position(tables.orders_nation_month(spark, d)).filter("n > 12")
     delta = transforms.difference(rows, 1).filter("pos > n - 12").select("series_id", "ts", F.col("y_diff").alias("delta"))
     last = rows.filter("pos = n - 12").select("series_id", F.col("y").alias("last_y"))
-    return rounded(transforms.undo_regular(delta, last).select("series_id", "ts", "level"), 2)
+    return rounded(transforms.undo_regular(delta, last).select("series_id", "ts", "level"), 5)
 
 
 @query(
     "undo_seasonal",
-    W(NAT, POS) + f"SELECT series_id, ts, {R('y', 2)} AS level FROM q WHERE pos > n - 18 AND n >= 31",
+    W(NAT, POS) + f"SELECT series_id, ts, {R('y', 5)} AS level FROM q WHERE pos > n - 18 AND n >= 31",
 )
 def undo_seasonal(spark, d):
     rows = splits.with_position(tables.orders_nation_month(spark, d)).filter("n >= 31")
@@ -133,12 +133,12 @@ def undo_seasonal(spark, d):
     base = rows.filter("pos > n - 30 and pos <= n - 18").select(
         "series_id", (F.col("pos") - F.col("n") + 29).alias("phase"), F.col("y").alias("base_y")
     )
-    return rounded(transforms.undo_seasonal(steps, base).select("series_id", "ts", "level"), 2)
+    return rounded(transforms.undo_seasonal(steps, base).select("series_id", "ts", "level"), 5)
 
 
 @query(
     "undo_combined",
-    W(NAT, POS) + f"SELECT series_id, pos - n + 18 AS h, {R('y', 2)} AS level FROM q WHERE pos > n - 18 AND n >= 31",
+    W(NAT, POS) + f"SELECT series_id, pos - n + 18 AS h, {R('y', 5)} AS level FROM q WHERE pos > n - 18 AND n >= 31",
 )
 def undo_combined(spark, d):
     rows = splits.with_position(tables.orders_nation_month(spark, d)).filter("n >= 31")
@@ -148,7 +148,7 @@ def undo_combined(spark, d):
     )
     level = transforms.undo_difference(F.col("history"), F.col("r.y_diff"), 1, 12)
     out = history.join(deltas, "series_id").select("series_id", F.posexplode(level).alias("i", "level"))
-    return rounded(out.select("series_id", (F.col("i") + 1).cast("long").alias("h"), "level"), 2)
+    return rounded(out.select("series_id", (F.col("i") + 1).cast("long").alias("h"), "level"), 5)
 
 
 @query(
