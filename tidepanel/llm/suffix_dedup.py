@@ -10,8 +10,11 @@ New batches are sorted into an array of their own level. Levels that are full ar
 sort, as in a binary counter, so equal-sized levels merge geometrically; larger levels are merge-scanned
 with the batch and stay as they are. In a scan only neighbours are compared: equal neighbours repeat their
 whole run, neighbours that share the sampled ``GRAM`` bytes only are looked at string by string, once per
-different context. No group is ever gathered: long runs of equal entries spread over ranges, and the first and
-last entry of each range are matched in a table of two rows per range.
+different context. Long runs of equal entries spread over ranges, and the first and last entry of each range are
+matched in a table of two rows per range. The contexts of one sampled string are compared in a task up to
+``GROUP`` of them; beyond that each string of a context is a row of its own, matched by its digest in sort order.
+
+Texts are compressed for the two shuffles that carry them.
 """
 
 from __future__ import annotations
@@ -22,24 +25,28 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import fields, stored
+from tidepanel.llm.common import fields, map_texts, stored
 
 LENGTH = 200
 GRAM = 48
 BATCHES = 2
 #: Bytes whose digests are computed together.
 PIECE = 1 << 19
+#: Most contexts of one sampled string that one task compares.
+GROUP = 4096
 
 #: Flags of an entry after a scan.
 WHOLE, PARTLY, EDGE = 1, 2, 4
 
-ENTRY = fields(head="long", gram="int", context="long", text_hash="long", place="long")
+ENTRY = fields(head="int", gram="int", context="long", text_hash="long", place="long")
 KEYS = ENTRY.names
-SCANNED = fields(head="long", gram="int", context="long", text_hash="long", place="long", flags="int")
-STRINGS = fields(gram="int", text_hash="long", first="int", digests="array<long>")
+SCANNED = fields(head="int", gram="int", context="long", text_hash="long", place="long", flags="int")
+SLICE = fields(key="long", single="boolean", text_hash="long", first="int", part="binary")
+SPAN = fields(text_hash="long", lo="int", hi="int")
 CLEANED = fields(n_bytes="long", n_removed="long", n_spans="long", kept="binary")
 
 _BASE = 0x9E3779B97F4A7C15
@@ -120,16 +127,16 @@ def _sampled(length: int):
             for joined, spans in _pieces(texts, length):
                 data = np.frombuffer(joined, dtype=np.uint8)
                 owner, first, last, at = _runs(data, spans, length)
-                head = np.zeros(len(at), dtype=np.uint64)
-                for k in range(8):
-                    head = (head << np.uint64(8)) | data[at + k]
+                head = np.zeros(len(at), dtype=np.uint32)
+                for k in range(4):
+                    head = (head << np.uint32(8)) | data[at + k]
                 gram = [digest(joined[a : a + GRAM]) for a in at.tolist()]
                 context = [digest(joined[a : b + length], c) for a, b, c in zip(first.tolist(), last.tolist(), (at - first).tolist())]
                 text = np.asarray([hashes[s[0]] for s in spans], dtype=np.int64)[owner]
                 moved = np.asarray([s[1] - s[2] for s in spans], dtype=np.int64)[owner]
                 place = ((first + moved) << 16) | ((last - first) << 8) | (at - first)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array((head ^ np.uint64(1 << 63)).view(np.int64)),
+                    pa.array((head ^ np.uint32(1 << 31)).view(np.int32)),  # keeps the order of the bytes
                     pa.array((np.asarray(gram, dtype=np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                     pa.array(np.asarray(context, dtype=np.uint64).view(np.int64)), pa.array(text), pa.array(place),
                 ], names=KEYS)
@@ -184,8 +191,8 @@ class IndexFamily:
         return rows.repartitionByRange(n, *KEYS).sortWithinPartitions(*KEYS).mapInArrow(_scan, SCANNED)
 
     def add(self, texts: DataFrame) -> None:
-        """``texts``: columns text_hash and data (UTF-8 bytes)."""
-        fresh = texts.select("text_hash", "data").mapInArrow(_sampled(self.length), ENTRY)
+        """``texts``: columns text_hash and text."""
+        fresh = texts.select("text_hash", F.encode("text", "UTF-8")).mapInArrow(_sampled(self.length), ENTRY)
         full = []
         while len(full) < len(self.levels) and self.levels[len(full)] is not None:
             full.append(self.levels[len(full)])
@@ -213,31 +220,106 @@ class IndexFamily:
         return reduce(DataFrame.unionAll, whole), reduce(DataFrame.unionAll, partly)
 
 
-def _strings(length: int):
-    """Digest of every ``length``-byte string of the runs asked for."""
+def _slices(length: int):
+    """The bytes of each run asked for; for the contexts of a large group, a row per string instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        schema, seen = to_arrow_schema(STRINGS), set()
+        schema, seen, unpack = to_arrow_schema(SLICE), set(), zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for h, data, runs in zip(*(c.to_pylist() for c in batch.columns)):
+            rows = []
+            for h, packed, runs in zip(*(c.to_pylist() for c in batch.columns)):
                 if h in seen:
                     continue
                 seen.add(h)
-                rows = []
+                data = unpack(packed)
                 for r in runs:
                     lo, n = r["place"] >> 16, ((r["place"] >> 8) & 255) + 1
-                    part = np.frombuffer(data[lo : lo + n + length - 1], dtype=np.uint8)
-                    rows.append((r["gram"], h, lo, _digests(part, length).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(list(v), type=f.type) for v, f in zip(zip(*rows), schema)], schema=schema)
+                    part = data[lo : lo + n + length - 1]
+                    if r["n"] <= GROUP:
+                        rows.append((r["key"], False, h, lo, part))
+                    else:
+                        rows += [
+                            (xxhash.xxh64_intdigest(part[i : i + length], r["key"] & 0xFFFF) - (1 << 63), True, h, lo + i, None)
+                            for i in range(n)
+                        ]
+            yield pa.RecordBatch.from_arrays([pa.array(list(v), type=f.type) for v, f in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
 
     return run
 
 
+def _equal_strings(keys: np.ndarray, hashes: np.ndarray, first: np.ndarray, parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """Spans of the strings that lie in two parts of one key; equal strings of a part's key have equal starts."""
+    sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    begin = np.cumsum(sizes) - sizes
+    digests = _digests(np.frombuffer(b"".join(parts), dtype=np.uint8), length)
+    owner = np.repeat(np.arange(len(parts)), sizes)[: len(digests)]
+    at = np.flatnonzero(np.arange(len(digests)) + length <= (begin + sizes)[owner])
+    owner = owner[at]
+    mixed = (digests[at] ^ keys.view(np.uint64)[owner]) * np.uint64(0xBF58476D1CE4E5B9)
+    _, inverse, count = np.unique(mixed, return_inverse=True, return_counts=True)
+    again = count[inverse] > 1
+    owner, start = owner[again], (at - begin[owner] + first[owner])[again]
+    new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (start[1:] != start[:-1] + 1)]) if len(owner) else np.empty(0, dtype=np.int64)
+    last = np.r_[new[1:] - 1, len(owner) - 1] if len(owner) else new
+    return hashes[owner[new]], start[new], start[last] + length
+
+
+def _compare(length: int):
+    """Spans of repeated strings, from slices sorted by key; holds no more than the groups of one key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema, held, single = to_arrow_schema(SPAN), [], None
+
+        def spans(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+            made = [np.asarray(hashes, dtype=np.int64), np.asarray(lo, dtype=np.int32), np.asarray(hi, dtype=np.int32)]
+            return pa.RecordBatch.from_arrays(list(map(pa.array, made)), schema=schema)
+
+        def flush(rows: list[tuple]) -> pa.RecordBatch:
+            keys, hashes, first, parts = zip(*rows)
+            return spans(*_equal_strings(np.asarray(keys, dtype=np.int64), np.asarray(hashes, dtype=np.int64), np.asarray(first, dtype=np.int64), list(parts), length))
+
+        for batch in batches:
+            alone, rows = [], []
+            for key, one, h, first, part in zip(*(c.to_pylist() for c in batch.columns)):
+                if not one:
+                    rows.append((key, h, first, part))
+                    continue
+                if single is not None and single[0] == key:
+                    alone += [(h, first), single[1:]]
+                single = (key, h, first)
+            if alone:
+                h, first = map(np.asarray, zip(*alone))
+                yield spans(h, first, first + length)
+            held += rows
+            if held and len(held) >= 2000:
+                cut = next((i for i in range(len(held) - 1, 0, -1) if held[i][0] != held[i - 1][0]), 0)
+                if cut:
+                    yield flush(held[:cut])
+                    held = held[cut:]
+        if held:
+            yield flush(held)
+
+    return run
+
+
+def _pack(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """Carried columns and the compressed UTF-8 bytes of column ``text``."""
+
+    def prepare():
+        pack = zstandard.ZstdCompressor(level=6).compress
+        return lambda texts: [[pack(t.encode()) for t in texts]]
+
+    return map_texts(docs, "text", fields(packed="binary"), prepare, carry)
+
+
 def repeated_spans(texts: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
-    """text_hash and spans (array of first and end byte) of ``texts`` (text_hash, data) that repeat a string."""
+    """text_hash and spans (array of first and end byte) of ``texts`` (text_hash, text) that repeat a string."""
     spark = texts.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     family = IndexFamily(spark, length)
     for k in range(batches):
         family.add(texts if batches == 1 else texts.where(F.pmod("text_hash", F.lit(batches)) == k))
@@ -247,27 +329,28 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, batches: int = BATCHE
     spans = whole.select("text_hash", first.alias("lo"), (first + count + length).alias("hi"))
     # One entry stands for a context; contexts with several entries repeat wholly anyway.
     one = partly.groupBy("head", "gram", "context").agg(F.min(F.struct("text_hash", "place")).alias("e"))
-    wanted = one.groupBy("e.text_hash").agg(F.collect_list(F.struct("gram", "e.place")).alias("runs"))
-    held = texts.join(wanted, "text_hash").select("text_hash", "data", "runs").mapInArrow(_strings(length), STRINGS)
-    strings = stored(held, "strings").select("gram", "text_hash", "first", F.posexplode("digests").alias("k", "digest"))
-    often = strings.groupBy("gram", "digest").count().where("count > 1").select("gram", "digest")
-    start = F.col("first") + F.col("k")
-    again = strings.join(often, ["gram", "digest"], "left_semi").select("text_hash", start.alias("lo"), (start + length).alias("hi"))
+    sized = one.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("head", "gram"))).where("n > 1")
+    asked = F.struct(F.xxhash64("head", "gram").alias("key"), "e.place", "n")
+    wanted = sized.groupBy("e.text_hash").agg(F.collect_list(asked).alias("runs"))
+    slices = _pack(texts, ["text_hash"]).join(wanted, "text_hash").mapInArrow(_slices(length), SLICE)
+    placed = slices.repartition(n, "key").sortWithinPartitions("key")
+    again = placed.mapInArrow(_compare(length), SPAN)
     # A text that occurs twice repeats as a whole.
-    n = F.max(F.octet_length("data"))
-    copies = texts.groupBy("text_hash").agg(F.count(F.lit(1)).alias("n"), n.alias("hi")).where(f"n > 1 AND hi >= {length}")
-    union = spans.unionAll(again).unionAll(copies.select("text_hash", F.lit(0).alias("lo"), "hi"))
-    return union.distinct().groupBy("text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    copies = texts.groupBy("text_hash").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("hi"))
+    copied = copies.where(f"n > 1 AND hi >= {length}").select("text_hash", F.lit(0).alias("lo"), "hi")
+    union = spans.unionAll(again).unionAll(copied)
+    return union.groupBy("text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def _cut(n_carry: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        new = list(to_arrow_schema(CLEANED))
+        new, unpack = list(to_arrow_schema(CLEANED)), zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows = []
-            for data, spans in zip(batch.column(n_carry).to_pylist(), batch.column(n_carry + 1).to_pylist()):
+            for packed, spans in zip(batch.column(n_carry).to_pylist(), batch.column(n_carry + 1).to_pylist()):
+                data = unpack(packed)
                 if not spans:
                     rows.append((len(data), 0, 0, data))
                     continue
@@ -295,13 +378,13 @@ def remove_repeats(
     ``kept`` may end or begin inside a character. An empty table gives an empty result.
     """
     names = carry or ["doc_id"]
-    data = F.encode(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), "UTF-8")
-    hashed = docs.select(F.xxhash64(data).alias("text_hash"), data.alias("data"))
-    spans = stored(repeated_spans(hashed.where(F.octet_length("data") >= length), length, batches), "spans")
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(names)], data.alias("data"))
-    joined = rows.withColumn("text_hash", F.xxhash64("data")).join(spans, "text_hash", "left")
+    raw = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    hashed = docs.select(F.xxhash64(raw).alias("text_hash"), raw.alias("text")).where(F.octet_length("text") >= length)
+    spans = stored(repeated_spans(hashed, length, batches), "spans")
     kept = [f"__c{i}" for i in range(len(names))]
-    narrow = joined.select(*kept, "data", "spans")
+    rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(names, kept)], F.xxhash64(raw).alias("text_hash"), raw.alias("text"))
+    joined = _pack(rows, [*kept, "text_hash"]).join(spans, "text_hash", "left")
+    narrow = joined.select(*kept, "packed", "spans")
     schema = fields()
     for f in [*narrow.schema.fields[: len(names)], *CLEANED.fields]:
         schema.add(f)
