@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidepanel.llm import (
     decontamination,
+    licenses,
+    masked_lm,
     quality_classifier,
     quality_rules,
     sentencepiece_codec,
@@ -135,3 +137,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@query("op9_license_scan", licenses.oracle())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op10_masked_lm_scoring")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return masked_lm.score(docs, masked_lm.fit(docs))

@@ -1,7 +1,7 @@
 """Toxicity by compression distance: separate zstandard dictionaries of ordinary and of toxic text.
 
-The ordinary dictionary is trained on stretches of ordinary texts. The toxic one continues it with what is
-trained on toxic text: the windows whose byte grams occur in far more toxic than ordinary texts. A window is
+The ordinary dictionary is a raw-content dictionary of stretches drawn from ordinary texts. The toxic one
+continues it with windows drawn from toxic texts, those whose byte grams are far more usual there. A window is
 a word between blanks, followed by a fixed ordinary stretch, as zstandard looks for no match in the last bytes
 of its input. Its gain is the compressed size under the ordinary dictionary less that under the toxic one. How
 many windows of a text reach each gain, absolutely and by length, is calibrated to a probability by ridge
@@ -19,13 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.common import fields, map_texts
-from tidepanel.llm.compression import labelled_sample, probability, remainder, solve_logistic, trained
+from tidepanel.llm.compression import labelled_sample, probability, remainder, solve_logistic
 
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 #: Bytes of a gram, and how much more often toxic texts must hold it.
 GRAM, RATIO, COUNT_RATIO = 5, 4.0, 8.0
-ORDINARY_BYTES, TOXIC_BYTES = 12_000, 4_000
+ORDINARY_BYTES, TOXIC_BYTES = 96_000, 4_000
 GAINS = (1, 2, 3, 4)
 #: Gains a task remembers.
 MEMORY = 300_000
@@ -114,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     toxic, ordinary = ([windows(t) for m, t in sample if m == mark] for mark in (1, 0))
     lines = [b" " + b" ".join(words[i : i + 8]) + b" " for words in ordinary for i in range(0, len(words), 8)]
     order = np.random.default_rng(3).permutation(len(lines))[:20_000]
-    base = b"".join(lines[i] for i in order)[:ORDINARY_BYTES] if len(lines) < 100 else trained([lines[i] for i in order], ORDINARY_BYTES)
+    base = b"".join(lines[i] for i in order)[:ORDINARY_BYTES]
     contrast = [b" " + w + b" " for w in _contrast(toxic, ordinary)] if toxic else []
     special = b"".join(contrast)[-TOXIC_BYTES:]
     if not sample:
