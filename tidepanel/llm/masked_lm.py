@@ -26,7 +26,7 @@ CLASSES, MEMBERS = 64, 128
 #: Numbers shared by the words without one of their own.
 SHARED = 256
 SIDE, WIDTH = 3, 32
-ROUNDS, RATE, BATCH = 2, 0.1, 8192
+ROUNDS, RATE, BATCH = 2, 0.3, 8192
 #: One document in so many is trained on; text bytes of one training partition.
 SHARE, PARTITION_BYTES = 8, 8 << 20
 #: Weights averaged in one task.

@@ -28,6 +28,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepanel.llm.common import fields, map_texts, stored
 
@@ -48,6 +49,7 @@ SCANNED = fields(head="int", gram="int", context="long", text_hash="long", place
 SLICE = fields(key="long", single="boolean", text_hash="long", first="int", part="binary")
 SPAN = fields(text_hash="long", lo="int", hi="int")
 CLEANED = fields(n_bytes="long", n_removed="long", n_spans="long", kept="binary")
+CLEANED_TEXT = fields(n_bytes="long", n_removed="long", n_spans="long", kept="string")
 
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
@@ -342,11 +344,11 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, batches: int = BATCHE
     return union.groupBy("text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
-def _cut(n_carry: int):
+def _cut(n_carry: int, result: T.StructType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        new, unpack = list(to_arrow_schema(CLEANED)), zstandard.ZstdDecompressor().decompress
+        new, unpack = list(to_arrow_schema(result)), zstandard.ZstdDecompressor().decompress
         for batch in batches:
             rows = []
             for packed, spans in zip(batch.column(n_carry).to_pylist(), batch.column(n_carry + 1).to_pylist()):
@@ -361,6 +363,8 @@ def _cut(n_carry: int):
                 gone = np.cumsum(edge[:-1]) > 0
                 n_spans = int(np.count_nonzero(np.diff(np.r_[False, gone].astype(np.int8)) == 1))
                 rows.append((len(data), int(gone.sum()), n_spans, np.frombuffer(data, dtype=np.uint8)[~gone].tobytes()))
+            if result["kept"].dataType.simpleString() == "string":
+                rows = [(*r[:3], r[3].decode(errors="ignore")) for r in rows]
             held = list(batch.columns[:n_carry])
             made = [pa.array(list(v), type=f.type) for v, f in zip(zip(*rows), new)] if rows else [pa.array([], type=f.type) for f in new]
             yield pa.RecordBatch.from_arrays([*held, *made], schema=pa.schema([*list(batch.schema)[:n_carry], *new]))
@@ -369,15 +373,22 @@ def _cut(n_carry: int):
 
 
 def remove_repeats(
-    docs: DataFrame, text: str = "text", carry: list[str] | None = None, length: int = LENGTH, batches: int = BATCHES
+    docs: DataFrame,
+    text: str = "text",
+    carry: list[str] | None = None,
+    length: int = LENGTH,
+    batches: int = BATCHES,
+    as_text: bool = False,
 ) -> DataFrame:
-    """Carried columns (default ``doc_id``), n_bytes, n_removed, n_spans and kept (bytes) of every row.
+    """Carried columns (default ``doc_id``), n_bytes, n_removed, n_spans and kept of every row.
 
     Every byte of a ``length``-byte string that also starts elsewhere goes, judged on the input; strings do not
     cross texts. A null text is empty; texts under ``length`` bytes stay whole. Repeated rows repeat each other.
-    ``kept`` may end or begin inside a character. An empty table gives an empty result.
+    ``kept`` is the bytes left, which may begin or end inside a character; ``as_text`` gives a string without
+    such broken characters instead. An empty table gives an empty result.
     """
-    names = carry or ["doc_id"]
+    names = ["doc_id"] if carry is None else carry
+    result = CLEANED_TEXT if as_text else CLEANED
     raw = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     hashed = docs.select(F.xxhash64(raw).alias("text_hash"), raw.alias("text")).where(F.octet_length("text") >= length)
     spans = stored(repeated_spans(hashed, length, batches), "spans")
@@ -385,8 +396,6 @@ def remove_repeats(
     rows = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(names, kept)], F.xxhash64(raw).alias("text_hash"), raw.alias("text"))
     joined = _pack(rows, [*kept, "text_hash"]).join(spans, "text_hash", "left")
     narrow = joined.select(*kept, "packed", "spans")
-    schema = fields()
-    for f in [*narrow.schema.fields[: len(names)], *CLEANED.fields]:
-        schema.add(f)
-    cut = narrow.mapInArrow(_cut(len(names)), schema)
-    return cut.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(names)], *CLEANED.names)
+    schema = T.StructType([*narrow.schema.fields[: len(names)], *result.fields])
+    cut = narrow.mapInArrow(_cut(len(names), result), schema)
+    return cut.select(*[F.col(k).alias(c) for c, k in zip(names, kept)], *result.names)
