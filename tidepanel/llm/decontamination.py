@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +29,10 @@ SEGMENT_BYTES = 4 << 20
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 SEGMENT = fields(
-    doc_ids="array<long>", n_words="array<long>", starts="array<int>", terms="array<binary>", ends="array<int>",
+    segment="string", doc_ids="array<long>", n_words="array<long>", starts="array<int>", terms="array<binary>", ends="array<int>",
     postings="array<int>",
 )
-MATCH = fields(doc_id="long", n_words="long", hits="array<int>", items="array<long>")
+MATCH = fields(segment="string", place="int", doc_id="long", n_words="long", hits="array<int>", items="array<long>")
 
 
 def words(text: str | None) -> list[bytes]:
@@ -50,7 +51,7 @@ def _segments(vocabulary: dict[bytes, int] | None, least_run: int) -> Callable[[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        schema = to_arrow_schema(SEGMENT)
+        schema, made = to_arrow_schema(SEGMENT), 0
         for batch in batches:
             done = 0
             for part in chunks(batch.column(1), SEGMENT_BYTES):
@@ -77,10 +78,10 @@ def _segments(vocabulary: dict[bytes, int] | None, least_run: int) -> Callable[[
                 used, count = np.unique(number[where], return_counts=True)
                 spelled = list(names)
                 row = {
-                    "doc_ids": batch.column(0).slice(done, len(part)).to_pylist(), "n_words": n_words, "starts": starts,
+                    "segment": f"{TaskContext.get().partitionId()}-{made}", "doc_ids": batch.column(0).slice(done, len(part)).to_pylist(), "n_words": n_words, "starts": starts,
                     "terms": [spelled[i] for i in used], "ends": np.cumsum(count), "postings": where,
                 }
-                done += len(part)
+                done, made = done + len(part), made + 1
                 yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], type=f.type) for f in schema], schema=schema)
 
     return run
@@ -162,23 +163,25 @@ def _search(queries: dict[tuple[bytes, ...], list[int]], span: int | None):
                 doc = np.searchsorted(starts, where, side="right") - 1
                 cuts = np.searchsorted(doc, np.arange(1, len(starts)))
                 local = np.split((where - starts[doc]).astype(np.int32) if len(where) else where.astype(np.int32), cuts)
-                made = [row["doc_ids"], row["n_words"], local, [sorted(x) for x in items]]
+                n = len(starts)
+                made = [[row["segment"]] * n, range(n), row["doc_ids"], row["n_words"], local, [sorted(x) for x in items]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(made, schema)], schema=schema)
 
     return run
 
 
 def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, span: int | None = None) -> DataFrame:
-    """``MATCH`` rows, one per document: its words, word positions hit and items found.
+    """``MATCH`` rows, one per document: its words, word positions hit and items found, by number.
 
     ``span`` None asks for exact phrases of ``window`` words; a number asks for all terms of a window within
-    so many words, in any order. The benchmark's size is measured first; beyond ``BLOCK_BYTES`` it is split in
-    blocks by item and each block is one pass over the documents. Null and empty texts have no words; null
-    item ids are ignored; repeated documents are each searched and returned.
+    so many words, in any order. The benchmark's size is measured first. Up to ``BLOCK_BYTES`` only postings that
+    its phrases can need are stored; beyond, all postings are, and blocks of items are searched in turn. Null and
+    empty texts have no words; null item ids are ignored; repeated documents are each searched and returned.
     """
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = 1 + int(total) // BLOCK_BYTES
+    index = build_index(docs) if n_blocks > 1 else None
     found = None
     for block in range(n_blocks):
         queries: dict[tuple[bytes, ...], list[int]] = {}
@@ -188,16 +191,17 @@ def search(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, span: in
                 owners = queries.setdefault(w, [])
                 if item_id not in owners:
                     owners.append(item_id)
-        least = min(map(len, queries), default=1) if span is None else 1
-        index = build_index(docs, {t for q in queries for t in q}, least)
+        if n_blocks == 1:
+            least = min(map(len, queries), default=1) if span is None else 1
+            index = build_index(docs, {t for q in queries for t in q}, least)
         rows = index.mapInArrow(_search(queries, span), MATCH)
         found = rows if found is None else found.unionAll(rows)
     if n_blocks == 1:
         return found
-    # Rows of one document and its repeats merge: the same id, length and text give the same hits.
-    return found.groupBy("doc_id", "n_words").agg(
+    return found.groupBy("segment", "place").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
 
 

@@ -81,7 +81,7 @@ TEXTS = {
 # Spellings that mean the same, after case and punctuation went; applied in this order.
 SPELLINGS = (
     ("licence", "license"), ("licenced", "licensed"), ("organisation", "organization"), ("non commercial", "noncommercial"),
-    ("share alike", "sharealike"), ("no derivatives", "noderivatives"), ("sub license", "sublicense"), ("and or", "or"),
+    ("share alike", "sharealike"), ("no derivatives", "noderivatives"), ("sub license", "sublicense"), ("sublicence", "sublicense"), ("and or", "or"),
     ("copyright owners?", "copyright holders"), ("https", "http"), ("v([0-9])", "$1"), ("(version|the|an|a)", ""),
 )
 #: Lines of this form carry a name and a year, not terms.

@@ -130,7 +130,8 @@ def links(fps: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Carried columns, fingerprint (16 hex digits) and component_id, the smallest ``doc_id`` reachable.
+    """Carried columns, fingerprint (16 hex digits), component_id (the smallest ``doc_id`` reachable) and
+    component (the least fingerprint reachable, as a signed long, which tells groups apart where ids repeat).
 
     Null and empty texts have fingerprint zero and link like any other. Rows with equal fingerprints are one
     node. A null ``doc_id`` takes part but is never a component_id unless all of its component are null.
@@ -141,6 +142,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", carry: list[str] | None
     labels = connected_components(links(nodes.select("fp")))
     labelled = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     best = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    found = labelled.join(best, "label").select("fp", "component_id")
+    found = labelled.join(best, "label").select("fp", "component_id", F.col("label").alias("component"))
     shown = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return marked.join(found, "fp").select(*[F.col(f"`{c}`") for c in names], shown, "component_id")
+    return marked.join(found, "fp").select(*[F.col(f"`{c}`") for c in names], shown, "component_id", "component")
