@@ -44,7 +44,7 @@ def _panel(name: str, series: str, ts: str, value: str, source: str, freq: str =
     period = period if freq == "hour" else f"cast({period} as date)"
     return (
         f"{name} AS (SELECT cast({series} as varchar) AS series_id, {period} AS ts, "
-        f"cast(sum(cast({value} as decimal(18,2))) as double) / count({value}) AS y, max({value}) AS peak "
+        f"cast(sum(cast({value} as decimal(24,6))) as double) / count({value}) AS y, max({value}) AS peak "
         f"FROM {source} GROUP BY 1, 2)"
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -304,12 +306,13 @@ def unit_counts(spark, d):
 
 
 def boot_sql(source: str, keys: str, value: str, n_boot: int) -> str:
-    """Hash-indexed resampling over ``source`` with unit text ``u``."""
-    on = " AND ".join(f"a.{k.strip()} = b.{k.strip()}" for k in keys.split(","))
-    return f"""ix AS (SELECT {keys}, {value} AS v, row_number() OVER (PARTITION BY {keys} ORDER BY md5(u), u) - 1 AS i,
-    count(*) OVER (PARTITION BY {keys}) AS n FROM {source}),
-dr AS (SELECT {keys}, r.b AS b, cast('0x' || substr(md5(concat_ws('|', r.b, i, '0')), 1, 8) as bigint) % n AS pick FROM ix, range({n_boot}) r(b)),
-bm AS (SELECT {', '.join('a.' + k.strip() for k in keys.split(','))}, a.b, avg(b.v) AS m FROM dr a JOIN ix b ON {on} AND b.i = a.pick GROUP BY ALL)"""
+    """Poisson resampling over ``source`` with unit text ``u``."""
+    ends = [int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32) for k in range(9)]
+    weight = " ".join(f"WHEN h < {e} THEN {k}" for k, e in enumerate(ends))
+    return f"""dr AS (SELECT {keys}, r.b AS b, {value} AS v, cast('0x' || substr(md5(concat_ws('|', r.b, u, '0')), 1, 8) as bigint) AS h
+    FROM {source}, range({n_boot}) r(b) WHERE {value} IS NOT NULL),
+wt AS (SELECT {keys}, b, v, CASE {weight} ELSE 9 END AS w FROM dr),
+bm AS (SELECT {keys}, b, sum(w * v) / sum(w) AS m FROM wt WHERE w > 0 GROUP BY ALL)"""
 
 
 SU2 = "s2 AS (SELECT *, series_id || '|' || fold AS u FROM su)"
@@ -317,19 +320,19 @@ SU2 = "s2 AS (SELECT *, series_id || '|' || fold AS u FROM su)"
 
 @query(
     "bootstrap_ci",
-    f"""WITH {SEEDED}, {SU2}, {boot_sql('s2', 'model', 'mase', 1000)}, c AS (SELECT model, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM bm GROUP BY 1)
+    f"""WITH {SEEDED}, {SU2}, {boot_sql('s2', 'model', 'mase', 5000)}, c AS (SELECT model, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM bm GROUP BY 1)
     SELECT model, {R('avg(mase)', 6)} AS mean, {R('any_value(lo)', 6)} AS ci_low, {R('any_value(hi)', 6)} AS ci_high, count(*) AS n_units
     FROM su JOIN c USING (model) GROUP BY 1""",
 )
 def bootstrap_ci(spark, d):
     units = backtest.seed_average(seeded_metrics(spark, d))
-    return rounded(significance.bootstrap_ci(units, ["model"], backtest.unit_key(), "mase", n_boot=1000), 6)
+    return rounded(significance.bootstrap_ci(units, ["model"], backtest.unit_key(), "mase", n_boot=5000), 6)
 
 
 PAIRED = f"""pr AS (SELECT unnest({[a for a, _ in PAIRS]}) AS model_a, unnest({[b for _, b in PAIRS]}) AS model_b),
 pu AS (SELECT pr.model_a, pr.model_b, a.series_id, a.fold, a.series_id || '|' || a.fold AS u, a.mase - b.mase AS diff
     FROM pr JOIN su a ON a.model = pr.model_a JOIN su b ON b.model = pr.model_b AND a.series_id = b.series_id AND a.fold = b.fold)"""
-PBOOT = f"""{boot_sql('pu', 'model_a, model_b', 'diff', 1000)},
+PBOOT = f"""{boot_sql('pu', 'model_a, model_b', 'diff', 5000)},
 pb AS (SELECT model_a, model_b, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi,
     least(1.0, 2 * least(avg(CASE WHEN m <= 0 THEN 1.0::double ELSE 0 END), avg(CASE WHEN m >= 0 THEN 1.0::double ELSE 0 END))) AS p FROM bm GROUP BY 1, 2)"""
 SEED_PAIRS = f"{SEEDED}, {PAIRED.replace(chr(39) + 'Mean' + chr(39), chr(39) + 'GRU' + chr(39))}"
@@ -343,7 +346,7 @@ GRU_PAIRS = tuple((a.replace("Mean", "GRU"), b.replace("Mean", "GRU")) for a, b
 )
 def paired_bootstrap(spark, d):
     units = backtest.paired_units(backtest.seed_average(seeded_metrics(spark, d)), GRU_PAIRS)
-    return rounded(significance.paired_bootstrap(units, ["model_a", "model_b"], backtest.unit_key(), n_boot=1000), 6)
+    return rounded(significance.paired_bootstrap(units, ["model_a", "model_b"], backtest.unit_key(), n_boot=5000), 6)
 
 
 DM = """ls AS (SELECT pr.model_a, pr.model_b, a.series_id, a.scaled_error - b.scaled_error AS d,
@@ -380,7 +383,7 @@ def diebold_mariano(spark, d):
 )
 def compare_models(spark, d):
     rows = seeded_rows(spark, d)
-    out = backtest.compare_models(backtest.fold_metrics(rows), backtest.fold_errors(rows), GRU_PAIRS, n_boot=1000)
+    out = backtest.compare_models(backtest.fold_metrics(rows), backtest.fold_errors(rows), GRU_PAIRS, n_boot=5000)
     return rounded(out.drop("dm_series_significant", "dm_median_p"), 6)
 
 
@@ -391,7 +394,7 @@ def compare_models_p_values(spark, d):
     return significance.diebold_mariano(losses.filter(F.size("d") >= 25), ["model_a", "model_b", "series_id"])
 
 
-SUMMARY = f"""{SU2}, {UR}, {boot_sql('s2', 'model', 'mase', 1000)}, c AS (SELECT model, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM bm GROUP BY 1),
+SUMMARY = f"""{SU2}, {UR}, {boot_sql('s2', 'model', 'mase', 5000)}, c AS (SELECT model, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM bm GROUP BY 1),
 sm AS (SELECT model, any_value(paradigm) AS paradigm, avg(mase) AS mean_mase, stddev_samp(mase) AS std_mase, avg(mase_raw) AS raw_mean_mase,
     cast(sum(CASE WHEN mase_raw > 5 THEN 1 ELSE 0 END) as bigint) AS diverged_units, avg(mase) FILTER (fold = 0) AS fold0_mean_mase,
     avg(seed_std) AS mean_seed_std, avg(unit_rank) AS mean_rank, count(*) AS units, quantile_cont(mase, 0.5) AS median_mase,
@@ -405,7 +408,7 @@ sm AS (SELECT model, any_value(paradigm) AS paradigm, avg(mase) AS mean_mase, st
     + f", {R('lo', 6)} AS ci_low, {R('hi', 6)} AS ci_high, diverged_units, cast(0 as bigint) AS fallback_units, units, rank FROM sm JOIN c USING (model)",
 )
 def model_summary(spark, d):
-    return rounded(backtest.summarize_models(seeded_metrics(spark, d), n_boot=1000), 6)
+    return rounded(backtest.summarize_models(seeded_metrics(spark, d), n_boot=5000), 6)
 
 
 @query(

@@ -84,9 +84,33 @@ def multiplicative_decomposition(spark, d):
     return rounded(out, 6, trend=3)
 
 
+GAPPY = (
+    "g0 AS (SELECT series_id, ts, CASE WHEN month(ts) = 5 THEN NULL ELSE y END AS y0, row_number() OVER (PARTITION BY series_id ORDER BY ts) AS k FROM p0)",
+    "g1 AS (SELECT *, last_value(y0 IGNORE NULLS) OVER w AS a, last_value(CASE WHEN y0 IS NOT NULL THEN k END IGNORE NULLS) OVER w AS ka, "
+    "first_value(y0 IGNORE NULLS) OVER v AS b, first_value(CASE WHEN y0 IS NOT NULL THEN k END IGNORE NULLS) OVER v AS kb FROM g0 "
+    "WINDOW w AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), "
+    "v AS (PARTITION BY series_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))",
+    "p AS (SELECT series_id, ts, coalesce(y0, a + (b - a) * (k - ka) / (kb - ka), b, a) AS y FROM g1)",
+)
+
+
+def gappy(spark, d):
+    """The nation panel without a value in any May."""
+    return nation(spark, d).withColumn("y", F.when(F.month("ts") != 5, F.col("y")))
+
+
+@query(
+    "classical_decomposition_gaps",
+    W(NAT.replace("p AS", "p0 AS", 1), *GAPPY, POS, DEC.format(loose="y - trend", op="-"))
+    + f"SELECT series_id, ts, {R('trend', 3)} AS trend, {R('seasonal', 3)} AS seasonal, {R('y - trend - seasonal', 3)} AS resid FROM d2",
+)
+def classical_decomposition_gaps(spark, d):
+    return rounded(decomposition.classical(gappy(spark, d)).drop("y", "peak", "pos"), 3)
+
+
 @query("stl")
 def stl(spark, d):
-    return decomposition.stl(splits.pack(nation(spark, d)))
+    return decomposition.stl_panel(nation(spark, d))
 
 
 RES = "rs AS (SELECT series_id, ts, pos, y - coalesce(lag(y) OVER (PARTITION BY series_id ORDER BY pos), y) AS e FROM fr WHERE pos <= cut)"

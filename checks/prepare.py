@@ -49,12 +49,24 @@ def clean_raw(spark, d):
         sum(CASE WHEN peak < y THEN 1 ELSE 0 END) AS e, count(*) - count(DISTINCT (series_id, ts)) AS f FROM cl),
     r AS (SELECT 'canonical_columns' AS check_name, 0 AS n_bad UNION ALL SELECT 'no_null_primary_fields', a FROM v
         UNION ALL SELECT 'dates_are_month_starts', b FROM v UNION ALL SELECT 'averages_not_negative', c FROM v
-        UNION ALL SELECT 'peak_at_least_average', e FROM v UNION ALL SELECT 'no_duplicate_periods', f FROM v
-        UNION ALL SELECT 'periods_in_order', 0)
+        UNION ALL SELECT 'peak_at_least_average', e FROM v UNION ALL SELECT 'no_duplicate_periods', f FROM v)
     SELECT check_name, n_bad = 0 AS ok, cast(n_bad as bigint) AS n_bad FROM r""",
 )
 def validate_rules(spark, d):
-    return validation.validate(cleaning.clean(tables.raw_scrape(spark, d)).orderBy("series_id", "ts"))
+    return validation.validate(cleaning.clean(tables.raw_scrape(spark, d)))
+
+
+@query(
+    "validate_order",
+    """WITH o AS (SELECT lag(cast(o_orderdate as date)) OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) > cast(o_orderdate as date) AS back FROM orders)
+    SELECT 'periods_in_order' AS check_name, count(*) FILTER (WHERE back) = 0 AS ok, count(*) FILTER (WHERE back) AS n_bad FROM o""",
+)
+def validate_order(spark, d):
+    """The orders in order of their key, by priority."""
+    rows = tables.table(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("series_id"), F.col("o_orderdate").cast("date").alias("ts"), "o_orderkey"
+    )
+    return validation.validate(rows, position="o_orderkey").filter("check_name = 'periods_in_order'")
 
 
 @query(
@@ -252,3 +264,23 @@ def fold_origins(spark, d):
 def packed_rolling_folds(spark, d):
     folds = splits.packed_folds(tables.orders_nation_month(spark, d))
     return folds.select("series_id", "fold", F.size("train").cast("long").alias("train_n"), F.round("scale", 4).alias("scale"), "test_dates")
+
+
+@query(
+    "panel_tax_share_month",
+    f"""SELECT l_returnflag AS series_id, cast(date_trunc('month', l_shipdate) as date) AS ts, {R('avg(v)', 6)} AS y, max(v) AS peak
+    FROM (SELECT *, l_quantity / 16.0 + 0.0625 AS v FROM lineitem) GROUP BY 1, 2""",
+)
+def panel_tax_share_month(spark, d):
+    """Values of four decimals keep them."""
+    facts = tables.table(spark, d, "lineitem").withColumn("v", F.col("l_quantity") / 16.0 + 0.0625)
+    return rounded(tables.period_panel(facts, "l_returnflag", "l_shipdate", "v"), 6)
+
+
+@query(
+    "rejected_series",
+    W(NAT, "k AS (SELECT series_id, cast(count(y) as integer) AS n FROM p GROUP BY 1)")
+    + """SELECT series_id, cast(f as integer) AS fold, n, 'needs ' || (12 * (f + 1) + 28) || ' values' AS rule FROM k, range(7) r(f) WHERE n < 12 * (f + 1) + 28""",
+)
+def rejected_series(spark, d):
+    return splits.rejected_series(tables.orders_nation_month(spark, d), n_folds=7)

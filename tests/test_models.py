@@ -200,7 +200,7 @@ def test_adf_statistic_matches_numpy(spark):
 def test_decompositions_add_up(panel):
     c = decomposition.classical(panel).filter("trend is not null")
     assert c.agg(F.max(F.abs(F.col("trend") + F.col("seasonal") + F.col("resid") - F.col("y")))).first()[0] < 1e-8
-    s = decomposition.stl(splits.pack(panel)).toPandas()
+    s = decomposition.stl_panel(panel).toPandas()
     assert len(s) == 120 and np.allclose(s.trend + s.seasonal + s.resid, s.y)
     a = s[s.series_id == "A"].sort_values("ts")
     wave = 500 * np.sin(2 * np.pi * np.arange(60) / 12)

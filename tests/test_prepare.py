@@ -46,12 +46,20 @@ def test_corrupt_table_fails(spark):
 
 def test_rows_out_of_order_are_found(spark):
     days = [dt.date(2020, m, 1) for m in (1, 3, 2, 4)]
-    rows = [("A", d, 1.0, 1, None, None) for d in days]
-    df = spark.createDataFrame(rows, readers.PANEL_SCHEMA).coalesce(1)
-    bad = {r.check_name: r.n_bad for r in validation.validate(df).collect()}
+    rows = [("A", d, 1.0, 1, None, None, i) for i, d in enumerate(days)]
+    df = spark.createDataFrame(rows, readers.PANEL_SCHEMA + ", line int").repartition(3)
+    bad = {r.check_name: r.n_bad for r in validation.validate(df, position="line").collect()}
     assert bad["periods_in_order"] == 1
 
 
+def test_sorted_panel_in_several_files_is_valid(spark, tmp_path):
+    days = [dt.date(2000 + y, m, 1) for y in range(20) for m in range(1, 13)]
+    rows = [("A", d, 1.0, 1, None, None) for d in days]
+    spark.createDataFrame(rows, readers.PANEL_SCHEMA).repartitionByRange(7, "ts").write.parquet(str(tmp_path / "p"))
+    report = {r.check_name: r.ok for r in validation.validate(spark.read.parquet(str(tmp_path / "p"))).collect()}
+    assert all(report.values()) and "periods_in_order" not in report
+
+
 def test_header_variants(spark):
     df = spark.createDataFrame([("X", "May 2020", "1", "2", "3", "4")], ["gamename", "month", "Avg. Players", "gain", "% gain", "peak"])
     assert cleaning.standardize(df).columns == ["series_id", "ts", "y", "peak", "gain", "pct_gain"]

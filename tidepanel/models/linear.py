@@ -162,8 +162,8 @@ def sarima(
     A long autoregression gives innovations; the second regression uses lags
     {1..p, s..P s} of the differenced series and {1..q, s..Q s} of the innovations,
     with a constant only when nothing is differenced.  ``spec`` may differ per
-    row, so a whole order grid is one frame.  ``constrained`` also shrinks an
-    explosive autoregressive part; ``alpha`` adds ``<out>_lo`` and ``<out>_hi``; ``keep_fit`` adds
+    row, so a whole order grid is one frame.  ``constrained`` shrinks an explosive
+    autoregressive part and makes the moving average invertible; ``alpha`` adds ``<out>_lo`` and ``<out>_hi``; ``keep_fit`` adds
     ``<out>_fit`` (``fitted, resid, aic, bic, sigma``); ``log`` works on logarithms.
     """
     keep = frame.columns
@@ -171,9 +171,17 @@ def sarima(
     base = frame.withColumn("_spec", spec).withColumn("_y", src)
     sp = F.col("_spec")
     y = F.col("_y")
-    seasonal_part = F.when(sp["sd"] > 0, _diff(y, sp["s"])).otherwise(y)
+    times = lambda k: F.slice(F.sequence(F.lit(0), k), F.lit(1), k)
+    seasonal_part = F.aggregate(times(sp["sd"]), y, lambda v, _: _diff(v, sp["s"]))
     base = base.withColumn("_w0", seasonal_part)
-    base = base.withColumn("_w", F.when(sp["d"] > 0, _diff(F.col("_w0"), F.lit(1))).otherwise(F.col("_w0")))
+    base = base.withColumn("_w", F.aggregate(times(sp["d"]), F.col("_w0"), lambda v, _: _diff(v, F.lit(1))))
+    # Coefficients of (1 - B)^d (1 - B^s)^D, constant first.
+    widen = lambda c, k: F.zip_with(
+        F.concat(c, F.array_repeat(F.lit(0.0), k)), F.concat(F.array_repeat(F.lit(0.0), k), c), lambda a, b: a - b
+    )
+    operator = F.aggregate(times(sp["sd"]), F.array(F.lit(1.0)), lambda c, _: widen(c, sp["s"]))
+    operator = F.aggregate(times(sp["d"]), operator, lambda c, _: widen(c, F.lit(1)))
+    base = base.withColumn("_op", operator)
     base = base.withColumn("_ar", _lag_list(sp["p"], sp["sp"], sp["s"])).withColumn("_ma", _lag_list(sp["q"], sp["sq"], sp["s"]))
     w, n = F.col("_w"), F.size("_w")
     base = base.withColumn("_c", F.when(sp["d"] + sp["sd"] > 0, 0.0).otherwise(1.0))
@@ -203,9 +211,8 @@ def sarima(
     base = with_fit(base, "_f2", design2, 1 + n_ar + n_ma)
     b2 = F.col("_f2.beta")
     phi, theta = F.slice(b2, F.lit(2), n_ar), F.slice(b2, n_ar + 2, n_ma)
-    # An invertible form of the moving average always exists and keeps the innovations finite.
-    theta = _tame(theta, F.col("_ma"), -1, sp["s"])
     if constrained:
+        theta = _tame(theta, F.col("_ma"), -1, sp["s"])
         phi = _tame(phi, F.col("_ar"), 1, sp["s"])
     base = base.withColumn("_phi", phi).withColumn("_theta", theta).withColumn("_mu", b2[0] * F.col("_c"))
     phi, theta = F.col("_phi"), F.col("_theta")
@@ -224,25 +231,20 @@ def sarima(
     base = base.withColumn("_e", F.concat(F.col("_e"), F.array_repeat(F.lit(0.0), horizon)))
     ahead = roll_out(w, horizon, lambda h, k: level(h, F.col("_e"), F.size(h) + 1))
     base = base.withColumn("_ahead", F.when(F.size("_e") > 0, ahead))
-    both = sp["d"] + 2 * F.when(sp["sd"] > 0, 1).otherwise(0)
+    op = F.col("_op")
+    used = F.filter(F.slice(F.sequence(F.lit(1), F.size(op)), F.lit(1), F.size(op) - 1), lambda k: F.element_at(op, k + 1) != 0)
+    base = base.withColumn("_back", F.transform(used, lambda k: F.struct(k.alias("lag"), F.element_at(op, k + 1).alias("c"))))
 
     def restore(history: Column, deltas: Column) -> Column:
-        """Undo whichever differences the spec of the row asks for (season = s of the row)."""
+        """Undo the differences of the row's spec by repeated sums."""
         def step(seen: Column, delta: Column) -> Column:
-            back = lambda k: F.coalesce(F.try_element_at(seen, -k), F.lit(0.0))
-            s = sp["s"]
-            add = (
-                F.when(both == 0, F.lit(0.0))
-                .when(both == 1, back(F.lit(1)))
-                .when(both == 2, back(s))
-                .otherwise(back(F.lit(1)) + back(s) - back(s + 1))
-            )
-            return F.array_append(seen, add + delta)
+            back = lambda r: r["c"] * F.coalesce(F.try_element_at(seen, -r["lag"]), F.lit(0.0))
+            return F.array_append(seen, delta - array_sum(F.transform("_back", back)))
 
         grown = F.aggregate(deltas, history, step)
         return F.slice(grown, F.size(history) + 1, F.lit(horizon))
 
-    valid = b2.isNotNull() & (sp["d"] <= 1) & (sp["sd"] <= 1)
+    valid = b2.isNotNull()
     base = base.withColumn("_yhat", F.when(valid, restore(y, F.col("_ahead"))))
     back_to_level = (lambda c: F.transform(c, lambda x: F.exp(x))) if log else (lambda c: c)
     base = base.withColumn(out, back_to_level(F.col("_yhat")))
@@ -261,7 +263,7 @@ def sarima(
             F.sequence(F.lit(2), F.lit(horizon)), F.array(F.lit(1.0)),
             lambda h, t: F.array_append(h, dot(phi, _past(h, t, F.col("_ar"))) + dot(theta, _past(unit, t, F.col("_ma")))),
         )
-        zeros = F.array_repeat(F.lit(0.0), sp["s"] + 1)
+        zeros = F.array_repeat(F.lit(0.0), F.size(op))
         base = base.withColumn("_psi", restore(zeros, psi_w))
         half = F.transform(
             F.sequence(F.lit(1), F.lit(horizon)),

@@ -11,12 +11,13 @@ from tidepanel.contract import HORIZON, MODEL_PARADIGMS, paradigm_of
 from tidepanel.operators.metrics import METRICS, metric_columns
 from tidepanel.operators.quantiles import exact_percentiles
 from tidepanel.operators.significance import bootstrap_ci, diebold_mariano, paired_bootstrap
+from tidepanel.session import materialised
 
 # Guard, cap, seeds and the models of special status.
 UPPER_MULTIPLE = 3.0
 MASE_CAP = 5.0
 SEEDS = (42, 0, 1, 2, 3)
-SEEDED_MODELS = ("RNN", "LSTM", "GRU")
+SEEDED_MODELS = ("RNN", "LSTM", "GRU", "Random Forest", "XGBoost")
 TUNED_MODELS = ("SARIMA", "XGBoost")
 UNGUARDED_MODELS = ("Naive", "Seasonal Naive")
 KEY_PAIRS = (
@@ -102,6 +103,14 @@ def failures(model_rows: DataFrame) -> DataFrame:
     return bad.select("series_id", "fold", "model", "seed", F.lit("no plausible forecast produced").alias("error"))
 
 
+def all_failures(folds: DataFrame, model_rows: DataFrame, models: Sequence[str], seeds: Sequence[int | None]) -> DataFrame:
+    """Fits without a plausible forecast, and expected fits that gave no row at all."""
+    units = folds.select("series_id", "fold")
+    gone = missing_fits(expected_fits(units, models, seeds), model_rows)
+    absent = gone.select("series_id", "fold", "model", "seed", F.lit("no row produced").alias("error"))
+    return failures(model_rows).unionByName(absent)
+
+
 def missing_fits(expected: DataFrame, produced: DataFrame) -> DataFrame:
     """Expected (series, fold, model, seed) keys without a forecast (anti-join, null-safe on seed)."""
     e, p = expected.alias("e"), produced.select("series_id", "fold", "model", "seed").distinct().alias("p")
@@ -206,8 +215,11 @@ def seed_spread(fold_metric_rows: DataFrame) -> DataFrame:
 
 
 def summarize_models(fold_metric_rows: DataFrame, n_boot: int = 5000, seed: int = 0) -> DataFrame:
-    """Leaderboard over all units with bootstrap intervals, ranked by mean MASE."""
-    units = seed_average(fold_metric_rows)
+    """Leaderboard over all units with bootstrap intervals, ranked by mean MASE.
+
+    The unit table is read by several branches, so it is written once.
+    """
+    units = materialised(seed_average(fold_metric_rows))
     ranked = with_unit_rank(units)
     main = ranked.groupBy("model").agg(
         F.first("paradigm").alias("paradigm"),
@@ -301,9 +313,9 @@ def compare_models(
 ) -> DataFrame:
     """Paired bootstrap over all units and Diebold-Mariano per series for the listed pairs."""
     key = ["model_a", "model_b"]
-    boot = paired_bootstrap(paired_units(seed_average(fold_metric_rows), pairs), key, unit_key(), n_boot=n_boot, alpha=alpha, seed=seed)
+    boot = paired_bootstrap(materialised(paired_units(seed_average(fold_metric_rows), pairs)), key, unit_key(), n_boot=n_boot, alpha=alpha, seed=seed)
     losses = paired_losses(seed_average_errors(errors), pairs).filter(F.size("d") >= 2 * horizon + 1)
-    dm = diebold_mariano(losses, ["series_id", *key], h=horizon).filter(F.col("p_value").isNotNull())
+    dm = materialised(diebold_mariano(losses, ["series_id", *key], h=horizon).filter(F.col("p_value").isNotNull()))
     counts = dm.groupBy(*key).agg(
         F.count(F.lit(1)).alias("dm_series_tested"),
         F.sum((F.col("mean_diff") < 0).cast("int")).alias("dm_series_a_better"),

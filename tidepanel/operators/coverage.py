@@ -65,7 +65,7 @@ def select_series(
     min_months: int = 36,
     min_years: float = 3.0,
     max_gaps: int = 2,
-    max_series: int = 10,
+    max_series: int | None = 10,
     few: int = 5,
     fill_to: int = 7,
 ) -> DataFrame:
@@ -75,10 +75,19 @@ def select_series(
     list).  With fewer than ``few`` choices, continuous series with enough months
     follow in coverage order until ``fill_to``.  Every ranking is a top-k of at
     most ``max_series + fill_to`` rows, so the global order never meets in one task.
+    ``max_series=None`` takes every series that passes; they are not ranked then
+    (``choice_rank`` is null) unless a candidate list or too few choices bound them.
     """
     judged = _judged(coverage(panel), min_months, min_years, max_gaps)
     order = [F.desc("is_continuous"), F.desc("span_years"), F.desc("mean_y"), F.asc("series_id")]
     good = judged.filter(F.col("reason").isNull())
+    if max_series is None:
+        if candidates:
+            max_series = len(candidates)
+        elif len(good.take(few)) == few:
+            return good.select("series_id", F.lit(None).cast("int").alias("choice_rank"), F.lit("candidate").alias("source"))
+        else:
+            max_series = few
     if candidates:
         given = F.array_position(F.array(*map(F.lit, candidates)), F.col("series_id"))
         good = good.withColumn("_given", given).filter(F.col("_given") > 0)
@@ -90,7 +99,7 @@ def select_series(
     chosen = first.select("series_id", rank.alias("choice_rank"), F.lit("candidate").alias("source"))
     spare = (
         judged.filter((F.col("total_months") >= min_months) & F.col("is_continuous"))
-        .join(F.broadcast(chosen.select("series_id")), "series_id", "left_anti")  # at most max_series rows
+        .join(chosen.select("series_id"), "series_id", "left_anti")
         .orderBy(*order)
         .limit(fill_to)
     )

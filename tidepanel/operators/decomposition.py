@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepanel.contract import SEASON, in_time
+from tidepanel.operators.splits import pack
+from tidepanel.operators.transforms import fill_gaps
 
 # Ship this module's functions with the job; executors need no installed copy.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -21,7 +23,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 def classical(panel: DataFrame, period: int = SEASON, model: str = "additive") -> DataFrame:
     """Trend by centred moving average, seasonal by normalised phase means, remainder.
 
-    Needs two full periods; trend and remainder are null at both ends.
+    Needs two full periods; trend and remainder are null at both ends.  Gaps in ``y``
+    are interpolated first, so every value keeps its phase.
     """
     if model not in ("additive", "multiplicative"):
         raise ValueError(f"unknown model {model!r}")
@@ -29,7 +32,8 @@ def classical(panel: DataFrame, period: int = SEASON, model: str = "additive") -
     whole = Window.partitionBy("series_id")
     reach = period // 2
     frame = in_time().rowsBetween(-reach, reach)
-    p = panel.withColumn("pos", F.row_number().over(in_time())).withColumn("_n", F.count(F.lit(1)).over(whole))
+    whole_y = fill_gaps(panel).withColumn("y", F.col("y_filled")).drop("y_filled").filter(F.col("y").isNotNull())
+    p = whole_y.withColumn("pos", F.row_number().over(in_time())).withColumn("_n", F.count(F.lit(1)).over(whole))
     p = p.filter(F.col("_n") >= 2 * period)
     total = F.sum("y").over(frame)
     if period % 2 == 0:
@@ -128,3 +132,9 @@ def stl(packed: DataFrame, period: int = SEASON, seasonal: int = 13, inner: int
     rows = base.select("series_id", F.explode(zipped).alias("s"))
     resid = F.col("s.y") - F.col("s.trend") - F.col("s.seasonal")
     return rows.select("series_id", "s.ts", "s.y", "s.trend", "s.seasonal", resid.alias("resid"))
+
+
+def stl_panel(panel: DataFrame, period: int = SEASON, seasonal: int = 13, inner: int = 2) -> DataFrame:
+    """``stl`` of a long panel; gaps in ``y`` are interpolated first, so every value keeps its phase."""
+    whole = fill_gaps(panel).select("series_id", "ts", F.col("y_filled").alias("y"))
+    return stl(pack(whole), period, seasonal, inner)

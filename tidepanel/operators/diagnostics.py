@@ -233,20 +233,20 @@ def kpss(packed: DataFrame, regression: str = "c", alpha: float = 0.05, keys: Se
     return out.withColumn("is_stationary", F.col("p_value") >= alpha)
 
 
-def _adf_design(values: Column, first: Column, lags: int, used: Column) -> Column:
-    """Rows (1, y[t-1], dy[t-1], ..., dy[t-lags], dy[t]) for t > first; unused lags are zero."""
+def _adf_design(values: Column, first: Column, used: Column) -> Column:
+    """Rows (1, y[t-1], dy[t-1], ..., dy[t-used], dy[t]) for t > first."""
     d = lambda t: F.element_at(values, t) - F.element_at(values, t - 1)
     return F.transform(
         F.sequence(first + 1, F.size(values)),
         lambda t: F.concat(
             F.array(F.lit(1.0), F.element_at(values, t - 1)),
-            F.transform(F.sequence(F.lit(1), F.lit(lags)), lambda k: F.when(k <= used, d(t - F.least(k, used))).otherwise(0.0)),
+            F.transform(F.slice(F.sequence(F.lit(1), used + 1), F.lit(1), used), lambda k: d(t - k)),
             F.array(d(t)),
         ),
     )
 
 
-def adf(packed: DataFrame, alpha: float = 0.05, keys: Sequence[str] = ("series_id",), max_lag: int = 24) -> DataFrame:
+def adf(packed: DataFrame, alpha: float = 0.05, keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """Augmented Dickey-Fuller test with constant, lag order by AIC; needs 15 values.
 
     All lag orders of a series are solved from one design on the common sample;
@@ -255,17 +255,17 @@ def adf(packed: DataFrame, alpha: float = 0.05, keys: Sequence[str] = ("series_i
     v = F.col("values")
     n = F.size(v)
     top = F.ceil(12.0 * F.pow(n / 100.0, F.lit(0.25))).cast("int")
-    top = F.least(top, (F.floor(n / 2) - 2).cast("int"), F.lit(max_lag))
+    top = F.least(top, (F.floor(n / 2) - 2).cast("int"))
     base = packed.filter(n >= 15).withColumn("_top", top)
     tried = base.withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_top"))))
-    design = _adf_design(v, F.col("_top") + 1, max_lag, F.col("_p"))
+    design = _adf_design(v, F.col("_top") + 1, F.col("_p"))
     fitted = with_fit(tried, "_fit", design, F.col("_p") + 2)
     nobs = F.col("_fit.n")
     aic = nobs * F.ln(F.col("_fit.sse") / nobs) + 2 * (F.col("_p") + 2)
     best = fitted.groupBy(*keys).agg(
         F.min_by("_p", F.struct(aic, F.col("_p"))).alias("lags_used"), F.first("values").alias("values")
     )
-    own = _adf_design(v, F.col("lags_used") + 1, max_lag, F.col("lags_used"))
+    own = _adf_design(v, F.col("lags_used") + 1, F.col("lags_used"))
     final = with_fit(best, "_fit", own, F.col("lags_used") + 2)
     tau = F.col("_fit.beta")[1] / standard_error(F.col("_fit"), 1)
     out = final.select(*keys, "lags_used", F.col("_fit.n").alias("n_obs"), tau.alias("statistic"))

@@ -2,38 +2,43 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.functions.stats import array_mean, lagged_products, normal_cdf, t_two_sided
-from tidepanel.operators.quantiles import dense_index
 
 
-def _draw(replicate: Column, position: Column, n: Column, seed: int) -> Column:
-    """Uniform index below ``n`` from a hash, so every retry of a task draws the same units."""
-    text = F.concat_ws("|", replicate.cast("string"), position.cast("string"), F.lit(str(seed)))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % n
+# Upper ends of the Poisson(1) distribution, in parts of 2^32, for the weights 0, 1, 2, ...
+POISSON_ENDS = tuple(int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32) for k in range(9))
+
+
+def _weight(replicate: Column, unit: Column, seed: int) -> Column:
+    """Poisson(1) weight of a unit in a replicate from a hash, so every retry of a task draws the same."""
+    text = F.concat_ws("|", replicate.cast("string"), unit, F.lit(str(seed)))
+    u = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    weight = F.when(u < POISSON_ENDS[0], 0)
+    for k, end in enumerate(POISSON_ENDS[1:], 1):
+        weight = weight.when(u < end, k)
+    return weight.otherwise(len(POISSON_ENDS))
 
 
 def bootstrap_means(
     units: DataFrame, keys: Sequence[str], unit: Column, value: str, n_boot: int = 5000, seed: int = 0
 ) -> DataFrame:
-    """Mean of every resample: ``keys, b, boot_mean``.
+    """Mean of every Poisson resample: ``keys, b, boot_mean`` (null where no unit was drawn).
 
-    Each unit spawns its own draws, the drawn values are fetched by an equi-join
-    on (keys, index), and replicates are averaged with map-side partial sums.  No
-    group of units is gathered anywhere; Spark broadcasts the units if they are small.
+    Each unit has a hashed Poisson(1) weight in each replicate, so a resample is a
+    weighted mean: its sums combine on the map side, and nothing is joined, numbered
+    or gathered, whatever the number of units.
     """
     keys = list(keys)
-    numbered = dense_index(units.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), unit.alias("_u")), keys, F.col("_u"))
-    draws = numbered.select(
-        *keys, "n", F.col("idx").alias("_i"), F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")
-    )
-    draws = draws.select(*keys, "b", _draw(F.col("b"), F.col("_i"), F.col("n"), seed).alias("idx"))
-    values = numbered.select(*keys, "idx", "_v")
-    return draws.join(values, [*keys, "idx"]).groupBy(*keys, "b").agg(F.avg("_v").alias("boot_mean"))
+    rows = units.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), unit.alias("_u"))
+    draws = rows.select(*keys, "_v", "_u", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b"))
+    draws = draws.select(*keys, "b", "_v", _weight(F.col("b"), F.col("_u"), seed).alias("_w")).filter("_w > 0")
+    return draws.groupBy(*keys, "b").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("boot_mean"))
 
 
 def bootstrap_ci(

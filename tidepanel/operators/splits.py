@@ -90,6 +90,18 @@ def pack(panel: DataFrame) -> DataFrame:
     )
 
 
+def rejected_series(panel: DataFrame, n_folds: int = 4, horizon: int = HORIZON, min_train: int = 28, hold_out: int = 0) -> DataFrame:
+    """Folds that a series is too short for: ``series_id, fold, n, rule``.
+
+    ``n`` counts known values; a series without any has 0 and is listed for every fold.
+    """
+    known = panel.groupBy("series_id").agg(F.count("y").cast("int").alias("n"))
+    rows = known.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
+    need = hold_out + horizon * (F.col("fold") + 1) + min_train
+    rule = F.format_string("needs %d values", need.cast("int"))
+    return rows.filter(F.col("n") < need).select("series_id", "fold", "n", rule.alias("rule"))
+
+
 def seasonal_scale(train, season: int = SEASON):
     """In-sample seasonal-naive error: 1 for short history, never below 1e-8."""
     n = F.size(train)

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tidepanel.contract import PANEL_COLUMNS
 
+#: Positions compared in one task.
+RANGE = 1_000_000
+
 DATE_TYPES = ("date", "timestamp", "timestamp_ntz")
 
 
@@ -14,30 +17,32 @@ def _bad(rule) -> F.Column:
     return F.sum(F.when(rule, 1).otherwise(0))
 
 
-def _order_breaks(panel: DataFrame) -> DataFrame:
-    """Count of rows whose date is before the previous row of the series, in arrival order.
+def _order_breaks(panel: DataFrame, position: str) -> DataFrame:
+    """Count of rows whose date is before the row ahead of it in the series, by an explicit position column.
 
-    Checked inside each input split first and then between the splits'
-    first and last dates, so no task sees more than one split of a series.
+    Rows are compared within ranges of positions and then at the ranges' ends, so
+    no task sees more of a series than one range and one row per range.
     """
-    row = panel.select(F.col("series_id"), F.col("ts"), F.monotonically_increasing_id().alias("_i"))
-    split = row.withColumn("_split", F.shiftright("_i", 33))
-    inside = Window.partitionBy("series_id", "_split").orderBy("_i")
-    back = split.withColumn("_back", (F.lag("ts").over(inside) > F.col("ts")).cast("int"))
-    ends = back.groupBy("series_id", "_split").agg(
+    row = panel.select("series_id", "ts", F.col(position).cast("long").alias("_i"))
+    ranged = row.withColumn("_range", F.floor(F.col("_i") / RANGE))
+    inside = Window.partitionBy("series_id", "_range").orderBy("_i")
+    back = ranged.withColumn("_back", (F.lag("ts").over(inside) > F.col("ts")).cast("int"))
+    ends = back.groupBy("series_id", "_range").agg(
         F.sum(F.coalesce("_back", F.lit(0))).alias("_inside"),
         F.min_by("ts", "_i").alias("_first"),
         F.max_by("ts", "_i").alias("_last"),
     )
-    between = Window.partitionBy("series_id").orderBy("_split")
+    between = Window.partitionBy("series_id").orderBy("_range")
     seam = F.coalesce((F.lag("_last").over(between) > F.col("_first")).cast("int"), F.lit(0))
     return ends.withColumn("_seam", seam).agg(F.coalesce(F.sum(F.col("_inside") + F.col("_seam")), F.lit(0)).alias("n_bad"))
 
 
-def validate(panel: DataFrame) -> DataFrame:
+def validate(panel: DataFrame, position: str | None = None) -> DataFrame:
     """One row per rule: ``check_name, ok, n_bad``.
 
-    A missing column fails the rules that need it instead of raising.
+    A missing column fails the rules that need it instead of raising.  Rows of a
+    table have no order of their own, so the order rule needs a ``position`` column
+    of the source (a line number, say) and is left out without one.
     """
     types = dict(panel.dtypes)
     have = set(types)
@@ -63,8 +68,9 @@ def validate(panel: DataFrame) -> DataFrame:
             F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("n_bad")
         )
         report = report.unionByName(copies.select(F.lit("no_duplicate_periods").alias("check_name"), "n_bad"))
+    if position is not None and {"series_id", "ts", position} <= have:
         report = report.unionByName(
-            _order_breaks(panel).select(F.lit("periods_in_order").alias("check_name"), "n_bad")
+            _order_breaks(panel, position).select(F.lit("periods_in_order").alias("check_name"), "n_bad")
         )
     return report.select("check_name", (F.col("n_bad") == 0).alias("ok"), "n_bad")
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +15,17 @@ from tidepanel.operators import backtest, metrics, reports, splits
 from tidepanel.session import ensure_checkpoint_dir
 from tidepanel.sources import sinks
 
-# Models that train one job per fold over all series.
+# Models that train one job per fold over all series; a seed is given where the model draws at random.
 POOLED = {
-    "Random Forest": lambda f, out, h: trees.pooled(f, out, trees.random_forest(100, 6), h),
-    "XGBoost": lambda f, out, h: trees.pooled(f, out, trees.boosted_trees(100, 3, 0.05), h),
-    "Direct Linear": lambda f, out, h: trees.direct(f, out, h),
+    "Random Forest": lambda f, out, h, seed=42: trees.pooled(f, out, trees.random_forest(100, 6, seed=seed), h),
+    "XGBoost": lambda f, out, h, seed=42: trees.pooled(f, out, trees.boosted_trees(100, 3, 0.05, seed), h),
+    "Direct Linear": lambda f, out, h, seed=42: trees.direct(f, out, h),
 }
+# The default model list of the backtest.
+BACKTEST_SUITE = (
+    "Naive", "Seasonal Naive", "Holt-Winters", "Holt-Winters (Damped)", "AR(1)", "ARIMA(1,1,1)", "SARIMA", "Ridge",
+    "Random Forest", "XGBoost", "Direct Linear",
+)
 
 
 def with_specs(folds: DataFrame, specs: DataFrame | None) -> DataFrame:
@@ -27,40 +33,61 @@ def with_specs(folds: DataFrame, specs: DataFrame | None) -> DataFrame:
     return folds if specs is None else folds.join(specs, "series_id", "left")
 
 
+def fit_names(models: Sequence[str], seeds: Sequence[int] | None) -> list[str]:
+    """``model`` or, for each seed of a pooled model that draws at random, ``model#seed``."""
+    seeded = lambda m: seeds is not None and m in POOLED and m in backtest.SEEDED_MODELS
+    return [name for m in models for name in ([f"{m}#{s}" for s in seeds] if seeded(m) else [m])]
+
+
 def model_rows(
     folds: DataFrame,
     models: Sequence[str],
     horizon: int = HORIZON,
     season: int = SEASON,
     n_folds: int = 1,
+    seeds: Sequence[int] | None = None,
+    pooled: Mapping[str, Callable] = POOLED,
+    seconds: list[tuple[str, int, int | None, float]] | None = None,
 ) -> DataFrame:
-    """Guarded forecasts of all models, one row per (series, fold, model).
+    """Guarded forecasts of all models, one row per (series, fold, model, seed).
 
-    Models fitted per series add a column to the same rows; pooled ones train
-    once per fold on that fold's rows only.  Nothing is shuffled after packing.
+    Pooled models train first, once per fold and seed on that fold's packed rows
+    only; models fitted per series then add a column to all rows at once, so every
+    fit is made once.  Nothing is shuffled after packing.  ``seconds`` collects
+    (model, fold, seed, seconds) of the pooled fits.
     """
     spec = F.col("spec") if "spec" in folds.columns else None
     makers = registry.all_forecasters(horizon, season, spec)
-    unknown = [m for m in models if m not in makers and m not in POOLED]
+    unknown = [m for m in models if m not in makers and m not in pooled]
     if unknown:
-        raise ValueError(f"unknown models {unknown}; known: {sorted([*makers, *POOLED])}")
-    names = [m for m in models if m in makers]
+        raise ValueError(f"unknown models {unknown}; known: {sorted([*makers, *pooled])}")
+    names = [m for m in models if m in makers and m not in pooled]
     helpers = [] if "Seasonal Naive" in names else ["Seasonal Naive"]
-    wide, columns = registry.add_forecasts(folds, {m: makers[m] for m in [*names, *helpers]})
-    refits = {m: f for m, f in registry.default_refits(horizon, spec).items() if m in names}
-    wide, refit_columns = registry.add_forecasts(wide, refits, "refit")
-    pooled_names = [m for m in models if m in POOLED]
-    if pooled_names:
+    fits = fit_names([m for m in models if m in pooled], seeds)
+    wide, columns = folds, {}
+    if fits:
         parts = []
         for k in range(n_folds):
-            part = wide.filter(F.col("fold") == k)
-            for i, m in enumerate(pooled_names):
-                part = POOLED[m](part, f"pooled_{i}", horizon)
+            part = folds.filter(F.col("fold") == k)
+            if not part.take(1):
+                continue
+            for i, name in enumerate(fits):
+                model, _, seed = name.partition("#")
+                start = time.perf_counter()
+                part = pooled[model](part, f"pooled_{i}", horizon, **({"seed": int(seed)} if seed else {}))
+                if seconds is not None:
+                    seconds.append((model, k, int(seed) if seed else None, time.perf_counter() - start))
             parts.append(part)
+        if not parts:
+            parts = [folds.limit(0).select("*", *[F.lit(None).cast("array<double>").alias(f"pooled_{i}") for i in range(len(fits))])]
         wide = parts[0]
         for part in parts[1:]:
             wide = wide.unionByName(part)
-        columns.update({m: f"pooled_{i}" for i, m in enumerate(pooled_names)})
+        columns.update({name: f"pooled_{i}" for i, name in enumerate(fits)})
+    wide, made = registry.add_forecasts(wide, {m: makers[m] for m in [*names, *helpers]})
+    columns.update(made)
+    refits = {m: f for m, f in registry.default_refits(horizon, spec).items() if m in names}
+    wide, refit_columns = registry.add_forecasts(wide, refits, "refit")
     # The guard reads every forecast several times, so the fits are materialised first.
     ensure_checkpoint_dir(folds.sparkSession)
     wide = wide.checkpoint()
@@ -71,7 +98,7 @@ def model_rows(
 def run_backtest(
     panel: DataFrame,
     out_dir: str,
-    models: Sequence[str] = ("Naive", "Seasonal Naive", "Holt-Winters", "ARIMA(1,1,1)", "SARIMA", "Ridge"),
+    models: Sequence[str] = BACKTEST_SUITE,
     n_folds: int = 4,
     horizon: int = HORIZON,
     min_train: int = 28,
@@ -79,19 +106,23 @@ def run_backtest(
     specs: DataFrame | None = None,
     n_boot: int = 5000,
     key_pairs: Sequence[tuple[str, str]] = backtest.KEY_PAIRS,
+    seeds: Sequence[int] | None = backtest.SEEDS,
+    pooled: Mapping[str, Callable] = POOLED,
 ) -> dict[str, DataFrame]:
-    """Rolling-origin backtest with summary, paired comparisons and failure table.
+    """Rolling-origin backtest with summary, paired comparisons, failures, rejected series and fit seconds.
+
+    Models that draw at random are fitted once per seed; ``seeds=None`` fits them once.
 
     The forecasts are written once; every report reads that table, so models are
     fitted once and no report depends on executor memory surviving.
     """
     spark: SparkSession = panel.sparkSession
     folds = with_specs(splits.packed_folds(panel, n_folds, horizon, min_train, season), specs)
-    if any(m in POOLED for m in models):
-        # Pooled training reads the folds several times.
-        folds.write.mode("overwrite").parquet(f"{out_dir}/_folds")
-        folds = spark.read.parquet(f"{out_dir}/_folds")
-    model_rows(folds, models, horizon, season, n_folds).write.mode("overwrite").parquet(f"{out_dir}/forecasts")
+    folds.write.mode("overwrite").parquet(f"{out_dir}/_folds")
+    folds = spark.read.parquet(f"{out_dir}/_folds")
+    seconds: list[tuple[str, int, int | None, float]] = []
+    made = model_rows(folds, models, horizon, season, n_folds, seeds, pooled, seconds)
+    made.write.mode("overwrite").parquet(f"{out_dir}/forecasts")
     forecasts = spark.read.parquet(f"{out_dir}/forecasts")
     rows = backtest.forecast_rows(forecasts)
     fold_metrics = backtest.fold_metrics(rows)
@@ -106,7 +137,9 @@ def run_backtest(
         "fold_metrics": fold_metrics,
         "errors": errors,
         "summary": summary,
-        "failures": backtest.failures(forecasts),
+        "failures": backtest.all_failures(folds, forecasts, [m for m in models if "#" not in m], seeds if seeds is not None else (None,)),
+        "rejected": splits.rejected_series(panel, n_folds, horizon, min_train),
+        "fit_seconds": spark.createDataFrame(seconds, "model string, fold int, seed int, seconds double"),
         "horizon_errors": metrics.horizon_errors(rows),
         "counts": backtest.unit_counts(fold_metrics),
     }

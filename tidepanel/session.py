@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", app: str = "tidepanel", memory: str = "8g") -> SparkSession:
@@ -23,8 +24,26 @@ def local_session(cores: str = "*", app: str = "tidepanel", memory: str = "8g")
     )
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or one made here in a local session only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tidepanel-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``; a private one only if unset."""
+    """Let ``checkpoint()`` write to the shared folder."""
+    folder = shared_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidepanel-"))
+        spark.sparkContext.setCheckpointDir(folder)
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """Write a small derived table to the shared folder and read it back: computed once, whatever reads it."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

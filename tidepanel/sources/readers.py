@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepanel.contract import CANONICAL_COLUMNS, PANEL_COLUMNS
 from tidepanel.functions.text import ints_from_text, slug
 
+CORRUPT = "_corrupt_record"
 PANEL_SCHEMA = "series_id string, ts date, y double, peak bigint, gain double, pct_gain double"
 CACHE_SCHEMA = (
     "series_id string, history_dates array<string>, history_values array<double>, "
@@ -18,8 +20,14 @@ CACHE_SCHEMA = (
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Raw CSV with a header; every column stays text, so no extra pass infers types."""
-    return spark.read.option("header", True).option("inferSchema", False).option("mode", "PERMISSIVE").csv(path)
+    """Raw CSV with a header; every column stays text, so no extra pass infers types.
+
+    Lines that do not fit the header are kept whole in ``_corrupt_record``, which the profile counts.
+    """
+    source = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    names = source.option("inferSchema", False).csv(path).columns
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
+    return source.option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
 
 
 def read_panel(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

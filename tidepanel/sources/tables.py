@@ -33,7 +33,7 @@ def period_panel(
     freq: str = "month",
     dimension: DataFrame | None = None,
     link: tuple[str, str] | None = None,
-    scale: int = 2,
+    scale: int = 6,
 ) -> DataFrame:
     """Panel ``series_id, ts, y, peak`` of the period mean and maximum of ``value``.
 
@@ -41,11 +41,15 @@ def period_panel(
     (fact column, dimension key).  The facts are then pre-aggregated per link key
     and period before the join, so a key holding a large share of all rows is
     combined on the map side and reaches the join as at most one row per period.
+    Decimal values keep their own type; others are summed with ``scale`` decimals
+    and 18 digits before the point.
     """
+    own = dict(facts.dtypes)[value]
+    exact = F.col(value) if own.startswith("decimal") else F.col(value).cast(f"decimal({18 + scale},{scale})")
     row = facts.select(
         F.col(link[0] if link else series).alias("_key"),
         period_start(F.col(ts), freq).alias("ts"),
-        F.col(value).cast(f"decimal(18,{scale})").alias("_v"),
+        exact.alias("_v"),
     ).filter(F.col("ts").isNotNull() & F.col("_v").isNotNull())
     part = row.groupBy("_key", "ts").agg(
         F.sum("_v").alias("_s"), F.count("_v").alias("_n"), F.max("_v").alias("_m")
