@@ -11,18 +11,18 @@ from pyspark.sql import functions as F
 NULL_NUMBERS = ("-", "NA", "null", "None", "", "nan")
 NON_PERIOD_PATTERN = r"last\s*30\s*days|all\s*time|total"
 
-# Accepted period formats, tried in this order.
+# Accepted period formats, each with the shape of its texts; no two shapes overlap.
 PERIOD_FORMATS = (
-    "MMMM yyyy",
-    "MMM yyyy",
-    "MMMM d, yyyy",
-    "MMM d, yyyy",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd",
-    "yyyy-MM",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "yyyyMMdd",
+    ("MMMM yyyy", r"^[A-Za-z]{4,} \d{4}$"),
+    ("MMM yyyy", r"^[A-Za-z]{3} \d{4}$"),
+    ("MMMM d, yyyy", r"^[A-Za-z]{4,} \d{1,2}, \d{4}$"),
+    ("MMM d, yyyy", r"^[A-Za-z]{3} \d{1,2}, \d{4}$"),
+    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"),
+    ("yyyy-MM-dd", r"^\d{4}-\d{2}-\d{2}$"),
+    ("yyyy-MM", r"^\d{4}-\d{2}$"),
+    ("yyyy/MM/dd", r"^\d{4}/\d{2}/\d{2}$"),
+    ("MM/dd/yyyy", r"^\d{2}/\d{2}/\d{4}$"),
+    ("yyyyMMdd", r"^\d{8}$"),
 )
 
 
@@ -38,9 +38,14 @@ def number_from_text(text: Column) -> Column:
 
 
 def month_from_text(text: Column) -> Column:
-    """Month start (DATE) from a text in any accepted format, else null."""
+    """Month start (DATE) from a text in any accepted format, else null.
+
+    The shape of the text names its format, so one parser runs per row.
+    """
     clean = F.trim(text)
-    parsed = F.coalesce(*[F.try_to_timestamp(clean, F.lit(f)) for f in PERIOD_FORMATS])
+    parsed = F.lit(None).cast("timestamp")
+    for fmt, shape in reversed(PERIOD_FORMATS):
+        parsed = F.when(clean.rlike(shape), F.try_to_timestamp(clean, F.lit(fmt))).otherwise(parsed)
     return F.trunc(parsed.cast("date"), "MM")
 
 

@@ -34,6 +34,14 @@ def information(sse: Column, n: Column, k: Column) -> dict[str, Column]:
     return {"aic": base + 2 * k, "bic": base + k * F.ln(n.cast("double"))}
 
 
+def _fit_struct(fitted: Column, k: Column) -> Column:
+    """Coefficients, errors, information criteria and fitted values of a least-squares fit in ``_fit``."""
+    info = information(F.col("_fit.sse"), F.col("_fit.n"), k)
+    return F.struct(
+        "_fit.beta", "_fit.sse", "_fit.n", info["aic"].alias("aic"), info["bic"].alias("bic"), fitted.alias("fitted")
+    )
+
+
 # --- autoregression --------------------------------------------------------------------------
 
 def _deterministic(t: Column, trend: str, seasonal: bool, period: int) -> list[Column]:
@@ -63,7 +71,7 @@ def ar(
 ) -> DataFrame:
     """AR forecast of ``train`` as array column ``out``; with ``keep_fit`` also ``<out>_fit``.
 
-    ``<out>_fit`` holds ``beta, sse, n`` and ``fitted`` (null for the first rows).
+    ``<out>_fit`` holds ``beta, sse, n, aic, bic`` and ``fitted`` (null for the first rows).
     """
     used = list(range(1, lags + 1)) if isinstance(lags, int) else sorted(lags)
     if not used or used[0] < 1:
@@ -87,9 +95,7 @@ def ar(
         values = F.concat(
             F.array_repeat(F.lit(None).cast("double"), deep), F.transform(ts, lambda t: dot(beta, row(train, t)))
         )
-        made = made.withColumn(
-            f"{out}_fit", F.struct("_fit.beta", "_fit.sse", "_fit.n", values.alias("fitted"))
-        )
+        made = made.withColumn(f"{out}_fit", _fit_struct(values, F.lit(k)))
     return made.drop("_fit")
 
 
@@ -328,6 +334,6 @@ def ridge(
             F.array_repeat(F.lit(None).cast("double"), F.least(F.lit(warm), n)),
             F.transform(ts, lambda t: dot(beta, features(train, t, F.element_at(dates, t)))),
         )
-        made = made.withColumn(f"{out}_fit", F.struct("_fit.beta", "_fit.sse", "_fit.n", fitted.alias("fitted")))
+        made = made.withColumn(f"{out}_fit", _fit_struct(fitted, F.lit(k)))
     return made.drop("_fit")
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidepanel.contract import HORIZON, SEASON
+from tidepanel.functions.stats import array_mean
 from tidepanel.models import baseline
 from tidepanel.models.linear import ar, ridge, sarima, spec_struct
 from tidepanel.models.smoothing import holt_winters
@@ -80,16 +81,81 @@ def extra_forecasters(horizon: int = HORIZON, season: int = SEASON) -> dict[str,
     }
 
 
-def transformed(frame: DataFrame, out: str, horizon: int = HORIZON, forecaster: Forecaster | None = None) -> DataFrame:
-    """Log (with automatic offset) -> forecast -> exponential, for any forecaster."""
-    low = F.array_min("train")
-    shift = F.when(low <= 0, 1 - low).otherwise(0.0)
+def _log(y: Column) -> Column:
+    low = F.array_min(y)
+    return F.struct(F.when(low <= 0, 1 - low).otherwise(0.0).alias("a"), F.lit(1.0).alias("b"))
+
+
+def _standard(y: Column) -> Column:
+    mean = array_mean(y)
+    spread = F.sqrt(array_mean(F.transform(y, lambda x: (x - mean) * (x - mean))))
+    return F.struct(mean.alias("a"), F.when(spread > 0, spread).otherwise(1.0).alias("b"))
+
+
+def _min_max(y: Column) -> Column:
+    low, width = F.array_min(y), F.array_max(y) - F.array_min(y)
+    return F.struct(low.alias("a"), F.when(width > 0, width).otherwise(1.0).alias("b"))
+
+
+def _robust(y: Column) -> Column:
+    ordered, n = F.array_sort(y), F.size(y)
+
+    def at(q: float) -> Column:
+        place = (n - 1) * q
+        low = F.element_at(ordered, F.floor(place).cast("int") + 1)
+        return low + (F.element_at(ordered, F.ceil(place).cast("int") + 1) - low) * (place - F.floor(place))
+
+    width = at(0.75) - at(0.25)
+    return F.struct(at(0.5).alias("a"), F.when(width > 0, width).otherwise(1.0).alias("b"))
+
+
+# Name -> (parameters of the training values, forward, back); ``a`` and ``b`` are the parameters.
+TRANSFORMS: dict[str, tuple[Callable[[Column], Column], Callable, Callable]] = {
+    "log": (_log, lambda x, p: F.ln(x + p["a"]), lambda z, p: F.exp(z) - p["a"]),
+    "sqrt": (_log, lambda x, p: F.sqrt(x + p["a"]), lambda z, p: z * z - p["a"]),
+    "standard": (_standard, lambda x, p: (x - p["a"]) / p["b"], lambda z, p: z * p["b"] + p["a"]),
+    "minmax": (_min_max, lambda x, p: (x - p["a"]) / p["b"], lambda z, p: z * p["b"] + p["a"]),
+    "robust": (_robust, lambda x, p: (x - p["a"]) / p["b"], lambda z, p: z * p["b"] + p["a"]),
+}
+
+
+def box_cox(power: float) -> tuple:
+    """Box-Cox with a given power and automatic offset, as an entry of ``TRANSFORMS``."""
+    if power == 0:
+        return TRANSFORMS["log"]
+    forward = lambda x, p: (F.pow(x + p["a"], F.lit(power)) - 1) / power
+    return _log, forward, lambda z, p: F.pow(F.greatest(z * power + 1, F.lit(0.0)), F.lit(1 / power)) - p["a"]
+
+
+def differenced(frame: DataFrame, out: str, forecaster: Forecaster, lag: int = 1) -> DataFrame:
+    """Difference -> forecast -> repeated sums from the last ``lag`` values, for any forecaster."""
+    train = F.col("train")
+    m = F.greatest(F.size(train) - lag, F.lit(0))
+    steps = F.zip_with(F.slice(train, lag + 1, m), F.slice(train, F.lit(1), m), lambda a, b: a - b)
+    kept = frame.withColumn("_raw", train).withColumn("train", steps)
+    dated = "train_dates" in frame.columns
+    if dated:
+        kept = kept.withColumn("_dates", F.col("train_dates")).withColumn("train_dates", F.slice("train_dates", lag + 1, m))
+    made = forecaster(kept, out)
+    grown = F.aggregate(out, F.slice("_raw", -lag, lag), lambda h, d: F.array_append(h, d + F.element_at(h, -lag)))
+    made = made.withColumn(out, F.when(F.size("_raw") > lag, F.slice(grown, lag + 1, F.size(out))))
+    made = made.withColumn("train", F.col("_raw")).drop("_raw")
+    return made.withColumn("train_dates", F.col("_dates")).drop("_dates") if dated else made
+
+
+def transformed(
+    frame: DataFrame, out: str, horizon: int = HORIZON, forecaster: Forecaster | None = None, by: str | tuple = "log"
+) -> DataFrame:
+    """Transform -> forecast -> transform back, for any forecaster.
+
+    ``by`` names an entry of ``TRANSFORMS`` or is one; its parameters come from each row's training values.
+    """
+    params, forward, back = TRANSFORMS[by] if isinstance(by, str) else by
     inner = forecaster or (lambda f, o: sarima(f, o, spec_struct(SARIMA_ORDER, SARIMA_SEASONAL), horizon))
-    kept = frame.withColumn("_raw", F.col("train")).withColumn("_shift", shift)
-    logged = kept.withColumn("train", F.transform("train", lambda x: F.ln(x + F.col("_shift"))))
-    made = inner(logged, out)
-    made = made.withColumn(out, F.transform(out, lambda z: F.exp(z) - F.col("_shift")))
-    return made.withColumn("train", F.col("_raw")).drop("_raw", "_shift")
+    kept = frame.withColumn("_raw", F.col("train")).withColumn("_params", params(F.col("train")))
+    made = inner(kept.withColumn("train", F.transform("train", lambda x: forward(x, F.col("_params")))), out)
+    made = made.withColumn(out, F.transform(out, lambda z: back(z, F.col("_params"))))
+    return made.withColumn("train", F.col("_raw")).drop("_raw", "_params")
 
 
 _REGISTERED: dict[str, Forecaster] = {}

@@ -37,7 +37,7 @@ def order_grid(
 
     ``frame`` is packed with the validation rows in ``test``.  The grid is a
     literal array exploded in place, so series times orders run in parallel
-    without a join.  Specifications that could not be fitted keep null scores and
+    without a join.  Series without validation rows are ranked by AIC.  Specifications that could not be fitted keep null scores and
     rank last.
     """
     if criterion not in CRITERIA:
@@ -50,13 +50,14 @@ def order_grid(
         "series_id", "fold", "spec_id", "spec", F.size("train").alias("train_obs"),
         F.col("yhat_fit.aic").alias("aic"), F.col("yhat_fit.bic").alias("bic"),
         *[c.alias(f"val_{name}") for name, c in scores.items()],
-        F.filter("yhat_fit.resid", lambda x: x.isNotNull()).alias("_e"),
+        F.filter("yhat_fit.resid", lambda x: x.isNotNull()).alias("_e"), (F.size("test") > 0).alias("_has_test"),
     )
     tested = with_ljung_box(with_centred(scored, "_e"), 12)
     lb_p = F.when(F.size("_e") >= 10, F.col("lb_p")[0])
     out = tested.withColumn("lb_p", lb_p).withColumn("is_white_noise", F.coalesce(F.col("lb_p") >= alpha, F.lit(False)))
     out = out.drop("_mean", "_c", "_g0", "lb_lags", "lb_stat")
-    return rank_candidates(out, criterion, "spec_id").withColumnRenamed("_e", "resid")
+    out = out.withColumn("_by", F.when(F.col("_has_test"), F.col(criterion)).otherwise(F.col("aic")))
+    return rank_candidates(out, "_by", "spec_id").withColumnRenamed("_e", "resid").drop("_by", "_has_test")
 
 
 def rank_candidates(scored: DataFrame, criterion: str, position: str) -> DataFrame:

@@ -82,13 +82,21 @@ def direct(
     horizon: int = HORIZON,
     past: int = 12,
     estimator=None,
+    trained: int | None = None,
 ) -> DataFrame:
     """All steps at once from the last ``past`` values: one pooled regression per step.
 
+    ``trained`` is the number of steps the regressions cover (default: the horizon, and
+    at most that); a longer horizon feeds the forecasts back as the next past values.
+
     Samples are windows of the training rows, min-max scaled per series with
     training limits.  Without an ``estimator`` all steps are solved by least squares
     from one pass; any MLlib regressor can be given instead (one fit per step).
     """
+    if trained is not None and trained < horizon:
+        if estimator is not None:
+            raise ValueError("feeding forecasts back needs the least-squares form")
+        return _refed(frame, out, horizon, past, trained)
     n = F.size("train")
     lo, hi = F.array_min("train"), F.array_max("train")
     base = frame.withColumn("_lo", lo).withColumn("_range", F.when(hi > lo, hi - lo).otherwise(1.0))
@@ -120,6 +128,29 @@ def direct(
     return state.withColumn(out, F.when(n >= past, steps)).select(*frame.columns, out)
 
 
+def _refed(frame: DataFrame, out: str, horizon: int, past: int, trained: int) -> DataFrame:
+    """Direct blocks of ``trained`` steps; each block's window ends with the blocks before it."""
+    n = F.size("train")
+    lo, hi = F.array_min("train"), F.array_max("train")
+    base = frame.withColumn("_lo", lo).withColumn("_range", F.when(hi > lo, hi - lo).otherwise(1.0))
+    base = base.withColumn("_z", F.transform("train", lambda x: (x - F.col("_lo")) / F.col("_range")))
+    windows = base.filter(n >= past + trained).select("_z", F.explode(F.sequence(F.lit(past), n - trained)).alias("t"))
+    samples = windows.select(
+        F.slice("_z", F.col("t") - past + 1, F.lit(past)).alias("x"), F.slice("_z", F.col("t") + 1, F.lit(trained)).alias("ahead")
+    )
+    weights = F.array(*[F.array(*map(F.lit, w)) for w in _multi_output_weights(samples, past, trained)])
+    blocks = -(-horizon // trained)
+
+    def grow(seen: Column, _: Column) -> Column:
+        x = F.concat(F.array(F.lit(1.0)), F.slice(seen, -past, past))
+        dot = lambda w: F.aggregate(F.zip_with(w, x, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+        return F.concat(seen, F.transform(weights, dot))
+
+    grown = F.aggregate(F.sequence(F.lit(1), F.lit(blocks)), F.slice("_z", -past, past), grow)
+    steps = F.transform(F.slice(grown, past + 1, horizon), lambda z: z * F.col("_range") + F.col("_lo"))
+    return base.withColumn(out, F.when(n >= past, steps)).select(*frame.columns, out)
+
+
 def _multi_output_weights(samples: DataFrame, past: int, horizon: int, alpha: float = 1e-3) -> list[list[float]]:
     """Least-squares weights of every step from one pass over the samples.
 

@@ -104,27 +104,24 @@ def clean(raw: DataFrame) -> DataFrame:
 def profile(raw: DataFrame) -> DataFrame:
     """One row per column: type, rows, nulls, detected canonical name, three samples.
 
-    One aggregation for all columns; samples are the three smallest distinct
+    Counts are one aggregation for all columns; samples are the three smallest distinct
     values among the first eight columns.
     """
     found = {source: canonical for canonical, source in resolve_headers(raw.columns).items()}
-    cells = F.array(
-        *[
-            F.struct(F.lit(i).alias("position"), F.col(f"`{c}`").cast("string").alias("value"))
-            for i, c in enumerate(raw.columns)
-        ]
+    counted = raw.agg(
+        F.count(F.lit(1)).alias("n_rows"), *[F.count(F.when(F.col(f"`{c}`").isNull(), 1)).alias(f"n{i}") for i, c in enumerate(raw.columns)]
     )
-    long = raw.select(F.explode(cells).alias("c")).select("c.position", "c.value")
-    counts = long.groupBy("position", "value").agg(F.count(F.lit(1)).alias("n"))
-    per_column = counts.groupBy("position").agg(
-        F.sum("n").alias("n_rows"),
-        F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("n_null"),
+    pairs = F.array(*[F.struct(F.lit(i).alias("position"), F.col(f"n{i}").alias("n_null")) for i in range(len(raw.columns))])
+    per_column = counted.select("n_rows", F.explode(pairs).alias("c")).select("c.position", "n_rows", "c.n_null")
+    # Only the sampled columns are laid out as cells; equal values combine on the map side.
+    cells = F.array(
+        *[F.struct(F.lit(i).alias("position"), F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(raw.columns[:8])]
     )
+    long = raw.select(F.explode(cells).alias("c")).select("c.position", "c.value").filter(F.col("value").isNotNull()).distinct()
     # row_number <= 3 is a group limit that Spark also applies before the shuffle.
     first = Window.partitionBy("position").orderBy("value")
     samples = (
-        counts.filter(F.col("value").isNotNull() & (F.col("position") < 8))
-        .withColumn("_rn", F.row_number().over(first))
+        long.withColumn("_rn", F.row_number().over(first))
         .filter("_rn <= 3")
         .groupBy("position")
         .agg(F.array_join(F.sort_array(F.collect_list("value")), " | ").alias("samples"))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidepanel.contract import HORIZON
 from tidepanel.models import selection
+from tidepanel.models.linear import spec_from_arrays
 from tidepanel.operators import diagnostics, explore, reports, splits
 from tidepanel.plans.ingest import run_ingest
 from tidepanel.plans.rolling import ML_SUITE, STATISTICAL_SUITE, run_backtest, run_holdout, validation_benchmark
-from tidepanel.sources import sinks
+from tidepanel.sources import readers, sinks
 
 
 def run_order_search(panel: DataFrame, out_dir: str, criterion: str = "val_mae") -> dict[str, DataFrame]:
@@ -29,6 +31,12 @@ def run_order_search(panel: DataFrame, out_dir: str, criterion: str = "val_mae")
     return {"specs": selection.best_specs(grid), **tables}
 
 
+def stored_specs(spark: SparkSession, path: str) -> DataFrame:
+    """``series_id, spec`` from an order table written as a report."""
+    orders = readers.read_orders(spark, path)
+    return orders.select("series_id", spec_from_arrays(F.col("order"), F.col("seasonal_order")).alias("spec"))
+
+
 def exploratory_tables(panel: DataFrame) -> dict[str, DataFrame]:
     return {
         "overview": explore.series_overview(panel),
@@ -44,14 +52,17 @@ def exploratory_tables(panel: DataFrame) -> dict[str, DataFrame]:
 
 def run_all(
     spark: SparkSession, raw: DataFrame, out_dir: str, validation_suites: tuple = (STATISTICAL_SUITE, ML_SUITE),
-    holdout_models: tuple | None = None, n_boot: int = 5000,
+    holdout_models: tuple | None = None, n_boot: int = 5000, orders_path: str | None = None, **backtest_options,
 ) -> dict[str, dict[str, DataFrame]]:
-    """Ingest, exploratory tables, order search, validation suites, holdout and backtest."""
+    """Ingest, exploratory tables, order search, validation suites, holdout and backtest.
+
+    ``orders_path`` names an order table of an earlier run; its orders are used and the search is left out.
+    """
     ingest = run_ingest(spark, "", f"{out_dir}/ingest", raw=raw)
     panel = ingest["panel"]
     eda = exploratory_tables(panel)
     sinks.write_reports(eda, f"{out_dir}/eda")
-    search = run_order_search(panel, f"{out_dir}/orders")
+    search = {"specs": stored_specs(spark, orders_path)} if orders_path else run_order_search(panel, f"{out_dir}/orders")
     specs = search["specs"]
     validation = {}
     for i, suite in enumerate(validation_suites):
@@ -65,5 +76,5 @@ def run_all(
         for other in seen[1:]:
             val = val.unionByName(other.join(val.select("series_id", "model"), ["series_id", "model"], "left_anti"))
         validation["drift"] = reports.drift(val, holdout["benchmarks"])
-    tested = run_backtest(panel, f"{out_dir}/backtest", specs=specs, n_boot=n_boot)
+    tested = run_backtest(panel, f"{out_dir}/backtest", specs=specs, n_boot=n_boot, **backtest_options)
     return {"ingest": ingest, "eda": eda, "orders": search, "validation": validation, "holdout": holdout, "backtest": tested}
