@@ -53,9 +53,20 @@ def acf(spark, d):
     return rounded(diagnostics.acf(diagnostics.pack_values(nation(spark, d))), 6)
 
 
-@query("pacf")
+PACF = """pc AS (SELECT series_id, any_value(n) AS n, list(r ORDER BY lag) AS r FROM rk WHERE lag <= least(24, n // 2 - 1) GROUP BY 1),
+pr AS (SELECT series_id, n, r, 1 AS k, []::double[] AS phi, 1.0::double AS v, r[2] AS a FROM pc WHERE len(r) > 1
+    UNION ALL SELECT series_id, n, r, k + 1, f, w, (r[k + 2] - list_sum([f[j] * r[k + 2 - j] for j in range(1, k + 1)])) / w
+    FROM (SELECT *, list_append([phi[j] - a * phi[k - j] for j in range(1, k)], a) AS f, v * (1 - a * a) AS w FROM pr WHERE k + 1 < len(r)))"""
+
+
+@query(
+    "pacf",
+    W(NAT, POS, LAGS, PACF).replace("WITH", "WITH RECURSIVE", 1)
+    + f"""SELECT series_id, cast(k as integer) AS lag, {R('a', 6)} AS pacf, {R('a - 1.959963984540054 / sqrt(n)', 6)} AS low, {R('a + 1.959963984540054 / sqrt(n)', 6)} AS high FROM pr
+    UNION ALL SELECT series_id, 0, 1.0, 1.0, 1.0 FROM pc WHERE len(r) > 1""",
+)
 def pacf(spark, d):
-    return diagnostics.pacf(diagnostics.pack_values(nation(spark, d)))
+    return rounded(diagnostics.pacf(diagnostics.pack_values(nation(spark, d))), 6)
 
 
 DEC = """d0 AS (SELECT *, CASE WHEN count(*) OVER f = 13 THEN (sum(y) OVER f - 0.5 * (lag(y, 6) OVER w + lead(y, 6) OVER w)) / 12 END AS trend
@@ -184,9 +195,22 @@ def kpss(spark, d):
     return rounded(diagnostics.kpss(diagnostics.pack_values(nation(spark, d))), 6)
 
 
-@query("kpss_trend")
+# The same statistic of the residuals of a line, with its own critical values.
+DETRENDED = """m0 AS (SELECT series_id, pos, n, y - avg(y) OVER (PARTITION BY series_id) AS c FROM q),
+c AS (SELECT series_id, pos, n, c - sum(c * (pos - (n + 1) / 2.0)) OVER (PARTITION BY series_id) / (n * (n * n - 1.0) / 12) * (pos - (n + 1) / 2.0) AS c FROM m0),
+g AS (SELECT a.series_id, any_value(a.n) AS n, a.pos - b.pos AS lag, sum(a.c * b.c) AS g FROM c a
+    JOIN c b ON a.series_id = b.series_id AND a.pos - b.pos BETWEEN 0 AND 40 GROUP BY 1, 3)"""
+KPSS_TREND = KPSS[: KPSS.index("k5 AS")] + """k5 AS (SELECT *, CASE WHEN x <= 0.119 THEN 0.1 WHEN x <= 0.146 THEN 0.1 + (x - 0.119) * (-0.05 / 0.027) WHEN x <= 0.176 THEN 0.05 + (x - 0.146) * (-0.025 / 0.030)
+    WHEN x <= 0.216 THEN 0.025 + (x - 0.176) * (-0.015 / 0.040) ELSE 0.01 END AS p FROM k4)"""
+
+
+@query(
+    "kpss_trend",
+    W(NAT, POS, DETRENDED, KPSS_TREND)
+    + f"SELECT series_id, cast(n as integer) AS n, lags_used, {R('x', 6)} AS statistic, {R('p', 6)} AS p_value, p >= 0.05 AS is_stationary FROM k5",
+)
 def kpss_trend(spark, d):
-    return diagnostics.kpss(diagnostics.pack_values(nation(spark, d)), "ct")
+    return rounded(diagnostics.kpss(diagnostics.pack_values(nation(spark, d)), "ct"), 6)
 
 
 @query("adf")
@@ -223,9 +247,16 @@ def residual_qq(spark, d):
     return diagnostics.residual_panel(naive_residuals(spark, d))["qq"]
 
 
-@query("residual_acf")
+@query(
+    "residual_acf",
+    f"""WITH {fold_ctes(NAT, 1)}, {RES}, c AS (SELECT series_id, pos, e - avg(e) OVER (PARTITION BY series_id) AS c, count(*) OVER (PARTITION BY series_id) AS n FROM rs),
+    g AS (SELECT a.series_id, any_value(a.n) AS n, a.pos - b.pos AS lag, sum(a.c * b.c) AS g FROM c a
+        JOIN c b ON a.series_id = b.series_id AND a.pos - b.pos BETWEEN 0 AND 24 GROUP BY 1, 3),
+    r AS (SELECT *, g / first_value(g) OVER (PARTITION BY series_id ORDER BY lag) AS r FROM g)
+    SELECT series_id, cast(lag as integer) AS lag, {R('r', 6)} AS acf, {R('-1.96 / sqrt(n)', 6)} AS low, {R('1.96 / sqrt(n)', 6)} AS high FROM r WHERE lag <= least(24, n // 2 - 1)""",
+)
 def residual_acf(spark, d):
-    return diagnostics.residual_panel(naive_residuals(spark, d))["acf"]
+    return rounded(diagnostics.residual_panel(naive_residuals(spark, d))["acf"], 6)
 
 
 # --- baselines -------------------------------------------------------------------------------
@@ -306,9 +337,7 @@ def _hw_recursion(name: str, grid: str) -> str:
     r.sse + (i.ys[r.t + 1] - {fit}) * (i.ys[r.t + 1] - {fit}) FROM {name} r JOIN ini i ON i.series_id = r.series_id WHERE r.t < i.n)"""
 
 
-@query(
-    "holt_winters_grid",
-    f"""WITH RECURSIVE {ONE}, arr AS (SELECT series_id, list(y ORDER BY pos) AS ys, count(*) AS n FROM fr WHERE pos <= cut GROUP BY 1),
+HOLT_WINTERS = f"""WITH RECURSIVE {ONE}, arr AS (SELECT series_id, list(y ORDER BY pos) AS ys, count(*) AS n FROM fr WHERE pos <= cut GROUP BY 1),
     i0 AS (SELECT *, list_sum(ys[1:12]) / 12 AS l0, (list_sum(ys[13:24]) - list_sum(ys[1:12])) / 144 AS b0 FROM arr),
     ini AS (SELECT *, [ys[k] - l0 for k in range(1, 13)] AS s0 FROM i0),
     ax AS (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9])::double AS v), rf AS (SELECT unnest([-0.08, -0.04, 0.0, 0.04, 0.08])::double AS v),
@@ -316,7 +345,12 @@ def _hw_recursion(name: str, grid: str) -> str:
     b1 AS (SELECT r1.series_id, al, be, ga FROM r1 JOIN ini USING (series_id) WHERE t = n QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY sse, al, be, ga) = 1),
     g2 AS (SELECT series_id, al + a.v AS al, be + b.v AS be, ga + c.v AS ga FROM b1, rf a, rf b, rf c), {_hw_recursion('r2', 'g2')},
     b2 AS (SELECT r2.* FROM r2 JOIN ini USING (series_id) WHERE t = n QUALIFY row_number() OVER (PARTITION BY r2.series_id ORDER BY sse, al, be, ga) = 1)
-    SELECT series_id, {R('al', 2)} AS alpha, {R('be', 2)} AS beta, {R('ga', 2)} AS gamma, {R('sse / 1e6', 2)} AS sse_e6, h::integer AS h,
+    """
+
+
+@query(
+    "holt_winters_grid",
+    HOLT_WINTERS + f"""SELECT series_id, {R('al', 2)} AS alpha, {R('be', 2)} AS beta, {R('ga', 2)} AS gamma, {R('sse / 1e6', 2)} AS sse_e6, h::integer AS h,
     {R('l + h * b + s[(h - 1) % 12 + 1]', 2)} AS yhat FROM b2, range(1, 13) r(h)""",
 )
 def holt_winters_grid(spark, d):
@@ -333,12 +367,16 @@ def holt_winters_variants(spark, d):
     forms = {"mul_mul": ("mul", "mul", False), "add_mul": ("add", "mul", False), "damped": ("add", "add", True), "holt": ("add", None, False), "simple": (None, None, False)}
     for name, (t, s, damped) in forms.items():
         folds = folds.withColumn(name, holt_winters(F.col("train"), H, t, s, damped)["yhat"])
-    return folds.select("series_id", *[F.element_at(n, 12).alias(n) for n in forms])
+    rows = folds.select("series_id", F.posexplode(F.arrays_zip(*forms)).alias("i", "z"))
+    return rows.select("series_id", (F.col("i") + 1).alias("h"), *[F.col(f"z.{n}").alias(n) for n in forms])
 
 
-@query("holt_winters_fallback")
+@query(
+    "holt_winters_fallback",
+    HOLT_WINTERS + f"SELECT te.series_id, te.h::integer AS h, te.ts, {R('l + te.h * b + s[(te.h - 1) % 12 + 1]', 2)} AS yhat FROM b2 JOIN te USING (series_id)",
+)
 def holt_winters_fallback(spark, d):
-    return long(registry.holt_winters_with_fallback(one_fold(spark, d), "yhat"))
+    return rounded(long(registry.holt_winters_with_fallback(one_fold(spark, d), "yhat")), 2)
 
 
 # --- ARIMA family ------------------------------------------------------------------------------
@@ -401,7 +439,12 @@ def ridge_tuning(spark, d):
 
 @query("forest_forecast")
 def forest_forecast(spark, d):
-    return long(trees.pooled(one_fold(spark, d, tables.brand_ship_month), "yhat", trees.random_forest(50, 6)))
+    return long(trees.pooled(one_fold(spark, d, tables.brand_ship_month), "yhat", trees.random_forest(100, 6)))
+
+
+@query("forest_tuning")
+def forest_tuning(spark, d):
+    return selection.tune_forest(one_fold(spark, d, tables.orders_nation_month, hold_out=H))
 
 
 @query("boosted_forecast")
@@ -439,3 +482,31 @@ def guarded_backtest_metrics(spark, d):
     folds = splits.packed_folds(tables.orders_priority_month(spark, d), n_folds=2)
     models = ("Naive", "Seasonal Naive", "Holt-Winters", "ARIMA(1,1,1)", "SARIMA", "Ridge")
     return backtest.fold_metrics(backtest.forecast_rows(model_rows(folds, models)))
+
+
+def _seeded(f, out, h, seed=0):
+    """A pooled stand-in that costs nothing: seasonal naive, moved by the seed in per cent."""
+    return f.withColumn(out, F.transform(baseline.seasonal_naive(F.col("train"), h), lambda x: x * (1 + F.lit(float(seed)) / 100)))
+
+
+@query(
+    "seeded_backtest_counts",
+    f"""WITH {fold_ctes(NAT, 4)}, u AS (SELECT DISTINCT series_id, fold FROM te), m AS (SELECT unnest(['Naive', 'Direct Linear', 'XGBoost', 'XGBoost', 'XGBoost']) AS model,
+        unnest([NULL, NULL, 42, 0, 1]) AS seed) SELECT model, cast(fold as integer) AS fold, cast(seed as integer) AS seed, count(*) AS fits FROM u, m GROUP BY ALL""",
+)
+def seeded_backtest_counts(spark, d):
+    """Fits of a backtest: one per fold for deterministic models, one per seed and fold for the others."""
+    folds = splits.packed_folds(nation(spark, d))
+    rows = model_rows(folds, ("Naive", "Direct Linear", "XGBoost"), n_folds=4, seeds=(42, 0, 1), pooled={"XGBoost": _seeded, "Direct Linear": _seeded})
+    return rows.groupBy("model", "fold", "seed").agg(F.count(F.lit(1)).alias("fits"))
+
+
+@query("transformed_forecasts")
+def transformed_forecasts(spark, d):
+    """A transform of every kind around one forecaster."""
+    made = one_fold(spark, d, tables.orders_nation_month)
+    ridge_of = registry.default_forecasters()["Ridge"]
+    for kind in registry.TRANSFORMS:
+        made = registry.transformed(made, kind, H, ridge_of, kind)
+    rows = made.select("series_id", F.posexplode(F.arrays_zip(*registry.TRANSFORMS)).alias("i", "z"))
+    return rows.select("series_id", (F.col("i") + 1).alias("h"), *[F.col(f"z.{k}").alias(k) for k in registry.TRANSFORMS])
