@@ -33,6 +33,23 @@ def long(frame, column="yhat"):
     return rows.select("series_id", (F.col("i") + 1).alias("h"), "z.ts", "z.yhat")
 
 
+def solve_sql(source: str, name: str, penalty: str = "0.0") -> str:
+    """Least squares in SQL: ``source`` has ``gid, x, y``; ``name`` gets ``gid, k, n, beta, sse, inv2``.
+
+    ``penalty`` is added to the diagonal but for the first entry.
+
+    Normal equations with the right side and the second unit vector as last columns, eliminated one column a step.
+    """
+    return f"""{name}_r AS (SELECT gid, list(x) AS xs, list(y) AS ys, sum(y * y) AS yy, count(*) AS n, len(any_value(x)) AS k FROM {source} GROUP BY gid),
+{name}_m AS (SELECT gid, yy, n, k, [[list_dot_product([r[i] for r in xs]::double[], [r[j] for r in xs]::double[]) + CASE WHEN i = j AND i > 1 THEN {penalty} ELSE 0.0 END for j in range(1, k + 1)] for i in range(1, k + 1)] AS a,
+    [list_dot_product([r[i] for r in xs]::double[], ys::double[]) for i in range(1, k + 1)] AS b FROM {name}_r),
+{name}_e AS (SELECT gid, yy, n, k, b, 1 AS c, [list_concat(a[i], [b[i], CASE WHEN i = 2 THEN 1.0 ELSE 0.0 END]) for i in range(1, k + 1)] AS m FROM {name}_m
+    UNION ALL SELECT gid, yy, n, k, b, c + 1, [[m[i][j] - CASE WHEN i = c THEN 0.0 ELSE m[i][c] / m[c][c] END * m[c][j] for j in range(1, k + 3)] for i in range(1, k + 1)]
+    FROM {name}_e WHERE c <= k),
+{name} AS (SELECT gid, k, n, [m[i][k + 1] / m[i][i] for i in range(1, k + 1)] AS beta, yy - list_sum([b[i] * m[i][k + 1] / m[i][i] for i in range(1, k + 1)]) AS sse,
+    m[2][k + 2] / m[2][2] AS inv2 FROM {name}_e WHERE c = k + 1)"""
+
+
 # --- diagnostics -----------------------------------------------------------------------------
 
 LAGS = """c AS (SELECT series_id, pos, n, y - avg(y) OVER (PARTITION BY series_id) AS c FROM q),
@@ -213,9 +230,29 @@ def kpss_trend(spark, d):
     return rounded(diagnostics.kpss(diagnostics.pack_values(nation(spark, d)), "ct"), 6)
 
 
-@query("adf")
+# Values in units of their mean size and centred, which leaves the statistic as it is.
+ADF = f"""v AS (SELECT series_id, n, list((y - m) / s ORDER BY pos) AS y FROM (SELECT *, avg(y) OVER w AS m, avg(abs(y)) OVER w AS s FROM q WINDOW w AS (PARTITION BY series_id))
+    WHERE n >= 15 GROUP BY 1, 2),
+t0 AS (SELECT *, cast(least(ceil(12.0 * pow(n / 100.0, 0.25)), floor(n / 2) - 2) as integer) AS top FROM v),
+z1 AS (SELECT {{'s': series_id, 'p': p}} AS gid, list_concat([1.0, y[t - 1]], [y[t - j] - y[t - j - 1] for j in range(1, p + 1)]) AS x, y[t] - y[t - 1] AS y
+    FROM (SELECT *, unnest(range(top + 2, n + 1)) AS t FROM (SELECT *, unnest(range(0, top + 1)) AS p FROM t0))),
+{solve_sql('z1', 's1')},
+bp AS (SELECT gid.s AS series_id, gid.p AS p FROM s1 QUALIFY row_number() OVER (PARTITION BY gid.s ORDER BY n * ln(sse / n) + 2 * (gid.p + 2), gid.p) = 1),
+z2 AS (SELECT {{'s': series_id, 'p': p}} AS gid, list_concat([1.0, y[t - 1]], [y[t - j] - y[t - j - 1] for j in range(1, p + 1)]) AS x, y[t] - y[t - 1] AS y
+    FROM (SELECT v.*, bp.p, unnest(range(bp.p + 2, n + 1)) AS t FROM v JOIN bp USING (series_id))),
+{solve_sql('z2', 's2')},
+ad AS (SELECT gid.s AS series_id, gid.p AS lags_used, n, beta[2] / sqrt(sse / (n - k) * inv2) AS tau FROM s2)"""
+
+
+@query(
+    "adf",
+    W(NAT, POS, ADF).replace("WITH", "WITH RECURSIVE", 1)
+    + f"""SELECT series_id, cast(lags_used as integer) AS lags_used, cast(n as integer) AS n_obs, {R('tau', 4)} AS statistic,
+    {R('-2.86154 - 2.8903 / n - 4.234 / (n * n) - 40.04 / (n * n * n)', 6)} AS critical_5 FROM ad""",
+)
 def adf(spark, d):
-    return diagnostics.adf(diagnostics.pack_values(nation(spark, d)))
+    out = diagnostics.adf(diagnostics.pack_values(nation(spark, d)))
+    return rounded(out.select("series_id", "lags_used", "n_obs", "statistic", F.col("crit_5").alias("critical_5")), 4, critical_5=6)
 
 
 @query("stationarity_table")
@@ -323,9 +360,23 @@ def ar1_forecast(spark, d):
     return rounded(long(ar(one_fold(spark, d), "yhat", H, lags=1)), 2)
 
 
-@query("ar_seasonal_forecast")
+AR_SEASONAL = f"""sz AS (SELECT series_id, cut, avg(abs(y)) AS s, list(y ORDER BY pos) AS raw FROM fr WHERE pos <= cut GROUP BY 1, 2),
+yy AS (SELECT series_id, cut AS n, s, [v / s for v in raw] AS y FROM sz),
+az AS (SELECT series_id AS gid, list_concat([1.0, t / 10.0], [CASE WHEN (t - 1) % 12 = j THEN 1.0 ELSE 0.0 END for j in range(1, 12)], [y[t - 1], y[t - 2], y[t - 12]]) AS x, y[t] AS y
+    FROM (SELECT *, unnest(range(13, n + 1)) AS t FROM yy)),
+{{solve}},
+af AS (SELECT series_id, s, yy.n, 0 AS h, y, beta FROM yy JOIN sa ON gid = series_id
+    UNION ALL SELECT series_id, s, n, h + 1, list_append(y, list_dot_product(beta::double[], list_concat([1.0, (n + h + 1) / 10.0],
+        [CASE WHEN (n + h) % 12 = j THEN 1.0 ELSE 0.0 END for j in range(1, 12)], [y[n + h], y[n + h - 1], y[n + h - 11]])::double[])), beta FROM af WHERE h < 12)"""
+
+
+@query(
+    "ar_seasonal_forecast",
+    f"WITH RECURSIVE {ONE}, " + AR_SEASONAL.replace("{solve}", solve_sql("az", "sa"))
+    + f" SELECT te.series_id, te.h::integer AS h, te.ts, {R('af.y[af.n + te.h] * s', 1)} AS yhat FROM af JOIN te USING (series_id) WHERE af.h = 12",
+)
 def ar_seasonal_forecast(spark, d):
-    return long(ar(one_fold(spark, d), "yhat", H, lags=[1, 2, 12], trend="ct", seasonal=True))
+    return rounded(long(ar(one_fold(spark, d), "yhat", H, lags=[1, 2, 12], trend="ct", seasonal=True)), 1)
 
 
 def _hw_recursion(name: str, grid: str) -> str:
@@ -381,14 +432,41 @@ def holt_winters_fallback(spark, d):
 
 # --- ARIMA family ------------------------------------------------------------------------------
 
-@query("arima_forecast")
+def sarima_sql(ar_lags: tuple, ma_lags: tuple, seasonal: bool, log: bool = False) -> str:
+    """Both least-squares stages, innovations and forecasts of a once differenced model without constant."""
+    value = "ln(y)" if log else "y"
+    first = "[u[i] - u[i - 12] for i in range(13, n + 1)]" if seasonal else "u"
+    undo = "u[len(u)] + u[len(u) - 11] - u[len(u) - 12]" if seasonal else "u[len(u)]"
+    row = lambda lags, v: "[" + ", ".join(f"CASE WHEN t > {k} THEN {v}[t - {k}] ELSE 0.0 END" for k in lags) + "]"
+    x = f"list_concat({row(ar_lags, 'w')}, {row(ma_lags, 'e')})::double[]"
+    top = max(ar_lags)
+    back = f"exp(u[n + te.h] * s)" if log else "u[n + te.h] * s"
+    return f"""WITH RECURSIVE {ONE}, sz AS (SELECT series_id, cut AS n, avg(abs({value})) AS s, list({value} ORDER BY pos) AS raw FROM fr WHERE pos <= cut GROUP BY 1, 2),
+uu AS (SELECT series_id, n, s, [v / s for v in raw] AS u FROM sz),
+w0 AS (SELECT *, {first} AS d FROM uu),
+ww AS (SELECT series_id, n, s, u, [d[i] - d[i - 1] for i in range(2, len(d) + 1)] AS w, len(d) - 1 AS m, cast(greatest(1, least(12, floor((len(d) - 1) / 3))) as bigint) AS lo FROM w0),
+p1 AS (SELECT series_id AS gid, [w[t - k] for k in range(1, lo + 1)] AS x, w[t] AS y FROM (SELECT *, unnest(range(lo + 1, m + 1)) AS t FROM ww)),
+{solve_sql('p1', 'f1')},
+ee AS (SELECT ww.*, beta, [CASE WHEN t <= lo THEN 0.0 ELSE w[t] - list_sum([beta[k] * w[t - k] for k in range(1, lo + 1)]) END for t in range(1, m + 1)] AS e, greatest({top}, lo) AS cutoff
+    FROM ww JOIN f1 ON gid = series_id),
+p2 AS (SELECT series_id AS gid, {x} AS x, w[t] AS y FROM (SELECT *, unnest(range(cutoff + 1, m + 1)) AS t FROM ee)),
+{solve_sql('p2', 'f2')},
+rs AS (SELECT ee.series_id, ee.n, s, u, w, m, cutoff, f2.beta::double[] AS beta, 1 AS t, []::double[] AS e FROM ee JOIN f2 ON gid = series_id
+    UNION ALL SELECT series_id, n, s, u, w, m, cutoff, beta, t + 1, list_append(e, CASE WHEN t <= cutoff THEN 0.0 ELSE w[t] - list_dot_product(beta, {x}) END) FROM rs WHERE t <= m),
+fo AS (SELECT series_id, n, s, u, w, beta, list_concat(e, [0.0 for i in range(12)]) AS e, m + 1 AS t, 0 AS h FROM rs WHERE t = m + 1
+    UNION ALL SELECT series_id, n, s, list_append(u, {undo} + f), list_append(w, f), beta, e, t + 1, h + 1
+    FROM (SELECT *, list_dot_product(beta, {x}) AS f FROM fo WHERE h < 12))
+SELECT te.series_id, te.h::integer AS h, te.ts, {R(back, 1)} AS yhat FROM fo JOIN te USING (series_id) WHERE fo.h = 12"""
+
+
+@query("arima_forecast", sarima_sql((1,), (1,), False))
 def arima_forecast(spark, d):
-    return long(sarima(one_fold(spark, d), "yhat", spec_struct((1, 1, 1))))
+    return rounded(long(sarima(one_fold(spark, d), "yhat", spec_struct((1, 1, 1)))), 1)
 
 
-@query("sarima_forecast")
+@query("sarima_forecast", sarima_sql((1, 12), (1,), True))
 def sarima_forecast(spark, d):
-    return long(sarima(one_fold(spark, d), "yhat", spec_struct((1, 1, 1), (1, 1, 0, 12))))
+    return rounded(long(sarima(one_fold(spark, d), "yhat", spec_struct((1, 1, 1), (1, 1, 0, 12)))), 1)
 
 
 @query("sarima_constrained")
@@ -401,9 +479,9 @@ def sarima_intervals(spark, d):
     return intervals(one_fold(spark, d))
 
 
-@query("log_sarima")
+@query("log_sarima", sarima_sql((1, 12), (1,), True, log=True))
 def log_sarima(spark, d):
-    return long(registry.transformed(one_fold(spark, d), "yhat"))
+    return rounded(long(registry.transformed(one_fold(spark, d), "yhat")), 1)
 
 
 def _grid(spark, d):
@@ -458,9 +536,18 @@ def boosted_tuning(spark, d):
     return selection.tune_boosted(one_fold(spark, d, tables.brand_ship_month, hold_out=H), grid)
 
 
-@query("direct_forecast")
+@query(
+    "direct_forecast",
+    f"""WITH RECURSIVE {fold_ctes(BRA, 1)}, ar AS (SELECT series_id, cut AS n, min(y) AS lo, CASE WHEN max(y) > min(y) THEN max(y) - min(y) ELSE 1.0 END AS rg, list(y ORDER BY pos) AS raw
+        FROM fr WHERE pos <= cut GROUP BY 1, 2),
+    zz AS (SELECT series_id, n, lo, rg, [(v - lo) / rg for v in raw] AS z FROM ar),
+    dz AS (SELECT h AS gid, list_concat([1.0], z[t - 11 : t]) AS x, z[t + h] AS y FROM (SELECT *, unnest(range(12, n - 11)) AS t FROM zz WHERE n >= 24), range(1, 13) r(h)),
+    {solve_sql('dz', 'sd', '0.001 * n')}
+    SELECT te.series_id, te.h::integer AS h, te.ts, {R('list_dot_product(beta::double[], list_concat([1.0], z[n - 11 : n])::double[]) * rg + lo', 2)} AS yhat
+    FROM (SELECT series_id, zz.n, lo, rg, z, gid, beta FROM zz, sd) JOIN te USING (series_id) WHERE te.h = gid""",
+)
 def direct_forecast(spark, d):
-    return long(trees.direct(one_fold(spark, d, tables.brand_ship_month), "yhat"))
+    return rounded(long(trees.direct(one_fold(spark, d, tables.brand_ship_month), "yhat")), 2)
 
 
 @query(
