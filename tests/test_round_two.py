@@ -174,3 +174,31 @@ def test_order_search_without_validation_rows_uses_aic(spark, panel):
     assert len(best) == 2
     for r in best:
         assert r.aic == min(x.aic for x in grid.filter(F.col("series_id") == r.series_id).collect())
+
+
+def test_full_run_and_stored_orders(spark, tmp_path):
+    from tidepanel.plans import full_run
+    from tidepanel.sources import tables
+
+    raw = tables.raw_scrape(spark, "/root/testdata/sf0.001").withColumn("peak", F.lit("9,999,999"))
+    out = full_run.run_all(
+        spark, raw, str(tmp_path), validation_suites=(rolling.STATISTICAL_SUITE,), holdout_models=("Naive", "Seasonal Naive", "SARIMA"),
+        n_boot=50, models=("Naive", "Seasonal Naive", "SARIMA", "XGBoost"), n_folds=2, seeds=(1, 2), pooled={"XGBoost": toy},
+    )
+    n = out["ingest"]["panel"].select("series_id").distinct().count()
+    assert n >= 4 and out["validation"]["validation_0"].count() == n * len(rolling.STATISTICAL_SUITE)
+    assert out["validation"]["drift"].count() > 0 and out["backtest"]["summary"].count() == 4
+    orders = out["orders"]["order_selection"].select(
+        F.col("series_id").alias("Game"), F.col("optimal_order").alias("Optimal_Order"), F.col("optimal_seasonal_order").alias("Optimal_Seasonal_Order")
+    )
+    orders.coalesce(1).write.option("header", True).csv(str(tmp_path / "orders.csv"))
+    specs = {r.series_id: r.spec.asDict() for r in full_run.stored_specs(spark, str(tmp_path / "orders.csv")).collect()}
+    assert specs == {r.series_id: r.spec.asDict() for r in out["orders"]["specs"].collect()}
+
+
+def test_machine_learning_validation_suite(spark):
+    from tidepanel.sources import tables
+
+    panel = tables.orders_priority_month(spark, "/root/testdata/sf0.001")
+    rows = rolling.validation_benchmark(panel, rolling.ML_SUITE)
+    assert {r.model for r in rows.collect()} == set(rolling.ML_SUITE)
