@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,9 @@ from tidepanel.operators import backtest, metrics, reports, splits
 from tidepanel.session import ensure_checkpoint_dir
 from tidepanel.sources import sinks
 
+#: Pooled fits that run at a time.
+FITS_AT_ONCE = 8
+
 # Models that train one job per fold over all series; a seed is given where the model draws at random.
 POOLED = {
     "Random Forest": lambda f, out, h, seed=42: trees.pooled(f, out, trees.random_forest(100, 6, seed=seed), h),
@@ -66,24 +71,11 @@ def model_rows(
     fits = fit_names([m for m in models if m in pooled], seeds)
     wide, columns = folds, {}
     if fits:
-        parts = []
-        for k in range(n_folds):
-            part = folds.filter(F.col("fold") == k)
-            if not part.take(1):
-                continue
-            for i, name in enumerate(fits):
-                model, _, seed = name.partition("#")
-                start = time.perf_counter()
-                part = pooled[model](part, f"pooled_{i}", horizon, **({"seed": int(seed)} if seed else {}))
-                if seconds is not None:
-                    seconds.append((model, k, int(seed) if seed else None, time.perf_counter() - start))
-            parts.append(part)
-        if not parts:
-            parts = [folds.limit(0).select("*", *[F.lit(None).cast("array<double>").alias(f"pooled_{i}") for i in range(len(fits))])]
-        wide = parts[0]
-        for part in parts[1:]:
-            wide = wide.unionByName(part)
-        columns.update({name: f"pooled_{i}" for i, name in enumerate(fits)})
+        wide = folds.join(_pooled_forecasts(folds, fits, horizon, n_folds, pooled, seconds), ["series_id", "fold"], "left")
+        for i, name in enumerate(fits):
+            wide = wide.withColumn(f"pooled_{i}", F.try_element_at("_pooled", F.lit(i)))
+            columns[name] = f"pooled_{i}"
+        wide = wide.drop("_pooled")
     wide, made = registry.add_forecasts(wide, {m: makers[m] for m in [*names, *helpers]})
     columns.update(made)
     refits = {m: f for m, f in registry.default_refits(horizon, spec).items() if m in names}
@@ -95,6 +87,34 @@ def model_rows(
     return rows.filter(F.col("model").isin(*models))
 
 
+def _pooled_forecasts(
+    folds: DataFrame, fits: Sequence[str], horizon: int, n_folds: int, pooled: Mapping[str, Callable],
+    seconds: list[tuple[str, int, int | None, float]] | None,
+) -> DataFrame:
+    """``series_id, fold, _pooled``: the forecasts of all pooled fits by their position in ``fits``.
+
+    The fits of different folds and seeds do not depend on each other, so a few run at a time; a map holds
+    one array per fit.
+    """
+
+    def one(k: int, i: int) -> DataFrame:
+        model, _, seed = fits[i].partition("#")
+        start = time.perf_counter()
+        part = folds.filter(F.col("fold") == k)
+        made = pooled[model](part, "_yhat", horizon, **({"seed": int(seed)} if seed else {}))
+        if seconds is not None:
+            seconds.append((model, k, int(seed) if seed else None, time.perf_counter() - start))
+        return made.select("series_id", "fold", F.lit(i).alias("fit"), "_yhat")
+
+    present = sorted(r.fold for r in folds.select("fold").distinct().collect() if r.fold < n_folds)
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        made = list(pool.map(lambda x: one(*x), [(k, i) for k in present for i in range(len(fits))]))
+    if not made:
+        return folds.limit(0).select("series_id", "fold", F.lit(None).cast("map<int,array<double>>").alias("_pooled"))
+    long = reduce(DataFrame.unionByName, made).filter(F.col("_yhat").isNotNull())
+    return long.groupBy("series_id", "fold").agg(F.map_from_entries(F.collect_list(F.struct("fit", "_yhat"))).alias("_pooled"))
+
+
 def run_backtest(
     panel: DataFrame,
     out_dir: str,
