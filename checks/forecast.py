@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
-from checks.base import BRA, DAY, HOUR, NAT, POS, R, W, query, rounded
+from checks.base import BRA, DAY, HOUR, NAT, POS, PRI, R, W, query, rounded
 from checks.evaluate import ONE, fold_ctes
+from tidepanel.functions import stats
 from tidepanel.models import baseline, future, registry, selection, trees
 from tidepanel.models.fitted import fitted_values
 from tidepanel.models.linear import ar, ridge, sarima, spec_struct
@@ -255,9 +258,36 @@ def adf(spark, d):
     return rounded(out.select("series_id", "lags_used", "n_obs", "statistic", F.col("crit_5").alias("critical_5")), 4, critical_5=6)
 
 
-@query("stationarity_table")
+def _adf_threshold() -> float:
+    """The statistic whose p-value is 0.05, by bisection on the published polynomial."""
+    a, b, c = diagnostics.ADF_SMALL_P
+    lo, hi = -6.0, -1.7
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if NormalDist().cdf(a + b * mid + c * mid * mid) < 0.05 else (lo, mid)
+    return lo
+
+
+# Both tests on the series and on its first differences, told apart by the name's ending.
+VARIANTS = (
+    "p AS (SELECT series_id || '/raw' AS series_id, ts, y FROM p0 UNION ALL SELECT * FROM (SELECT series_id || '/first difference' AS series_id, ts, "
+    "y - lag(y) OVER (PARTITION BY series_id ORDER BY ts) AS y FROM p0) WHERE y IS NOT NULL)"
+)
+
+
+@query(
+    "stationarity_table",
+    W(PRI.replace("p AS", "p0 AS", 1), VARIANTS, POS, ADF, LAGS.replace("AND 40", "AND 4000"), KPSS).replace("WITH", "WITH RECURSIVE", 1)
+    + f"""SELECT split_part(series_id, '/', 1) AS series_id, split_part(series_id, '/', 2) AS variant, {R('tau', 4)} AS adf_stat, cast(ad.lags_used as integer) AS adf_lags,
+    {R('k5.x', 6)} AS kpss_stat, k5.lags_used AS kpss_lags, tau < {_adf_threshold()} AND k5.p >= 0.05 AS is_stationary,
+    CASE WHEN tau < {_adf_threshold()} THEN CASE WHEN k5.p >= 0.05 THEN 'Stationary (both tests agree)' ELSE 'Difference / Trend Stationary (ADF stationary, KPSS rejects)' END
+    WHEN k5.p >= 0.05 THEN 'Ambiguous / Strict Stationarity (ADF fails to reject, KPSS fails to reject)' ELSE 'Non-Stationary (Unit Root; both tests agree)' END AS conclusion
+    FROM ad JOIN k5 USING (series_id)""",
+)
 def stationarity_table(spark, d):
-    return diagnostics.stationarity_table(tables.orders_priority_month(spark, d))
+    out = diagnostics.stationarity_table(tables.orders_priority_month(spark, d))
+    shown = out.select("series_id", "variant", "adf_stat", "adf_lags", "kpss_stat", "kpss_lags", "is_stationary", "conclusion")
+    return rounded(shown, 6, adf_stat=4)
 
 
 @query(
@@ -279,9 +309,25 @@ def residual_density(spark, d):
     return rounded(out.select("series_id", "bin", (F.col("density") * 1e6).alias("density_e6"), "bin_start"), 3)
 
 
-@query("residual_qq")
+def _horner_sql(coefs, x: str) -> str:
+    out = repr(coefs[0])
+    for c in coefs[1:]:
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+_CENTRE = f"({_horner_sql(stats.PPF_A, '((q - 0.5) * (q - 0.5))')} * (q - 0.5) / {_horner_sql(stats.PPF_B, '((q - 0.5) * (q - 0.5))')})"
+_TAIL = f"({_horner_sql(stats.PPF_C, 'sqrt(-2 * ln(least(q, 1 - q)))')} / {_horner_sql(stats.PPF_D, 'sqrt(-2 * ln(least(q, 1 - q)))')})"
+
+
+@query(
+    "residual_qq",
+    f"""WITH {fold_ctes(NAT, 1)}, {RES}, o AS (SELECT series_id, e, row_number() OVER (PARTITION BY series_id ORDER BY e, ts) AS k, count(*) OVER (PARTITION BY series_id) AS n FROM rs WHERE e IS NOT NULL),
+    z AS (SELECT series_id, e, CASE WHEN k = n THEN pow(0.5, 1.0 / n) WHEN k = 1 THEN 1 - pow(0.5, 1.0 / n) ELSE (k - 0.3175) / (n + 0.365) END::double AS q FROM o)
+    SELECT series_id, {R('e', 3)} AS sample, {R(f'CASE WHEN q < {stats.PPF_LOW} THEN {_TAIL} WHEN q > 1 - {stats.PPF_LOW} THEN -{_TAIL} ELSE {_CENTRE} END', 6)} AS theoretical FROM z""",
+)
 def residual_qq(spark, d):
-    return diagnostics.residual_panel(naive_residuals(spark, d))["qq"]
+    return rounded(diagnostics.residual_panel(naive_residuals(spark, d))["qq"], 6, sample=3)
 
 
 @query(
