@@ -331,7 +331,8 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, batches: int = BATCHE
     spans = whole.select("text_hash", first.alias("lo"), (first + count + length).alias("hi"))
     # One entry stands for a context; contexts with several entries repeat wholly anyway.
     one = partly.groupBy("head", "gram", "context").agg(F.min(F.struct("text_hash", "place")).alias("e"))
-    sized = one.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("head", "gram"))).where("n > 1")
+    sizes = one.groupBy("head", "gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    sized = one.join(sizes, ["head", "gram"])
     asked = F.struct(F.xxhash64("head", "gram").alias("key"), "e.place", "n")
     wanted = sized.groupBy("e.text_hash").agg(F.collect_list(asked).alias("runs"))
     slices = _pack(texts, ["text_hash"]).join(wanted, "text_hash").mapInArrow(_slices(length), SLICE)
