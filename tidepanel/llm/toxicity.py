@@ -24,7 +24,7 @@ from tidepanel.llm.compression import labelled_sample, probability, remainder, s
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 #: Bytes of a gram, and how much more often toxic texts must hold it.
-GRAM, RATIO, COUNT_RATIO = 5, 4.0, 8.0
+GRAM, RATIO, COUNT_RATIO = 5, 2.0, 8.0
 ORDINARY_BYTES, TOXIC_BYTES = 96_000, 4_000
 GAINS = (1, 2, 3, 4)
 #: Gains a task remembers.
