@@ -144,8 +144,9 @@ def test_licences(spark):
 
 
 def test_network_is_a_distribution_and_learns(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     vocab = masked_lm.vocabulary(docs)
+    assert 0 < len(vocab) <= masked_lm.PAD - masked_lm.SHARED and vocab == exact_vocabulary(docs, vocab[-1][1])
     known, flat = masked_lm.numbers(vocab), masked_lm.initial(vocab)
     assert len(set(known.values())) == len(known)
     w = masked_lm.unpack(flat)
@@ -179,3 +180,12 @@ def brute_log_probability(flat, ids, i):
 def test_training_on_an_empty_table(spark):
     known, flat = masked_lm.fit(edge_rows.empty(spark))
     assert known == {} and np.isfinite(flat).all()
+
+
+def exact_vocabulary(docs, least):
+    """All words of at least ``least`` occurrences; one count lower would not fit."""
+    import collections
+
+    count = collections.Counter(w for r in docs.select("text").collect() for w in masked_lm.words(r.text))
+    assert sum(n >= least - 1 for n in count.values()) > masked_lm.PAD - masked_lm.SHARED or least == 1
+    return sorted(((w, n) for w, n in count.items() if n >= least), key=lambda r: (-r[1], r[0]))

@@ -28,12 +28,14 @@ SHARED = 256
 SIDE, WIDTH = 3, 32
 ROUNDS, RATE, BATCH = 2, 0.3, 8192
 #: One document in so many is trained on; text bytes of one training partition.
-SHARE, PARTITION_BYTES = 8, 8 << 20
+SHARE, PARTITION_BYTES = 16, 8 << 20
 #: Weights averaged in one task.
 FAN_IN = 8
 
 COUNTS = fields(word="binary", n="long")
 WEIGHTS = fields(part="int", n_tokens="long", weights="binary")
+N_PIECES = 32
+PIECES = fields(piece="int", weights="binary")
 SCORED = fields(n_tokens="long", log_likelihood="double", mean_log_likelihood="double")
 
 #: Context before the first and after the last word of a text.
@@ -63,10 +65,28 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary(docs: DataFrame, text: str = "text") -> list[tuple[bytes, int]]:
-    """The most frequent words of the corpus with their counts, ties by word; as many as have numbers."""
-    counted = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(_count, COUNTS).groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(CLASSES * MEMBERS - SHARED)
-    return sorted(((bytes(w), n) for w, n in top.collect()), key=lambda r: (-r[1], r[0]))
+    """The most frequent words of the corpus with their counts; words of one count enter together or not at all.
+
+    The least count that enters is read off two small histograms, of the counts' powers of two and of the counts
+    within one power, so the driver gets no more words than there are numbers.
+    """
+    room = CLASSES * MEMBERS - SHARED
+    rows = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(_count, COUNTS)
+    counted = stored(rows.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    power = F.length(F.bin("n")) - 1
+    least, left = 0, room
+    for p, n in sorted(map(tuple, counted.groupBy(power).count().collect()), reverse=True):
+        if n > left:
+            within = counted.where(power == p).groupBy("n").count()
+            least = 2 ** (p + 1)
+            for value, words_there in sorted(map(tuple, within.collect()), reverse=True):
+                if words_there > left:
+                    break
+                least, left = value, left - words_there
+            break
+        left -= n
+    top = counted.where(F.col("n") >= least).collect()
+    return sorted(((bytes(w), n) for w, n in top), key=lambda r: (-r[1], r[0]))
 
 
 def numbers(vocab: list[tuple[bytes, int]]) -> dict[bytes, int]:
@@ -252,19 +272,28 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[dict
     size = share.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 + int(size) // PARTITION_BYTES
     for _ in range(rounds if size else 0):
-        ordered = share.repartition(parts, "h").sortWithinPartitions("h", "text").select("text")
+        ordered = share.repartition(parts).sortWithinPartitions("h", "text").select("text")  # even parts, whatever repeats
         trained, left = stored(ordered.mapInArrow(_train(flat, known), WEIGHTS), "weights"), parts
         while left > 1:
             left = -(-left // FAN_IN)
             group = F.floor(F.col("part") / FAN_IN)
             trained = trained.repartition(left, group).sortWithinPartitions("part")
             trained = trained.mapInArrow(_grouped, WEIGHTS)
-        got = trained.collect()  # one row
+        # One row, fetched in pieces so that each task's result stays small.
+        got = sorted(map(tuple, trained.mapInArrow(_split, PIECES).repartition(N_PIECES, "piece").collect()))
         if got:
-            flat = np.frombuffer(got[0]["weights"], dtype=np.float32)
+            flat = np.frombuffer(b"".join(bytes(b) for _, b in got), dtype=np.float32)
     return known, flat
 
 
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            size = -(-len(row["weights"]) // N_PIECES)
+            parts = [row["weights"][i * size : (i + 1) * size] for i in range(N_PIECES)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(N_PIECES), pa.int32()), pa.array(parts, pa.binary())], names=PIECES.names)
+
+
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Average the rows of each group of neighbouring parts; they arrive in order of the part."""
     held: list[pa.RecordBatch] = []
