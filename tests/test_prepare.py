@@ -33,7 +33,7 @@ def test_cleaning_a_dirty_table(dirty):
 
 def test_cleaned_table_is_valid(dirty):
     report = validation.validate(cleaning.clean(dirty).orderBy("series_id", "ts")).collect()
-    assert len(report) == 7 and all(r.ok for r in report)
+    assert len(report) == 6 and all(r.ok for r in report)
 
 
 def test_corrupt_table_fails(spark):
