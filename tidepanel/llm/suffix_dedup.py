@@ -330,7 +330,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH, batches: int = BATCHE
     count = F.shiftrightunsigned("place", 8).bitwiseAND(F.lit(255)).cast("int")
     spans = whole.select("text_hash", first.alias("lo"), (first + count + length).alias("hi"))
     # One entry stands for a context; contexts with several entries repeat wholly anyway.
-    one = partly.groupBy("head", "gram", "context").agg(F.min(F.struct("text_hash", "place")).alias("e"))
+    one = stored(partly.groupBy("head", "gram", "context").agg(F.min(F.struct("text_hash", "place")).alias("e")), "contexts")
     sizes = one.groupBy("head", "gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sized = one.join(sizes, ["head", "gram"])
     asked = F.struct(F.xxhash64("head", "gram").alias("key"), "e.place", "n")
