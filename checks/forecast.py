@@ -573,7 +573,7 @@ def forest_tuning(spark, d):
 
 @query("boosted_forecast")
 def boosted_forecast(spark, d):
-    return long(trees.pooled(one_fold(spark, d, tables.brand_ship_month), "yhat", trees.boosted_trees(20, 3)))
+    return long(trees.pooled(one_fold(spark, d, tables.brand_ship_month), "yhat", trees.boosted_trees(100, 3, 0.05)))
 
 
 @query("boosted_tuning")
