@@ -2,10 +2,10 @@
 
 Words are counted over the whole corpus; the most frequent ones have a number of their own, the others share
 hashed ones. A word's probability is that of its class times that within the class, with classes of about equal
-mass. The network adds the window's embeddings, weighted by place, and squashes the sum. It is trained in numpy
-where the data lies: each partition of the training share runs Adagrad from the common weights, and the weights
-are averaged by token count in a tree of tasks, for a few rounds. Scores are the summed conditional
-log-probabilities of all tokens.
+mass; for a shared number times the word's share of the counted words of that number, from a join by word. The
+network adds the window's embeddings, weighted by place, and squashes the sum. It is trained in numpy where the data
+lies: each partition of the documents runs Adagrad from the common weights, and the weights are averaged by token
+count in a tree of tasks, for a few rounds. Scores are the summed conditional log-probabilities of all tokens.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.common import chunks, fields, map_texts, stored
@@ -64,15 +64,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emptied()
 
 
-def vocabulary(docs: DataFrame, text: str = "text") -> list[tuple[bytes, int]]:
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """word, n of all words of the corpus."""
+    rows = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(_count, COUNTS)
+    return stored(rows.groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def vocabulary(docs: DataFrame, text: str = "text", counted: DataFrame | None = None) -> list[tuple[bytes, int]]:
     """The most frequent words of the corpus with their counts; words of one count enter together or not at all.
 
     The least count that enters is read off two small histograms, of the counts' powers of two and of the counts
     within one power, so the driver gets no more words than there are numbers.
     """
     room = CLASSES * MEMBERS - SHARED
-    rows = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(_count, COUNTS)
-    counted = stored(rows.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    counted = word_counts(docs, text) if counted is None else counted
     power = F.length(F.bin("n")) - 1
     least, left = 0, room
     for p, n in sorted(map(tuple, counted.groupBy(power).count().collect()), reverse=True):
@@ -89,6 +94,17 @@ def vocabulary(docs: DataFrame, text: str = "text") -> list[tuple[bytes, int]]:
     return sorted(((bytes(w), n) for w, n in top), key=lambda r: (-r[1], r[0]))
 
 
+def shared_words(counted: DataFrame, vocab: list[tuple[bytes, int]]) -> tuple[DataFrame, list[int]]:
+    """Counts of the words without a number of their own, and their sums by shared number."""
+    rare = counted.where(F.col("n") < vocab[-1][1]) if vocab else counted
+    sums = dict(map(tuple, rare.groupBy(_bucket()).agg(F.sum("n")).collect()))
+    return rare, [sums.get(b, 0) for b in range(SHARED)]
+
+
+def _bucket() -> Column:
+    return (F.crc32("word") % SHARED).cast("int")
+
+
 def numbers(vocab: list[tuple[bytes, int]]) -> dict[bytes, int]:
     """Word -> class * MEMBERS + member. Words go, most frequent first, to the lightest class with room."""
     mass, size = np.zeros(CLASSES), np.zeros(CLASSES, dtype=int)
@@ -126,8 +142,8 @@ def shapes() -> dict[str, tuple[int, ...]]:
     }
 
 
-def initial(vocab: list[tuple[bytes, int]]) -> np.ndarray:
-    """Start weights: small embeddings, biases at the corpus frequencies."""
+def initial(vocab: list[tuple[bytes, int]], shared: list[int] | None = None) -> np.ndarray:
+    """Start weights: small embeddings, biases at the corpus frequencies; ``shared`` are those of the shared numbers."""
     rng = np.random.default_rng(11)
     w = unpack(np.zeros(sum(int(np.prod(s)) for s in shapes().values()), dtype=np.float32))
     w["embed"][:] = rng.normal(0, 0.3, w["embed"].shape)
@@ -138,7 +154,10 @@ def initial(vocab: list[tuple[bytes, int]]) -> np.ndarray:
     for (word, n), k in zip(vocab, numbers(vocab).values()):
         mass[k // MEMBERS, k % MEMBERS] += n
     rest = mass[:, MEMBERS - SHARED // CLASSES :]
-    rest[:] = max(1.0, mass.sum() / (2 * SHARED))  # about a third of the tokens have a shared number
+    if shared is None:
+        rest[:] = max(1.0, mass.sum() / (2 * SHARED))  # not counted: about a third of the tokens
+    else:
+        rest += np.reshape(shared, rest.shape)
     w["class_b"][:] = np.log(mass.sum(axis=1) / mass.sum())
     w["word_b"][:] = np.log(mass / mass.sum(axis=1, keepdims=True))
     return pack(w)
@@ -263,16 +282,17 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _weights(part // FAN_IN, n, total / n)
 
 
-def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[dict[bytes, int], np.ndarray]:
-    """Word numbers and weights. The training share is drawn by a hash of the row, and grows with the corpus."""
-    vocab = vocabulary(docs, text)
-    known, flat = numbers(vocab), initial(vocab)
+def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, counted: DataFrame | None = None) -> tuple[dict[bytes, int], np.ndarray]:
+    """Word numbers and weights, trained on all documents."""
+    counted = word_counts(docs, text) if counted is None else counted
+    vocab = vocabulary(docs, text, counted)
+    known, flat = numbers(vocab), initial(vocab, shared_words(counted, vocab)[1])
     hashed = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64("doc_id", F.col(f"`{text}`").cast("string")).alias("h"))
-    share = hashed.where((F.pmod("h", F.lit(SHARE)) == 0) & (F.length("text") > 0))
-    size = share.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    filled = hashed.where((F.pmod("h", F.lit(SHARE)) == 0) & (F.length("text") > 0))
+    size = filled.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 + int(size) // PARTITION_BYTES
     for _ in range(rounds if size else 0):
-        ordered = share.repartition(parts).sortWithinPartitions("h", "text").select("text")  # even parts, whatever repeats
+        ordered = filled.repartition(parts).sortWithinPartitions("h", "text").select("text")  # even parts, whatever repeats
         trained, left = stored(ordered.mapInArrow(_train(flat, known), WEIGHTS), "weights"), parts
         while left > 1:
             left = -(-left // FAN_IN)
@@ -308,15 +328,23 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _average(iter(held))
 
 
-def score(docs: DataFrame, model: tuple[dict[bytes, int], np.ndarray], text: str = "text", carry: list[str] | None = None) -> DataFrame:
+def score(
+    docs: DataFrame,
+    model: tuple[dict[bytes, int], np.ndarray],
+    text: str = "text",
+    carry: list[str] | None = None,
+    shared: tuple[DataFrame, list[int]] | None = None,
+) -> DataFrame:
     """Carried columns (default ``doc_id``), n_tokens, log_likelihood and its mean per token.
 
-    Null and empty texts have no token, a likelihood of 0 and no mean. Repeated rows score alike. An empty table
-    gives an empty result.
+    With ``shared`` (see ``shared_words``) a word with a shared number is scored by its own share of that number's
+    counts, of which one is left for words never counted; without, by the number alone. Null and empty texts have no
+    token, a likelihood of 0 and no mean. Repeated rows score alike. An empty table gives an empty result.
     """
     known, flat = model
+    names = ["doc_id"] if carry is None else carry
 
-    def prepare():
+    def prepare(rare: bool = False):
         w = unpack(flat)
 
         def work(texts: list) -> list:
@@ -324,8 +352,36 @@ def score(docs: DataFrame, model: tuple[dict[bytes, int], np.ndarray], text: str
             total = np.r_[0, np.cumsum(log_probabilities(w, ids))]
             ends = np.cumsum(sizes)
             summed = total[ends] - total[ends - sizes]
-            return [sizes, summed, [s / n if n else None for s, n in zip(summed, sizes)]]
+            out = [sizes, summed, [s / n if n else None for s, n in zip(summed, sizes)]]
+            return out + [[[x for x in words(t) if x not in known] for t in texts]] if rare else out
 
         return work
 
-    return map_texts(docs, text, SCORED, prepare, ["doc_id"] if carry is None else carry)
+    if shared is None:
+        return map_texts(docs, text, SCORED, prepare, names)
+    counted, sums = shared
+    found = map_texts(docs, text, fields(n_tokens="long", base="double", rare="array<binary>"), lambda: _without(prepare(True), 2), names)
+    rows = found.withColumn("row", F.monotonically_increasing_id())
+    # Each row also has a word with a blank, which no text has, so that it passes the join without a rare word.
+    mark = F.encode(F.concat(F.lit(" "), F.col("row").cast("string")), "UTF-8")
+    each = rows.withColumn("word", F.explode(F.concat("rare", F.array(mark)))).drop("rare")
+    own = F.log(F.coalesce("n", F.lit(1)) / (F.element_at(F.array(*map(F.lit, sums)), _bucket() + 1) + 1))
+    is_word = F.substring("word", 1, 1) != F.lit(b" ")
+    # Whole numbers of 2**-32, whose sum does not depend on the order.
+    part = F.when(is_word, F.round(own * 2.0**32).cast("long")).otherwise(F.lit(0).cast("long"))
+    firsts = [F.first(F.col(f"`{c}`")).alias(c) for c in [*names, "n_tokens", "base"]]
+    summed = each.join(counted, "word", "left").groupBy("row").agg(*firsts, F.sum(part).alias("__part"))
+    whole = summed.withColumn("log_likelihood", F.col("base") + F.col("__part") / 2.0**32)
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood")
+    return whole.select(*[F.col(f"`{c}`") for c in names], "n_tokens", "log_likelihood", mean)
+
+
+def _without(work, i: int):
+    return lambda texts: [v for k, v in enumerate(work(texts)) if k != i]
+
+
+def fit_and_score(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Scores of the documents under a model of the same documents."""
+    counted = word_counts(docs, text)
+    model = fit(docs, text, counted=counted)
+    return score(docs, model, text, carry, shared_words(counted, vocabulary(docs, text, counted)))

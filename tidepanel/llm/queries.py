@@ -146,5 +146,4 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_masked_lm_scoring")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return masked_lm.score(docs, masked_lm.fit(docs))
+    return masked_lm.fit_and_score(table(spark, sf_dir, "documents"))
