@@ -24,3 +24,13 @@ def test_words_with_shared_numbers_are_a_distribution(spark):
     assert got["the"].log_likelihood == pytest.approx(plain["the"]) and 0 < bucket
     number = masked_lm.zlib.crc32(b"w7") % masked_lm.SHARED
     assert got["w7"].log_likelihood == pytest.approx(plain["w7"] - np.log(shared[1][number] + 1), abs=1e-6)
+
+
+def test_every_document_is_trained_on(spark):
+    rows = [(i, "one small text of a few words") for i in range(9)]
+    every = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = every.where("pmod(xxhash64(doc_id, text), 16) <> 0").limit(1)  # outside the former share of one in sixteen
+    counted = masked_lm.word_counts(docs)
+    vocab = masked_lm.vocabulary(docs, counted=counted)
+    start = masked_lm.initial(vocab, masked_lm.shared_words(counted, vocab)[1])
+    assert not np.array_equal(masked_lm.fit(docs, rounds=1)[1], start)

@@ -27,8 +27,8 @@ CLASSES, MEMBERS = 64, 128
 SHARED = 256
 SIDE, WIDTH = 3, 32
 ROUNDS, RATE, BATCH = 2, 0.3, 8192
-#: One document in so many is trained on; text bytes of one training partition.
-SHARE, PARTITION_BYTES = 16, 8 << 20
+#: Text bytes of one training partition.
+PARTITION_BYTES = 8 << 20
 #: Weights averaged in one task.
 FAN_IN = 8
 
@@ -288,7 +288,7 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, counted: Data
     vocab = vocabulary(docs, text, counted)
     known, flat = numbers(vocab), initial(vocab, shared_words(counted, vocab)[1])
     hashed = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64("doc_id", F.col(f"`{text}`").cast("string")).alias("h"))
-    filled = hashed.where((F.pmod("h", F.lit(SHARE)) == 0) & (F.length("text") > 0))
+    filled = hashed.where(F.length("text") > 0)
     size = filled.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 + int(size) // PARTITION_BYTES
     for _ in range(rounds if size else 0):
