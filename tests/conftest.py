@@ -1,9 +1,9 @@
 import sys
 from pathlib import Path
 
-import numpy as np
 import pandas as pd
 import pytest
+from panels import monthly
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
@@ -19,14 +19,6 @@ def spark():
     session.stop()
 
 
-def monthly(n=60, seed=42, start="2016-01-01", lo=1000.0, hi=5000.0, amp=500.0, noise=100.0, name="A"):
-    """Trend, yearly wave and noise."""
-    rng = np.random.default_rng(seed)
-    y = np.linspace(lo, hi, n) + amp * np.sin(2 * np.pi * np.arange(n) / 12) + rng.normal(0, noise, n)
-    ts = pd.date_range(start, periods=n, freq="MS").date
-    return pd.DataFrame({"series_id": name, "ts": ts, "y": y})
-
-
 @pytest.fixture()
 def panel(spark):
     """Two series, the second 1.5 times the first."""

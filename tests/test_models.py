@@ -1,7 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import monthly
+from panels import monthly
 from pyspark.sql import functions as F
 
 from tidepanel.functions import stats

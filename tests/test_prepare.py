@@ -115,7 +115,7 @@ def test_expanding_and_rolling_folds(panel, spark):
     a = panel.filter("series_id = 'A'")
     sizes = splits.expanding_folds(a).filter("role = 'train'").groupBy("fold").count().orderBy("fold").collect()
     assert [r["count"] for r in sizes] == [24, 36, 48]
-    from conftest import monthly
+    from panels import monthly
 
     for n, folds in ((70, [0, 1, 2]), (40, [0]), (30, [])):
         df = spark.createDataFrame(monthly(n), "series_id string, ts date, y double")

@@ -2,7 +2,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
-from conftest import monthly
+from panels import monthly
 from pyspark.sql import functions as F
 
 from tidepanel import session
