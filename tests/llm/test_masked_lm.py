@@ -1,36 +1,114 @@
+import itertools
+
 import numpy as np
 import pytest
 
 from tidepanel.llm import masked_lm
 
 
-def test_words_with_shared_numbers_are_a_distribution(spark):
-    """All words of a corpus larger than the vocabulary, each alone: their probabilities sum to one at most."""
-    rare = [f"w{i}" for i in range(9000)]
-    texts = [("the of and " * 5000).strip(), *rare]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+def test_border_of_the_vocabulary_is_filled_in_byte_order(spark):
+    rare = [f"w{i:05}" for i in range(9000)]
+    docs = spark.createDataFrame(list(enumerate([("the of and " * 5000).strip(), *rare])), "doc_id long, text string")
+    vocab = masked_lm.vocabulary(docs)
+    room = masked_lm.PAD - masked_lm.SHARED
+    assert vocab == [(b"and", 5000), (b"of", 5000), (b"the", 5000), *((w.encode(), 1) for w in rare[: room - 3])]
+
+
+def test_byte_pairs_against_counting(spark):
+    words = {b"ab": 3, b"a": 2, b"abc": 1, "é".encode(): 4}
+    counted = spark.createDataFrame([(bytearray(w), n) for w, n in [*words.items(), (b"often", 50)]], "word binary, n long")
+    pairs, first = masked_lm.spelling(counted, [(b"often", 50)])
+    assert [(b, n) for b, n in enumerate(first) if n] == [(97, 6), (0xC3, 4)]
+    after_a = np.ones(257)
+    after_a[[98, 256]] += [4, 2]
+    assert np.allclose(pairs[97], np.log(after_a / after_a.sum()))
+    assert np.allclose(np.exp(pairs).sum(axis=1), 1)
+
+
+def test_all_words_sum_to_one():
+    """Of three letters and all lengths up to six, with the rest of the mass on longer words and other bytes."""
+    rng = np.random.default_rng(0)
+    pairs = np.full((256, 257), -np.inf)
+    letters = [97, 98, 99]
+    for b in letters:
+        share = rng.dirichlet([1, 1, 1, 4])
+        pairs[b, [*letters, 256]] = np.log(share)
+    total = {k: sum(np.exp(masked_lm.spelt(bytes((97, *rest)), pairs)) for n in range(k) for rest in itertools.product(letters, repeat=n)) for k in (1, 4, 9)}
+    assert total[1] < total[4] < total[9] <= 1 + 1e-12 and total[9] > 0.95
+
+
+def test_scores_of_rare_words(spark):
+    docs = spark.createDataFrame(list(enumerate(["the of and the of and"] * 40 + ["zebra zeal the", "yak"])), "doc_id long, text string")
     counted = masked_lm.word_counts(docs)
-    vocab = masked_lm.vocabulary(docs, counted=counted)
-    shared = masked_lm.shared_words(counted, vocab)
-    assert len(vocab) == 3 and sum(shared[1]) == 9000
-    model = masked_lm.numbers(vocab), masked_lm.initial(vocab, shared[1])
-    alone = spark.createDataFrame([(w, w) for w in ["the", "of", "and", *rare]] + [("none", ""), ("null", None)], "doc_id string, text string")
-    got = {r.doc_id: r for r in masked_lm.score(alone, model, shared=shared).collect()}
-    assert len(got) == 9005 and got["none"].log_likelihood == 0 and got["null"].mean_log_likelihood is None
-    total = sum(np.exp(r.log_likelihood) for r in got.values() if r.n_tokens)
-    assert 0.5 < total <= 1.001
-    plain = {r.doc_id: r.log_likelihood for r in masked_lm.score(alone, model).collect()}
-    bucket = sum(plain[w] == pytest.approx(plain["w7"]) for w in rare)
-    assert got["the"].log_likelihood == pytest.approx(plain["the"]) and 0 < bucket
-    number = masked_lm.zlib.crc32(b"w7") % masked_lm.SHARED
-    assert got["w7"].log_likelihood == pytest.approx(plain["w7"] - np.log(shared[1][number] + 1), abs=1e-6)
+    vocab = masked_lm.vocabulary(docs, counted=counted)[:3]
+    pairs, shared = masked_lm.spelling(counted, vocab)
+    assert shared[ord("z")] == 2 and shared[ord("y")] == 1 and sum(shared) == 3
+    model = masked_lm.numbers(vocab), masked_lm.initial(vocab, shared)
+    rows = spark.createDataFrame([(1, "zebra the zorro"), (2, "the"), (3, None), (4, "")], "doc_id long, text string")
+    plain = {r.doc_id: r for r in masked_lm.score(rows, model).collect()}
+    got = {r.doc_id: r for r in masked_lm.score(rows, model, pairs=pairs).collect()}
+    assert got[1].log_likelihood == pytest.approx(plain[1].log_likelihood + masked_lm.spelt(b"zebra", pairs) + masked_lm.spelt(b"zorro", pairs))
+    assert got[2].log_likelihood == pytest.approx(plain[2].log_likelihood)
+    assert got[3].n_tokens == 0 and got[4].mean_log_likelihood is None
+    clash = spark.createDataFrame([(1, "the", "x", 7)], "doc_id long, text string, row string, n long")
+    assert masked_lm.score(clash, model, carry=["doc_id", "row", "n"], pairs=pairs).first()["n"] == 7
+    with pytest.raises(ValueError):
+        masked_lm.score(clash.withColumnRenamed("row", "n_tokens"), model, carry=["n_tokens"])
 
 
-def test_every_document_is_trained_on(spark):
-    rows = [(i, "one small text of a few words") for i in range(9)]
-    every = spark.createDataFrame(rows, "doc_id long, text string")
-    docs = every.where("pmod(xxhash64(doc_id, text), 16) <> 0").limit(1)  # outside the former share of one in sixteen
+def loss(flat, ids):
+    return -masked_lm.log_probabilities(masked_lm.unpack(flat), ids).mean()
+
+
+def test_gradient_against_differences(monkeypatch):
+    """One step moves each weight by the rate times g / sqrt(0.01 + g * g); g is taken from differences of the loss."""
+    monkeypatch.setattr(masked_lm, "WIDTH", 3)
+    vocab = [(bytes([97 + i]), 30 - i) for i in range(20)]
+    rng = np.random.default_rng(5)
+    start = masked_lm.initial(vocab, [0] * 256)
+    known = masked_lm.numbers(vocab)
+    ids, _ = masked_lm.encode([" ".join(chr(97 + i) for i in rng.integers(0, 22, 40)), "", "a", "b c"], known)
+    trainer = masked_lm.Trainer(start, rate=1.0)
+    trainer.step(ids)
+    moved = start - trainer.flat
+    assert loss(trainer.flat, ids) < loss(start, ids)
+    for at in np.r_[rng.choice(np.flatnonzero(np.abs(moved) > 1e-2), 25, replace=False)]:
+        up, down = start.copy().astype(np.float64), start.copy().astype(np.float64)
+        up[at] += 1e-3
+        down[at] -= 1e-3
+        g = 32 * (loss(up, ids) - loss(down, ids)) / 2e-3
+        assert moved[at] == pytest.approx(g / np.sqrt(0.01 + g * g), abs=2e-2)
+
+
+def plain_fit(texts, vocab, shared):
+    """Stretch by stretch, one text list after the other, without Spark."""
+    known = masked_lm.numbers(vocab)
+    trainer = masked_lm.Trainer(masked_lm.initial(vocab, shared))
+    ids, _ = masked_lm.encode(texts, known)
+    for lo in range(0, len(ids) - 2 * masked_lm.SIDE, masked_lm.BATCH):
+        trainer.step(ids[lo : lo + masked_lm.BATCH + 2 * masked_lm.SIDE])
+    return trainer.flat
+
+
+def test_fit_against_a_plain_trainer(spark):
+    rng = np.random.default_rng(2)
+    parts = [[" ".join(f"w{k}" for k in rng.zipf(1.4, 200) % 50) for _ in range(30)] for _ in range(3)]
+    parts = [[t for t in p] for p in parts]
+    docs = spark.sparkContext.parallelize([(i, t) for i, p in enumerate(parts) for t in p], 3).toDF("doc_id long, text string")
     counted = masked_lm.word_counts(docs)
     vocab = masked_lm.vocabulary(docs, counted=counted)
-    start = masked_lm.initial(vocab, masked_lm.shared_words(counted, vocab)[1])
-    assert not np.array_equal(masked_lm.fit(docs, rounds=1)[1], start)
+    shared = masked_lm.spelling(counted, vocab)[1]
+    weights = [plain_fit(p, vocab, shared).astype(np.float64) for p in parts]
+    n = [sum(len(t.split()) for t in p) for p in parts]
+    want = sum(w * k for w, k in zip(weights, n)) / sum(n)
+    assert np.allclose(masked_lm.fit(docs, counted=counted)[1], want, atol=1e-5)
+
+
+def test_every_document_is_trained_on(spark):
+    docs = spark.createDataFrame([(1, "one small text of a few words"), (2, "")], "doc_id long, text string")
+    for i in (1, 2):
+        one = docs.where(f"doc_id = {i}")
+        counted = masked_lm.word_counts(one)
+        vocab = masked_lm.vocabulary(one, counted=counted)
+        start = masked_lm.initial(vocab, masked_lm.spelling(counted, vocab)[1])
+        assert np.array_equal(masked_lm.fit(one)[1], start) == (i == 2)

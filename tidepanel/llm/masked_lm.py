@@ -1,38 +1,41 @@
 """Masked pseudo-likelihood: a window network predicts every word from the words on both sides.
 
-Words are counted over the whole corpus; the most frequent ones have a number of their own, the others share
-hashed ones. A word's probability is that of its class times that within the class, with classes of about equal
-mass; for a shared number times the word's share of the counted words of that number, from a join by word. The
-network adds the window's embeddings, weighted by place, and squashes the sum. It is trained in numpy where the data
-lies: each partition of the documents runs Adagrad from the common weights, and the weights are averaged by token
-count in a tree of tasks, for a few rounds. Scores are the summed conditional log-probabilities of all tokens.
+Words are counted over the whole corpus; the most frequent ones have a number of their own, the others share one by
+their first byte. A word's probability is that of its class times that within the class, with classes of about equal
+mass; for a shared number times that of its other bytes, each given the byte before it, and of the end. These byte pairs
+are counted over the words without a number of their own, so any word has a probability, and those of all words sum to
+one. The network adds the window's embeddings, weighted by place, and squashes the sum. It is trained in numpy where the
+data lies: each task runs Adagrad from the common weights over its part of the documents, and the weights are averaged
+by token count in a tree of tasks. Scores are the summed conditional log-probabilities of all tokens.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.llm.common import chunks, fields, map_texts, stored
 
 CLASSES, MEMBERS = 64, 128
-#: Numbers shared by the words without one of their own.
+#: Numbers shared by the words without one of their own, one for each first byte.
 SHARED = 256
 SIDE, WIDTH = 3, 32
-ROUNDS, RATE, BATCH = 2, 0.3, 8192
-#: Text bytes of one training partition.
-PARTITION_BYTES = 8 << 20
+ROUNDS, RATE, BATCH = 1, 0.4, 3072
+#: Training tasks for each core of the cluster: their number, and that of the weights, follows the cluster, not the corpus.
+TASKS_PER_CORE = 1
 #: Weights averaged in one task.
 FAN_IN = 8
+#: Ends of words in the table of byte pairs.
+STOP = 256
 
 COUNTS = fields(word="binary", n="long")
+PAIRS = fields(cell="int", n="long")
 WEIGHTS = fields(part="int", n_tokens="long", weights="binary")
 N_PIECES = 32
 PIECES = fields(piece="int", weights="binary")
@@ -71,7 +74,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, text: str = "text", counted: DataFrame | None = None) -> list[tuple[bytes, int]]:
-    """The most frequent words of the corpus with their counts; words of one count enter together or not at all.
+    """The most frequent words of the corpus with their counts; of equally frequent ones the first in byte order.
 
     The least count that enters is read off two small histograms, of the counts' powers of two and of the counts
     within one power, so the driver gets no more words than there are numbers.
@@ -79,30 +82,58 @@ def vocabulary(docs: DataFrame, text: str = "text", counted: DataFrame | None =
     room = CLASSES * MEMBERS - SHARED
     counted = word_counts(docs, text) if counted is None else counted
     power = F.length(F.bin("n")) - 1
-    least, left = 0, room
+    border, left = 0, room
     for p, n in sorted(map(tuple, counted.groupBy(power).count().collect()), reverse=True):
         if n > left:
             within = counted.where(power == p).groupBy("n").count()
-            least = 2 ** (p + 1)
             for value, words_there in sorted(map(tuple, within.collect()), reverse=True):
+                border = value
                 if words_there > left:
                     break
-                least, left = value, left - words_there
+                left -= words_there
             break
         left -= n
-    top = counted.where(F.col("n") >= least).collect()
+    top = counted.where(F.col("n") > border).collect()
+    if border:
+        top += counted.where(F.col("n") == border).orderBy("word").limit(left).collect()
     return sorted(((bytes(w), n) for w, n in top), key=lambda r: (-r[1], r[0]))
 
 
-def shared_words(counted: DataFrame, vocab: list[tuple[bytes, int]]) -> tuple[DataFrame, list[int]]:
-    """Counts of the words without a number of their own, and their sums by shared number."""
-    rare = counted.where(F.col("n") < vocab[-1][1]) if vocab else counted
-    sums = dict(map(tuple, rare.groupBy(_bucket()).agg(F.sum("n")).collect()))
-    return rare, [sums.get(b, 0) for b in range(SHARED)]
+def spelling(counted: DataFrame, vocab: list[tuple[bytes, int]]) -> tuple[np.ndarray, list[int]]:
+    """log P(next byte or end | byte) of the words without a number of their own, and their counts by first byte.
+
+    Every pair has one count more than found, so no word is impossible.
+    """
+    rare = counted
+    if vocab:
+        last, n = vocab[-1]
+        rare = counted.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > F.lit(last))))
+    found = np.zeros((STOP, STOP + 1))
+    first = [0] * SHARED
+    for cell, n in rare.mapInArrow(_byte_pairs, PAIRS).groupBy("cell").agg(F.sum("n")).collect():
+        if cell < 0:
+            first[-1 - cell] = n
+        else:
+            found[divmod(cell, STOP + 1)] = n
+    return np.log((found + 1) / (found + 1).sum(axis=1, keepdims=True)), first
+
+
+def _byte_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the byte pairs of a task's words, the end as STOP, and of first bytes b as cell -1 - b."""
+    found, first = np.zeros(STOP * (STOP + 1), dtype=np.int64), np.zeros(SHARED, dtype=np.int64)
+    for batch in batches:
+        for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            row = np.array([*word, STOP])
+            np.add.at(found, row[:-1] * (STOP + 1) + row[1:], n)
+            first[word[0]] += n
+    cells = np.r_[np.flatnonzero(found), -1 - np.flatnonzero(first)]
+    values = np.r_[found[found > 0], first[first > 0]]
+    yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(values)], names=PAIRS.names)
 
 
-def _bucket() -> Column:
-    return (F.crc32("word") % SHARED).cast("int")
+def spelt(word: bytes, pairs: np.ndarray) -> float:
+    """log P(word | its first byte)."""
+    return float(pairs[list(word), [*word[1:], STOP]].sum())
 
 
 def numbers(vocab: list[tuple[bytes, int]]) -> dict[bytes, int]:
@@ -127,7 +158,7 @@ def encode(texts: list[str | None], known: dict[bytes, int]) -> tuple[np.ndarray
         for w in row:
             k = known.get(w)
             if k is None:
-                h = zlib.crc32(w) % SHARED
+                h = w[0]
                 k = h // per * MEMBERS + MEMBERS - per + h % per
             ids.append(k)
         ids += [PAD] * SIDE
@@ -137,8 +168,8 @@ def encode(texts: list[str | None], known: dict[bytes, int]) -> tuple[np.ndarray
 
 def shapes() -> dict[str, tuple[int, ...]]:
     return {
-        "embed": (PAD + 1, WIDTH), "place": (2 * SIDE, WIDTH), "shift": (WIDTH,), "class_w": (WIDTH, CLASSES), "class_b": (CLASSES,),
-        "word_w": (CLASSES, WIDTH, MEMBERS), "word_b": (CLASSES, MEMBERS),
+        "embed": (PAD + 1, WIDTH), "place": (2 * SIDE, WIDTH), "shift": (WIDTH,),
+        "kind": (WIDTH + 1, CLASSES), "word": (CLASSES, WIDTH + 1, MEMBERS),  # the last row of a matrix is the bias
     }
 
 
@@ -148,8 +179,8 @@ def initial(vocab: list[tuple[bytes, int]], shared: list[int] | None = None) ->
     w = unpack(np.zeros(sum(int(np.prod(s)) for s in shapes().values()), dtype=np.float32))
     w["embed"][:] = rng.normal(0, 0.3, w["embed"].shape)
     w["place"][:] = 1 / np.sqrt(2 * SIDE)
-    w["class_w"][:] = rng.normal(0, 0.1, w["class_w"].shape)
-    w["word_w"][:] = rng.normal(0, 0.1, w["word_w"].shape)
+    w["kind"][:] = rng.normal(0, 0.1, w["kind"].shape)
+    w["word"][:] = rng.normal(0, 0.1, w["word"].shape)
     mass = np.ones((CLASSES, MEMBERS))
     for (word, n), k in zip(vocab, numbers(vocab).values()):
         mass[k // MEMBERS, k % MEMBERS] += n
@@ -158,8 +189,8 @@ def initial(vocab: list[tuple[bytes, int]], shared: list[int] | None = None) ->
         rest[:] = max(1.0, mass.sum() / (2 * SHARED))  # not counted: about a third of the tokens
     else:
         rest += np.reshape(shared, rest.shape)
-    w["class_b"][:] = np.log(mass.sum(axis=1) / mass.sum())
-    w["word_b"][:] = np.log(mass / mass.sum(axis=1, keepdims=True))
+    w["kind"][-1] = np.log(mass.sum(axis=1) / mass.sum())
+    w["word"][:, -1] = np.log(mass / mass.sum(axis=1, keepdims=True))
     return pack(w)
 
 
@@ -176,77 +207,107 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def _hidden(w: dict[str, np.ndarray], ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    context = ids[at[:, None] + np.r_[-SIDE:0, 1 : SIDE + 1]]
-    total = np.tile(w["shift"], (len(at), 1))
-    for j in range(2 * SIDE):
-        total += w["embed"][context[:, j]] * w["place"][j]
-    return context, np.tanh(total)
+class Window:
+    """Hidden values of the tokens of one stretch of a stream, ordered by class; SIDE numbers lead in and out.
 
+    The stretch is contiguous, so each place of the window is a shift of the embedded stream, not a lookup.
+    """
 
-def _by_class(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    kind = target // MEMBERS
-    order = np.argsort(kind, kind="stable")
-    cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    for k in range(CLASSES):
-        if cuts[k] < cuts[k + 1]:
-            yield k, order[cuts[k] : cuts[k + 1]]
+    def __init__(self, w: dict[str, np.ndarray], ids: np.ndarray) -> None:
+        n = len(ids)
+        self.inner = ids[SIDE : n - SIDE]
+        self.spans = [slice(SIDE + o, n - SIDE + o) for o in (*range(-SIDE, 0), *range(1, SIDE + 1))]
+        self.embedded = w["embed"][ids]
+        at = np.flatnonzero(self.inner != PAD)
+        self.at = at[np.argsort(self.inner[at] // MEMBERS, kind="stable")]
+        self.kind, self.member = np.divmod(self.inner[self.at], MEMBERS)
+        total = np.zeros((len(self.inner), WIDTH), dtype=np.float32)
+        for span, weight in zip(self.spans, w["place"]):
+            total += self.embedded[span] * weight
+        self.hidden = np.ones((len(at), WIDTH + 1), dtype=np.float32)
+        np.tanh(total[self.at] + w["shift"], out=self.hidden[:, :WIDTH])
+        cuts = np.searchsorted(self.kind, np.arange(CLASSES + 1))
+        self.classes = [(k, slice(cuts[k], cuts[k + 1])) for k in range(CLASSES) if cuts[k] < cuts[k + 1]]
+
+    def exponentials(self, w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """exp of the scores of all classes, and of all members of each token's class."""
+        kinds = self.hidden @ w["kind"]
+        members = np.empty((len(self.at), MEMBERS), dtype=np.float32)
+        for k, rows in self.classes:
+            np.matmul(self.hidden[rows], w["word"][k], out=members[rows])
+        return np.exp(kinds, out=kinds), np.exp(members, out=members)
 
 
 def log_probabilities(w: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
-    """log P(word | both sides) of every token that is no pad, in order."""
-    where = np.flatnonzero(ids != PAD)
-    out = np.empty(len(where), dtype=np.float64)
-    for lo in range(0, len(where), 4 * BATCH):
-        at = where[lo : lo + 4 * BATCH]
-        target = ids[at]
-        h = _hidden(w, ids, at)[1]
-        z = h @ w["class_w"] + w["class_b"]
-        got = z[np.arange(len(at)), target // MEMBERS] - np.log(np.exp(z).sum(axis=1))
-        for k, rows in _by_class(target):
-            z = h[rows] @ w["word_w"][k] + w["word_b"][k]
-            got[rows] += z[np.arange(len(rows)), target[rows] % MEMBERS] - np.log(np.exp(z).sum(axis=1))
-        out[lo : lo + 4 * BATCH] = got
-    return out
+    """log P(word | both sides) of every token that is no pad, in order; ``ids`` has SIDE pads at both ends."""
+    out = np.zeros(max(0, len(ids) - 2 * SIDE), dtype=np.float64)
+    for lo in range(0, len(out), 4 * BATCH):
+        part = Window(w, ids[lo : lo + 4 * BATCH + 2 * SIDE])
+        rows = np.arange(len(part.at))
+        got = 0.0
+        for z, target in zip(part.exponentials(w), (part.kind, part.member)):
+            got = got + np.log(z[rows, target].astype(np.float64) / z.sum(axis=1))
+        out[lo + part.at] = got
+    return out[ids[SIDE : len(ids) - SIDE] != PAD]
 
 
 class Trainer:
-    """Adagrad on the cross-entropy of all tokens, in place."""
+    """Adagrad on the cross-entropy of all tokens of contiguous stretches, in place."""
 
     def __init__(self, flat: np.ndarray, rate: float = RATE) -> None:
         self.flat, self.rate = flat.copy(), rate
         self.w = unpack(self.flat)
         self.seen = {k: np.full(v.shape, 1e-2, dtype=np.float32) for k, v in self.w.items()}
-
-    def _move(self, name: str, at, grad: np.ndarray) -> None:
-        self.seen[name][at] += grad * grad
-        self.w[name][at] -= self.rate * grad / np.sqrt(self.seen[name][at])
-
-    def step(self, ids: np.ndarray, at: np.ndarray) -> None:
-        w, n, target = self.w, len(at), ids[at]
-        context, h = _hidden(w, ids, at)
-        z = np.exp(h @ w["class_w"] + w["class_b"])
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(n), target // MEMBERS] -= 1
-        back = z @ w["class_w"].T
-        self._move("class_w", slice(None), h.T @ z / n * 32)
-        self._move("class_b", slice(None), z.sum(axis=0) / n * 32)
-        for k, rows in _by_class(target):
-            z = np.exp(h[rows] @ w["word_w"][k] + w["word_b"][k])
-            z /= z.sum(axis=1, keepdims=True)
-            z[np.arange(len(rows)), target[rows] % MEMBERS] -= 1
-            back[rows] += z @ w["word_w"][k].T
-            self._move("word_w", k, h[rows].T @ z / n * 32)
-            self._move("word_b", k, z.sum(axis=0) / n * 32)
-        back *= (1 - h * h) / n * 32
-        flat = context.ravel()
-        grad = (back[:, None, :] * w["place"]).reshape(-1, WIDTH)
-        place = np.stack([(w["embed"][context[:, j]] * back).sum(axis=0) for j in range(2 * SIDE)])
-        order = np.argsort(flat, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(flat[order]) > 0])
-        self._move("embed", flat[order[first]], np.add.reduceat(grad[order], first, axis=0))
-        self._move("place", slice(None), place)
-        self._move("shift", slice(None), back.sum(axis=0))
+        self.grad = np.zeros_like(self.w["word"])
+
+    def _move(self, name: str, grad: np.ndarray, at: np.ndarray | None = None) -> None:
+        seen = self.seen[name] if at is None else self.seen[name][at]
+        seen += grad * grad
+        step = np.sqrt(seen)
+        np.divide(grad, step, out=step)
+        step *= self.rate
+        if at is None:
+            self.w[name] -= step
+        else:
+            self.seen[name][at] = seen
+            self.w[name][at] -= step
+
+    def step(self, ids: np.ndarray) -> None:
+        """One step on the tokens of ``ids`` but for SIDE at each end."""
+        w, part = self.w, Window(self.w, ids)
+        n = len(part.at)
+        if not n:
+            return
+        rows, h = np.arange(n), part.hidden
+        kinds, members = part.exponentials(w)
+        # (exp - total * [target]) / total is the gradient; the division goes to the narrow factors.
+        share = []
+        for z, target in ((kinds, part.kind), (members, part.member)):
+            total = z.sum(axis=1)
+            z[rows, target] -= total
+            share.append((np.float32(32 / n) / total)[:, None])
+        back = (kinds @ w["kind"][:WIDTH].T) * share[0]
+        of_members, weighted, grad = np.empty_like(back), h * share[1], self.grad
+        grad[:] = 0
+        for k, at in part.classes:
+            np.matmul(members[at], w["word"][k, :WIDTH].T, out=of_members[at])
+            np.matmul(weighted[at].T, members[at], out=grad[k])
+        back += of_members * share[1]
+        self._move("kind", (h * share[0]).T @ kinds)
+        self._move("word", grad)
+        h = h[:, :WIDTH]
+        back *= 1 - h * h
+        spread = np.zeros((len(part.inner), WIDTH), dtype=np.float32)
+        spread[part.at] = back
+        embed, place = np.zeros((len(ids), WIDTH), dtype=np.float32), np.empty((2 * SIDE, WIDTH), dtype=np.float32)
+        for j, span in enumerate(part.spans):
+            embed[span] += spread * w["place"][j]
+            place[j] = np.einsum("ij,ij->j", part.embedded[span], spread)
+        order = np.argsort(ids, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
+        self._move("embed", np.add.reduceat(embed[order], first, axis=0), ids[order[first]])
+        self._move("place", place)
+        self._move("shift", back.sum(axis=0))
 
 
 def _train(flat: np.ndarray, known: dict[bytes, int]):
@@ -254,12 +315,10 @@ def _train(flat: np.ndarray, known: dict[bytes, int]):
         trainer, n = Trainer(flat), 0
         for batch in batches:
             for part in chunks(batch.column(0)):
-                ids, _ = encode(part.to_pylist(), known)
-                where = np.flatnonzero(ids != PAD)
-                where = where[np.random.default_rng(len(where)).permutation(len(where))]
-                for lo in range(0, len(where), BATCH):
-                    trainer.step(ids, where[lo : lo + BATCH])
-                n += len(where)
+                ids, sizes = encode(part.to_pylist(), known)
+                for lo in range(0, len(ids) - 2 * SIDE, BATCH):
+                    trainer.step(ids[lo : lo + BATCH + 2 * SIDE])
+                n += int(sizes.sum())
         if n:
             yield _weights(TaskContext.get().partitionId(), n, trainer.flat)
 
@@ -282,18 +341,21 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _weights(part // FAN_IN, n, total / n)
 
 
-def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, counted: DataFrame | None = None) -> tuple[dict[bytes, int], np.ndarray]:
+def fit(
+    docs: DataFrame, text: str = "text", rounds: int = ROUNDS, counted: DataFrame | None = None, vocab: list[tuple[bytes, int]] | None = None, shared: list[int] | None = None
+) -> tuple[dict[bytes, int], np.ndarray]:
     """Word numbers and weights, trained on all documents."""
-    counted = word_counts(docs, text) if counted is None else counted
-    vocab = vocabulary(docs, text, counted)
-    known, flat = numbers(vocab), initial(vocab, shared_words(counted, vocab)[1])
-    hashed = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64("doc_id", F.col(f"`{text}`").cast("string")).alias("h"))
-    filled = hashed.where(F.length("text") > 0)
-    size = filled.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = 1 + int(size) // PARTITION_BYTES
-    for _ in range(rounds if size else 0):
-        ordered = filled.repartition(parts).sortWithinPartitions("h", "text").select("text")  # even parts, whatever repeats
-        trained, left = stored(ordered.mapInArrow(_train(flat, known), WEIGHTS), "weights"), parts
+    if vocab is None:
+        counted = word_counts(docs, text) if counted is None else counted
+        vocab = vocabulary(docs, text, counted)
+    if shared is None:
+        shared = spelling(counted if counted is not None else word_counts(docs, text), vocab)[1]
+    known, flat = numbers(vocab), initial(vocab, shared)
+    texts = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
+    # Neighbouring partitions of the scan are read one after another by a task; nothing is shuffled.
+    parts = TASKS_PER_CORE * docs.sparkSession.sparkContext.defaultParallelism
+    for _ in range(rounds):
+        trained, left = stored(texts.coalesce(parts).mapInArrow(_train(flat, known), WEIGHTS), "weights"), parts
         while left > 1:
             left = -(-left // FAN_IN)
             group = F.floor(F.col("part") / FAN_IN)
@@ -333,55 +395,45 @@ def score(
     model: tuple[dict[bytes, int], np.ndarray],
     text: str = "text",
     carry: list[str] | None = None,
-    shared: tuple[DataFrame, list[int]] | None = None,
+    pairs: np.ndarray | None = None,
 ) -> DataFrame:
     """Carried columns (default ``doc_id``), n_tokens, log_likelihood and its mean per token.
 
-    With ``shared`` (see ``shared_words``) a word with a shared number is scored by its own share of that number's
-    counts, of which one is left for words never counted; without, by the number alone. Null and empty texts have no
-    token, a likelihood of 0 and no mean. Repeated rows score alike. An empty table gives an empty result.
+    With ``pairs`` (see ``spelling``) a word with a shared number is scored by its bytes as well; without, by the number
+    alone. Null and empty texts have no token, a likelihood of 0 and no mean. Repeated rows score alike. Very long texts
+    are scored whole. An empty table gives an empty result. A carried column named as a result column raises
+    ``ValueError``; other columns are not read.
     """
     known, flat = model
-    names = ["doc_id"] if carry is None else carry
 
-    def prepare(rare: bool = False):
+    def prepare():
         w = unpack(flat)
+        seen: dict[bytes, float] = {}
+
+        def bytes_of(word: bytes) -> float:
+            if word not in seen:
+                if len(seen) > 500_000:
+                    seen.clear()
+                seen[word] = spelt(word, pairs)
+            return seen[word]
 
         def work(texts: list) -> list:
             ids, sizes = encode(texts, known)
             total = np.r_[0, np.cumsum(log_probabilities(w, ids))]
             ends = np.cumsum(sizes)
             summed = total[ends] - total[ends - sizes]
-            out = [sizes, summed, [s / n if n else None for s, n in zip(summed, sizes)]]
-            return out + [[[x for x in words(t) if x not in known] for t in texts]] if rare else out
+            if pairs is not None:
+                summed = summed + [sum(bytes_of(x) for x in words(t) if x not in known) for t in texts]
+            return [sizes, summed, [s / n if n else None for s, n in zip(summed, sizes)]]
 
         return work
 
-    if shared is None:
-        return map_texts(docs, text, SCORED, prepare, names)
-    counted, sums = shared
-    found = map_texts(docs, text, fields(n_tokens="long", base="double", rare="array<binary>"), lambda: _without(prepare(True), 2), names)
-    rows = found.withColumn("row", F.monotonically_increasing_id())
-    # Each row also has a word with a blank, which no text has, so that it passes the join without a rare word.
-    mark = F.encode(F.concat(F.lit(" "), F.col("row").cast("string")), "UTF-8")
-    each = rows.withColumn("word", F.explode(F.concat("rare", F.array(mark)))).drop("rare")
-    own = F.log(F.coalesce("n", F.lit(1)) / (F.element_at(F.array(*map(F.lit, sums)), _bucket() + 1) + 1))
-    is_word = F.substring("word", 1, 1) != F.lit(b" ")
-    # Whole numbers of 2**-32, whose sum does not depend on the order.
-    part = F.when(is_word, F.round(own * 2.0**32).cast("long")).otherwise(F.lit(0).cast("long"))
-    firsts = [F.first(F.col(f"`{c}`")).alias(c) for c in [*names, "n_tokens", "base"]]
-    summed = each.join(counted, "word", "left").groupBy("row").agg(*firsts, F.sum(part).alias("__part"))
-    whole = summed.withColumn("log_likelihood", F.col("base") + F.col("__part") / 2.0**32)
-    mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).alias("mean_log_likelihood")
-    return whole.select(*[F.col(f"`{c}`") for c in names], "n_tokens", "log_likelihood", mean)
-
-
-def _without(work, i: int):
-    return lambda texts: [v for k, v in enumerate(work(texts)) if k != i]
+    return map_texts(docs, text, SCORED, prepare, ["doc_id"] if carry is None else carry)
 
 
 def fit_and_score(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Scores of the documents under a model of the same documents."""
     counted = word_counts(docs, text)
-    model = fit(docs, text, counted=counted)
-    return score(docs, model, text, carry, shared_words(counted, vocabulary(docs, text, counted)))
+    vocab = vocabulary(docs, text, counted)
+    pairs, shared = spelling(counted, vocab)
+    return score(docs, fit(docs, text, vocab=vocab, shared=shared), text, carry, pairs)
