@@ -181,7 +181,7 @@ def _grams(lang: str, rows: list[bytes], n: np.ndarray, words: int, width: int,
     key = ids[at]
     for i in range(1, words):
         key = np.unique(key, return_inverse=True)[1] * len(numbers) + ids[at + i] if i > 1 else key * len(numbers) + ids[at + i]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     starts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
     total = np.add.reduceat(n[chunk[order]], starts)
     spelt, where = pa.array(list(numbers), pa.binary()), at[order[starts]]
@@ -200,11 +200,11 @@ def _counted(words: int, width: int, table: np.ndarray | None):
             held.clear()
 
         for batch in batches:
-            for part in batch.to_pylist():
-                rows, n = held.setdefault(part["lang"], ([], []))
-                rows.append(part["chunk"])
-                n.append(part["n"])
-                size += len(part["chunk"])
+            for lang, chunk, count in zip(*[c.to_pylist() for c in batch.columns]):
+                rows, n = held.setdefault(lang, ([], []))
+                rows.append(chunk)
+                n.append(count)
+                size += len(chunk)
                 if size > BLOCK_BYTES:
                     yield from emptied()
                     size = 0
