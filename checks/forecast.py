@@ -525,6 +525,54 @@ def sarima_intervals(spark, d):
     return intervals(one_fold(spark, d))
 
 
+def trend_sql(trend: str) -> str:
+    """Regression on a constant and a line with AR(1) errors: the two parts are solved in turn until they settle."""
+    level = {
+        "n": "0.0::double AS a, 0.0::double AS b", "c": "cy / cc AS a, 0.0::double AS b", "t": "0.0::double AS a, ty / tt AS b",
+        "ct": "(cy * tt - ct * ty) / (cc * tt - ct * ct) AS a, (cc * ty - ct * cy) / (cc * tt - ct * ct) AS b",
+    }[trend]
+    return f"""WITH RECURSIVE {ONE}, z AS (SELECT series_id, cut AS n, avg(abs(y)) AS s, list(y ORDER BY pos) AS raw FROM fr WHERE pos <= cut GROUP BY 1, 2),
+it AS (SELECT series_id, n, s, [v / s for v in raw] AS y, 0 AS k, 0.0::double AS f, 0.0::double AS a, 0.0::double AS b FROM z
+    UNION ALL SELECT series_id, n, s, y, k + 1, list_sum([(y[t] - a - b * t) * (y[t - 1] - a - b * (t - 1)) for t in range(2, n + 1)])
+        / list_sum([power(y[t - 1] - a - b * (t - 1), 2) for t in range(2, n + 1)]), a, b
+    FROM (SELECT series_id, n, s, y, k, {level} FROM (SELECT series_id, n, s, y, k, (n - 1) * (1 - f) * (1 - f) AS cc, (1 - f) * list_sum([t - f * (t - 1) for t in range(2, n + 1)]) AS ct,
+        list_sum([power(t - f * (t - 1), 2) for t in range(2, n + 1)]) AS tt, (1 - f) * list_sum([y[t] - f * y[t - 1] for t in range(2, n + 1)]) AS cy,
+        list_sum([(t - f * (t - 1)) * (y[t] - f * y[t - 1]) for t in range(2, n + 1)]) AS ty FROM it WHERE k < 60)))
+SELECT te.series_id, te.h::integer AS h, te.ts, {R('s * (a + b * (n + te.h) + power(f, te.h) * (it.y[n] - a - b * n))', 1)} AS yhat FROM it JOIN te USING (series_id) WHERE it.k = 60"""
+
+
+def _add_trend(trend: str) -> None:
+    @query(f"arima_trend_{trend}", trend_sql(trend))
+    def arima_trend(spark, d):
+        return rounded(long(sarima(one_fold(spark, d), "yhat", spec_struct((1, 0, 0)), trend=trend)), 1)
+
+
+for _trend in ("n", "c", "t", "ct"):
+    _add_trend(_trend)
+
+
+@query(
+    "sarima_multiplicative",
+    f"""WITH RECURSIVE {ONE}, z AS (SELECT series_id, cut AS n, avg(abs(y)) AS s, list(y ORDER BY pos) AS raw FROM fr WHERE pos <= cut GROUP BY 1, 2),
+w AS (SELECT series_id, n, s, raw, [(raw[i] - raw[i - 1]) / s for i in range(2, n + 1)] AS w, n - 1 AS m FROM z),
+it AS (SELECT series_id, n, s, raw, w, m, 0 AS k, 0.0::double AS f, 0.0::double AS g FROM w
+    UNION ALL SELECT series_id, n, s, raw, w, m, k + 1, list_sum([(w[t] - g * w[t - 12]) * (w[t - 1] - g * w[t - 13]) for t in range(14, m + 1)])
+        / list_sum([power(w[t - 1] - g * w[t - 13], 2) for t in range(14, m + 1)]), g
+    FROM (SELECT * EXCLUDE g, list_sum([(w[t] - f * w[t - 1]) * (w[t - 12] - f * w[t - 13]) for t in range(14, m + 1)])
+        / list_sum([power(w[t - 12] - f * w[t - 13], 2) for t in range(14, m + 1)]) AS g FROM it WHERE k < 200)),
+fo AS (SELECT series_id, n, s, f, g, w, raw[n] / s AS u, 0 AS h, []::double[] AS o FROM it WHERE k = 200
+    UNION ALL SELECT series_id, n, s, f, g, list_append(w, v), u + v, h + 1, list_append(o, u + v)
+    FROM (SELECT *, f * w[len(w)] + g * w[len(w) - 11] - f * g * w[len(w) - 12] AS v FROM fo WHERE h < 12))
+SELECT te.series_id, te.h::integer AS h, te.ts, {R('s * o[te.h]', 1)} AS yhat, {R('f', 5)} AS ar_1, {R('g', 5)} AS ar_12, {R('-f * g', 5)} AS ar_13
+FROM fo JOIN te USING (series_id) WHERE fo.h = 12""",
+)
+def sarima_multiplicative(spark, d):
+    """(1 - f B)(1 - g B^12) of the differenced series: the cross lag 13 is minus the product."""
+    made = sarima(one_fold(spark, d), "yhat", spec_struct((1, 1, 0), (1, 0, 0, 12)), multiplicative=True, keep_fit=True)
+    lag = made.select("series_id", *[F.col("yhat_fit.ar")[i].alias(f"ar_{k}") for i, k in enumerate((1, 12, 13))])
+    return rounded(rounded(long(made), 1).join(lag, "series_id"), 5, skip=("yhat",))
+
+
 @query("log_sarima", sarima_sql((1, 12), (1,), True, log=True))
 def log_sarima(spark, d):
     return rounded(long(registry.transformed(one_fold(spark, d), "yhat")), 1)

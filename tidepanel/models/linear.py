@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidepanel.contract import HORIZON, SEASON, add_periods
 from tidepanel.functions.lstsq import with_fit
 from tidepanel.functions.stats import array_sum
+from tidepanel.models import arma
 from tidepanel.operators.features import LAGS, WINDOWS, feature_names, step_vector
 
 
@@ -121,38 +122,6 @@ def spec_name(spec: Column) -> Column:
     )
 
 
-def _diff(values: Column, lag: Column) -> Column:
-    m = F.greatest(F.size(values) - lag, F.lit(0))
-    return F.zip_with(F.slice(values, lag + 1, m), F.slice(values, F.lit(1), m), lambda a, b: a - b)
-
-
-def _lag_list(plain: Column, seasonal: Column, s: Column) -> Column:
-    up = lambda k: F.when(k > 0, F.sequence(F.lit(1), F.greatest(k, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.concat(up(plain), F.transform(up(seasonal), lambda j: j * s)))
-
-
-def _at(values: Column, i: Column) -> Column:
-    """Value at a position, 0 before the start."""
-    return F.when(i >= 1, F.element_at(values, F.greatest(i, F.lit(1)))).otherwise(0.0)
-
-
-def _past(values: Column, t: Column, lags: Column) -> Column:
-    return F.transform(lags, lambda k: _at(values, t - k))
-
-
-def _tame(coefs: Column, lags: Column, sign: int, s: Column) -> Column:
-    """Coefficients as they are if their recursion dies out over ten seasons, else shrunk until it must."""
-    start = F.array(F.lit(1.0))
-    impulse = F.aggregate(
-        F.sequence(F.lit(1), 10 * s), start,
-        lambda h, k: F.array_append(h, F.greatest(F.lit(-1e6), F.least(F.lit(1e6), sign * dot(coefs, _past(h, F.size(h) + 1, lags))))),
-    )
-    tail = F.array_max(F.transform(F.slice(impulse, -s, s), lambda x: F.abs(x)))
-    total = array_sum(F.transform(coefs, lambda c: F.abs(c)))
-    factor = F.when(tail < 1.0, 1.0).otherwise(0.98 / F.greatest(total, F.lit(0.98)))
-    return F.transform(coefs, lambda c: c * factor)
-
-
 def sarima(
     frame: DataFrame,
     out: str,
@@ -162,138 +131,45 @@ def sarima(
     alpha: float | None = None,
     keep_fit: bool = False,
     log: bool = False,
+    trend: str | None = None,
+    multiplicative: bool = False,
 ) -> DataFrame:
-    """Seasonal ARIMA forecast of ``train`` by two least-squares stages (Hannan-Rissanen).
+    """Seasonal ARIMA forecast of ``train`` by two least-squares stages (Hannan-Rissanen); see ``arma``.
 
     A long autoregression gives innovations; the second regression uses lags
     {1..p, s..P s} of the differenced series and {1..q, s..Q s} of the innovations,
     with a constant only when nothing is differenced.  ``spec`` may differ per
-    row, so a whole order grid is one frame.  ``constrained`` shrinks an explosive
-    autoregressive part and makes the moving average invertible; ``alpha`` adds ``<out>_lo`` and ``<out>_hi``; ``keep_fit`` adds
-    ``<out>_fit`` (``fitted, resid, aic, bic, sigma``); ``log`` works on logarithms.
+    row, so a whole order grid is one frame.  ``trend`` (n, c, t, ct) makes it a regression on a constant and a line
+    with ARMA errors, of which differencing removes what it removes; ``multiplicative`` multiplies the plain and the
+    seasonal polynomial.  Both are fitted by Gauss-Newton steps on the conditional sum of squares from the two stages.
+
+    ``constrained`` shrinks an explosive autoregressive part and makes the moving average invertible; ``alpha`` adds
+    ``<out>_lo`` and ``<out>_hi``; ``keep_fit`` adds ``<out>_fit`` (``fitted, resid, aic, bic, sigma, ar, ma, ar_lags,
+    ma_lags, trend, error``); ``log`` works on logarithms.  A series that cannot be fitted has a null forecast and its reason in ``error``.
     """
-    keep = frame.columns
     src = F.transform("train", lambda x: F.ln(x)) if log else F.col("train")
-    base = frame.withColumn("_spec", spec).withColumn("_y", src)
-    sp = F.col("_spec")
-    y = F.col("_y")
-    times = lambda k: F.slice(F.sequence(F.lit(0), k), F.lit(1), k)
-    seasonal_part = F.aggregate(times(sp["sd"]), y, lambda v, _: _diff(v, sp["s"]))
-    base = base.withColumn("_w0", seasonal_part)
-    base = base.withColumn("_w", F.aggregate(times(sp["d"]), F.col("_w0"), lambda v, _: _diff(v, F.lit(1))))
-    # Coefficients of (1 - B)^d (1 - B^s)^D, constant first.
-    widen = lambda c, k: F.zip_with(
-        F.concat(c, F.array_repeat(F.lit(0.0), k)), F.concat(F.array_repeat(F.lit(0.0), k), c), lambda a, b: a - b
-    )
-    operator = F.aggregate(times(sp["sd"]), F.array(F.lit(1.0)), lambda c, _: widen(c, sp["s"]))
-    operator = F.aggregate(times(sp["d"]), operator, lambda c, _: widen(c, F.lit(1)))
-    base = base.withColumn("_op", operator)
-    base = base.withColumn("_ar", _lag_list(sp["p"], sp["sp"], sp["s"])).withColumn("_ma", _lag_list(sp["q"], sp["sq"], sp["s"]))
-    w, n = F.col("_w"), F.size("_w")
-    base = base.withColumn("_c", F.when(sp["d"] + sp["sd"] > 0, 0.0).otherwise(1.0))
-    base = base.withColumn("_long", F.greatest(F.lit(1), F.least(sp["s"], F.floor(n / 3).cast("int"))))
-
-    # Stage 1: innovations of a long autoregression.
-    lags1 = F.sequence(F.lit(1), F.col("_long"))
-    t1 = F.when(n > F.col("_long"), F.sequence(F.col("_long") + 1, n)).otherwise(F.array().cast("array<int>"))
-    design1 = F.transform(t1, lambda t: F.concat(F.array(F.col("_c")), _past(w, t, lags1), F.array(F.element_at(w, t))))
-    base = with_fit(base, "_f1", design1, F.col("_long") + 1)
-    b1 = F.col("_f1.beta")
-    e1 = F.concat(
-        F.array_repeat(F.lit(0.0), F.col("_long")),
-        F.transform(t1, lambda t: F.element_at(w, t) - b1[0] * F.col("_c") - dot(F.slice(b1, 2, F.col("_long")), _past(w, t, lags1))),
-    )
-    base = base.withColumn("_e1", F.when(b1.isNotNull(), e1))
-
-    # Stage 2: lags of the series and of the innovations.
-    n_ar, n_ma = F.size("_ar"), F.size("_ma")
-    first = F.greatest(F.coalesce(F.array_max("_ar"), F.lit(0)), F.when(n_ma > 0, F.col("_long")).otherwise(0))
-    base = base.withColumn("_first", first)
-    t2 = F.when(n > F.col("_first"), F.sequence(F.col("_first") + 1, n)).otherwise(F.array().cast("array<int>"))
-    row2 = lambda t: F.concat(
-        F.array(F.col("_c")), _past(w, t, F.col("_ar")), _past(F.col("_e1"), t, F.col("_ma")), F.array(F.element_at(w, t))
-    )
-    design2 = F.when(F.col("_e1").isNotNull(), F.transform(t2, row2))
-    base = with_fit(base, "_f2", design2, 1 + n_ar + n_ma)
-    b2 = F.col("_f2.beta")
-    phi, theta = F.slice(b2, F.lit(2), n_ar), F.slice(b2, n_ar + 2, n_ma)
-    if constrained:
-        theta = _tame(theta, F.col("_ma"), -1, sp["s"])
-        phi = _tame(phi, F.col("_ar"), 1, sp["s"])
-    base = base.withColumn("_phi", phi).withColumn("_theta", theta).withColumn("_mu", b2[0] * F.col("_c"))
-    phi, theta = F.col("_phi"), F.col("_theta")
-
-    # Innovations of the final model, then forecasts of the differenced series.
-    level = lambda values, errors, t: (
-        F.col("_mu") + dot(phi, _past(values, t, F.col("_ar"))) + dot(theta, _past(errors, t, F.col("_ma")))
-    )
-    all_t = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    resid = F.aggregate(
-        all_t, F.array().cast("array<double>"),
-        lambda e, t: F.array_append(e, F.when(t <= F.col("_first"), 0.0).otherwise(F.element_at(w, t) - level(w, e, t))),
-    )
-    base = base.withColumn("_e", F.when(b2.isNotNull(), resid))
-    # Innovations after the sample are unknown and enter as zero.
-    base = base.withColumn("_e", F.concat(F.col("_e"), F.array_repeat(F.lit(0.0), horizon)))
-    ahead = roll_out(w, horizon, lambda h, k: level(h, F.col("_e"), F.size(h) + 1))
-    base = base.withColumn("_ahead", F.when(F.size("_e") > 0, ahead))
-    op = F.col("_op")
-    used = F.filter(F.slice(F.sequence(F.lit(1), F.size(op)), F.lit(1), F.size(op) - 1), lambda k: F.element_at(op, k + 1) != 0)
-    base = base.withColumn("_back", F.transform(used, lambda k: F.struct(k.alias("lag"), F.element_at(op, k + 1).alias("c"))))
-
-    def restore(history: Column, deltas: Column) -> Column:
-        """Undo the differences of the row's spec by repeated sums."""
-        def step(seen: Column, delta: Column) -> Column:
-            back = lambda r: r["c"] * F.coalesce(F.try_element_at(seen, -r["lag"]), F.lit(0.0))
-            return F.array_append(seen, delta - array_sum(F.transform("_back", back)))
-
-        grown = F.aggregate(deltas, history, step)
-        return F.slice(grown, F.size(history) + 1, F.lit(horizon))
-
-    valid = b2.isNotNull()
-    base = base.withColumn("_yhat", F.when(valid, restore(y, F.col("_ahead"))))
+    base = frame.withColumn("_y", src).withColumn("_spec", spec)
+    base = base.withColumn("_arma", arma.udf(horizon, constrained, trend, multiplicative)("_y", "_spec"))
+    fit = F.col("_arma")
     back_to_level = (lambda c: F.transform(c, lambda x: F.exp(x))) if log else (lambda c: c)
-    base = base.withColumn(out, back_to_level(F.col("_yhat")))
-    columns = [*keep, out]
-    if alpha is not None or keep_fit:
-        n_fit = n - F.col("_first")
-        k = n_ar + n_ma + F.col("_c").cast("int")
-        sse = array_sum(F.transform(F.slice("_e", F.col("_first") + 1, n_fit), lambda x: x * x))
-        base = base.withColumn("_sse", F.when(valid, sse)).withColumn("_n", n_fit).withColumn("_k", k)
-        base = base.withColumn("_sigma", F.sqrt(F.col("_sse") / F.greatest(F.col("_n") - F.col("_k"), F.lit(1))))
+    sigma = F.sqrt(fit["sse"] / F.greatest(fit["n"] - fit["k"], F.lit(1)))
+    columns = {out: back_to_level(fit["yhat"])}
     if alpha is not None:
         z = NormalDist().inv_cdf(1 - alpha / 2)
-        unit = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), horizon))
-        # Response of the differenced series to one unit innovation, then of the level.
-        psi_w = F.aggregate(
-            F.sequence(F.lit(2), F.lit(horizon)), F.array(F.lit(1.0)),
-            lambda h, t: F.array_append(h, dot(phi, _past(h, t, F.col("_ar"))) + dot(theta, _past(unit, t, F.col("_ma")))),
-        )
-        zeros = F.array_repeat(F.lit(0.0), F.size(op))
-        base = base.withColumn("_psi", restore(zeros, psi_w))
-        half = F.transform(
+        base = base.withColumn("_half", F.transform(
             F.sequence(F.lit(1), F.lit(horizon)),
-            lambda h: z * F.col("_sigma") * F.sqrt(array_sum(F.transform(F.slice("_psi", F.lit(1), h), lambda x: x * x))),
-        )
-        base = base.withColumn("_half", half)
-        base = base.withColumn(f"{out}_lo", back_to_level(F.zip_with("_yhat", "_half", lambda a, b: a - b)))
-        base = base.withColumn(f"{out}_hi", back_to_level(F.zip_with("_yhat", "_half", lambda a, b: a + b)))
-        columns += [f"{out}_lo", f"{out}_hi"]
+            lambda h: z * sigma * F.sqrt(array_sum(F.transform(F.slice(fit["psi"], F.lit(1), h), lambda x: x * x))),
+        ))
+        columns[f"{out}_lo"] = back_to_level(F.zip_with(fit["yhat"], "_half", lambda a, b: a - b))
+        columns[f"{out}_hi"] = back_to_level(F.zip_with(fit["yhat"], "_half", lambda a, b: a + b))
     if keep_fit:
-        info = information(F.col("_sse"), F.col("_n"), F.col("_k"))
-        lost = F.size("_y") - n + F.col("_first")
-        blank = F.array_repeat(F.lit(None).cast("double"), lost)
-        errors = F.concat(blank, F.slice("_e", F.col("_first") + 1, n_fit))
-        fitted = F.zip_with("_y", errors, lambda a, e: a - e)
-        base = base.withColumn(
-            f"{out}_fit",
-            F.struct(
-                fitted.alias("fitted"), errors.alias("resid"), info["aic"].alias("aic"), info["bic"].alias("bic"),
-                F.col("_sigma").alias("sigma"), F.col("_phi").alias("ar"), F.col("_theta").alias("ma"),
-            ),
+        info = information(fit["sse"], fit["n"], fit["k"])
+        errors = F.concat(F.array_repeat(F.lit(None).cast("double"), F.size("_y") - fit["n"]), fit["resid"])
+        columns[f"{out}_fit"] = F.struct(
+            F.zip_with("_y", errors, lambda a, e: a - e).alias("fitted"), errors.alias("resid"), info["aic"].alias("aic"),
+            info["bic"].alias("bic"), sigma.alias("sigma"), *[fit[c].alias(c) for c in ("ar", "ma", "ar_lags", "ma_lags", "trend", "error")],
         )
-        columns.append(f"{out}_fit")
-    return base.select(*columns)
+    return base.select(*frame.columns, *[c.alias(name) for name, c in columns.items()])
 
 
 # --- ridge on tabular features -----------------------------------------------------------------

@@ -6,6 +6,8 @@ seasonal-naive scale first, so series of any size share the model.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -13,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidepanel.contract import HORIZON, add_periods
+from tidepanel.models import flat_trees
 from tidepanel.operators.features import LAGS, WINDOWS, step_vector
 from tidepanel.session import ensure_checkpoint_dir
 
@@ -38,30 +41,50 @@ def _scaled(values: Column) -> Column:
     return F.transform(values, lambda x: x / F.col("scale"))
 
 
-def _samples(frame: DataFrame) -> DataFrame:
-    """One training row per period after the warm-up: scaled features and label."""
+def samples(frame: DataFrame, *keep: str) -> DataFrame:
+    """One training row per period after the warm-up: scaled features and label, with the columns ``keep``."""
     n = F.size("train")
     t = F.explode(F.sequence(F.lit(WARM_UP + 1), n))
-    rows = frame.filter(n > WARM_UP).select(_scaled(F.col("train")).alias("z"), "train_dates", t.alias("t"))
+    rows = frame.filter(n > WARM_UP).select(*keep, _scaled(F.col("train")).alias("z"), "train_dates", t.alias("t"))
     return rows.select(
+        *keep,
         array_to_vector(step_vector(F.col("z"), F.col("t"), F.element_at("train_dates", F.col("t")))).alias("features"),
         F.element_at("z", F.col("t")).alias("label"),
     )
 
 
+def usable_values(values: Column) -> Column:
+    """Scaled values, null for series too short to have a training row."""
+    return F.when(F.size(values) > WARM_UP, _scaled(values))
+
+
 def pooled(frame: DataFrame, out: str, estimator, horizon: int = HORIZON, freq: str = "month") -> DataFrame:
     """Fit one estimator on all series of ``frame`` and roll every series forward ``horizon`` steps.
 
-    Each round computes the next feature row from the grown history, so the
-    rounds are narrow projections without a shuffle.  The grown state is
-    checkpointed every few rounds: the plan stays short, and no later filter can
-    be pushed into the chain and repeat its predictions.  Any MLlib regressor can
-    be passed.
+    Trained trees become flat arrays, so all steps are one narrow Python stage without a shuffle or a checkpoint.
+    Other MLlib regressors are applied step by step.
+    """
+    model = estimator.fit(samples(frame))
+    if not flat_trees.is_tree_model(model):
+        return _stepwise(frame, out, model, horizon, freq)
+    values, last = usable_values(F.col("train")), F.element_at("train_dates", -1)
+    made = flat_trees.with_rollouts(frame, "_rolled", {0: {0: flat_trees.ensemble(model)}}, values, last, horizon, freq=freq)
+    return made.withColumn(out, unscaled(F.try_element_at("_rolled", F.lit(0)))).drop("_rolled")
+
+
+def unscaled(values: Column) -> Column:
+    return F.transform(values, lambda x: x * F.col("scale"))
+
+
+def _stepwise(frame: DataFrame, out: str, model, horizon: int, freq: str) -> DataFrame:
+    """Each round computes the next feature row from the grown history and applies the model to it.
+
+    The grown state is checkpointed every few rounds: the plan stays short, and no later filter can be pushed into the
+    chain and repeat its predictions.
     """
     ensure_checkpoint_dir(frame.sparkSession)
-    model = estimator.fit(_samples(frame))
     n = F.size("train")
-    state = frame.withColumn("_z", F.when(n > WARM_UP, _scaled(F.col("train"))))
+    state = frame.withColumn("_z", usable_values(F.col("train")))
     for h in range(1, horizon + 1):
         ts = add_periods(F.element_at("train_dates", -1), F.lit(h), freq)
         # Too short series get a blank feature row and are nulled at the end.
@@ -72,8 +95,21 @@ def pooled(frame: DataFrame, out: str, estimator, horizon: int = HORIZON, freq:
         if h % ROUNDS_PER_CHECKPOINT == 0 or h == horizon:
             state = state.checkpoint()
     tail = F.slice("_z", F.size("_z") - horizon + 1, F.lit(horizon))
-    made = F.when(n > WARM_UP, F.transform(tail, lambda x: x * F.col("scale")))
-    return state.withColumn(out, made).drop("_z")
+    return state.withColumn(out, F.when(n > WARM_UP, unscaled(tail))).drop("_z")
+
+
+class TreeForecaster:
+    """A pooled model of the backtest whose trained form is flat arrays: ``make(seed)`` gives the estimator."""
+
+    def __init__(self, make: Callable[[int], object]) -> None:
+        self.make = make
+
+    def fit(self, rows: DataFrame, seed: int = 42) -> flat_trees.Ensemble:
+        """Train on rows of ``samples``."""
+        return flat_trees.ensemble(self.make(seed).fit(rows))
+
+    def __call__(self, frame: DataFrame, out: str, horizon: int = HORIZON, seed: int = 42) -> DataFrame:
+        return pooled(frame, out, self.make(seed), horizon)
 
 
 def direct(

@@ -11,19 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.contract import HORIZON, SEASON
-from tidepanel.models import registry, trees
+from tidepanel.models import flat_trees, registry, trees
 from tidepanel.models.linear import sarima, spec_name, spec_struct
 from tidepanel.operators import backtest, metrics, reports, splits
-from tidepanel.session import ensure_checkpoint_dir
+from tidepanel.session import ensure_checkpoint_dir, materialised
 from tidepanel.sources import sinks
 
 #: Pooled fits that run at a time.
 FITS_AT_ONCE = 8
+#: Training rows of a partition of a pooled fit.
+ROWS_PER_PARTITION = 50_000
 
 # Models that train one job per fold over all series; a seed is given where the model draws at random.
 POOLED = {
-    "Random Forest": lambda f, out, h, seed=42: trees.pooled(f, out, trees.random_forest(100, 6, seed=seed), h),
-    "XGBoost": lambda f, out, h, seed=42: trees.pooled(f, out, trees.boosted_trees(100, 3, 0.05, seed), h),
+    "Random Forest": trees.TreeForecaster(lambda seed: trees.random_forest(100, 6, seed=seed)),
+    "XGBoost": trees.TreeForecaster(lambda seed: trees.boosted_trees(100, 3, 0.05, seed)),
     "Direct Linear": lambda f, out, h, seed=42: trees.direct(f, out, h),
 }
 # The default model list of the backtest.
@@ -93,26 +95,51 @@ def _pooled_forecasts(
 ) -> DataFrame:
     """``series_id, fold, _pooled``: the forecasts of all pooled fits by their position in ``fits``.
 
-    The fits of different folds and seeds do not depend on each other, so a few run at a time; a map holds
-    one array per fit.
+    The fits of different folds and seeds do not depend on each other, so a few run at a time. Tree models share the
+    stored training rows of their fold, and one stage rolls all of them forward over all folds; a map holds one array
+    per fit.
     """
+    parts = [fit.partition("#") for fit in fits]
+    fitted = [(pooled[model], {"seed": int(seed)} if seed else {}) for model, _, seed in parts]
+    present = sorted(r.fold for r in folds.select("fold").distinct().collect() if r.fold < n_folds)
+    as_arrays = [i for i, (make, _) in enumerate(fitted) if isinstance(make, trees.TreeForecaster)]
+    rows = _training_rows(folds, present) if as_arrays else {}
 
-    def one(k: int, i: int) -> DataFrame:
-        model, _, seed = fits[i].partition("#")
+    def one(k: int, i: int) -> DataFrame | flat_trees.Ensemble | None:
+        make, seed = fitted[i]
         start = time.perf_counter()
-        part = folds.filter(F.col("fold") == k)
-        made = pooled[model](part, "_yhat", horizon, **({"seed": int(seed)} if seed else {}))
+        if i in as_arrays:
+            made = make.fit(rows[k], **seed) if rows[k] is not None else None
+        else:
+            made = make(folds.filter(F.col("fold") == k), "_yhat", horizon, **seed)
+            made = made.select("series_id", "fold", F.lit(i).alias("fit"), "_yhat")
         if seconds is not None:
-            seconds.append((model, k, int(seed) if seed else None, time.perf_counter() - start))
-        return made.select("series_id", "fold", F.lit(i).alias("fit"), "_yhat")
+            seconds.append((parts[i][0], k, seed.get("seed"), time.perf_counter() - start))
+        return made
 
-    present = sorted(r.fold for r in folds.select("fold").distinct().collect() if r.fold < n_folds)
     with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
-        made = list(pool.map(lambda x: one(*x), [(k, i) for k in present for i in range(len(fits))]))
-    if not made:
+        jobs = [(k, i) for k in present for i in range(len(fits))]
+        made = dict(zip(jobs, pool.map(lambda x: one(*x), jobs)))
+    long = [m for m in made.values() if isinstance(m, DataFrame)]
+    if as_arrays:
+        models = {k: {i: made[k, i] for i in as_arrays if made[k, i] is not None} for k in present}
+        some = folds.filter(F.col("fold").isin(present))
+        rolled = flat_trees.with_rollouts(
+            some, "_rolled", models, trees.usable_values(F.col("train")), F.element_at("train_dates", -1), horizon, F.col("fold")
+        )
+        long.append(rolled.select("series_id", "fold", "scale", F.explode("_rolled").alias("fit", "z")).select("series_id", "fold", "fit", trees.unscaled(F.col("z")).alias("_yhat")))
+    if not long:
         return folds.limit(0).select("series_id", "fold", F.lit(None).cast("map<int,array<double>>").alias("_pooled"))
-    long = reduce(DataFrame.unionByName, made).filter(F.col("_yhat").isNotNull())
-    return long.groupBy("series_id", "fold").agg(F.map_from_entries(F.collect_list(F.struct("fit", "_yhat"))).alias("_pooled"))
+    whole = reduce(DataFrame.unionByName, long).filter(F.col("_yhat").isNotNull())
+    return whole.groupBy("series_id", "fold").agg(F.map_from_entries(F.collect_list(F.struct("fit", "_yhat"))).alias("_pooled"))
+
+
+def _training_rows(folds: DataFrame, present: Sequence[int]) -> dict[int, DataFrame | None]:
+    """Stored training rows of each fold, in partitions of about ROWS_PER_PARTITION; None for a fold without any."""
+    rows = materialised(trees.samples(folds.filter(F.col("fold").isin(list(present))), "fold"))
+    sizes = {r.fold: r["count"] for r in rows.groupBy("fold").count().collect()}
+    part = lambda k: rows.filter(F.col("fold") == k).select("features", "label").coalesce(1 + sizes[k] // ROWS_PER_PARTITION)
+    return {k: part(k) if sizes.get(k) else None for k in present}
 
 
 def run_backtest(
