@@ -133,6 +133,7 @@ def sarima(
     log: bool = False,
     trend: str | None = None,
     multiplicative: bool = False,
+    errors: bool = False,
 ) -> DataFrame:
     """Seasonal ARIMA forecast of ``train`` by two least-squares stages (Hannan-Rissanen); see ``arma``.
 
@@ -145,7 +146,8 @@ def sarima(
 
     ``constrained`` shrinks an explosive autoregressive part and makes the moving average invertible; ``alpha`` adds
     ``<out>_lo`` and ``<out>_hi``; ``keep_fit`` adds ``<out>_fit`` (``fitted, resid, aic, bic, sigma, ar, ma, ar_lags,
-    ma_lags, trend, error``); ``log`` works on logarithms.  A series that cannot be fitted has a null forecast and its reason in ``error``.
+    ma_lags, trend, error``); ``log`` works on logarithms.  A series that cannot be fitted has a null forecast and its reason in ``error``;
+    ``errors`` adds the reason as ``<out>_error``.
     """
     src = F.transform("train", lambda x: F.ln(x)) if log else F.col("train")
     base = frame.withColumn("_y", src).withColumn("_spec", spec)
@@ -162,11 +164,13 @@ def sarima(
         ))
         columns[f"{out}_lo"] = back_to_level(F.zip_with(fit["yhat"], "_half", lambda a, b: a - b))
         columns[f"{out}_hi"] = back_to_level(F.zip_with(fit["yhat"], "_half", lambda a, b: a + b))
+    if errors:
+        columns[f"{out}_error"] = fit["error"]
     if keep_fit:
         info = information(fit["sse"], fit["n"], fit["k"])
-        errors = F.concat(F.array_repeat(F.lit(None).cast("double"), F.size("_y") - fit["n"]), fit["resid"])
+        resid = F.concat(F.array_repeat(F.lit(None).cast("double"), F.size("_y") - fit["n"]), fit["resid"])
         columns[f"{out}_fit"] = F.struct(
-            F.zip_with("_y", errors, lambda a, e: a - e).alias("fitted"), errors.alias("resid"), info["aic"].alias("aic"),
+            F.zip_with("_y", resid, lambda a, e: a - e).alias("fitted"), resid.alias("resid"), info["aic"].alias("aic"),
             info["bic"].alias("bic"), sigma.alias("sigma"), *[fit[c].alias(c) for c in ("ar", "ma", "ar_lags", "ma_lags", "trend", "error")],
         )
     return base.select(*frame.columns, *[c.alias(name) for name, c in columns.items()])

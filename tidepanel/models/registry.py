@@ -1,7 +1,8 @@
 """Named forecasters.
 
 A forecaster is a function ``(frame, out) -> frame`` that adds an array column
-``out`` with the forecast of ``train``; null means the series was refused.  New
+``out`` with the forecast of ``train``; null means the series was refused.  A
+column ``<out>_error`` beside it may hold the reason.  New
 ones are added with ``register``; a plain Python function on one series comes in
 through ``python_forecaster``.
 """
@@ -32,6 +33,7 @@ Forecaster = Callable[[DataFrame, str], DataFrame]
 # Default orders.
 ARIMA_ORDER = (1, 1, 1)
 SARIMA_ORDER, SARIMA_SEASONAL = (1, 1, 1), (1, 1, 0, 12)
+RIDGE_PENALTY = 1.0
 
 
 def from_expression(make: Callable[[Column], Column]) -> Forecaster:
@@ -47,11 +49,13 @@ def holt_winters_with_fallback(frame: DataFrame, out: str, horizon: int = HORIZO
     return made.withColumn(out, F.coalesce(F.col(out), holt_winters(left, horizon, damped=True, season=season)["yhat"]))
 
 
-def default_forecasters(horizon: int = HORIZON, season: int = SEASON, spec: Column | None = None) -> dict[str, Forecaster]:
+def default_forecasters(
+    horizon: int = HORIZON, season: int = SEASON, spec: Column | None = None, penalty: Column | float = RIDGE_PENALTY
+) -> dict[str, Forecaster]:
     """The models that are fitted per series without a pooled training job.
 
     ``spec`` is a column with the orders of each row (chosen per series); the
-    default orders apply where it is null.
+    default orders apply where it is null.  ``penalty`` is that of the ridge regression.
     """
     default = spec_struct(SARIMA_ORDER, SARIMA_SEASONAL)
     orders = default if spec is None else F.coalesce(spec, default)
@@ -59,9 +63,9 @@ def default_forecasters(horizon: int = HORIZON, season: int = SEASON, spec: Colu
         "Naive": from_expression(lambda y: baseline.naive(y, horizon)),
         "Seasonal Naive": from_expression(lambda y: baseline.seasonal_naive(y, horizon, season)),
         "Holt-Winters": lambda f, out: holt_winters_with_fallback(f, out, horizon, season),
-        "ARIMA(1,1,1)": lambda f, out: sarima(f, out, spec_struct(ARIMA_ORDER, (0, 0, 0, season)), horizon),
-        "SARIMA": lambda f, out: sarima(f, out, orders, horizon),
-        "Ridge": lambda f, out: ridge(f, out, horizon),
+        "ARIMA(1,1,1)": lambda f, out: sarima(f, out, spec_struct(ARIMA_ORDER, (0, 0, 0, season)), horizon, multiplicative=True, errors=True),
+        "SARIMA": lambda f, out: sarima(f, out, orders, horizon, multiplicative=True, errors=True),
+        "Ridge": lambda f, out: ridge(f, out, horizon, alpha=penalty),
     }
 
 
@@ -69,7 +73,7 @@ def default_refits(horizon: int = HORIZON, spec: Column | None = None) -> dict[s
     """Constrained refits tried before the seasonal naive fallback."""
     default = spec_struct(SARIMA_ORDER, SARIMA_SEASONAL)
     orders = default if spec is None else F.coalesce(spec, default)
-    return {"SARIMA": lambda f, out: sarima(f, out, orders, horizon, constrained=True)}
+    return {"SARIMA": lambda f, out: sarima(f, out, orders, horizon, multiplicative=True, constrained=True)}
 
 
 def extra_forecasters(horizon: int = HORIZON, season: int = SEASON) -> dict[str, Forecaster]:
@@ -167,24 +171,34 @@ def register(name: str, forecaster: Forecaster) -> None:
 
 
 def python_forecaster(fit_predict: Callable[[np.ndarray, int], Sequence[float]], horizon: int = HORIZON) -> Forecaster:
-    """Wrap ``fit_predict(values, steps)`` of one series; errors become a null forecast."""
+    """Wrap ``fit_predict(values, steps)`` of one series; an error becomes a null forecast and its text the reason."""
+    result = T.StructType().add("yhat", T.ArrayType(T.DoubleType())).add("error", T.StringType())
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(result)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         def one(values):
             try:
-                return np.asarray(fit_predict(np.asarray(values, dtype=float), horizon), dtype=float)
-            except Exception:  # noqa: BLE001 - a refused series is a null forecast
-                return None
+                return np.asarray(fit_predict(np.asarray(values, dtype=float), horizon), dtype=float), None
+            except Exception as why:  # noqa: BLE001 - a refused series is a null forecast with its reason
+                return None, f"{type(why).__name__}: {why}"
 
         for batch in batches:
-            yield batch.map(one)
+            made = [one(values) for values in batch]
+            yield pd.DataFrame({name: pd.Series([m[i] for m in made], dtype=object) for i, name in enumerate(result.names)})
 
-    return from_expression(run.asNondeterministic())
+    udf = run.asNondeterministic()
 
+    def make(frame: DataFrame, out: str) -> DataFrame:
+        made = frame.withColumn("_made", udf("train"))
+        return made.withColumn(out, F.col("_made.yhat")).withColumn(f"{out}_error", F.col("_made.error")).drop("_made")
 
-def all_forecasters(horizon: int = HORIZON, season: int = SEASON, spec: Column | None = None) -> dict[str, Forecaster]:
-    return {**default_forecasters(horizon, season, spec), **extra_forecasters(horizon, season), **_REGISTERED}
+    return make
+
+
+def all_forecasters(
+    horizon: int = HORIZON, season: int = SEASON, spec: Column | None = None, penalty: Column | float = RIDGE_PENALTY
+) -> dict[str, Forecaster]:
+    return {**default_forecasters(horizon, season, spec, penalty), **extra_forecasters(horizon, season), **_REGISTERED}
 
 
 def add_forecasts(frame: DataFrame, forecasters: dict[str, Forecaster], prefix: str = "forecast") -> tuple[DataFrame, dict[str, str]]:

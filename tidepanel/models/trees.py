@@ -99,17 +99,30 @@ def _stepwise(frame: DataFrame, out: str, model, horizon: int, freq: str) -> Dat
 
 
 class TreeForecaster:
-    """A pooled model of the backtest whose trained form is flat arrays: ``make(seed)`` gives the estimator."""
+    """A pooled model of the backtest whose trained form is flat arrays: ``make(seed=..., **params)`` gives the estimator.
 
-    def __init__(self, make: Callable[[int], object]) -> None:
-        self.make = make
+    ``defaults`` are the parameters that a table of tuned ones may change per series.
+    """
+
+    def __init__(self, make: Callable[..., object], **defaults: float) -> None:
+        self.make, self.defaults = make, defaults
+
+    def estimator(self, seed: int = 42, **params: float):
+        whole = {k: int(v) if isinstance(self.defaults[k], int) else float(v) for k, v in {**self.defaults, **params}.items()}
+        return self.make(seed=seed, **whole)
 
-    def fit(self, rows: DataFrame, seed: int = 42) -> flat_trees.Ensemble:
+    def fit(self, rows: DataFrame, seed: int = 42, **params: float) -> flat_trees.Ensemble:
         """Train on rows of ``samples``."""
-        return flat_trees.ensemble(self.make(seed).fit(rows))
+        return flat_trees.ensemble(self.estimator(seed, **params).fit(rows))
 
     def __call__(self, frame: DataFrame, out: str, horizon: int = HORIZON, seed: int = 42) -> DataFrame:
-        return pooled(frame, out, self.make(seed), horizon)
+        return pooled(frame, out, self.estimator(seed), horizon)
+
+    def with_fitted(self, frame: DataFrame, out: str, seed: int = 42) -> DataFrame:
+        """Add ``out``, the one-step predictions of the training rows by a fit on them; null for the first ones."""
+        model = self.estimator(seed).fit(samples(frame))
+        made = flat_trees.with_fitted(frame, "_fitted", flat_trees.ensemble(model), usable_values(F.col("train")), F.col("train_dates"))
+        return made.withColumn(out, unscaled(F.col("_fitted"))).drop("_fitted")
 
 
 def direct(
@@ -164,6 +177,22 @@ def direct(
     return state.withColumn(out, F.when(n >= past, steps)).select(*frame.columns, out)
 
 
+def direct_fitted(frame: DataFrame, out: str, horizon: int = HORIZON, past: int = 12) -> DataFrame:
+    """Add ``out``, the first step of the direct regression at every period that has ``past`` values before it."""
+    n = F.size("train")
+    lo, hi = F.array_min("train"), F.array_max("train")
+    base = frame.withColumn("_lo", lo).withColumn("_range", F.when(hi > lo, hi - lo).otherwise(1.0))
+    base = base.withColumn("_z", F.transform("train", lambda x: (x - F.col("_lo")) / F.col("_range")))
+    windows = base.filter(n >= past + horizon).select("_z", F.explode(F.sequence(F.lit(past), n - horizon)).alias("t"))
+    samples = windows.select(F.slice("_z", F.col("t") - past + 1, F.lit(past)).alias("x"), F.slice("_z", F.col("t") + 1, F.lit(horizon)).alias("ahead"))
+    bias, *weights = _multi_output_weights(samples, past, horizon)[0]
+    w = F.array(*map(F.lit, weights))
+    step = lambda t: F.aggregate(F.zip_with(w, F.slice("_z", t - past, F.lit(past)), lambda a, b: a * b), F.lit(bias), lambda a, v: a + v)
+    made = F.transform(F.sequence(F.lit(past + 1), n), lambda t: step(t) * F.col("_range") + F.col("_lo"))
+    blank = F.array_repeat(F.lit(None).cast("double"), past)
+    return base.withColumn(out, F.when(n > past, F.concat(blank, made))).select(*frame.columns, out)
+
+
 def _refed(frame: DataFrame, out: str, horizon: int, past: int, trained: int) -> DataFrame:
     """Direct blocks of ``trained`` steps; each block's window ends with the blocks before it."""
     n = F.size("train")
@@ -208,3 +237,13 @@ def _multi_output_weights(samples: DataFrame, past: int, horizon: int, alpha: fl
                 gram[j, i] = gram[i, j]
     penalty = alpha * row[-1] * np.diag([0.0] + [1.0] * past)
     return np.linalg.solve(gram[:, :k] + penalty, gram[:, k:]).T.tolist()
+
+
+#: The tree models of the backtest.
+TREE_MODELS = {
+    "Random Forest": TreeForecaster(lambda seed, n_estimators, max_depth: random_forest(n_estimators, max_depth, seed=seed), n_estimators=100, max_depth=6),
+    "XGBoost": TreeForecaster(
+        lambda seed, n_estimators, max_depth, learning_rate: boosted_trees(n_estimators, max_depth, learning_rate, seed),
+        n_estimators=100, max_depth=3, learning_rate=0.05,
+    ),
+}

@@ -71,7 +71,8 @@ def guarded_models(
 
     ``forecasts`` maps model name to the array column with its forecast, a name
     ``"model#seed"`` marks one seed of a stochastic model.  ``yhat`` is null where
-    no stage was plausible (see ``failures``).
+    no stage was plausible (see ``failures``).  ``error`` is the reason that the first stage gave, if it has one in
+    ``<column>_error``, also where a later stage stepped in.
     """
     plain = {name.partition("#")[0]: F.col(c) for name, c in forecasts.items()}
     refit_columns = {m: F.col(c) for m, c in (refits or {}).items()}
@@ -84,6 +85,7 @@ def guarded_models(
                 F.lit(model).alias("model"),
                 F.lit(int(seed) if seed else None).cast("int").alias("seed"),
                 guarded(chain, F.col("train"), horizon).alias("g"),
+                (F.col(f"{column}_error") if f"{column}_error" in frame.columns else F.lit(None).cast("string")).alias("error"),
             )
         )
     keep = [c for c in ("series_id", "fold", "origin", "train", "test", "test_dates", "scale") if c in frame.columns]
@@ -94,13 +96,16 @@ def guarded_models(
         "m.seed",
         F.coalesce(F.col("m.g.yhat"), F.lit(None).cast("array<double>")).alias("yhat"),
         F.col("m.g.fallback").alias("fallback"),
+        F.col("m.error").alias("error"),
     )
 
 
 def failures(model_rows: DataFrame) -> DataFrame:
-    """Fits for which no stage gave a plausible forecast."""
+    """Fits for which no stage gave a plausible forecast, with the reason of the first stage where it gave one."""
     bad = model_rows.filter(F.col("yhat").isNull())
-    return bad.select("series_id", "fold", "model", "seed", F.lit("no plausible forecast produced").alias("error"))
+    reason = F.lit("no plausible forecast produced")
+    reason = F.coalesce(F.col("error"), reason) if "error" in model_rows.columns else reason
+    return bad.select("series_id", "fold", "model", "seed", reason.alias("error"))
 
 
 def all_failures(folds: DataFrame, model_rows: DataFrame, models: Sequence[str], seeds: Sequence[int | None]) -> DataFrame:

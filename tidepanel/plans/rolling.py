@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepanel.contract import HORIZON, SEASON
-from tidepanel.models import flat_trees, registry, trees
+from tidepanel.models import flat_trees, registry, selection, trees
 from tidepanel.models.linear import sarima, spec_name, spec_struct
 from tidepanel.operators import backtest, metrics, reports, splits
 from tidepanel.session import ensure_checkpoint_dir, materialised
@@ -23,11 +23,7 @@ FITS_AT_ONCE = 8
 ROWS_PER_PARTITION = 50_000
 
 # Models that train one job per fold over all series; a seed is given where the model draws at random.
-POOLED = {
-    "Random Forest": trees.TreeForecaster(lambda seed: trees.random_forest(100, 6, seed=seed)),
-    "XGBoost": trees.TreeForecaster(lambda seed: trees.boosted_trees(100, 3, 0.05, seed)),
-    "Direct Linear": lambda f, out, h, seed=42: trees.direct(f, out, h),
-}
+POOLED = {**trees.TREE_MODELS, "Direct Linear": lambda f, out, h, seed=42: trees.direct(f, out, h)}
 # The default model list of the backtest.
 BACKTEST_SUITE = (
     "Naive", "Seasonal Naive", "Holt-Winters", "Holt-Winters (Damped)", "AR(1)", "ARIMA(1,1,1)", "SARIMA", "Ridge",
@@ -40,6 +36,25 @@ def with_specs(folds: DataFrame, specs: DataFrame | None) -> DataFrame:
     return folds if specs is None else folds.join(specs, "series_id", "left")
 
 
+def with_model_params(folds: DataFrame, params: Mapping[str, DataFrame] | None, pooled: Mapping[str, Callable] = POOLED) -> DataFrame:
+    """Attach ``tuned``, a map from model to the parameters of each series, where a series has some of its own.
+
+    ``params`` has a table per model, with ``series_id`` and columns named as the model's parameters.
+    """
+    if not params:
+        return folds
+    routes = None
+    for model, table in params.items():
+        defaults = {"alpha": registry.RIDGE_PENALTY} if model == "Ridge" else getattr(pooled.get(model), "defaults", None)
+        if not defaults:
+            raise ValueError(f"{model!r} takes no parameters per series")
+        own = selection.with_params(table.select("series_id").distinct(), table, defaults)
+        pairs = [x for name in defaults for x in (F.lit(name), F.col(name).cast("double"))]
+        route = own.select("series_id", F.struct(F.lit(model).alias("key"), F.create_map(*pairs).alias("value")).alias("entry"))
+        routes = route if routes is None else routes.unionByName(route)
+    return folds.join(routes.groupBy("series_id").agg(F.map_from_entries(F.collect_list("entry")).alias("tuned")), "series_id", "left")
+
+
 def fit_names(models: Sequence[str], seeds: Sequence[int] | None) -> list[str]:
     """``model`` or, for each seed of a pooled model that draws at random, ``model#seed``."""
     seeded = lambda m: seeds is not None and m in POOLED and m in backtest.SEEDED_MODELS
@@ -64,7 +79,9 @@ def model_rows(
     (model, fold, seed, seconds) of the pooled fits.
     """
     spec = F.col("spec") if "spec" in folds.columns else None
-    makers = registry.all_forecasters(horizon, season, spec)
+    tuned = "tuned" in folds.columns
+    penalty = F.coalesce(F.try_element_at(F.try_element_at("tuned", F.lit("Ridge")), F.lit("alpha")), F.lit(registry.RIDGE_PENALTY)) if tuned else registry.RIDGE_PENALTY
+    makers = registry.all_forecasters(horizon, season, spec, penalty)
     unknown = [m for m in models if m not in makers and m not in pooled]
     if unknown:
         raise ValueError(f"unknown models {unknown}; known: {sorted([*makers, *pooled])}")
@@ -73,9 +90,18 @@ def model_rows(
     fits = fit_names([m for m in models if m in pooled], seeds)
     wide, columns = folds, {}
     if fits:
-        wide = folds.join(_pooled_forecasts(folds, fits, horizon, n_folds, pooled, seconds), ["series_id", "fold"], "left")
+        sets = _parameter_sets(folds, pooled) if tuned else {}
+        every = [(name, own) for name in fits for own in [{}, *sets.get(name.partition("#")[0], [])]]
+        wide = folds.join(_pooled_forecasts(folds, every, horizon, n_folds, pooled, seconds), ["series_id", "fold"], "left")
         for i, name in enumerate(fits):
-            wide = wide.withColumn(f"pooled_{i}", F.try_element_at("_pooled", F.lit(i)))
+            # A series takes the fit of its own parameters, else that of the defaults.
+            fit = F.lit(every.index((name, {})))
+            for k, (other, own) in enumerate(every):
+                if other == name and own:
+                    mine = F.try_element_at("tuned", F.lit(name.partition("#")[0]))
+                    same = [F.try_element_at(mine, F.lit(p)) == F.lit(float(v)) for p, v in own.items()]
+                    fit = F.when(reduce(lambda a, b: a & b, same), F.lit(k)).otherwise(fit)
+            wide = wide.withColumn(f"pooled_{i}", F.try_element_at("_pooled", fit))
             columns[name] = f"pooled_{i}"
         wide = wide.drop("_pooled")
     wide, made = registry.add_forecasts(wide, {m: makers[m] for m in [*names, *helpers]})
@@ -89,18 +115,31 @@ def model_rows(
     return rows.filter(F.col("model").isin(*models))
 
 
+def _parameter_sets(folds: DataFrame, pooled: Mapping[str, Callable]) -> dict[str, list[dict[str, float]]]:
+    """The distinct parameters of each pooled model; they come from a search grid, so they are few."""
+    routes = folds.where("tuned IS NOT NULL").select(F.explode("tuned").alias("model", "params")).where(F.col("model").isin(list(pooled)))
+    names = sorted({p for m in pooled.values() for p in getattr(m, "defaults", {})})
+    rows = routes.select("model", *[F.try_element_at("params", F.lit(p)).alias(p) for p in names]).distinct().collect()
+    out: dict[str, list[dict[str, float]]] = {}
+    for r in rows:
+        own = {p: r[p] for p in pooled[r.model].defaults}
+        if own != {k: float(v) for k, v in pooled[r.model].defaults.items()}:
+            out.setdefault(r.model, []).append(own)
+    return {m: sorted(v, key=lambda d: sorted(d.items())) for m, v in out.items()}
+
+
 def _pooled_forecasts(
-    folds: DataFrame, fits: Sequence[str], horizon: int, n_folds: int, pooled: Mapping[str, Callable],
+    folds: DataFrame, fits: Sequence[tuple[str, dict[str, float]]], horizon: int, n_folds: int, pooled: Mapping[str, Callable],
     seconds: list[tuple[str, int, int | None, float]] | None,
 ) -> DataFrame:
-    """``series_id, fold, _pooled``: the forecasts of all pooled fits by their position in ``fits``.
+    """``series_id, fold, _pooled``: the forecasts of all pooled fits (name, own parameters) by their position in ``fits``.
 
     The fits of different folds and seeds do not depend on each other, so a few run at a time. Tree models share the
     stored training rows of their fold, and one stage rolls all of them forward over all folds; a map holds one array
     per fit.
     """
-    parts = [fit.partition("#") for fit in fits]
-    fitted = [(pooled[model], {"seed": int(seed)} if seed else {}) for model, _, seed in parts]
+    parts = [name.partition("#") for name, _ in fits]
+    fitted = [(pooled[model], ({"seed": int(seed)} if seed else {}) | own) for (model, _, seed), (_, own) in zip(parts, fits)]
     present = sorted(r.fold for r in folds.select("fold").distinct().collect() if r.fold < n_folds)
     as_arrays = [i for i, (make, _) in enumerate(fitted) if isinstance(make, trees.TreeForecaster)]
     rows = _training_rows(folds, present) if as_arrays else {}
@@ -155,16 +194,19 @@ def run_backtest(
     key_pairs: Sequence[tuple[str, str]] = backtest.KEY_PAIRS,
     seeds: Sequence[int] | None = backtest.SEEDS,
     pooled: Mapping[str, Callable] = POOLED,
+    params: Mapping[str, DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
     """Rolling-origin backtest with summary, paired comparisons, failures, rejected series and fit seconds.
 
-    Models that draw at random are fitted once per seed; ``seeds=None`` fits them once.
+    Models that draw at random are fitted once per seed; ``seeds=None`` fits them once.  ``params`` has tables of tuned
+    parameters by model (see ``with_model_params``): a pooled model is fitted once more for each distinct set, and a
+    series takes the forecast of its own.
 
     The forecasts are written once; every report reads that table, so models are
     fitted once and no report depends on executor memory surviving.
     """
     spark: SparkSession = panel.sparkSession
-    folds = with_specs(splits.packed_folds(panel, n_folds, horizon, min_train, season), specs)
+    folds = with_model_params(with_specs(splits.packed_folds(panel, n_folds, horizon, min_train, season), specs), params, pooled)
     folds.write.mode("overwrite").parquet(f"{out_dir}/_folds")
     folds = spark.read.parquet(f"{out_dir}/_folds")
     seconds: list[tuple[str, int, int | None, float]] = []

@@ -56,6 +56,23 @@ def pick_series(panel: DataFrame, name: str) -> DataFrame:
     return exact.orderBy("ts")
 
 
+def read_series(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """Rows of one title in time order from the layout of ``sinks.write_per_series``.
+
+    The slug is a partition of that layout, so the files of other titles are not opened. Of titles with one slug the one
+    of the same name, ignoring case, is taken, else all of them. Raises ``ValueError`` when there is none.
+    """
+    types = [f.split()[1] for f in PANEL_SCHEMA.split(", ")]
+    published = ", ".join(f"`{c}` {t}" for c, t in zip(CANONICAL_COLUMNS, types))
+    stored = spark.read.option("header", True).schema(f"{published}, slug string").csv(path)
+    rows = stored.filter(F.col("slug") == slug(F.lit(name))).drop("slug").toDF(*PANEL_COLUMNS)
+    exact = rows.filter(F.lower("series_id") == F.lower(F.trim(F.lit(name))))
+    found = exact if exact.take(1) else rows
+    if found is rows and not rows.take(1):
+        raise ValueError(f"no series named {name!r} under {path}")
+    return found.orderBy("ts")
+
+
 def list_series(panel: DataFrame) -> DataFrame:
     """Sorted distinct series names."""
     return panel.select("series_id").distinct().orderBy("series_id")
