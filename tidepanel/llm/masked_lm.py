@@ -31,8 +31,8 @@ ROUNDS, RATE, BATCH = 1, 0.4, 3072
 TASKS_PER_CORE = 1
 #: Weights averaged in one task.
 FAN_IN = 8
-#: Ends of words in the table of byte pairs.
-STOP = 256
+#: Ends of words in the table of byte pairs, and in joined words.
+STOP, BLANK = 256, 0x20
 
 COUNTS = fields(word="binary", n="long")
 PAIRS = fields(cell="int", n="long")
@@ -131,16 +131,33 @@ def _byte_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(values)], names=PAIRS.names)
 
 
-def spelt(word: bytes, pairs: np.ndarray) -> float:
-    """log P(word | its first byte)."""
-    return float(pairs[list(word), [*word[1:], STOP]].sum())
+def spelt(rare: list[bytes], pairs: np.ndarray) -> np.ndarray:
+    """log P(word | its first byte) of each word; no word holds a blank, which marks the ends here."""
+    if not rare:
+        return np.empty(0)
+    table = np.zeros((STOP, STOP))
+    table[:] = pairs[:, :STOP]
+    table[:, BLANK] = pairs[:, STOP]
+    table[BLANK] = 0
+    flat = np.frombuffer(b" ".join([*rare, b""]), dtype=np.uint8)
+    total = np.r_[0, np.cumsum(table[flat[:-1], flat[1:]])]
+    ends = np.flatnonzero(flat == BLANK)
+    return total[ends] - total[np.r_[0, ends[:-1] + 1]]
 
 
-def numbers(vocab: list[tuple[bytes, int]]) -> dict[bytes, int]:
+class Numbers(dict):
+    """Numbers of words; one without its own has the shared number of its first byte, at the end of a class."""
+
+    def __missing__(self, word: bytes) -> int:
+        per = SHARED // CLASSES
+        return word[0] // per * MEMBERS + MEMBERS - per + word[0] % per
+
+
+def numbers(vocab: list[tuple[bytes, int]]) -> Numbers:
     """Word -> class * MEMBERS + member. Words go, most frequent first, to the lightest class with room."""
     mass, size = np.zeros(CLASSES), np.zeros(CLASSES, dtype=int)
     room = np.full(CLASSES, MEMBERS - SHARED // CLASSES)
-    out = {}
+    out = Numbers()
     for word, n in vocab:
         k = int(np.argmin(np.where(size < room, mass, np.inf)))
         out[word] = k * MEMBERS + int(size[k])
@@ -150,18 +167,13 @@ def numbers(vocab: list[tuple[bytes, int]]) -> dict[bytes, int]:
 
 
 def encode(texts: list[str | None], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers of all texts, each between pads; texts' token counts). Shared numbers fill the classes' ends."""
-    ids, sizes = [PAD] * SIDE, []
-    per = SHARED // CLASSES
+    """(numbers of all texts, each between pads; texts' token counts)."""
+    number, gap = Numbers(known).__getitem__ if not isinstance(known, Numbers) else known.__getitem__, [PAD] * SIDE
+    ids, sizes = list(gap), []
     for text in texts:
         row = words(text)
-        for w in row:
-            k = known.get(w)
-            if k is None:
-                h = w[0]
-                k = h // per * MEMBERS + MEMBERS - per + h % per
-            ids.append(k)
-        ids += [PAD] * SIDE
+        ids += map(number, row)
+        ids += gap
         sizes.append(len(row))
     return np.asarray(ids, dtype=np.int32), np.asarray(sizes, dtype=np.int64)
 
@@ -241,8 +253,8 @@ class Window:
 def log_probabilities(w: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
     """log P(word | both sides) of every token that is no pad, in order; ``ids`` has SIDE pads at both ends."""
     out = np.zeros(max(0, len(ids) - 2 * SIDE), dtype=np.float64)
-    for lo in range(0, len(out), 4 * BATCH):
-        part = Window(w, ids[lo : lo + 4 * BATCH + 2 * SIDE])
+    for lo in range(0, len(out), BATCH):
+        part = Window(w, ids[lo : lo + BATCH + 2 * SIDE])
         rows = np.arange(len(part.at))
         got = 0.0
         for z, target in zip(part.exponentials(w), (part.kind, part.member)):
@@ -408,22 +420,19 @@ def score(
 
     def prepare():
         w = unpack(flat)
-        seen: dict[bytes, float] = {}
-
-        def bytes_of(word: bytes) -> float:
-            if word not in seen:
-                if len(seen) > 500_000:
-                    seen.clear()
-                seen[word] = spelt(word, pairs)
-            return seen[word]
+        per = SHARED // CLASSES
 
         def work(texts: list) -> list:
             ids, sizes = encode(texts, known)
-            total = np.r_[0, np.cumsum(log_probabilities(w, ids))]
+            got = log_probabilities(w, ids)
+            if pairs is not None:
+                inner = ids[ids != PAD]
+                rare = np.flatnonzero(inner % MEMBERS >= MEMBERS - per)
+                every = [x for t in texts for x in words(t)]
+                got[rare] += spelt([every[i] for i in rare.tolist()], pairs)
+            total = np.r_[0, np.cumsum(got)]
             ends = np.cumsum(sizes)
             summed = total[ends] - total[ends - sizes]
-            if pairs is not None:
-                summed = summed + [sum(bytes_of(x) for x in words(t) if x not in known) for t in texts]
             return [sizes, summed, [s / n if n else None for s, n in zip(summed, sizes)]]
 
         return work
