@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.base import BRA, DAY, HOUR, NAT, POS, PRI, R, W, query, rounded
@@ -14,7 +15,7 @@ from tidepanel.models.fitted import fitted_values
 from tidepanel.models.linear import ar, ridge, sarima, spec_struct
 from tidepanel.models.smoothing import holt_winters
 from tidepanel.operators import backtest, decomposition, diagnostics, splits
-from tidepanel.plans.rolling import intervals, model_rows
+from tidepanel.plans.rolling import BACKTEST_SUITE, intervals, model_rows, with_model_params
 from tidepanel.sources import tables
 
 H = 12
@@ -391,7 +392,7 @@ def fitted_residuals(spark, d):
 
 @query("fitted_models")
 def fitted_models(spark, d):
-    return fitted_values(one_fold(spark, d), ("Holt-Winters", "AR(1)", "ARIMA(1,1,1)", "SARIMA", "Ridge"))
+    return fitted_values(one_fold(spark, d), (*BACKTEST_SUITE, "Log + SARIMA"))
 
 
 # --- autoregression, smoothing -----------------------------------------------------------------
@@ -626,8 +627,7 @@ def boosted_forecast(spark, d):
 
 @query("boosted_tuning")
 def boosted_tuning(spark, d):
-    grid = ((5, 2, 0.1), (10, 3, 0.1))
-    return selection.tune_boosted(one_fold(spark, d, tables.brand_ship_month, hold_out=H), grid)
+    return selection.tune_boosted(one_fold(spark, d, tables.brand_ship_month, hold_out=H))
 
 
 @query(
@@ -658,28 +658,83 @@ def params_lookup(spark, d):
 
 # --- whole guarded backtest ----------------------------------------------------------------------
 
-@query("guarded_backtest_metrics")
-def guarded_backtest_metrics(spark, d):
-    folds = splits.packed_folds(tables.orders_priority_month(spark, d), n_folds=2)
-    models = ("Naive", "Seasonal Naive", "Holt-Winters", "ARIMA(1,1,1)", "SARIMA", "Ridge")
-    return backtest.fold_metrics(backtest.forecast_rows(model_rows(folds, models)))
+_SUITE = ", ".join(f"'{m}'" for m in BACKTEST_SUITE)
 
 
-def _seeded(f, out, h, seed=0):
-    """A pooled stand-in that costs nothing: seasonal naive, moved by the seed in per cent."""
-    return f.withColumn(out, F.transform(baseline.seasonal_naive(F.col("train"), h), lambda x: x * (1 + F.lit(float(seed)) / 100)))
+@query(
+    "guarded_backtest_metrics",
+    f"""WITH {fold_ctes(PRI, 4)}, u AS (SELECT DISTINCT series_id, fold FROM te), m AS (SELECT unnest([{_SUITE}]) AS model)
+    SELECT u.series_id, cast(u.fold as integer) AS fold, m.model, 12 AS steps, {R('mae', 2)} AS naive_mae, {R('mase', 4)} AS naive_mase
+    FROM u CROSS JOIN m LEFT JOIN mt ON mt.series_id = u.series_id AND mt.fold = u.fold AND mt.model = m.model""",
+)
+def guarded_backtest_metrics(spark, d):
+    """The whole suite over four folds with real pooled fits: every model has all steps of every fold, and the errors of the naive models."""
+    folds = splits.packed_folds(tables.orders_priority_month(spark, d))
+    rows = backtest.forecast_rows(model_rows(folds, BACKTEST_SUITE, n_folds=4))
+    finite = F.col("yhat").isNotNull() & ~F.isnan("yhat")
+    steps = rows.groupBy("series_id", "fold", "model").agg(F.count(F.when(finite, 1)).cast("int").alias("steps"))
+    naive = backtest.fold_metrics(rows.filter(F.col("model").isin("Naive", "Seasonal Naive")))
+    naive = naive.select("series_id", "fold", "model", F.round("mae", 2).alias("naive_mae"), F.round("mase", 4).alias("naive_mase"))
+    return steps.join(naive, ["series_id", "fold", "model"], "left")
 
 
 @query(
     "seeded_backtest_counts",
-    f"""WITH {fold_ctes(NAT, 4)}, u AS (SELECT DISTINCT series_id, fold FROM te), m AS (SELECT unnest(['Naive', 'Direct Linear', 'XGBoost', 'XGBoost', 'XGBoost']) AS model,
-        unnest([NULL, NULL, 42, 0, 1]) AS seed) SELECT model, cast(fold as integer) AS fold, cast(seed as integer) AS seed, count(*) AS fits FROM u, m GROUP BY ALL""",
+    f"""WITH {fold_ctes(PRI, 2)}, u AS (SELECT DISTINCT series_id, fold FROM te), m AS (SELECT unnest(['Naive', 'Direct Linear', 'XGBoost', 'XGBoost', 'Random Forest', 'Random Forest']) AS model,
+        unnest([NULL, NULL, 42, 0, 42, 0]) AS seed) SELECT model, cast(fold as integer) AS fold, cast(seed as integer) AS seed, count(*) AS fits,
+        cast(sum(CASE WHEN model IN ('XGBoost', 'Random Forest') THEN 1 ELSE 0 END) as bigint) AS moved_by_seed FROM u, m GROUP BY ALL""",
 )
 def seeded_backtest_counts(spark, d):
-    """Fits of a backtest: one per fold for deterministic models, one per seed and fold for the others."""
-    folds = splits.packed_folds(nation(spark, d))
-    rows = model_rows(folds, ("Naive", "Direct Linear", "XGBoost"), n_folds=4, seeds=(42, 0, 1), pooled={"XGBoost": _seeded, "Direct Linear": _seeded})
-    return rows.groupBy("model", "fold", "seed").agg(F.count(F.lit(1)).alias("fits"))
+    """Fits of a backtest: one per fold for deterministic models, one per seed and fold for the others, whose forecasts differ."""
+    folds = splits.packed_folds(tables.orders_priority_month(spark, d), n_folds=2)
+    rows = model_rows(folds, ("Naive", "Direct Linear", "XGBoost", "Random Forest"), n_folds=2, seeds=(42, 0))
+    kinds = F.size(F.collect_set("yhat").over(Window.partitionBy("series_id", "fold", "model")))
+    marked = rows.withColumn("kinds", kinds)
+    return marked.groupBy("model", "fold", "seed").agg(
+        F.count(F.lit(1)).alias("fits"), F.sum(F.when((F.col("kinds") > 1) & F.col("seed").isNotNull(), 1).otherwise(0)).alias("moved_by_seed")
+    )
+
+
+@query(
+    "tuned_parameters_in_a_backtest",
+    f"""WITH {fold_ctes(NAT, 1)}, u AS (SELECT DISTINCT series_id, cast(fold as integer) AS fold FROM te)
+    SELECT series_id, fold, model, model = 'Random Forest' AND cast(series_id as integer) % 5 = 0 OR model = 'Ridge' AND cast(series_id as integer) % 4 = 0 AS is_changed
+    FROM u, (SELECT unnest(['Naive', 'Ridge', 'Random Forest']) AS model)""",
+)
+def tuned_parameters_in_a_backtest(spark, d):
+    """Forecasts change for the series with parameters of their own, and for no other."""
+    folds = splits.packed_folds(nation(spark, d), n_folds=1)
+    named = folds.select("series_id").distinct()
+    params = {
+        "Random Forest": named.filter("cast(series_id as int) % 5 = 0").select("series_id", F.lit(20).alias("n_estimators"), F.lit(2).alias("max_depth")),
+        "Ridge": named.filter("cast(series_id as int) % 4 = 0").select("series_id", F.lit(1000.0).alias("alpha")),
+    }
+    models = ("Naive", "Ridge", "Random Forest")
+    keys = ["series_id", "fold", "model"]
+    plain = model_rows(folds, models).select(*keys, F.col("yhat").alias("plain"))
+    tuned = model_rows(with_model_params(folds, params), models).select(*keys, "yhat")
+    apart = F.exists(F.zip_with("yhat", "plain", lambda a, b: F.abs(a - b) > 1e-9 * F.abs(b)), lambda x: x)
+    return plain.join(tuned, keys).select(*keys, apart.alias("is_changed"))
+
+
+_POWER = "CASE WHEN {l} = 0 THEN ln(v) ELSE (power(v, {l}) - 1) / {l} END"
+
+
+@query(
+    "boxcox_mean_forecast",
+    f"""WITH {ONE}, t AS (SELECT series_id, y AS v, y / exp(avg(ln(y)) OVER (PARTITION BY series_id)) AS x FROM fr WHERE pos <= cut),
+    c AS (SELECT series_id, i / 100.0::double AS l, -ln(var_pop({_POWER.format(l='(i / 100.0::double)').replace('(v', '(x')})) AS s FROM t, range(-200, 201) r(i) GROUP BY series_id, i),
+    c1 AS (SELECT series_id, l AS l0 FROM c QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY s DESC, l) = 1),
+    e AS (SELECT series_id, round(l0 + i / 10000.0::double, 4) AS l FROM c1, range(-100, 101) r(i)),
+    f AS (SELECT series_id, l, -ln(var_pop({_POWER.format(l='l').replace('(v', '(x')})) AS s FROM t JOIN e USING (series_id) GROUP BY 1, 2),
+    b AS (SELECT series_id, l FROM f QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY s DESC, l) = 1),
+    z AS (SELECT series_id, any_value(l) AS l, avg({_POWER.format(l='l')}) AS z FROM t JOIN b USING (series_id) GROUP BY 1)
+    SELECT te.series_id, te.h::integer AS h, te.ts, {R('CASE WHEN l = 0 THEN exp(z) ELSE power(z * l + 1, 1 / l) END', 0)} AS yhat FROM te JOIN z USING (series_id)""",
+)
+def boxcox_mean_forecast(spark, d):
+    """The mean of the transformed values, each series with its own fitted power, and back."""
+    made = registry.transformed(one_fold(spark, d), "yhat", H, registry.extra_forecasters(H)["Mean"], "boxcox")
+    return rounded(long(made), 0)
 
 
 @query("transformed_forecasts")

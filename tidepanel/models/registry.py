@@ -24,6 +24,7 @@ from tidepanel.functions.stats import array_mean
 from tidepanel.models import baseline
 from tidepanel.models.linear import ar, ridge, sarima, spec_struct
 from tidepanel.models.smoothing import holt_winters
+from tidepanel.operators.transforms import with_power
 
 # Ship this module's functions with the job; executors need no installed copy.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -113,7 +114,8 @@ def _robust(y: Column) -> Column:
     return F.struct(at(0.5).alias("a"), F.when(width > 0, width).otherwise(1.0).alias("b"))
 
 
-# Name -> (parameters of the training values, forward, back); ``a`` and ``b`` are the parameters.
+# Name -> (parameters of the training values, or the step that adds them as ``_params``; forward, back); ``a`` and ``b``
+# are the parameters.
 TRANSFORMS: dict[str, tuple[Callable[[Column], Column], Callable, Callable]] = {
     "log": (_log, lambda x, p: F.ln(x + p["a"]), lambda z, p: F.exp(z) - p["a"]),
     "sqrt": (_log, lambda x, p: F.sqrt(x + p["a"]), lambda z, p: z * z - p["a"]),
@@ -123,6 +125,19 @@ TRANSFORMS: dict[str, tuple[Callable[[Column], Column], Callable, Callable]] = {
 }
 
 
+def box_cox_of_series(frame: DataFrame) -> DataFrame:
+    """Add ``_params`` with offset ``a`` and maximum-likelihood power ``b`` of each row's training values."""
+    made = with_power(frame, "train", "_a", "_b")
+    return made.withColumn("_params", F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"))).drop("_a", "_b")
+
+
+TRANSFORMS["boxcox"] = (
+    box_cox_of_series,
+    lambda x, p: F.when(p["b"] == 0, F.ln(x + p["a"])).otherwise((F.pow(x + p["a"], p["b"]) - 1) / p["b"]),
+    lambda z, p: F.when(p["b"] == 0, F.exp(z)).otherwise(F.pow(F.greatest(z * p["b"] + 1, F.lit(0.0)), 1 / p["b"])) - p["a"],
+)
+
+
 def box_cox(power: float) -> tuple:
     """Box-Cox with a given power and automatic offset, as an entry of ``TRANSFORMS``."""
     if power == 0:
@@ -156,7 +171,8 @@ def transformed(
     """
     params, forward, back = TRANSFORMS[by] if isinstance(by, str) else by
     inner = forecaster or (lambda f, o: sarima(f, o, spec_struct(SARIMA_ORDER, SARIMA_SEASONAL), horizon))
-    kept = frame.withColumn("_raw", F.col("train")).withColumn("_params", params(F.col("train")))
+    kept = frame.withColumn("_raw", F.col("train"))
+    kept = params(kept) if params is box_cox_of_series else kept.withColumn("_params", params(F.col("train")))
     made = inner(kept.withColumn("train", F.transform("train", lambda x: forward(x, F.col("_params")))), out)
     made = made.withColumn(out, F.transform(out, lambda z: back(z, F.col("_params"))))
     return made.withColumn("train", F.col("_raw")).drop("_raw", "_params")

@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.contract import HORIZON
 from tidepanel.models.linear import ridge, sarima, spec_name, spec_struct
-from tidepanel.models.trees import boosted_trees, pooled, random_forest
+from tidepanel.models import flat_trees
+from tidepanel.models.trees import boosted_trees, random_forest, samples, unscaled, usable_values
 from tidepanel.operators.diagnostics import residual_tests, with_centred, with_ljung_box
 from tidepanel.operators.metrics import METRICS, array_metrics
+from tidepanel.session import materialised
+
+#: Pooled fits that run at a time.
+FITS_AT_ONCE = 8
 
 # Search spaces.
 ORDERS = (
@@ -133,15 +139,18 @@ def tune_ridge(frame: DataFrame, grid: Sequence[float] = RIDGE_GRID, metric: str
     return rank_candidates(_scored(made, params, F.col("position")), f"val_{metric}", "position")
 
 
-def _tune_pooled(frame, estimators, metric, horizon) -> DataFrame:
-    # One pooled training job per configuration; the list is a parameter, not data.
-    whole = None
-    for i, (params, estimator) in enumerate(estimators):
-        made = pooled(frame, "yhat", estimator, horizon)
-        pairs = F.create_map(*[F.lit(x) for k, v in params.items() for x in (k, float(v))])
-        part = _scored(made, pairs, F.lit(i))
-        whole = part if whole is None else whole.unionByName(part)
-    return rank_candidates(whole, f"val_{metric}", "position")
+def _tune_pooled(frame: DataFrame, estimators: Sequence[tuple[dict, object]], metric: str, horizon: int) -> DataFrame:
+    """One fit per configuration on the same stored rows, a few at a time; one stage rolls all of them forward."""
+    rows = materialised(samples(frame))
+    # The list is a parameter, not data; the fits wait for each other's small jobs most of the time.
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        models = list(pool.map(lambda e: flat_trees.ensemble(e[1].fit(rows)), estimators)) if rows.take(1) else []
+    values, last = usable_values(F.col("train")), F.element_at("train_dates", -1)
+    rolled = flat_trees.with_rollouts(frame, "_rolled", {0: dict(enumerate(models))}, values, last, horizon)
+    pairs = [F.create_map(*[F.lit(x) for k, v in params.items() for x in (k, float(v))]) for params, _ in estimators]
+    each = rolled.select("*", F.posexplode(F.array(*pairs)).alias("position", "params"))
+    each = each.withColumn("yhat", unscaled(F.try_element_at("_rolled", F.col("position"))))
+    return rank_candidates(_scored(each, F.col("params"), F.col("position")), f"val_{metric}", "position")
 
 
 def tune_forest(frame: DataFrame, grid: Sequence = FOREST_GRID, metric: str = "mae", horizon: int = HORIZON, seed: int = 42) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.lstsq import standard_error, with_fit
+from tidepanel.functions import gram
 from tidepanel.functions.stats import array_mean, array_sum, chi2_sf, lagged_products, normal_cdf, normal_ppf
 
 Z95 = 1.959963984540054
@@ -233,42 +233,37 @@ def kpss(packed: DataFrame, regression: str = "c", alpha: float = 0.05, keys: Se
     return out.withColumn("is_stationary", F.col("p_value") >= alpha)
 
 
-def _adf_design(values: Column, first: Column, used: Column) -> Column:
-    """Rows (1, y[t-1], dy[t-1], ..., dy[t-used], dy[t]) for t > first."""
-    d = lambda t: F.element_at(values, t) - F.element_at(values, t - 1)
-    return F.transform(
-        F.sequence(first + 1, F.size(values)),
-        lambda t: F.concat(
-            F.array(F.lit(1.0), F.element_at(values, t - 1)),
-            F.transform(F.slice(F.sequence(F.lit(1), used + 1), F.lit(1), used), lambda k: d(t - k)),
-            F.array(d(t)),
-        ),
-    )
+def _adf_columns(scaled: Column, steps: Column, first: Column, used: Column) -> Column:
+    """Columns 1, y[t-1], dy[t-1], ..., dy[t-used], dy[t] for t > first; ``steps`` holds dy from the second value on."""
+    m = F.size(scaled) - first
+    lagged = F.transform(F.slice(F.sequence(F.lit(0), used), F.lit(2), used), lambda k: F.slice(steps, first - k, m))
+    return F.concat(F.array(F.array_repeat(F.lit(1.0), m), F.slice(scaled, first, m)), lagged, F.array(F.slice(steps, first, m)))
 
 
 def adf(packed: DataFrame, alpha: float = 0.05, keys: Sequence[str] = ("series_id",)) -> DataFrame:
     """Augmented Dickey-Fuller test with constant, lag order by AIC; needs 15 values.
 
-    All lag orders of a series are solved from one design on the common sample;
-    the best one is solved again on its own, longer sample.
+    A series is reduced to the sums of products of the sample that all lag orders share; one factor of that matrix
+    solves them all.  The best order is solved on its own, longer sample, whose few more rows come from the first
+    values.  The statistic does not change with the level and unit of the values, so they are centred and scaled first.
     """
     v = F.col("values")
     n = F.size(v)
     top = F.ceil(12.0 * F.pow(n / 100.0, F.lit(0.25))).cast("int")
     top = F.least(top, (F.floor(n / 2) - 2).cast("int"))
-    base = packed.filter(n >= 15).withColumn("_top", top)
-    tried = base.withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_top"))))
-    design = _adf_design(v, F.col("_top") + 1, F.col("_p"))
-    fitted = with_fit(tried, "_fit", design, F.col("_p") + 2)
-    nobs = F.col("_fit.n")
-    aic = nobs * F.ln(F.col("_fit.sse") / nobs) + 2 * (F.col("_p") + 2)
-    best = fitted.groupBy(*keys).agg(
-        F.min_by("_p", F.struct(aic, F.col("_p"))).alias("lags_used"), F.first("values").alias("values")
-    )
-    own = _adf_design(v, F.col("lags_used") + 1, F.col("lags_used"))
-    final = with_fit(best, "_fit", own, F.col("lags_used") + 2)
-    tau = F.col("_fit.beta")[1] / standard_error(F.col("_fit"), 1)
-    out = final.select(*keys, "lags_used", F.col("_fit.n").alias("n_obs"), tau.alias("statistic"))
+    centre = array_sum(v) / n
+    spread = F.sqrt(array_sum(F.transform(v, lambda x: (x - F.col("_centre")) * (x - F.col("_centre")))) / n)
+    base = packed.filter(n >= 15).select(*keys, "values", top.alias("_top"), centre.alias("_centre")).withColumn("_spread", spread)
+    unit = F.when(F.col("_spread") > 0, F.col("_spread")).otherwise(1.0)
+    base = base.withColumn("_y", F.transform(v, lambda x: (x - F.col("_centre")) / unit))
+    m = F.size("_y") - 1
+    steps = F.zip_with(F.slice("_y", F.lit(2), m), F.slice("_y", F.lit(1), m), lambda a, b: a - b)
+    base = base.select(*keys, "_top", "_y", steps.alias("_d"))
+    top = F.col("_top")
+    common = gram.products(_adf_columns(F.col("_y"), F.col("_d"), top + 1, top))
+    reduced = base.select(*keys, common.alias("_gram"), F.slice("_y", F.lit(1), top + 1).alias("_head"), F.size("_y").alias("_n"))
+    made = reduced.withColumn("_fit", gram.unit_root(F.col("_gram"), F.col("_head"), F.col("_n")))
+    out = made.select(*keys, "_fit.lags_used", "_fit.n_obs", "_fit.statistic")
     t = F.col("statistic")
 
     def poly(coefs: Sequence[float]) -> Column:

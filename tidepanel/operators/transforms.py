@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepanel.contract import SEASON, in_time
 
+# Ship this module's functions with the job; executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _with_params(panel: DataFrame, params: DataFrame) -> DataFrame:
     """Join parameters (one row per series) to rows; Spark sizes the broadcast itself."""
@@ -124,30 +132,46 @@ def inverse_boxcox(z: Column, lam: Column) -> Column:
     return F.when(lam == 0, F.exp(z)).otherwise(F.pow(z * lam + 1, 1 / lam))
 
 
-def _best_lambda(rows: DataFrame, grid: Column) -> DataFrame:
-    """Profile likelihood of each grid value in one aggregation; arg-max per series.
+def most_likely_power(x: np.ndarray) -> float | None:
+    """Power of the largest profile likelihood on [-2, 2], to 0.0001; of equal ones the least. None for constant values.
 
-    ``x`` enters divided by its geometric mean, which leaves the maximiser where
-    it is and keeps high powers in range.
+    Values enter divided by their geometric mean, which leaves the maximiser where it is and keeps high powers in range.
+    The likelihood has one peak, so the bracket around the best of step 0.1 holds that of step 0.01, and that the one of
+    step 0.0001.
     """
-    lam = F.col("lam")
-    z = rows.withColumn("lam", F.explode(grid)).withColumn("_z", boxcox(F.col("_x"), lam))
-    fit = z.groupBy("series_id", "lam").agg((-F.log(F.var_pop("_z"))).alias("score"))
-    return fit.groupBy("series_id").agg(F.max_by("lam", F.struct("score", -F.col("lam"))).alias("lam"))
+    if not len(x) or not (x > 0).all() or np.ptp(x) == 0:
+        return None
+    x = x / np.exp(np.log(x).mean())
 
+    def best(grid: np.ndarray) -> float:
+        with np.errstate(all="ignore"):
+            z = np.where(grid[:, None] == 0, np.log(x), (np.power(x, grid[:, None]) - 1) / np.where(grid == 0, 1, grid)[:, None])
+            score = -np.log(z.var(axis=1))
+        return float(grid[np.argmax(np.where(np.isnan(score), -np.inf, score))])
 
-def fit_boxcox(train: DataFrame) -> DataFrame:
-    """Offset and maximum-likelihood lambda per series, on a grid refined once.
+    centre = round(best(np.arange(-20, 21) / 10.0) * 100)
+    fine = best(np.arange(max(-200, centre - 10), min(200, centre + 10) + 1) / 100.0)
+    return best(np.round(fine + np.arange(-100, 101) / 10000.0, 4))
 
-    The coarse grid has step 0.01 on [-2, 2], the fine one 0.0001 around its best.
-    """
-    shifted = _with_params(train.select("series_id", "y"), fit_log(train)).withColumn("_x", F.col("y") + F.col("offset"))
-    mean_log = shifted.groupBy("series_id").agg(F.avg(F.ln("_x")).alias("_g"))
-    rows = shifted.join(mean_log, "series_id").select("series_id", (F.col("_x") / F.exp("_g")).alias("_x"))
-    coarse = _best_lambda(rows, F.transform(F.sequence(F.lit(-200), F.lit(200)), lambda i: i / 100.0))
-    fine = F.transform(F.sequence(F.lit(-100), F.lit(100)), lambda i: F.round(F.col("_l0") + i / 10000.0, 4))
-    best = _best_lambda(rows.join(coarse.withColumnRenamed("lam", "_l0"), "series_id"), fine)
-    return best.join(fit_log(train), "series_id")
+
+@F.pandas_udf(T.DoubleType())
+def _power(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for values, offset in batches:
+        made = [None if v is None else most_likely_power(np.asarray(v, dtype=float) + o) for v, o in zip(values, offset)]
+        yield pd.Series(made, dtype=object)
+
+
+def with_power(frame: DataFrame, values: str, offset: str = "offset", lam: str = "lam") -> DataFrame:
+    """Add offset and maximum-likelihood power of each row's array of values."""
+    low = F.array_min(values)
+    made = frame.withColumn(offset, F.when(low <= 0, 1 - low).otherwise(0.0))
+    return made.withColumn(lam, _power.asNondeterministic()(values, offset))
+
+
+def fit_boxcox(train: DataFrame) -> DataFrame:
+    """Offset and maximum-likelihood power per series, on [-2, 2] to 0.0001; one exchange packs the series."""
+    packed = train.groupBy("series_id").agg(F.sort_array(F.collect_list("y")).alias("_values"))
+    return with_power(packed, "_values").select("series_id", "lam", "offset")
 
 
 def apply_boxcox(panel: DataFrame, params: DataFrame) -> DataFrame:

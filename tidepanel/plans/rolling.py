@@ -17,8 +17,6 @@ from tidepanel.operators import backtest, metrics, reports, splits
 from tidepanel.session import ensure_checkpoint_dir, materialised
 from tidepanel.sources import sinks
 
-#: Pooled fits that run at a time.
-FITS_AT_ONCE = 8
 #: Training rows of a partition of a pooled fit.
 ROWS_PER_PARTITION = 50_000
 
@@ -156,7 +154,7 @@ def _pooled_forecasts(
             seconds.append((parts[i][0], k, seed.get("seed"), time.perf_counter() - start))
         return made
 
-    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+    with ThreadPoolExecutor(selection.FITS_AT_ONCE) as pool:
         jobs = [(k, i) for k in present for i in range(len(fits))]
         made = dict(zip(jobs, pool.map(lambda x: one(*x), jobs)))
     long = [m for m in made.values() if isinstance(m, DataFrame)]

@@ -24,7 +24,8 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
 
     Lines that do not fit the header are kept whole in ``_corrupt_record``, which the profile counts.
     """
-    source = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    # All columns are parsed, whatever is selected, so a line is malformed or not for every reader of the table.
+    source = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnPruning", False)
     names = source.option("inferSchema", False).csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, CORRUPT]])
     return source.option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)

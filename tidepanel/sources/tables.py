@@ -118,6 +118,6 @@ def raw_scrape(spark: SparkSession, folder: str) -> DataFrame:
         m.alias("_m"),
     )
     double = base.filter(F.col("_m") == 3).withColumn("peak", F.lit("15"))
-    marker = F.element_at(F.array(*map(F.lit, ("Last 30 Days", "All Time", "Invalid Date String", "Total"))), F.col("_m"))
+    marker = F.try_element_at(F.array(*map(F.lit, ("Last 30 Days", "All Time", "Invalid Date String", "Total"))), F.col("_m"))
     markers = base.filter(F.col("_m") <= 4).withColumn("month", marker)
     return base.unionByName(double).unionByName(markers).drop("_m")
