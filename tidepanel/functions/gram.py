@@ -95,8 +95,8 @@ def early_rows(heads: np.ndarray, used: int, top: int) -> np.ndarray:
 
 
 @F.pandas_udf(UNIT_ROOT)
-def _unit_root(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for flat, head, length in batches:
+def _unit_root(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for flat, _, head, length in batches:
         made = np.full((len(flat), 3), np.nan)
         for at, whole in matrices(flat):
             top = whole.shape[1] - 3
@@ -122,6 +122,7 @@ def _unit_root(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Ite
 def unit_root(triangle: Column, head: Column, n: Column) -> Column:
     """``struct(lags_used, n_obs, statistic)`` of a Dickey-Fuller regression from the products of its largest design.
 
-    The columns are 1, y[t-1], dy[t-1] to dy[t-top], and dy[t]; ``head`` has the first top + 1 values.
+    The columns are 1, y[t-1], dy[t-1] to dy[t-top], and dy[t]; ``head`` has the first top + 1 values.  The triangle is
+    read twice, so Spark evaluates it before the Python step instead of inside it.
     """
-    return _unit_root.asNondeterministic()(triangle, head, n)
+    return _unit_root.asNondeterministic()(triangle, F.size(triangle), head, n)
