@@ -67,14 +67,14 @@ def test_chunks_start_each_gram_once():
         for every in (1, 2, 7, 1000):
             text = " ".join(rng.choice(["a", "b", "c.", "d"]) for _ in range(200))
             row = collocations.tokens(text) + [collocations.SEPARATOR] * width
-            got = [tuple(c.split(b" ")[i : i + width + 1]) for c in collocations.parse(text, width, every, {}) for i in range(len(c.split(b" ")) - width)]
+            got = [tuple(c.split(b" ")[i : i + width + 1]) for c in collocations.parse(text, width, every, collocations.Hashes()) for i in range(len(c.split(b" ")) - width)]
             assert got == [tuple(row[i : i + width + 1]) for i in range(len(row) - width)]
 
 
 def test_equal_passages_give_equal_chunks():
     rng = random.Random(2)
     shared = " ".join(f"w{rng.randrange(500)}" for _ in range(400))
-    a, b = (set(collocations.parse(head + shared, 2, 8, {})) for head in ("one two three ", "other words lead here "))
+    a, b = (set(collocations.parse(head + shared, 2, 8, collocations.Hashes())) for head in ("one two three ", "other words lead here "))
     assert len(a & b) > 0.9 * len(a)
 
 

@@ -63,15 +63,20 @@ def _hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, 42)
 
 
-def parse(text: str | None, width: int, every: int, known: dict[bytes, int]) -> list[bytes]:
+class Hashes(dict):
+    """Hashes of words, each made once."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = made = _hash(word)
+        return made
+
+
+def parse(text: str | None, width: int, every: int, known: Hashes) -> list[bytes]:
     """The chunks of a text, each with its closing window of ``width`` words; a text ends with a window of separators."""
     row = tokens(text)
     if not row:
         return []
     row += [SEPARATOR] * max(width, 1)
-    for word in row:
-        if word not in known:
-            known[word] = _hash(word)
     last = len(row) - max(width, 1)
     if width:
         hashes = np.fromiter(map(known.__getitem__, row), dtype=np.uint64, count=len(row))
@@ -85,7 +90,7 @@ def parse(text: str | None, width: int, every: int, known: dict[bytes, int]) ->
 
 def _parsed(width: int, every: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
+        known = Hashes()
         held: Counter[tuple[str, bytes]] = Counter()
         size = 0
 
@@ -157,8 +162,9 @@ def bit_table(frequent: DataFrame) -> np.ndarray:
 def _grams(lang: str, rows: list[bytes], n: np.ndarray, words: int, width: int, table: np.ndarray | None) -> pa.RecordBatch:
     """Weighted counts of the n-grams of distinct chunks of one language."""
     row = (b" " + END + b" ").join(rows).split(b" ")
-    numbers: dict[bytes, int] = {SEPARATOR: 0, END: 1}
-    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in row), dtype=np.int64, count=len(row))
+    distinct = dict.fromkeys((SEPARATOR, END)) | dict.fromkeys(row)
+    numbers = dict(zip(distinct, range(len(distinct))))
+    ids = np.fromiter(map(numbers.__getitem__, row), dtype=np.int64, count=len(row))
     ends = np.r_[np.flatnonzero(ids == 1), len(ids)]
     sizes = np.diff(np.r_[-1, ends]) - 1
     first = np.r_[0, ends[:-1] + 1]
