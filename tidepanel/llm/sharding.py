@@ -1,6 +1,6 @@
 """Consistent-hash ring with virtual nodes and bounded loads.
 
-A key's digest falls in one of ``2**RING_BITS`` equal arcs of the ring. Every shard owns virtual nodes at
+A key's digest falls in one of ``2**bits`` equal arcs of the ring. Every shard owns virtual nodes at
 arc borders; a key belongs to the next virtual node clockwise. Shards have a capacity: arcs are taken
 clockwise, and keys that find the shard full go on to the next virtual node whose shard has room. Only the
 row count (or bytes) of each arc reaches the driver, a table whose size is fixed by the ring; the plan made
@@ -15,8 +15,9 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Arcs of the ring: 4096, which bounds the plan.
+#: Least arcs of the ring: 4096. They grow with the virtual nodes, and so does the plan, but never with the rows.
 RING_BITS = 12
+ARCS_PER_NODE = 8
 VIRTUAL_NODES = 64
 
 
@@ -35,6 +36,16 @@ def ring_owners(shards: int, virtual_nodes: int = VIRTUAL_NODES, bits: int = RIN
     return owners
 
 
+def ring(shards: int, virtual_nodes: int = VIRTUAL_NODES) -> tuple[int, list[int]]:
+    """(bits, owners) of the smallest ring of enough arcs on which every shard owns one."""
+    bits = max(RING_BITS, (shards * virtual_nodes * ARCS_PER_NODE - 1).bit_length())
+    owners = ring_owners(shards, virtual_nodes, bits)
+    while len(set(owners)) < shards:
+        bits += 1
+        owners = ring_owners(shards, virtual_nodes, bits)
+    return bits, owners
+
+
 def capacities(total: int, shards: int, slack: float) -> list[int]:
     """Most rows of each shard; with no slack the counts differ by one at most."""
     if slack:
@@ -62,6 +73,8 @@ def plan_arcs(counts: dict[int, int], owners: list[int], room: list[int]) -> lis
                 waiting.insert(0, (at, lo + take, hi))
         if turn >= arcs and not waiting:
             break
+    if waiting:
+        raise ValueError("some shard with room owns no arc of the ring")
     return plan
 
 
@@ -85,11 +98,11 @@ def ring_shards(
     text counts none and has the checksum of an empty one. Rows with equal or null keys share an arc and are
     ranked by checksum and size; equal rows are interchangeable. An empty table gives an empty result.
     """
-    spark, owners = docs.sparkSession, ring_owners(shards, virtual_nodes)
+    spark, (bits, owners) = docs.sparkSession, ring(shards, virtual_nodes)
     raw = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    arc = F.shiftrightunsigned("__at", 48 - RING_BITS).cast("int")
+    arc = F.shiftrightunsigned("__at", 48 - bits).cast("int")
     placed = docs.select(F.col(f"`{key}`").alias("__key"), raw.alias("__text")).withColumn("__at", ring_position(F.col("__key")))
-    counted = placed.groupBy(arc.alias("arc")).count().collect()  # at most 2**RING_BITS rows
+    counted = placed.groupBy(arc.alias("arc")).count().collect()  # at most 2**bits rows
     counts = {r["arc"]: r["count"] for r in counted}
     plan = plan_arcs(counts, owners, capacities(sum(counts.values()), shards, slack))
     by_arc: dict[int, list] = {}
