@@ -521,8 +521,26 @@ def sarima_constrained(spark, d):
     return long(sarima(one_fold(spark, d), "yhat", spec_struct((1, 1, 1), (1, 1, 0, 12)), constrained=True))
 
 
-@query("sarima_intervals")
+@query(
+    "sarima_intervals",
+    sarima_sql((1, 12), (1,), True).rpartition("\nSELECT te.series_id")[0]
+    + f""",
+ps AS (SELECT series_id, beta, 1 AS k, [1.0::double] AS pw, [1.0::double] AS p, s * sqrt(list_sum([power(v, 2) for v in e[cutoff + 1 :]]) / greatest(m - cutoff - 3, 1)) AS sigma
+    FROM rs WHERE t = m + 1 UNION ALL SELECT series_id, beta, k + 1, list_append(pw, v), list_append(p, v + p[k]), sigma
+    FROM (SELECT *, beta[1] * pw[k] + CASE WHEN k = 1 THEN beta[3] ELSE 0.0 END AS v FROM ps WHERE k < 12)),
+iv AS (SELECT series_id, te.h, s * u[n + te.h] AS mid, 1.959963984540054 * sigma * sqrt(list_sum([power(v, 2) for v in p[1 : te.h]])) AS half
+    FROM fo JOIN ps USING (series_id) JOIN te USING (series_id) WHERE fo.h = 12 AND ps.k = 12)
+SELECT series_id, cast(h as integer) AS h, {R('mid - half', 0)} AS lower, {R('mid + half', 0)} AS upper FROM iv""",
+)
 def sarima_intervals(spark, d):
+    made = sarima(one_fold(spark, d), "o", spec_struct((1, 1, 1), (1, 1, 0, 12)), alpha=0.05)
+    rows = made.select("series_id", F.posexplode(F.arrays_zip(F.col("o_lo").alias("lower"), F.col("o_hi").alias("upper"))).alias("i", "z"))
+    return rounded(rows.select("series_id", (F.col("i") + 1).alias("h"), "z.lower", "z.upper"), 0)
+
+
+@query("holdout_intervals")
+def holdout_intervals(spark, d):
+    """Intervals of the model that the holdout uses, with the text of its orders."""
     return intervals(one_fold(spark, d))
 
 

@@ -50,7 +50,7 @@ def order_grid(
         raise ValueError(f"unknown criterion {criterion!r}; choose one of {CRITERIA}")
     specs = F.array(*[spec_struct(o, s) for o in orders for s in seasonal_orders])
     grid = frame.select("*", F.posexplode(specs).alias("spec_id", "spec"))
-    fitted = sarima(grid, "yhat", F.col("spec"), horizon, keep_fit=True)
+    fitted = sarima(grid, "yhat", F.col("spec"), horizon, keep_fit=True, multiplicative=True)
     scores = array_metrics(F.col("test"), F.col("yhat"), F.col("scale"))
     scored = fitted.select(
         "series_id", "fold", "spec_id", "spec", F.size("train").alias("train_obs"),

@@ -267,7 +267,7 @@ def intervals(folds: DataFrame, specs: bool = False, alpha: float = 0.05, horizo
     """SARIMA interval arrays and the specification text per series."""
     default = spec_struct(registry.SARIMA_ORDER, registry.SARIMA_SEASONAL)
     spec = F.coalesce(F.col("spec"), default) if specs else default
-    made = sarima(folds.withColumn("_s", spec), "_f", F.col("_s"), horizon, alpha=alpha)
+    made = sarima(folds.withColumn("_s", spec), "_f", F.col("_s"), horizon, alpha=alpha, multiplicative=True)
     return made.select(
         "series_id", F.col("_f_lo").alias("sarima_ci_lower"), F.col("_f_hi").alias("sarima_ci_upper"),
         spec_name(F.col("_s")).alias("optimal_sarima_order"),
