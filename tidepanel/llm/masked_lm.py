@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -168,10 +169,13 @@ def numbers(vocab: list[tuple[bytes, int]]) -> Numbers:
 
 def encode(texts: list[str | None], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """(numbers of all texts, each between pads; texts' token counts)."""
+    return encode_words([words(t) for t in texts], known)
+
+
+def encode_words(rows: list[list[bytes]], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     number, gap = Numbers(known).__getitem__ if not isinstance(known, Numbers) else known.__getitem__, [PAD] * SIDE
     ids, sizes = list(gap), []
-    for text in texts:
-        row = words(text)
+    for row in rows:
         ids += map(number, row)
         ids += gap
         sizes.append(len(row))
@@ -423,12 +427,12 @@ def score(
         per = SHARED // CLASSES
 
         def work(texts: list) -> list:
-            ids, sizes = encode(texts, known)
+            split = [words(t) for t in texts]
+            ids, sizes = encode_words(split, known)
             got = log_probabilities(w, ids)
             if pairs is not None:
-                inner = ids[ids != PAD]
-                rare = np.flatnonzero(inner % MEMBERS >= MEMBERS - per)
-                every = [x for t in texts for x in words(t)]
+                rare = np.flatnonzero(ids[ids != PAD] % MEMBERS >= MEMBERS - per)
+                every = list(chain.from_iterable(split))
                 got[rare] += spelt([every[i] for i in rare.tolist()], pairs)
             total = np.r_[0, np.cumsum(got)]
             ends = np.cumsum(sizes)
