@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -121,26 +121,41 @@ def spelling(counted: DataFrame, vocab: list[tuple[bytes, int]]) -> tuple[np.nda
 
 def _byte_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the byte pairs of a task's words, the end as STOP, and of first bytes b as cell -1 - b."""
-    found, first = np.zeros(STOP * (STOP + 1), dtype=np.int64), np.zeros(SHARED, dtype=np.int64)
+    pairs, first = np.zeros(STOP * STOP), np.zeros(SHARED)
     for batch in batches:
-        for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            row = np.array([*word, STOP])
-            np.add.at(found, row[:-1] * (STOP + 1) + row[1:], n)
-            first[word[0]] += n
+        if not batch.num_rows:
+            continue
+        flat, n = _joined(batch.column(0).to_pylist()), batch.column(1).to_numpy()
+        sizes = np.diff(np.flatnonzero(flat == BLANK), prepend=-1)
+        first += np.bincount(flat[np.cumsum(sizes) - sizes], weights=n, minlength=SHARED)
+        cells = flat[:-1].astype(np.int64) * STOP + flat[1:]
+        pairs += np.bincount(cells, weights=np.repeat(n, sizes)[:-1], minlength=STOP * STOP)
+    found = np.zeros((STOP, STOP + 1))
+    found[:, :STOP] = pairs.reshape(STOP, STOP)
+    found[:, STOP] = found[:, BLANK]
+    found[:, BLANK] = 0
+    # Only a word's last byte has a blank after it, also at the end of a batch.
+    found[BLANK] = 0
+    found = found.ravel()
     cells = np.r_[np.flatnonzero(found), -1 - np.flatnonzero(first)]
-    values = np.r_[found[found > 0], first[first > 0]]
+    values = np.r_[found[found > 0], first[first > 0]].astype(np.int64)
     yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(values)], names=PAIRS.names)
 
 
+def _joined(words: list[bytes]) -> np.ndarray:
+    """The bytes of all words, a blank after each; no word holds one."""
+    return np.frombuffer(b" ".join([*words, b""]), dtype=np.uint8)
+
+
 def spelt(rare: list[bytes], pairs: np.ndarray) -> np.ndarray:
-    """log P(word | its first byte) of each word; no word holds a blank, which marks the ends here."""
+    """log P(word | its first byte) of each word."""
     if not rare:
         return np.empty(0)
     table = np.zeros((STOP, STOP))
     table[:] = pairs[:, :STOP]
     table[:, BLANK] = pairs[:, STOP]
     table[BLANK] = 0
-    flat = np.frombuffer(b" ".join([*rare, b""]), dtype=np.uint8)
+    flat = _joined(rare)
     total = np.r_[0, np.cumsum(table[flat[:-1], flat[1:]])]
     ends = np.flatnonzero(flat == BLANK)
     return total[ends] - total[np.r_[0, ends[:-1] + 1]]
@@ -150,8 +165,13 @@ class Numbers(dict):
     """Numbers of words; one without its own has the shared number of its first byte, at the end of a class."""
 
     def __missing__(self, word: bytes) -> int:
-        per = SHARED // CLASSES
-        return word[0] // per * MEMBERS + MEMBERS - per + word[0] % per
+        return shared_number(word[0])
+
+
+def shared_number(first: int | np.ndarray) -> int | np.ndarray:
+    """Number of the words without one of their own that begin with a byte."""
+    per = SHARED // CLASSES
+    return first // per * MEMBERS + MEMBERS - per + first % per
 
 
 def numbers(vocab: list[tuple[bytes, int]]) -> Numbers:
@@ -173,13 +193,17 @@ def encode(texts: list[str | None], known: dict[bytes, int]) -> tuple[np.ndarray
 
 
 def encode_words(rows: list[list[bytes]], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    number, gap = Numbers(known).__getitem__ if not isinstance(known, Numbers) else known.__getitem__, [PAD] * SIDE
+    gap, absent = [PAD] * SIDE, repeat(-1)
     ids, sizes = list(gap), []
     for row in rows:
-        ids += map(number, row)
+        ids += map(known.get, row, absent)
         ids += gap
         sizes.append(len(row))
-    return np.asarray(ids, dtype=np.int32), np.asarray(sizes, dtype=np.int64)
+    out = np.asarray(ids, dtype=np.int32)
+    rare = out < 0
+    every = compress(chain.from_iterable(rows), rare[out != PAD].tolist())
+    out[rare] = shared_number(np.fromiter((w[0] for w in every), dtype=np.int32))
+    return out, np.asarray(sizes, dtype=np.int64)
 
 
 def shapes() -> dict[str, tuple[int, ...]]:
@@ -431,9 +455,8 @@ def score(
             ids, sizes = encode_words(split, known)
             got = log_probabilities(w, ids)
             if pairs is not None:
-                rare = np.flatnonzero(ids[ids != PAD] % MEMBERS >= MEMBERS - per)
-                every = list(chain.from_iterable(split))
-                got[rare] += spelt([every[i] for i in rare.tolist()], pairs)
+                rare = ids[ids != PAD] % MEMBERS >= MEMBERS - per
+                got[rare] += spelt(list(compress(chain.from_iterable(split), rare.tolist())), pairs)
             total = np.r_[0, np.cumsum(got)]
             ends = np.cumsum(sizes)
             summed = total[ends] - total[ends - sizes]
