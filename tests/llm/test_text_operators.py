@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 import edge_rows
 import numpy as np
@@ -127,10 +128,10 @@ def test_codec_on_edges(spark):
 
 
 def test_licences(spark):
-    mit = "\n\n".join(licenses.TEXTS["MIT"])
+    mit = "\n\n".join(licenses.TEXTS["MIT"][0])
     texts = [
         mit, "Copyright (c) 2020 A. Person\n\n" + mit.upper().replace("LICENSE", "LICENCE").replace("AND/OR", "and or"), "Some code.\n\n" + mit + "\n\nmore",
-        "words\nReleased under the MIT Licence\nwords", licenses.TEXTS["MIT"][0], "not a licence", None, "", "SPDX-License-Identifier: GPL-3.0",
+        "words\nReleased under the MIT Licence\nwords", licenses.TEXTS["MIT"][0][0], "not a licence", None, "", "SPDX-License-Identifier: GPL-3.0",
         "x\nlicensed under CC BY-NC 4.0.\nThis work is licensed under the GNU General Public License, version 3.",
     ]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -187,3 +188,37 @@ def exact_vocabulary(docs):
 
     count = collections.Counter(w for r in docs.select("text").collect() for w in masked_lm.words(r.text))
     return sorted(count.items(), key=lambda r: (-r[1], r[0]))[: masked_lm.PAD - masked_lm.SHARED]
+
+
+def test_whole_licence_texts(spark):
+    """Every wording counts alone, wrapped with Windows line ends inside a document, and not without a paragraph."""
+    assert set(licenses.NAMES) <= set(licenses.TEXTS)
+    rows, want = [], {}
+    for name, wordings in licenses.TEXTS.items():
+        for paragraphs in wordings:
+            wrapped = "\r\n\r\n".join("\r\n".join(textwrap.wrap(p, 60)) for p in paragraphs)
+            title = f"{licenses.NAMES.get(name, [''])[0]}\n\nCopyright (c) 2020 Someone\n\n"
+            parts = [paragraphs[:i] + paragraphs[i + 1 :] for i in range(len(paragraphs)) if len(paragraphs) > 1]
+            cut = ["\n\n".join(p) for p in parts if p not in wordings]
+            for text, found, whole in (
+                ("\n\n".join(paragraphs), True, True), (title + "\n\n".join(paragraphs), True, True),
+                (f"Read this.\r\n\r\n{wrapped}\r\n\r\nThe end.", True, False), *[(f"Words.\n\n{c}", False, False) for c in cut],
+            ):
+                want[len(rows)] = (name, found, whole)
+                rows.append((len(rows), text))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (name, found, whole) in want.items():
+        names = got[i].licenses.split(",") if got[i].licenses else []
+        assert got[i].whole_text == whole, rows[i]
+        if found:
+            assert names == [name], rows[i]
+        else:
+            assert name not in names, rows[i]
+
+
+def test_copyright_lines(spark):
+    """Lines of a name and a year go; wrapped lines of terms that begin with the same words stay."""
+    gone = ["Copyright (c) 2020 A", "copyright 1999-2003 by B", "(C) 2001 C", "\u00a9 D", "Copyright The E Authors", "Copyright: (c) F", "All rights reserved."]
+    stay = ["COPYRIGHT HOLDERS BE LIABLE", "copyright notice, this list of conditions", "(c) You must retain all notices"]
+    rows = spark.createDataFrame([(x,) for x in gone + stay], "text string").select("text", licenses.canonical(F.col("text")).alias("form"))
+    assert {r.text for r in rows.collect() if r.form} == set(stay)
