@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidepanel.contract import HORIZON
 from tidepanel.models import flat_trees
 from tidepanel.models.linear import ridge, sarima, spec_name, spec_struct
-from tidepanel.models.trees import boosted_trees, random_forest, samples, unscaled, usable_values
+from tidepanel.models.trees import boosted_trees, random_forest, training_rows, unscaled, usable_values
 from tidepanel.operators.diagnostics import residual_tests, with_centred, with_ljung_box
 from tidepanel.operators.metrics import METRICS, array_metrics
 from tidepanel.session import materialised
@@ -141,7 +141,8 @@ def tune_ridge(frame: DataFrame, grid: Sequence[float] = RIDGE_GRID, metric: str
 
 def _tune_pooled(frame: DataFrame, estimators: Sequence[tuple[dict, object]], metric: str, horizon: int) -> DataFrame:
     """One fit per configuration on the same stored rows, a few at a time; one stage rolls all of them forward."""
-    rows = materialised(samples(frame))
+    frame = materialised(frame)
+    rows = training_rows(frame)
     # The list is a parameter, not data; the fits wait for each other's small jobs most of the time.
     with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
         models = list(pool.map(lambda e: flat_trees.ensemble(e[1].fit(rows)), estimators)) if rows.take(1) else []

@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from tidepanel.contract import HORIZON, add_periods
 from tidepanel.models import flat_trees
 from tidepanel.operators.features import LAGS, WINDOWS, step_vector
-from tidepanel.session import ensure_checkpoint_dir
+from tidepanel.session import ensure_checkpoint_dir, materialised
 
 WARM_UP = max(*LAGS, *WINDOWS)
 ROUNDS_PER_CHECKPOINT = 6
+#: Training rows of a partition of a pooled fit.
+ROWS_PER_PARTITION = 50_000
 
 
 def random_forest(n_trees: int = 100, max_depth: int = 10, min_split: int = 2, seed: int = 42) -> RandomForestRegressor:
@@ -53,6 +55,12 @@ def samples(frame: DataFrame, *keep: str) -> DataFrame:
     )
 
 
+def training_rows(frame: DataFrame) -> DataFrame:
+    """Stored ``samples``; a fit runs hundreds of small jobs, so their tasks follow the rows, not the shuffle partitions."""
+    rows = materialised(samples(frame))
+    return rows.coalesce(1 + rows.count() // ROWS_PER_PARTITION)
+
+
 def usable_values(values: Column) -> Column:
     """Scaled values, null for series too short to have a training row."""
     return F.when(F.size(values) > WARM_UP, _scaled(values))
@@ -62,9 +70,10 @@ def pooled(frame: DataFrame, out: str, estimator, horizon: int = HORIZON, freq:
     """Fit one estimator on all series of ``frame`` and roll every series forward ``horizon`` steps.
 
     Trained trees become flat arrays, so all steps are one narrow Python stage without a shuffle or a checkpoint.
-    Other MLlib regressors are applied step by step.
+    Other MLlib regressors are applied step by step. The packed rows are stored, so the source is read once.
     """
-    model = estimator.fit(samples(frame))
+    frame = materialised(frame)
+    model = estimator.fit(training_rows(frame))
     if not flat_trees.is_tree_model(model):
         return _stepwise(frame, out, model, horizon, freq)
     values, last = usable_values(F.col("train")), F.element_at("train_dates", -1)
@@ -120,7 +129,7 @@ class TreeForecaster:
 
     def with_fitted(self, frame: DataFrame, out: str, seed: int = 42) -> DataFrame:
         """Add ``out``, the one-step predictions of the training rows by a fit on them; null for the first ones."""
-        model = self.estimator(seed).fit(samples(frame))
+        model = self.estimator(seed).fit(training_rows(frame))
         made = flat_trees.with_fitted(frame, "_fitted", flat_trees.ensemble(model), usable_values(F.col("train")), F.col("train_dates"))
         return made.withColumn(out, unscaled(F.col("_fitted"))).drop("_fitted")
 
