@@ -463,9 +463,8 @@ def holt_winters_grid(spark, d):
 def holt_winters_variants(spark, d):
     folds = one_fold(spark, d, tables.orders_nation_month)
     forms = {"mul_mul": ("mul", "mul", False), "add_mul": ("add", "mul", False), "damped": ("add", "add", True), "holt": ("add", None, False), "simple": (None, None, False)}
-    for name, (t, s, damped) in forms.items():
-        folds = folds.withColumn(name, holt_winters(F.col("train"), H, t, s, damped)["yhat"])
-    rows = folds.select("series_id", F.posexplode(F.arrays_zip(*forms)).alias("i", "z"))
+    fits = [holt_winters(F.col("train"), H, t, s, damped)["yhat"].alias(name) for name, (t, s, damped) in forms.items()]
+    rows = folds.select("series_id", *fits).select("series_id", F.posexplode(F.arrays_zip(*forms)).alias("i", "z"))
     return rows.select("series_id", (F.col("i") + 1).alias("h"), *[F.col(f"z.{n}").alias(n) for n in forms])
 
 

@@ -7,7 +7,6 @@ an Arrow batch together.  A JVM fold over the same grid does one lane at a time.
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -143,25 +142,25 @@ def holt_winters(
     need = 2 * season if seasonal else 4
     positive = "mul" in (trend, seasonal)
 
+    # Not over an iterator: forms in one ``select`` then share a Python worker.
     @F.pandas_udf(FIT)
-    def fit(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out: list[tuple] = [(None,) * 9] * len(batch)
-            by_length: dict[int, list[int]] = {}
-            for i, v in enumerate(batch):
-                if v is not None and len(v) >= need:
-                    y = np.asarray(v, dtype=float)
-                    if np.isfinite(y).all() and not (positive and y.min() <= 0):
-                        by_length.setdefault(len(y), []).append(i)
-            for length, places in by_length.items():
-                # The fitted path of every lane is held, so blocks are sized by lanes x time.
-                size = max(1, MAX_LANES // (125 * (3 if damped else 1) * max(1, length // 50)))
-                for lo in range(0, len(places), size):
-                    part = places[lo:lo + size]
-                    y = np.stack([np.asarray(batch.iloc[i], dtype=float) for i in part])
-                    for i, row in zip(part, _fit_block(y, trend, seasonal, damped, season, horizon)):
-                        out[i] = row
-            yield pd.DataFrame(out, columns=FIT.names)
+    def fit(batch: pd.Series) -> pd.DataFrame:
+        out: list[tuple] = [(None,) * 9] * len(batch)
+        by_length: dict[int, list[int]] = {}
+        for i, v in enumerate(batch):
+            if v is not None and len(v) >= need:
+                y = np.asarray(v, dtype=float)
+                if np.isfinite(y).all() and not (positive and y.min() <= 0):
+                    by_length.setdefault(len(y), []).append(i)
+        for length, places in by_length.items():
+            # The fitted path of every lane is held, so blocks are sized by lanes x time.
+            size = max(1, MAX_LANES // (125 * (3 if damped else 1) * max(1, length // 50)))
+            for lo in range(0, len(places), size):
+                part = places[lo:lo + size]
+                y = np.stack([np.asarray(batch.iloc[i], dtype=float) for i in part])
+                for i, row in zip(part, _fit_block(y, trend, seasonal, damped, season, horizon)):
+                    out[i] = row
+        return pd.DataFrame(out, columns=FIT.names)
 
     # Not inlined by the optimizer: each series is smoothed once however often the fit is read.
     return fit.asNondeterministic()(train)
