@@ -25,6 +25,7 @@ from tidepanel.models import baseline
 from tidepanel.models.linear import ar, ridge, sarima, spec_struct
 from tidepanel.models.smoothing import holt_winters
 from tidepanel.operators.transforms import with_power
+from tidepanel.session import materialised
 
 # Ship this module's functions with the job; executors need no installed copy.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -35,6 +36,8 @@ Forecaster = Callable[[DataFrame, str], DataFrame]
 ARIMA_ORDER = (1, 1, 1)
 SARIMA_ORDER, SARIMA_SEASONAL = (1, 1, 1), (1, 1, 0, 12)
 RIDGE_PENALTY = 1.0
+#: Models that are Spark expressions without a Python step.
+PLAIN_MODELS = ("Naive", "Seasonal Naive", "Mean")
 
 
 def from_expression(make: Callable[[Column], Column]) -> Forecaster:
@@ -222,5 +225,10 @@ def add_forecasts(frame: DataFrame, forecasters: dict[str, Forecaster], prefix:
     columns = {}
     for i, (name, make) in enumerate(forecasters.items()):
         columns[name] = f"{prefix}_{i}"
-        frame = make(frame, columns[name])
+        frame = fitted_alone(name, make(frame, columns[name]))
     return frame, columns
+
+
+def fitted_alone(name: str, frame: DataFrame) -> DataFrame:
+    """Store what model ``name`` has added: Python steps in one stage hold a worker each in every running task."""
+    return frame if name in PLAIN_MODELS else materialised(frame)
