@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from tidepanel.contract import SEASON
 from tidepanel.models import baseline, trees
 from tidepanel.models.linear import ar, ridge, sarima, spec_struct
-from tidepanel.models.registry import ARIMA_ORDER, SARIMA_ORDER, SARIMA_SEASONAL, TRANSFORMS
+from tidepanel.models.registry import ARIMA_ORDER, PLAIN_MODELS, SARIMA_ORDER, SARIMA_SEASONAL, TRANSFORMS, fitted_alone
 from tidepanel.models.smoothing import holt_winters
+from tidepanel.session import materialised
 
 # Adds a column of fitted values, one per training row.
 Fitter = Callable[[DataFrame, str], DataFrame]
@@ -71,9 +72,10 @@ def fitted_values(frame: DataFrame, models: tuple[str, ...] = ("Naive", "Mean",
     known = fitters(season)
     if unknown := [m for m in models if m not in known]:
         raise ValueError(f"no fitted values for {unknown}; known: {sorted(known)}")
-    made, entries = frame, []
+    # Pooled fits read the packed rows several times.
+    made, entries = frame if set(models) <= set(PLAIN_MODELS) else materialised(frame), []
     for i, name in enumerate(models):
-        made = known[name](made, f"_m{i}")
+        made = fitted_alone(name, known[name](made, f"_m{i}"))
         entries.append(F.struct(F.lit(name).alias("model"), F.col(f"_m{i}").alias("fitted")))
     keys = [c for c in ("series_id", "fold") if c in frame.columns]
     rows = made.select(*keys, "train", "train_dates", F.explode(F.array(*entries)).alias("m"))
