@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidepanel.llm import masked_lm
 
@@ -14,6 +15,45 @@ def test_border_of_the_vocabulary_is_filled_in_byte_order(spark):
     assert vocab == [(b"and", 5000), (b"of", 5000), (b"the", 5000), *((w.encode(), 1) for w in rare[: room - 3])]
 
 
+def test_words_of_many_texts_are_those_of_each():
+    texts = [None, "", " \t", "The THE  İstanbul ΣΑΣ\n", "a\x1fb c\x0b\x0cd\r", "\u00a0x\u2003y", "one", "\x00 \U0001f600 ß"]
+    sizes, row = masked_lm.split(texts)
+    assert sizes.tolist() == [len(masked_lm.words(t)) for t in texts]
+    assert row.cast("binary").to_pylist() == [w for t in texts for w in masked_lm.words(t)]
+    known = {b"the": 130, b"x": 3}
+    ids, _ = masked_lm.encode(texts, known)
+    gap = [masked_lm.PAD] * masked_lm.SIDE
+    assert ids.tolist() == gap + [i for t in texts for i in [*(known.get(w, masked_lm.shared_number(w[0])) for w in masked_lm.words(t)), *gap]]
+    assert masked_lm.encode([], known)[0].tolist() == gap and masked_lm.encode(texts, {})[0].max() == masked_lm.PAD
+
+
+def test_texts_are_split_once_for_training_and_scoring(spark):
+    """One reading counts the words, one gives their numbers; a third would split the texts again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        seen.add(1)
+        return text
+
+    texts = ["the zebra of " * 30, "the and", "", None, "yak  the"]
+    rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, ids string")
+    once = rows.withColumn("text", F.udf(read, "string")("text"))
+    got = masked_lm.fit_and_score(once, carry=["doc_id", "ids"])
+    assert got.columns == ["doc_id", "ids", *masked_lm.SCORED.names]
+    got = {r.doc_id: r for r in got.collect()}
+    assert seen.value == 2 * len(texts)
+    assert masked_lm.fit_and_score(rows, carry=["text"]).where("text is null").first().n_tokens == 0
+    counted = masked_lm.word_counts(rows)
+    vocab = masked_lm.vocabulary(rows, counted=counted)
+    pairs, shared = masked_lm.spelling(counted, vocab)
+    want = masked_lm.score(rows, masked_lm.fit(rows, vocab=vocab, shared=shared), pairs=pairs)
+    for r in want.collect():
+        assert got[r.doc_id].n_tokens == r.n_tokens == len(masked_lm.words(texts[r.doc_id])) and got[r.doc_id].ids == "x"
+        assert got[r.doc_id].log_likelihood == pytest.approx(r.log_likelihood, abs=0.02)
+    with pytest.raises(ValueError):
+        masked_lm.fit_and_score(rows.withColumnRenamed("ids", "n_tokens"), carry=["n_tokens"])
+
+
 def test_byte_pairs_against_counting(spark):
     words = {b"ab": 3, b"a": 2, b"abc": 1, "é".encode(): 4}
     counted = spark.createDataFrame([(bytearray(w), n) for w, n in [*words.items(), (b"often", 50)]], "word binary, n long")

@@ -4,22 +4,23 @@ Words are counted over the whole corpus; the most frequent ones have a number of
 their first byte. A word's probability is that of its class times that within the class, with classes of about equal
 mass; for a shared number times that of its other bytes, each given the byte before it, and of the end. These byte pairs
 are counted over the words without a number of their own, so any word has a probability, and those of all words sum to
-one. The network adds the window's embeddings, weighted by place, and squashes the sum. It is trained in numpy where the
-data lies: each task runs Adagrad from the common weights over its part of the documents, and the weights are averaged
-by token count in a tree of tasks. Scores are the summed conditional log-probabilities of all tokens.
+one. The network adds the window's embeddings, weighted by place, and squashes the sum. Texts are split in Arrow and turned
+into numbers once; training and scoring read those. It is trained in numpy where the data lies: each task runs Adagrad from
+the common weights over its part of the documents, and the weights are averaged by token count in a tree of tasks. Scores
+are the summed conditional log-probabilities of all tokens.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidepanel.llm.common import chunks, fields, map_texts, stored
 
@@ -32,6 +33,8 @@ ROUNDS, RATE, BATCH = 1, 0.4, 3072
 TASKS_PER_CORE = 1
 #: Weights averaged in one task.
 FAN_IN = 8
+#: Bytes of words counted at once in a task.
+HELD_BYTES = 32 << 20
 #: Ends of words in the table of byte pairs, and in joined words.
 STOP, BLANK = 256, 0x20
 
@@ -40,30 +43,54 @@ PAIRS = fields(cell="int", n="long")
 WEIGHTS = fields(part="int", n_tokens="long", weights="binary")
 N_PIECES = 32
 PIECES = fields(piece="int", weights="binary")
+#: Numbers of a text as bytes, with SIDE pads after them, and the log-probability of its words of shared numbers given these.
+ENCODED = fields(ids="binary", spelt="double")
 SCORED = fields(n_tokens="long", log_likelihood="double", mean_log_likelihood="double")
 
 #: Context before the first and after the last word of a text.
 PAD = CLASSES * MEMBERS
+#: Of numbers; numpy sorts 16 bits by radix.
+KIND = np.int16
 
 
 def words(text: str | None) -> list[bytes]:
     return text.lower().encode().split() if text else []
 
 
+def split(texts: list[str | None]) -> tuple[np.ndarray, pa.StringArray]:
+    """Word counts of all texts, and the ``words`` of all of them in a row."""
+    lists = pc.ascii_split_whitespace(pa.array([t.lower() if t else "" for t in texts], pa.string()))
+    pieces = lists.flatten()
+    full = pc.greater(pc.binary_length(pieces), 0)
+    before = np.r_[0, np.cumsum(full.to_numpy(zero_copy_only=False))]
+    return np.diff(before[lists.offsets.to_numpy()]).astype(np.int64), pieces.filter(full)
+
+
+def _laid_out(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all words, and the bounds of the words in them."""
+    _, offsets, data = words.cast(pa.binary()).buffers()
+    if not len(words):
+        return np.empty(0, dtype=np.uint8), np.zeros(1, dtype=np.int32)
+    bounds = np.frombuffer(offsets, dtype=np.int32)[words.offset : words.offset + len(words) + 1]
+    return np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: Counter[bytes] = Counter()
+    held: list[pa.Array] = []
+    size = 0
 
     def emptied() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+        made = pc.value_counts(pa.chunked_array(held, pa.string()))
         held.clear()
-        return made
+        return pa.RecordBatch.from_arrays([made.field(0).cast(pa.binary()), made.field(1)], names=["word", "n"])
 
     for batch in batches:
         for part in chunks(batch.column(0)):
-            for text in part.to_pylist():
-                held.update(words(text))
-            if len(held) > 400_000:
+            held.append(split(part.to_pylist())[1])
+            size += held[-1].nbytes
+            if size > HELD_BYTES:
                 yield emptied()
+                size = 0
     if held:
         yield emptied()
 
@@ -147,18 +174,14 @@ def _joined(words: list[bytes]) -> np.ndarray:
     return np.frombuffer(b" ".join([*words, b""]), dtype=np.uint8)
 
 
-def spelt(rare: list[bytes], pairs: np.ndarray) -> np.ndarray:
+def spelt(rare: list[bytes] | pa.Array, pairs: np.ndarray) -> np.ndarray:
     """log P(word | its first byte) of each word."""
-    if not rare:
+    if not len(rare):
         return np.empty(0)
-    table = np.zeros((STOP, STOP))
-    table[:] = pairs[:, :STOP]
-    table[:, BLANK] = pairs[:, STOP]
-    table[BLANK] = 0
-    flat = _joined(rare)
-    total = np.r_[0, np.cumsum(table[flat[:-1], flat[1:]])]
-    ends = np.flatnonzero(flat == BLANK)
-    return total[ends] - total[np.r_[0, ends[:-1] + 1]]
+    flat, bounds = _laid_out(pa.array(rare, pa.binary()) if isinstance(rare, list) else rare)
+    after = np.r_[flat[1:], 0].astype(np.int64)
+    after[bounds[1:] - 1] = STOP
+    return np.add.reduceat(pairs.ravel()[flat * np.int64(STOP + 1) + after], bounds[:-1])
 
 
 class Numbers(dict):
@@ -187,23 +210,61 @@ def numbers(vocab: list[tuple[bytes, int]]) -> Numbers:
     return out
 
 
+class Encoder:
+    """Numbers of the words of texts; with ``pairs`` (see ``spelling``) also what their spelling adds to a score."""
+
+    def __init__(self, known: dict[bytes, int], pairs: np.ndarray | None = None) -> None:
+        self.words = pa.array(list(known), pa.binary()).cast(pa.string())
+        self.own = np.fromiter([*known.values(), 0], dtype=KIND)
+        self.pairs = pairs
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers of all texts, SIDE pads after each; texts' token counts; log-probabilities of spellings)."""
+        sizes, row = split(texts)
+        at = pc.index_in(row, value_set=self.words)
+        rare = at.is_null()
+        ids = self.own[at.fill_null(len(self.own) - 1).to_numpy()]
+        shared, of_text = row.filter(rare), np.repeat(np.arange(len(sizes)), sizes)
+        rare = rare.to_numpy(zero_copy_only=False)
+        flat, bounds = _laid_out(shared)
+        ids[rare] = shared_number(flat[bounds[:-1]].astype(KIND))
+        out = np.full(len(ids) + SIDE * len(sizes), PAD, dtype=KIND)
+        out[np.arange(len(ids)) + SIDE * of_text] = ids
+        if self.pairs is None:
+            return out, sizes, np.zeros(len(sizes))
+        return out, sizes, np.bincount(of_text[rare], weights=spelt(shared, self.pairs), minlength=len(sizes))
+
+
 def encode(texts: list[str | None], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """(numbers of all texts, each between pads; texts' token counts)."""
-    return encode_words([words(t) for t in texts], known)
+    ids, sizes, _ = Encoder(known)(texts)
+    return _led_in(ids), sizes
+
 
+def _led_in(ids: np.ndarray) -> np.ndarray:
+    return np.r_[np.full(SIDE, PAD, dtype=KIND), ids]
+
+
+def encoded(docs: DataFrame, text: str, known: dict[bytes, int], pairs: np.ndarray | None = None, carry: list[str] | None = None) -> DataFrame:
+    """Carried columns, ids and spelt of each row."""
+
+    def prepare():
+        made = Encoder(known, pairs)
+
+        def work(texts: list) -> list:
+            ids, sizes, more = made(texts)
+            ends = np.cumsum(sizes + SIDE)
+            return [[ids[a:b].tobytes() for a, b in zip(ends - sizes - SIDE, ends)], more]
+
+        return work
 
-def encode_words(rows: list[list[bytes]], known: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    gap, absent = [PAD] * SIDE, repeat(-1)
-    ids, sizes = list(gap), []
-    for row in rows:
-        ids += map(known.get, row, absent)
-        ids += gap
-        sizes.append(len(row))
-    out = np.asarray(ids, dtype=np.int32)
-    rare = out < 0
-    every = compress(chain.from_iterable(rows), rare[out != PAD].tolist())
-    out[rare] = shared_number(np.fromiter((w[0] for w in every), dtype=np.int32))
-    return out, np.asarray(sizes, dtype=np.int64)
+    return map_texts(docs, text, ENCODED, prepare, carry)
+
+
+def _stream(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all rows between pads, token counts) of encoded rows."""
+    flat, bounds = _laid_out(ids)
+    return _led_in(flat.view(KIND)), np.diff(bounds).astype(np.int64) // KIND(0).itemsize - SIDE
 
 
 def shapes() -> dict[str, tuple[int, ...]]:
@@ -248,26 +309,28 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
 
 
 class Window:
-    """Hidden values of the tokens of one stretch of a stream, ordered by class; SIDE numbers lead in and out.
+    """Hidden values of the tokens of one stretch of a stream, ordered by number; SIDE numbers lead in and out.
 
     The stretch is contiguous, so each place of the window is a shift of the embedded stream, not a lookup.
     """
 
     def __init__(self, w: dict[str, np.ndarray], ids: np.ndarray) -> None:
         n = len(ids)
-        self.inner = ids[SIDE : n - SIDE]
+        self.size = n - 2 * SIDE
         self.spans = [slice(SIDE + o, n - SIDE + o) for o in (*range(-SIDE, 0), *range(1, SIDE + 1))]
         self.embedded = w["embed"][ids]
-        at = np.flatnonzero(self.inner != PAD)
-        self.at = at[np.argsort(self.inner[at] // MEMBERS, kind="stable")]
-        self.kind, self.member = np.divmod(self.inner[self.at], MEMBERS)
-        total = np.zeros((len(self.inner), WIDTH), dtype=np.float32)
+        self.order = np.argsort(ids, kind="stable")
+        own = self.order[: np.searchsorted(ids, PAD, sorter=self.order)]
+        own = own[(own >= SIDE) & (own < n - SIDE)]
+        self.at = own - SIDE
+        self.kind, self.member = np.divmod(ids[own], MEMBERS)
+        total, one = np.zeros((self.size, WIDTH), dtype=np.float32), np.empty((self.size, WIDTH), dtype=np.float32)
         for span, weight in zip(self.spans, w["place"]):
-            total += self.embedded[span] * weight
-        self.hidden = np.ones((len(at), WIDTH + 1), dtype=np.float32)
+            total += np.multiply(self.embedded[span], weight, out=one)
+        self.hidden = np.ones((len(own), WIDTH + 1), dtype=np.float32)
         np.tanh(total[self.at] + w["shift"], out=self.hidden[:, :WIDTH])
-        cuts = np.searchsorted(self.kind, np.arange(CLASSES + 1))
-        self.classes = [(k, slice(cuts[k], cuts[k + 1])) for k in range(CLASSES) if cuts[k] < cuts[k + 1]]
+        cuts = np.searchsorted(self.kind, np.arange(CLASSES + 1, dtype=self.kind.dtype)).tolist()
+        self.classes = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
 
     def exponentials(self, w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """exp of the scores of all classes, and of all members of each token's class."""
@@ -278,6 +341,10 @@ class Window:
         return np.exp(kinds, out=kinds), np.exp(members, out=members)
 
 
+def _sums(rows: np.ndarray) -> np.ndarray:
+    return rows @ np.ones(rows.shape[1], dtype=rows.dtype)
+
+
 def log_probabilities(w: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
     """log P(word | both sides) of every token that is no pad, in order; ``ids`` has SIDE pads at both ends."""
     out = np.zeros(max(0, len(ids) - 2 * SIDE), dtype=np.float64)
@@ -286,7 +353,7 @@ def log_probabilities(w: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
         rows = np.arange(len(part.at))
         got = 0.0
         for z, target in zip(part.exponentials(w), (part.kind, part.member)):
-            got = got + np.log(z[rows, target].astype(np.float64) / z.sum(axis=1))
+            got = got + np.log(z[rows, target].astype(np.float64) / _sums(z))
         out[lo + part.at] = got
     return out[ids[SIDE : len(ids) - SIDE] != PAD]
 
@@ -323,39 +390,40 @@ class Trainer:
         # (exp - total * [target]) / total is the gradient; the division goes to the narrow factors.
         share = []
         for z, target in ((kinds, part.kind), (members, part.member)):
-            total = z.sum(axis=1)
+            total = _sums(z)
             z[rows, target] -= total
             share.append((np.float32(32 / n) / total)[:, None])
         back = (kinds @ w["kind"][:WIDTH].T) * share[0]
         of_members, weighted, grad = np.empty_like(back), h * share[1], self.grad
         grad[:] = 0
         for k, at in part.classes:
-            np.matmul(members[at], w["word"][k, :WIDTH].T, out=of_members[at])
-            np.matmul(weighted[at].T, members[at], out=grad[k])
+            np.dot(members[at], w["word"][k, :WIDTH].T, out=of_members[at])
+            np.dot(weighted[at].T, members[at], out=grad[k])
         back += of_members * share[1]
         self._move("kind", (h * share[0]).T @ kinds)
         self._move("word", grad)
         h = h[:, :WIDTH]
         back *= 1 - h * h
-        spread = np.zeros((len(part.inner), WIDTH), dtype=np.float32)
+        spread = np.zeros((part.size, WIDTH), dtype=np.float32)
         spread[part.at] = back
-        embed, place = np.zeros((len(ids), WIDTH), dtype=np.float32), np.empty((2 * SIDE, WIDTH), dtype=np.float32)
+        embed, place = np.zeros_like(part.embedded), np.empty((2 * SIDE, WIDTH), dtype=np.float32)
+        one = np.empty_like(spread)
         for j, span in enumerate(part.spans):
-            embed[span] += spread * w["place"][j]
-            place[j] = np.einsum("ij,ij->j", part.embedded[span], spread)
-        order = np.argsort(ids, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(ids[order]) > 0])
-        self._move("embed", np.add.reduceat(embed[order], first, axis=0), ids[order[first]])
+            embed[span] += np.multiply(spread, w["place"][j], out=one)
+            place[j] = _sums(np.multiply(part.embedded[span], spread, out=one).T)
+        ordered = ids[part.order]
+        first = np.flatnonzero(np.r_[True, ordered[1:] > ordered[:-1]])
+        self._move("embed", np.add.reduceat(embed[part.order], first, axis=0), ordered[first])
         self._move("place", place)
-        self._move("shift", back.sum(axis=0))
+        self._move("shift", _sums(back.T))
 
 
-def _train(flat: np.ndarray, known: dict[bytes, int]):
+def _train(flat: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer, n = Trainer(flat), 0
         for batch in batches:
             for part in chunks(batch.column(0)):
-                ids, sizes = encode(part.to_pylist(), known)
+                ids, sizes = _stream(part)
                 for lo in range(0, len(ids) - 2 * SIDE, BATCH):
                     trainer.step(ids[lo : lo + BATCH + 2 * SIDE])
                 n += int(sizes.sum())
@@ -390,22 +458,25 @@ def fit(
         vocab = vocabulary(docs, text, counted)
     if shared is None:
         shared = spelling(counted if counted is not None else word_counts(docs, text), vocab)[1]
-    known, flat = numbers(vocab), initial(vocab, shared)
-    texts = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
+    known = numbers(vocab)
+    return known, trained(stored(encoded(docs, text, known, carry=[]), "numbers"), initial(vocab, shared), rounds)
+
+
+def trained(rows: DataFrame, flat: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights from ``flat`` on, trained on all rows of ``encoded``."""
     # Neighbouring partitions of the scan are read one after another by a task; nothing is shuffled.
-    parts = TASKS_PER_CORE * docs.sparkSession.sparkContext.defaultParallelism
+    parts = TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism
     for _ in range(rounds):
-        trained, left = stored(texts.coalesce(parts).mapInArrow(_train(flat, known), WEIGHTS), "weights"), parts
+        made, left = stored(rows.select("ids").coalesce(parts).mapInArrow(_train(flat), WEIGHTS), "weights"), parts
         while left > 1:
             left = -(-left // FAN_IN)
             group = F.floor(F.col("part") / FAN_IN)
-            trained = trained.repartition(left, group).sortWithinPartitions("part")
-            trained = trained.mapInArrow(_grouped, WEIGHTS)
+            made = made.repartition(left, group).sortWithinPartitions("part").mapInArrow(_grouped, WEIGHTS)
         # One row, fetched in pieces so that each task's result stays small.
-        got = sorted(map(tuple, trained.mapInArrow(_split, PIECES).repartition(N_PIECES, "piece").collect()))
+        got = sorted(map(tuple, made.mapInArrow(_split, PIECES).repartition(N_PIECES, "piece").collect()))
         if got:
             flat = np.frombuffer(b"".join(bytes(b) for _, b in got), dtype=np.float32)
-    return known, flat
+    return flat
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,29 +518,52 @@ def score(
     known, flat = model
 
     def prepare():
-        w = unpack(flat)
-        per = SHARED // CLASSES
+        w, made = unpack(flat), Encoder(known, pairs)
 
         def work(texts: list) -> list:
-            split = [words(t) for t in texts]
-            ids, sizes = encode_words(split, known)
-            got = log_probabilities(w, ids)
-            if pairs is not None:
-                rare = ids[ids != PAD] % MEMBERS >= MEMBERS - per
-                got[rare] += spelt(list(compress(chain.from_iterable(split), rare.tolist())), pairs)
-            total = np.r_[0, np.cumsum(got)]
-            ends = np.cumsum(sizes)
-            summed = total[ends] - total[ends - sizes]
-            return [sizes, summed, [s / n if n else None for s, n in zip(summed, sizes)]]
+            ids, sizes, more = made(texts)
+            return _scored(w, _led_in(ids), sizes, more)
 
         return work
 
     return map_texts(docs, text, SCORED, prepare, ["doc_id"] if carry is None else carry)
 
 
+def _scored(w: dict[str, np.ndarray], ids: np.ndarray, sizes: np.ndarray, more: np.ndarray) -> list:
+    """Values of SCORED for texts with these numbers and token counts."""
+    total = np.r_[0, np.cumsum(log_probabilities(w, ids))]
+    ends = np.cumsum(sizes)
+    summed = total[ends] - total[ends - sizes] + more
+    return [sizes, summed, [s / n if n else None for s, n in zip(summed, sizes)]]
+
+
+def _score(flat: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = unpack(flat)
+        for batch in batches:
+            done, n_carry = 0, batch.num_columns - len(ENCODED)
+            for part in chunks(batch.column(n_carry)):
+                more = batch.column(n_carry + 1).slice(done, len(part)).to_numpy()
+                held = [c.slice(done, len(part)) for c in batch.columns[:n_carry]]
+                made = [pa.array(v, t) for v, t in zip(_scored(w, *_stream(part), more), (pa.int64(), pa.float64(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*held, *made], names=[*batch.schema.names[:n_carry], *SCORED.names])
+                done += len(part)
+
+    return run
+
+
 def fit_and_score(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Scores of the documents under a model of the same documents."""
+    """Scores of the documents under a model of the same documents; their numbers are stored once for both."""
+    carry = ["doc_id"] if carry is None else carry
+    if clash := set(carry) & set(SCORED.names):
+        raise ValueError(f"carried columns repeat result columns: {sorted(clash)}")
     counted = word_counts(docs, text)
     vocab = vocabulary(docs, text, counted)
     pairs, shared = spelling(counted, vocab)
-    return score(docs, fit(docs, text, vocab=vocab, shared=shared), text, carry, pairs)
+    # Names of their own: the carried ones may repeat those of the stored columns, or each other but for case.
+    held = [f"c{i}" for i in range(len(carry))]
+    named = docs.select(*[F.col(f"`{c}`").alias(h) for c, h in zip(carry, held)], F.col(f"`{text}`").alias("text"))
+    rows = stored(encoded(named, "text", numbers(vocab), pairs, held), "numbers")
+    flat = trained(rows, initial(vocab, shared))
+    scored = rows.mapInArrow(_score(flat), T.StructType([*rows.schema.fields[: len(held)], *SCORED.fields]))
+    return scored.toDF(*carry, *SCORED.names)
