@@ -1,9 +1,11 @@
 import random
 import re
+import sys
 from collections import Counter
 
 import edge_rows
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidepanel.llm import collocations
@@ -71,6 +73,41 @@ def test_chunks_start_each_gram_once():
             assert got == [tuple(row[i : i + width + 1]) for i in range(len(row) - width)]
 
 
+def test_chunks_of_many_texts_are_those_of_each():
+    rng = random.Random(5)
+    for width, every in ((1, 1), (1, 24), (2, 3), (2, 24), (3, 2), (3, 1000)):
+        texts = [None, "", " \t ", ".", "one", "Ä.B c", "a\x1fb\u00a0c\x85d"]
+        texts += ["".join(rng.choice(["a", "B", "é", "\U0001f600"]) + rng.choice([" ", "  ", "\t", ". ", "\r\n"]) for _ in range(rng.randint(0, 60))) for _ in range(40)]
+        rng.shuffle(texts)
+        want = [(i, c) for i, t in enumerate(texts) for c in collocations.parse(t, width, every, collocations.Hashes())]
+        of, got = collocations.parse_all(texts, width, every)
+        assert list(zip(of.tolist(), got)) == want
+        assert collocations.parse_all([None, ""], width, every)[1] == []
+
+
+def calls(work, column_rows, names):
+    """Calls of functions, Python's and C's, while a task's work runs over one batch."""
+    batch, seen = pa.record_batch([pa.array(c) for c in zip(*column_rows)], names=names), Counter()
+    sys.setprofile(lambda frame, event, arg: seen.update([event]))
+    try:
+        out = list(work(iter([batch])))
+    finally:
+        sys.setprofile(None)
+    assert sum(map(len, out))
+    return seen["call"] + seen["c_call"]
+
+
+def test_work_of_a_task_does_not_call_for_each_word():
+    """Of as many texts with ten times the words, all different, the calls stay as they are but for those of more chunks."""
+    few, many = ([("en", " ".join(f"w{i}x{k}" for k in range(n))) for i in range(20)] for n in (100, 1000))
+    assert calls(collocations._parsed(2, 10**9), many, ["lang", "text"]) < 1.5 * calls(collocations._parsed(2, 10**9), few, ["lang", "text"])
+    full = np.full(16, -1).astype(np.uint64)
+    for words, table in ((1, None), (2, full), (3, full)):
+        chunked = [[(lang, t.encode() + b" \xff \xff", 1) for lang, t in rows] for rows in (few, many)]
+        one, ten = (calls(collocations._counted(words, 2, table), rows, ["lang", "chunk", "n"]) for rows in chunked)
+        assert ten < 1.5 * one
+
+
 def test_equal_passages_give_equal_chunks():
     rng = random.Random(2)
     shared = " ".join(f"w{rng.randrange(500)}" for _ in range(400))
@@ -96,6 +133,12 @@ def test_a_full_bit_table_changes_nothing(spark, monkeypatch):
     assert run(spark, rows, min_count=2) == want == plain(rows, 2, 3, 2000)
 
 
+def test_languages_by_any_name(spark):
+    """An empty one, one with a blank, one told apart by case, and null, whose rows count as und."""
+    rows = [(lang, "a b c. b c d\ta B") for lang in ("", "a b", "EN", "en", None, "und")] * 3
+    assert run(spark, rows, min_count=2) == plain(rows, 2, 3, 2000)
+
+
 def test_edges(spark):
     got = sorted(map(tuple, collocations.mine(edge_rows.table(spark), min_count=2).collect()))
     assert got == plain([(None, r[1]) for r in edge_rows.rows()], 2, 3, 2000)

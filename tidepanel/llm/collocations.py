@@ -7,11 +7,12 @@ that frequency. An n-gram is counted by the chunk in which it starts before the
 
 Counting goes by length: an n-gram can only be frequent if both its (n-1)-grams are. Those found so far travel to the
 next pass as a bit table. A false hit costs a row of the shuffle and nothing else, so counts stay exact at any size.
+
+Words are split, told apart and joined in Arrow for many texts or chunks at once, and hashed once for each distinct word.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +22,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import chunks, fields, stored
+from tidepanel.llm.common import chunks, fields, laid_out, stored
 
 MIN_COUNT, MAX_WORDS, TOP = 10, 3, 2000
 #: Share of a phrase's own count (in percent) from which a longer candidate around it replaces it.
 COVERED_PERCENT = 50
 #: Mean words of a chunk, closing window aside.
 EVERY = 24
+#: Bytes of text parsed at once.
+PARSE_BYTES = 4 << 20
 #: Bytes of distinct chunks counted at once.
 BLOCK_BYTES = 12 << 20
 #: The bit table: bits a phrase, and the most bits in all (32 MB). Beyond, false hits become more frequent.
@@ -35,14 +38,14 @@ BITS_A_PHRASE, MOST_BITS = 16, 1 << 28
 #: Groups of phrases of a language that are ranked on their own before the last ranking.
 RANK_GROUPS = 64
 
-#: No byte of UTF-8: the end of a piece, and the end of a text or chunk.
+#: No byte of UTF-8: the end of a piece, and the end of a text.
 SEPARATOR, END = b"\xff", b"\xfe"
 _TRANSLATED = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + SEPARATOR * 10)
 
 PARSED = fields(lang="string", chunk="binary", n="long")
 GRAMS = fields(lang="string", phrase="string", n="long")
 SLOTS = fields(slot="int", bits="long")
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_MULTIPLIER, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -59,15 +62,24 @@ def _mixed(parts: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, 42)
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """Hashes of words of a byte or more: sums over the bytes with their places."""
+    flat, bounds = laid_out(words)
+    if not len(flat):
+        return np.empty(0, dtype=np.uint64)
+    place = np.arange(len(flat)) - np.repeat(bounds[:-1], np.diff(bounds))
+    out = (place * 256 + flat + 1).astype(np.uint64) * _MULTIPLIER
+    out ^= out >> np.uint64(29)
+    out *= _SECOND
+    out ^= out >> np.uint64(32)
+    return np.add.reduceat(out, bounds[:-1])
 
 
 class Hashes(dict):
     """Hashes of words, each made once."""
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = made = _hash(word)
+        self[word] = made = int(word_hashes(pa.array([word], pa.binary()))[0])
         return made
 
 
@@ -88,32 +100,70 @@ def parse(text: str | None, width: int, every: int, known: Hashes) -> list[bytes
     return [b" ".join(row[a : b + width]) for a, b in zip(at, at[1:])]
 
 
+def _row(joined: bytes) -> pa.Array:
+    """Words of a translated text."""
+    pieces = pc.split_pattern(pa.array([joined], pa.binary()), pattern=b" ").flatten()
+    return pieces.filter(pc.greater(pc.binary_length(pieces), 0))
+
+
+def parse_all(texts: list[str | None], width: int, every: int) -> tuple[np.ndarray, list[bytes]]:
+    """Of all texts the chunks that ``parse`` gives, and the number of the text of each; width 1 or more."""
+    closed = b" ".join([b"", *[SEPARATOR] * width, END, b""])
+    joined = END.join([*(t.encode() if t else b"" for t in texts), b""]).translate(_TRANSLATED).replace(b"\t", b" ")
+    row = _row(joined.replace(SEPARATOR, b" " + SEPARATOR + b" ").replace(END, closed))
+    told = row.dictionary_encode()
+    ids, end = told.indices.to_numpy(), pc.index(told.dictionary, END).as_py()
+    hashes = word_hashes(told.dictionary)[ids]
+    ends = np.flatnonzero(ids == end)
+    first = np.r_[0, ends[:-1] + 1]
+    window = _mixed([hashes[i : len(hashes) - width + 1 + i] for i in range(width)])
+    starts = np.zeros(len(ids) + 1, dtype=bool)
+    starts[: len(window)] = window % np.uint64(every) == 0
+    # No chunk starts at the separators that close a text, one does where a text starts.
+    starts[ends[:, None] - np.arange(width + 1)] = False
+    starts[first[ends - first > width]] = True
+    starts = np.flatnonzero(starts)
+    of = np.searchsorted(ends, starts)
+    stops = np.where(np.r_[of[1:] == of[:-1], np.zeros(len(of[:1]), dtype=bool)], np.r_[starts[1:], starts[:1]], ends[of] - width)
+    flat = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(row)], pa.int32()), row), b" ")[0].as_py()
+    place = laid_out(row)[1] + np.arange(len(row) + 1)
+    return of, [flat[a:b] for a, b in zip(place[starts].tolist(), (place[stops + width] - 1).tolist())]
+
+
+def _by_language(batches: list[pa.RecordBatch]) -> Iterator[tuple[str, pa.Table]]:
+    """Rows of each language in one piece; the language is the first column."""
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    for lang in pc.unique(rows.column(0)):
+        yield lang.as_py(), rows.filter(pc.equal(rows.column(0), lang)).combine_chunks()
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
+
+
 def _parsed(width: int, every: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Hashes()
-        held: Counter[tuple[str, bytes]] = Counter()
+        held: list[pa.RecordBatch] = []
         size = 0
 
-        def emptied() -> pa.RecordBatch:
-            arrays = [pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.binary()), pa.array(list(held.values()), pa.int64())]
+        def emptied() -> Iterator[pa.RecordBatch]:
+            for lang, rows in _by_language(held):
+                made = pc.value_counts(_whole(rows.column(1)))
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(made)), made.field(0), made.field(1)], names=PARSED.names)
             held.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=PARSED.names)
 
         for batch in batches:
             done = 0
-            for part in chunks(batch.column(1)):
-                for lang, text in zip(batch.column(0).slice(done, len(part)).to_pylist(), part.to_pylist()):
-                    for chunk in parse(text, width, every, known):
-                        held[lang, chunk] += 1
-                    size += len(text or "")
-                done += len(part)
+            for part in chunks(batch.column(1), PARSE_BYTES):
+                of, made = parse_all(part.to_pylist(), width, every)
+                lang = batch.column(0).slice(done, len(part)).take(pa.array(of))
+                held.append(pa.RecordBatch.from_arrays([lang, pa.array(made, pa.binary())], names=PARSED.names[:2]))
+                done, size = done + len(part), size + held[-1].nbytes
                 if size > BLOCK_BYTES:
-                    yield emptied()
+                    yield from emptied()
                     size = 0
-                if len(known) > 500_000:
-                    known.clear()
         if held:
-            yield emptied()
+            yield from emptied()
 
     return run
 
@@ -127,7 +177,7 @@ def parsed(docs: DataFrame, text: str = "text", lang: str | None = "lang", max_w
 
 def _slots(hashes: np.ndarray, lang: str, n_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Two bit places of each phrase hash in the table."""
-    own = _mixed([hashes ^ np.uint64(_hash(lang.encode()))])
+    own = _mixed([hashes ^ np.uint64(xxhash.xxh64_intdigest(lang.encode(), 42))])
     return own & np.uint64(n_bits - 1), (own >> np.uint64(32)) & np.uint64(n_bits - 1)
 
 
@@ -136,18 +186,15 @@ def _has(table: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def bit_table(frequent: DataFrame) -> np.ndarray:
-    """Bits of the phrases of ``frequent`` (lang, phrase) for ``_has``; at most MOST_BITS, whatever their number."""
+    """Bits of the phrases of ``frequent`` (lang, phrase, all of equally many words) for ``_has``; at most MOST_BITS, whatever their number."""
     n_bits = 1 << max(10, min(MOST_BITS.bit_length() - 1, (frequent.count() * BITS_A_PHRASE).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(n_bits // 64, dtype=np.uint64)
         for batch in batches:
-            by_lang: dict[str, list[int]] = {}
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = phrase.encode().split(b" ")
-                by_lang.setdefault(lang, []).append(int(_mixed([np.array([_hash(w)], dtype=np.uint64) for w in words])[0]))
-            for lang, hashes in by_lang.items():
-                for place in _slots(np.array(hashes, dtype=np.uint64), lang, n_bits):
+            for lang, rows in _by_language([batch]) if batch.num_rows else ():
+                hashes = word_hashes(pc.split_pattern(_whole(rows.column(1)), pattern=" ").flatten()).reshape(len(rows), -1)
+                for place in _slots(_mixed(list(hashes.T)), lang, n_bits):
                     np.bitwise_or.at(table, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
         used = np.flatnonzero(table)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(table[used].view(np.int64))], names=SLOTS.names)
@@ -159,62 +206,61 @@ def bit_table(frequent: DataFrame) -> np.ndarray:
     return out
 
 
-def _grams(lang: str, rows: list[bytes], n: np.ndarray, words: int, width: int, table: np.ndarray | None) -> pa.RecordBatch:
+def _grams(lang: str, rows: pa.Array, n: np.ndarray, words: int, width: int, table: np.ndarray | None) -> pa.RecordBatch:
     """Weighted counts of the n-grams of distinct chunks of one language."""
-    row = (b" " + END + b" ").join(rows).split(b" ")
-    distinct = dict.fromkeys((SEPARATOR, END)) | dict.fromkeys(row)
-    numbers = dict(zip(distinct, range(len(distinct))))
-    ids = np.fromiter(map(numbers.__getitem__, row), dtype=np.int64, count=len(row))
-    ends = np.r_[np.flatnonzero(ids == 1), len(ids)]
-    sizes = np.diff(np.r_[-1, ends]) - 1
-    first = np.r_[0, ends[:-1] + 1]
-    # Starts of n-grams that belong to their chunk: those before its closing window.
-    owned = np.maximum(sizes - max(width, 1), 0)
-    chunk = np.repeat(np.arange(len(sizes)), owned)
-    at = np.repeat(first - np.r_[0, np.cumsum(owned)[:-1]], owned) + np.arange(len(chunk))
-    for i in range(words):
-        fits = ids[at + i] > 1
-        at, chunk = at[fits], chunk[fits]
+    lists = pc.split_pattern(rows, pattern=b" ")
+    told = lists.flatten().dictionary_encode()
+    ids, spelt, bounds = told.indices.to_numpy(), told.dictionary, lists.offsets.to_numpy()
+    is_word = ids != pc.index(spelt, SEPARATOR).as_py()
+    # Starts of n-grams of words that belong to their chunk: those before its closing window.
+    fits = is_word.copy()
+    fits[bounds[1:, None] - 1 - np.arange(max(width, 1))] = False
+    for i in range(1, words):
+        fits[:-i] &= is_word[i:]
+    at = np.flatnonzero(fits)
     if table is not None and words > 1:
-        hashes = np.fromiter(map(_hash, numbers), dtype=np.uint64, count=len(numbers))[ids]
-        for start in (0, 1):
-            part = _mixed([hashes[at + start + i] for i in range(words - 1)])
-            one, two = _slots(part, lang, len(table) * 64)
-            fits = _has(table, one) & _has(table, two)
-            at, chunk = at[fits], chunk[fits]
+        hashes = word_hashes(spelt)
+        if words > 2:
+            hashes = hashes[ids]
+            hashes = [hashes[i : len(hashes) - words + 2 + i] for i in range(words - 1)]
+        one, two = _slots(_mixed(hashes if words > 2 else [hashes]), lang, len(table) * 64)
+        passed = _has(table, one) & _has(table, two)
+        passed = passed if words > 2 else passed[ids]
+        at = at[passed[at] & passed[at + 1]]
     if not len(at):
         return pa.RecordBatch.from_arrays([pa.array([], f) for f in (pa.string(), pa.string(), pa.int64())], names=GRAMS.names)
-    key = ids[at]
+    key = ids[at].astype(np.int64)
     for i in range(1, words):
-        key = np.unique(key, return_inverse=True)[1] * len(numbers) + ids[at + i] if i > 1 else key * len(numbers) + ids[at + i]
+        key = np.unique(key, return_inverse=True)[1] * len(spelt) + ids[at + i] if i > 1 else key * len(spelt) + ids[at + i]
     order = np.argsort(key)
     starts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
+    chunk = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(bounds))[at]
     total = np.add.reduceat(n[chunk[order]], starts)
-    spelt, where = pa.array(list(numbers), pa.binary()), at[order[starts]]
+    where = at[order[starts]]
     joined = pc.binary_join_element_wise(*[spelt.take(pa.array(ids[where + i])) for i in range(words)], b" ")
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(total), pa.string()), joined.cast(pa.string()), pa.array(total)], names=GRAMS.names)
+    return pa.RecordBatch.from_arrays([pa.repeat(lang, len(total)), joined.cast(pa.string()), pa.array(total)], names=GRAMS.names)
 
 
 def _counted(words: int, width: int, table: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[list[bytes], list[int]]] = {}
+        held: list[pa.RecordBatch] = []
         size = 0
 
         def emptied() -> Iterator[pa.RecordBatch]:
-            for lang, (rows, n) in held.items():
-                yield _grams(lang, rows, np.array(n, dtype=np.int64), words, width, table)
+            for lang, rows in _by_language(held):
+                yield _grams(lang, _whole(rows.column(1)), _whole(rows.column(2)).to_numpy(), words, width, table)
             held.clear()
 
         for batch in batches:
-            for lang, chunk, count in zip(*[c.to_pylist() for c in batch.columns]):
-                rows, n = held.setdefault(lang, ([], []))
-                rows.append(chunk)
-                n.append(count)
-                size += len(chunk)
+            done = 0
+            for part in chunks(batch.column(1), BLOCK_BYTES):
+                held.append(batch.slice(done, len(part)))
+                done, size = done + len(part), size + part.nbytes
                 if size > BLOCK_BYTES:
                     yield from emptied()
                     size = 0
-        yield from emptied()
+        if held:
+            yield from emptied()
 
     return run
 

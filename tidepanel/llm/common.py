@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +52,15 @@ def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[pa.Array]:
         yield texts.slice(start)
 
 
+def laid_out(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all words (none null), and the bounds of the words in them."""
+    if not len(words):
+        return np.empty(0, dtype=np.uint8), np.zeros(1, dtype=np.int32)
+    _, offsets, data = words.cast(pa.binary()).buffers()
+    bounds = np.frombuffer(offsets, dtype=np.int32)[words.offset : words.offset + len(words) + 1]
+    return np.frombuffer(data or b"", dtype=np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
 def map_texts(
     df: DataFrame,
     text: str,

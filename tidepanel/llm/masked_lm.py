@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidepanel.llm.common import chunks, fields, map_texts, stored
+from tidepanel.llm.common import chunks, fields, laid_out, map_texts, stored
 
 CLASSES, MEMBERS = 64, 128
 #: Numbers shared by the words without one of their own, one for each first byte.
@@ -66,15 +66,6 @@ def split(texts: list[str | None]) -> tuple[np.ndarray, pa.StringArray]:
     return np.diff(before[lists.offsets.to_numpy()]).astype(np.int64), pieces.filter(full)
 
 
-def _laid_out(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all words, and the bounds of the words in them."""
-    _, offsets, data = words.cast(pa.binary()).buffers()
-    if not len(words):
-        return np.empty(0, dtype=np.uint8), np.zeros(1, dtype=np.int32)
-    bounds = np.frombuffer(offsets, dtype=np.int32)[words.offset : words.offset + len(words) + 1]
-    return np.frombuffer(data, dtype=np.uint8)[bounds[0] : bounds[-1]], bounds - bounds[0]
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[pa.Array] = []
     size = 0
@@ -178,7 +169,7 @@ def spelt(rare: list[bytes] | pa.Array, pairs: np.ndarray) -> np.ndarray:
     """log P(word | its first byte) of each word."""
     if not len(rare):
         return np.empty(0)
-    flat, bounds = _laid_out(pa.array(rare, pa.binary()) if isinstance(rare, list) else rare)
+    flat, bounds = laid_out(pa.array(rare, pa.binary()) if isinstance(rare, list) else rare)
     after = np.r_[flat[1:], 0].astype(np.int64)
     after[bounds[1:] - 1] = STOP
     return np.add.reduceat(pairs.ravel()[flat * np.int64(STOP + 1) + after], bounds[:-1])
@@ -226,7 +217,7 @@ class Encoder:
         ids = self.own[at.fill_null(len(self.own) - 1).to_numpy()]
         shared, of_text = row.filter(rare), np.repeat(np.arange(len(sizes)), sizes)
         rare = rare.to_numpy(zero_copy_only=False)
-        flat, bounds = _laid_out(shared)
+        flat, bounds = laid_out(shared)
         ids[rare] = shared_number(flat[bounds[:-1]].astype(KIND))
         out = np.full(len(ids) + SIDE * len(sizes), PAD, dtype=KIND)
         out[np.arange(len(ids)) + SIDE * of_text] = ids
@@ -263,7 +254,7 @@ def encoded(docs: DataFrame, text: str, known: dict[bytes, int], pairs: np.ndarr
 
 def _stream(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(numbers of all rows between pads, token counts) of encoded rows."""
-    flat, bounds = _laid_out(ids)
+    flat, bounds = laid_out(ids)
     return _led_in(flat.view(KIND)), np.diff(bounds).astype(np.int64) // KIND(0).itemsize - SIDE
 
 
