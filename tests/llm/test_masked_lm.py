@@ -1,4 +1,5 @@
 import itertools
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -124,6 +125,64 @@ def test_gradient_against_differences(monkeypatch):
         assert moved[at] == pytest.approx(g / np.sqrt(0.01 + g * g), abs=2e-2)
 
 
+def plain_step(w, seen, ids, rate):
+    """Token by token in double precision."""
+    side, grad = masked_lm.SIDE, {k: np.zeros_like(v) for k, v in w.items()}
+    tokens = [t for t in range(side, len(ids) - side) if ids[t] != masked_lm.PAD]
+    for t in tokens:
+        around = [int(ids[t + o]) for o in range(-side, side + 1) if o]
+        h = np.tanh((w["embed"][around] * w["place"]).sum(axis=0) + w["shift"])
+        kind, member = divmod(int(ids[t]), masked_lm.MEMBERS)
+        back = 0
+        for matrix, of, target in ((w["kind"], grad["kind"], kind), (w["word"][kind], grad["word"][kind], member)):
+            p = np.exp(np.r_[h, 1] @ matrix)
+            p /= p.sum()
+            p[target] -= 1
+            p *= 32 / len(tokens)
+            of += np.outer(np.r_[h, 1], p)
+            back = back + matrix[:-1] @ p
+        back = back * (1 - h * h)
+        grad["shift"] += back
+        grad["place"] += back * w["embed"][around]
+        np.add.at(grad["embed"], around, back * w["place"])
+    for k in w:
+        seen[k] += grad[k] ** 2
+        w[k] -= rate * grad[k] / np.sqrt(seen[k])
+
+
+def test_steps_of_all_lengths_against_plain_ones(monkeypatch):
+    """A step on arrays of longer and shorter ones before it gives what a step on arrays of its own does."""
+    monkeypatch.setattr(masked_lm, "WIDTH", 5)
+    rng = np.random.default_rng(7)
+    trainer = masked_lm.Trainer(masked_lm.initial([], [0] * 256), rate=0.1)
+    w = {k: v.astype(np.float64) for k, v in trainer.w.items()}
+    seen = {k: np.full(v.shape, 1e-2) for k, v in w.items()}
+    for n in (90, 1, 15, 16, 17, 0, 40, 33):
+        ids = rng.choice(rng.integers(0, masked_lm.PAD, 12), n + 2 * masked_lm.SIDE).astype(masked_lm.KIND)
+        ids[rng.random(len(ids)) < 0.1] = masked_lm.PAD
+        room = masked_lm.Room()
+        assert np.array_equal(masked_lm.log_probabilities(trainer.w, ids, trainer.room), masked_lm.log_probabilities(trainer.w, ids, room))
+        trainer.step(ids)
+        plain_step(w, seen, ids, 0.1)
+        for k in w:
+            assert np.allclose(trainer.w[k], w[k], atol=2e-5), (n, k)
+
+
+def test_steps_take_no_new_memory():
+    """Arrays are taken once: the pages of new ones were most of what a step cost."""
+    rng = np.random.default_rng(3)
+    ids = (rng.zipf(1.3, masked_lm.BATCH + 2 * masked_lm.SIDE) % masked_lm.PAD).astype(masked_lm.KIND)
+    trainer = masked_lm.Trainer(masked_lm.initial([], [0] * 256))
+    peaks = []
+    for work in (trainer.step, lambda ids: masked_lm.log_probabilities(trainer.w, ids, trainer.room)):
+        work(ids)
+        tracemalloc.start()
+        work(ids)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert max(peaks) < 1 << 20
+
+
 def plain_fit(texts, vocab, shared):
     """Stretch by stretch, one text list after the other, without Spark."""
     known = masked_lm.numbers(vocab)

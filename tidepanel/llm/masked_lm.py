@@ -12,11 +12,13 @@ are the summed conditional log-probabilities of all tokens.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from numpy.lib.stride_tricks import as_strided
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,8 @@ CLASSES, MEMBERS = 64, 128
 SHARED = 256
 SIDE, WIDTH = 3, 32
 ROUNDS, RATE, BATCH = 1, 0.4, 3072
+#: Rows worked on as one row, and classes worked on at a time.
+ABREAST, TOGETHER = 16, 8
 #: Training tasks for each core of the cluster: their number, and that of the weights, follows the cluster, not the corpus.
 TASKS_PER_CORE = 1
 #: Weights averaged in one task.
@@ -49,6 +53,7 @@ SCORED = fields(n_tokens="long", log_likelihood="double", mean_log_likelihood="d
 
 #: Context before the first and after the last word of a text.
 PAD = CLASSES * MEMBERS
+ONES = np.ones(max(CLASSES, MEMBERS), dtype=np.float32)
 #: Of numbers; numpy sorts 16 bits by radix.
 KIND = np.int16
 
@@ -299,114 +304,173 @@ def unpack(flat: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
+class Room:
+    """Arrays by name, taken once and lent again: the pages of new ones cost a step more than its arithmetic."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.held or len(self.held[name]) < size:
+            self.held[name] = np.zeros(size, dtype=np.float32)
+        return self.held[name][:size].reshape(shape)
+
+
+def _abreast(rows: np.ndarray) -> np.ndarray:
+    """The same numbers in longer rows; numpy is slow on short ones with a factor for each column."""
+    return rows.reshape(len(rows) // ABREAST, ABREAST * rows.shape[1])
+
+
+def _shifted(rows: np.ndarray) -> np.ndarray:
+    """All but 2 * SIDE of the rows, abreast, from each of the first 2 * SIDE + 1 on."""
+    down, right = rows.strides
+    shape = (2 * SIDE + 1, (len(rows) - 2 * SIDE) // ABREAST, ABREAST * rows.shape[1])
+    return as_strided(rows, shape, (down, ABREAST * down, right), writeable=False)
+
+
+def _up(n: int) -> int:
+    return max(0, -(-n // ABREAST) * ABREAST)
+
+
 class Window:
     """Hidden values of the tokens of one stretch of a stream, ordered by number; SIDE numbers lead in and out.
 
-    The stretch is contiguous, so each place of the window is a shift of the embedded stream, not a lookup.
+    The stretch is contiguous, so each place of the window is a shift of the embedded stream, not a lookup. Arrays come
+    from ``room``, which the next window takes over.
     """
 
-    def __init__(self, w: dict[str, np.ndarray], ids: np.ndarray) -> None:
-        n = len(ids)
-        self.size = n - 2 * SIDE
-        self.spans = [slice(SIDE + o, n - SIDE + o) for o in (*range(-SIDE, 0), *range(1, SIDE + 1))]
-        self.embedded = w["embed"][ids]
+    def __init__(self, w: dict[str, np.ndarray], ids: np.ndarray, room: Room) -> None:
+        n, self.room = len(ids), room
         self.order = np.argsort(ids, kind="stable")
         own = self.order[: np.searchsorted(ids, PAD, sorter=self.order)]
         own = own[(own >= SIDE) & (own < n - SIDE)]
         self.at = own - SIDE
         self.kind, self.member = np.divmod(ids[own], MEMBERS)
-        total, one = np.zeros((self.size, WIDTH), dtype=np.float32), np.empty((self.size, WIDTH), dtype=np.float32)
-        for span, weight in zip(self.spans, w["place"]):
-            total += np.multiply(self.embedded[span], weight, out=one)
-        self.hidden = np.ones((len(own), WIDTH + 1), dtype=np.float32)
-        np.tanh(total[self.at] + w["shift"], out=self.hidden[:, :WIDTH])
-        cuts = np.searchsorted(self.kind, np.arange(CLASSES + 1, dtype=self.kind.dtype)).tolist()
-        self.classes = [(k, slice(a, b)) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
-
-    def exponentials(self, w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """exp of the scores of all classes, and of all members of each token's class."""
-        kinds = self.hidden @ w["kind"]
-        members = np.empty((len(self.at), MEMBERS), dtype=np.float32)
-        for k, rows in self.classes:
-            np.matmul(self.hidden[rows], w["word"][k], out=members[rows])
-        return np.exp(kinds, out=kinds), np.exp(members, out=members)
+        # Rows of zeros fill the last long row; the token itself weighs nothing.
+        self.size = _up(n - 2 * SIDE)
+        self.embedded = room("embedded", max(n, self.size + 2 * SIDE), WIDTH)
+        np.take(w["embed"], ids, axis=0, out=self.embedded[:n], mode="clip")
+        self.embedded[n:] = 0
+        self.places = np.insert(w["place"], SIDE, 0, axis=0).astype(np.float32, copy=False)
+        total = room("stream", self.size, WIDTH)
+        wide = np.einsum("pij,pj->ij", _shifted(self.embedded), np.tile(self.places, ABREAST), out=_abreast(total))
+        wide += np.tile(w["shift"], ABREAST)
+        np.tanh(wide, out=wide)
+        self.hidden = np.take(total, self.at, axis=0, out=room("sorted", len(own), WIDTH), mode="clip")
+        self.cuts = np.searchsorted(self.kind, np.arange(CLASSES + 1, dtype=self.kind.dtype)).tolist()
+
+    def exponentials(self, w: dict[str, np.ndarray]) -> Iterator[tuple[int, slice, list[tuple[int, slice]], np.ndarray, np.ndarray, np.ndarray]]:
+        """For TOGETHER classes at a time: the first, their tokens, (class, its tokens within these), hidden values with
+        a one, exp of the scores of all classes, and of all members of each token's class; these stay in a core's cache."""
+        for first in range(0, CLASSES, TOGETHER):
+            start, *ends = self.cuts[first : first + TOGETHER + 1]
+            n = ends[-1] - start
+            if not n:
+                continue
+            rows, h = slice(start, start + n), self.room("hidden", n, WIDTH + 1)
+            h[:, :WIDTH] = self.hidden[rows]
+            h[:, WIDTH] = 1
+            kinds = np.matmul(h, w["kind"], out=self.room("kinds", n, CLASSES))
+            members, classes, a = self.room("members", n, MEMBERS), [], 0
+            for k, end in enumerate(ends, first):
+                if a < end - start:
+                    at = slice(a, end - start)
+                    classes.append((k, at))
+                    np.matmul(h[at], w["word"][k], out=members[at])
+                    a = end - start
+            yield first, rows, classes, h, np.exp(kinds, out=kinds), np.exp(members, out=members)
 
 
 def _sums(rows: np.ndarray) -> np.ndarray:
-    return rows @ np.ones(rows.shape[1], dtype=rows.dtype)
+    return rows @ ONES[: rows.shape[1]]
 
 
-def log_probabilities(w: dict[str, np.ndarray], ids: np.ndarray) -> np.ndarray:
+def log_probabilities(w: dict[str, np.ndarray], ids: np.ndarray, room: Room | None = None) -> np.ndarray:
     """log P(word | both sides) of every token that is no pad, in order; ``ids`` has SIDE pads at both ends."""
-    out = np.zeros(max(0, len(ids) - 2 * SIDE), dtype=np.float64)
+    out, room = np.zeros(max(0, len(ids) - 2 * SIDE), dtype=np.float64), Room() if room is None else room
     for lo in range(0, len(out), BATCH):
-        part = Window(w, ids[lo : lo + BATCH + 2 * SIDE])
-        rows = np.arange(len(part.at))
-        got = 0.0
-        for z, target in zip(part.exponentials(w), (part.kind, part.member)):
-            got = got + np.log(z[rows, target].astype(np.float64) / _sums(z))
-        out[lo + part.at] = got
+        part = Window(w, ids[lo : lo + BATCH + 2 * SIDE], room)
+        for _, rows, _, _, kinds, members in part.exponentials(w):
+            out[lo + part.at[rows]] = _log_shares(kinds, part.kind[rows]) + _log_shares(members, part.member[rows])
     return out[ids[SIDE : len(ids) - SIDE] != PAD]
 
 
+def _cells(z: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Places of each row's target in all numbers in a row, which numpy finds sooner than by row and column."""
+    return np.arange(0, z.size, z.shape[1]) + target
+
+
+def _log_shares(z: np.ndarray, target: np.ndarray) -> np.ndarray:
+    return np.log(z.reshape(-1)[_cells(z, target)].astype(np.float64) / _sums(z))
+
+
 class Trainer:
     """Adagrad on the cross-entropy of all tokens of contiguous stretches, in place."""
 
     def __init__(self, flat: np.ndarray, rate: float = RATE) -> None:
-        self.flat, self.rate = flat.copy(), rate
+        self.flat, self.rate, self.room = flat.copy(), rate, Room()
         self.w = unpack(self.flat)
         self.seen = {k: np.full(v.shape, 1e-2, dtype=np.float32) for k, v in self.w.items()}
-        self.grad = np.zeros_like(self.w["word"])
 
-    def _move(self, name: str, grad: np.ndarray, at: np.ndarray | None = None) -> None:
-        seen = self.seen[name] if at is None else self.seen[name][at]
-        seen += grad * grad
-        step = np.sqrt(seen)
+    def _move(self, name: str, grad: np.ndarray, at: slice | np.ndarray = slice(None)) -> None:
+        seen, step = self.seen[name][at], np.multiply(grad, grad, out=self.room("step", *grad.shape))
+        seen += step
+        np.sqrt(seen, out=step)
         np.divide(grad, step, out=step)
         step *= self.rate
-        if at is None:
-            self.w[name] -= step
-        else:
+        if not isinstance(at, slice):
             self.seen[name][at] = seen
-            self.w[name][at] -= step
+        self.w[name][at] -= step
 
     def step(self, ids: np.ndarray) -> None:
         """One step on the tokens of ``ids`` but for SIDE at each end."""
-        w, part = self.w, Window(self.w, ids)
-        n = len(part.at)
-        if not n:
+        w, room = self.w, self.room
+        part = Window(w, ids, room)
+        if not len(part.at):
             return
-        rows, h = np.arange(n), part.hidden
-        kinds, members = part.exponentials(w)
-        # (exp - total * [target]) / total is the gradient; the division goes to the narrow factors.
-        share = []
-        for z, target in ((kinds, part.kind), (members, part.member)):
+        scale = np.float32(32 / len(part.at))
+
+        def gradient(z: np.ndarray, target: np.ndarray) -> np.ndarray:
             total = _sums(z)
-            z[rows, target] -= total
-            share.append((np.float32(32 / n) / total)[:, None])
-        back = (kinds @ w["kind"][:WIDTH].T) * share[0]
-        of_members, weighted, grad = np.empty_like(back), h * share[1], self.grad
-        grad[:] = 0
-        for k, at in part.classes:
-            np.dot(members[at], w["word"][k, :WIDTH].T, out=of_members[at])
-            np.dot(weighted[at].T, members[at], out=grad[k])
-        back += of_members * share[1]
-        self._move("kind", (h * share[0]).T @ kinds)
-        self._move("word", grad)
-        h = h[:, :WIDTH]
-        back *= 1 - h * h
-        spread = np.zeros((part.size, WIDTH), dtype=np.float32)
-        spread[part.at] = back
-        embed, place = np.zeros_like(part.embedded), np.empty((2 * SIDE, WIDTH), dtype=np.float32)
-        one = np.empty_like(spread)
-        for j, span in enumerate(part.spans):
-            embed[span] += np.multiply(spread, w["place"][j], out=one)
-            place[j] = _sums(np.multiply(part.embedded[span], spread, out=one).T)
+            z.reshape(-1)[_cells(z, target)] -= total
+            return np.multiply(z, (scale / total)[:, None], out=z)
+
+        of_kinds, of_hidden = np.zeros_like(w["kind"]), room("of hidden", len(part.at) + 1, WIDTH)
+        for first, rows, classes, h, kinds, members in part.exponentials(w):
+            gradient(kinds, part.kind[rows])
+            gradient(members, part.member[rows])
+            back = np.matmul(kinds, w["kind"][:WIDTH].T, out=of_hidden[rows])
+            of_kinds += h.T @ kinds
+            more, grad = room("more", len(h), WIDTH), room("of words", min(TOGETHER, CLASSES - first), WIDTH + 1, MEMBERS)
+            if len(classes) < len(grad):
+                grad[:] = 0
+            for k, at in classes:
+                np.matmul(members[at], w["word"][k, :WIDTH].T, out=more[at])
+                np.matmul(h[at].T, members[at], out=grad[k - first])
+            back += more
+            slope = np.multiply(part.hidden[rows], part.hidden[rows], out=more)
+            back *= np.subtract(1, slope, out=slope)
+            self._move("word", grad, slice(first, first + len(grad)))
+        self._move("kind", of_kinds)
+        # Back in the order of the stream; pads take the row of zeros after the last.
+        of_hidden[-1], place_of = 0, np.full(part.size, len(part.at))
+        place_of[part.at] = np.arange(len(part.at))
+        long = _up(len(part.embedded))
+        led = room("stream", long + 2 * SIDE, WIDTH)
+        spread = led[2 * SIDE : 2 * SIDE + part.size]
+        led[: 2 * SIDE] = led[2 * SIDE + part.size :] = 0
+        np.take(of_hidden, place_of, axis=0, out=spread, mode="clip")
+        embed = room("of embed", long, WIDTH)
+        np.einsum("pij,pj->ij", _shifted(led), np.tile(part.places[::-1], ABREAST), out=_abreast(embed))
+        place = np.einsum("pij,ij->pj", _shifted(part.embedded), _abreast(spread))
+        shift = np.einsum("ij->j", _abreast(spread))
         ordered = ids[part.order]
         first = np.flatnonzero(np.r_[True, ordered[1:] > ordered[:-1]])
-        self._move("embed", np.add.reduceat(embed[part.order], first, axis=0), ordered[first])
-        self._move("place", place)
-        self._move("shift", _sums(back.T))
+        grouped = np.take(embed, part.order, axis=0, out=room("sorted", len(ids), WIDTH), mode="clip")
+        self._move("embed", np.add.reduceat(grouped, first, axis=0, out=room("summed", len(first), WIDTH)), ordered[first])
+        self._move("place", np.delete(place.reshape(-1, ABREAST, WIDTH).sum(axis=1), SIDE, axis=0))
+        self._move("shift", shift.reshape(ABREAST, WIDTH).sum(axis=0))
 
 
 def _train(flat: np.ndarray):
@@ -509,20 +573,20 @@ def score(
     known, flat = model
 
     def prepare():
-        w, made = unpack(flat), Encoder(known, pairs)
+        w, made, room = unpack(flat), Encoder(known, pairs), Room()
 
         def work(texts: list) -> list:
             ids, sizes, more = made(texts)
-            return _scored(w, _led_in(ids), sizes, more)
+            return _scored(w, _led_in(ids), sizes, more, room)
 
         return work
 
     return map_texts(docs, text, SCORED, prepare, ["doc_id"] if carry is None else carry)
 
 
-def _scored(w: dict[str, np.ndarray], ids: np.ndarray, sizes: np.ndarray, more: np.ndarray) -> list:
+def _scored(w: dict[str, np.ndarray], ids: np.ndarray, sizes: np.ndarray, more: np.ndarray, room: Room) -> list:
     """Values of SCORED for texts with these numbers and token counts."""
-    total = np.r_[0, np.cumsum(log_probabilities(w, ids))]
+    total = np.r_[0, np.cumsum(log_probabilities(w, ids, room))]
     ends = np.cumsum(sizes)
     summed = total[ends] - total[ends - sizes] + more
     return [sizes, summed, [s / n if n else None for s, n in zip(summed, sizes)]]
@@ -530,13 +594,13 @@ def _scored(w: dict[str, np.ndarray], ids: np.ndarray, sizes: np.ndarray, more:
 
 def _score(flat: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = unpack(flat)
+        w, room = unpack(flat), Room()
         for batch in batches:
             done, n_carry = 0, batch.num_columns - len(ENCODED)
             for part in chunks(batch.column(n_carry)):
                 more = batch.column(n_carry + 1).slice(done, len(part)).to_numpy()
                 held = [c.slice(done, len(part)) for c in batch.columns[:n_carry]]
-                made = [pa.array(v, t) for v, t in zip(_scored(w, *_stream(part), more), (pa.int64(), pa.float64(), pa.float64()))]
+                made = [pa.array(v, t) for v, t in zip(_scored(w, *_stream(part), more, room), (pa.int64(), pa.float64(), pa.float64()))]
                 yield pa.RecordBatch.from_arrays([*held, *made], names=[*batch.schema.names[:n_carry], *SCORED.names])
                 done += len(part)
 
