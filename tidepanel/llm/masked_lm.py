@@ -31,6 +31,8 @@ CLASSES, MEMBERS = 64, 128
 SHARED = 256
 SIDE, WIDTH = 3, 32
 ROUNDS, RATE, BATCH = 1, 0.4, 3072
+#: Those numbers of a window that are not its token.
+PLACES = [i for i in range(2 * SIDE + 1) if i != SIDE]
 #: Rows worked on as one row, and classes worked on at a time.
 ABREAST, TOGETHER = 16, 8
 #: Training tasks for each core of the cluster: their number, and that of the weights, follows the cluster, not the corpus.
@@ -322,6 +324,11 @@ def _abreast(rows: np.ndarray) -> np.ndarray:
     return rows.reshape(len(rows) // ABREAST, ABREAST * rows.shape[1])
 
 
+def _tiled(rows: np.ndarray) -> np.ndarray:
+    """Factors of columns for rows abreast."""
+    return np.repeat(rows[:, None], ABREAST, axis=1).reshape(len(rows), ABREAST * rows.shape[1])
+
+
 def _shifted(rows: np.ndarray) -> np.ndarray:
     """All but 2 * SIDE of the rows, abreast, from each of the first 2 * SIDE + 1 on."""
     down, right = rows.strides
@@ -346,23 +353,32 @@ class Window:
         own = self.order[: np.searchsorted(ids, PAD, sorter=self.order)]
         own = own[(own >= SIDE) & (own < n - SIDE)]
         self.at = own - SIDE
-        self.kind, self.member = np.divmod(ids[own], MEMBERS)
+        self.kind, member = np.divmod(ids[own], MEMBERS)
+        # Places of the targets in all scores in a row, which numpy finds sooner than by row and column.
+        at = np.arange(len(own))
+        self.targets = at * CLASSES + self.kind, at * MEMBERS + member
         # Rows of zeros fill the last long row; the token itself weighs nothing.
         self.size = _up(n - 2 * SIDE)
         self.embedded = room("embedded", max(n, self.size + 2 * SIDE), WIDTH)
         np.take(w["embed"], ids, axis=0, out=self.embedded[:n], mode="clip")
         self.embedded[n:] = 0
-        self.places = np.insert(w["place"], SIDE, 0, axis=0).astype(np.float32, copy=False)
+        self.places = np.zeros((2 * SIDE + 1, WIDTH), dtype=np.float32)
+        self.places[PLACES] = w["place"]
         total = room("stream", self.size, WIDTH)
-        wide = np.einsum("pij,pj->ij", _shifted(self.embedded), np.tile(self.places, ABREAST), out=_abreast(total))
-        wide += np.tile(w["shift"], ABREAST)
+        wide = np.einsum("pij,pj->ij", _shifted(self.embedded), _tiled(self.places), out=_abreast(total))
+        wide += _tiled(w["shift"][None])
         np.tanh(wide, out=wide)
         self.hidden = np.take(total, self.at, axis=0, out=room("sorted", len(own), WIDTH), mode="clip")
         self.cuts = np.searchsorted(self.kind, np.arange(CLASSES + 1, dtype=self.kind.dtype)).tolist()
 
+    def target(self, i: int, rows: slice) -> np.ndarray:
+        """Places of the targets in the scores of some rows, of classes (0) or members (1)."""
+        return self.targets[i][rows] - rows.start * (CLASSES, MEMBERS)[i]
+
     def exponentials(self, w: dict[str, np.ndarray]) -> Iterator[tuple[int, slice, list[tuple[int, slice]], np.ndarray, np.ndarray, np.ndarray]]:
         """For TOGETHER classes at a time: the first, their tokens, (class, its tokens within these), hidden values with
         a one, exp of the scores of all classes, and of all members of each token's class; these stay in a core's cache."""
+        words = list(w["word"])
         for first in range(0, CLASSES, TOGETHER):
             start, *ends = self.cuts[first : first + TOGETHER + 1]
             n = ends[-1] - start
@@ -377,7 +393,7 @@ class Window:
                 if a < end - start:
                     at = slice(a, end - start)
                     classes.append((k, at))
-                    np.matmul(h[at], w["word"][k], out=members[at])
+                    np.matmul(h[at], words[k], out=members[at])
                     a = end - start
             yield first, rows, classes, h, np.exp(kinds, out=kinds), np.exp(members, out=members)
 
@@ -391,18 +407,13 @@ def log_probabilities(w: dict[str, np.ndarray], ids: np.ndarray, room: Room | No
     out, room = np.zeros(max(0, len(ids) - 2 * SIDE), dtype=np.float64), Room() if room is None else room
     for lo in range(0, len(out), BATCH):
         part = Window(w, ids[lo : lo + BATCH + 2 * SIDE], room)
-        for _, rows, _, _, kinds, members in part.exponentials(w):
-            out[lo + part.at[rows]] = _log_shares(kinds, part.kind[rows]) + _log_shares(members, part.member[rows])
+        for _, rows, _, _, *scores in part.exponentials(w):
+            out[lo + part.at[rows]] = sum(_log_shares(z, part.target(i, rows)) for i, z in enumerate(scores))
     return out[ids[SIDE : len(ids) - SIDE] != PAD]
 
 
-def _cells(z: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Places of each row's target in all numbers in a row, which numpy finds sooner than by row and column."""
-    return np.arange(0, z.size, z.shape[1]) + target
-
-
 def _log_shares(z: np.ndarray, target: np.ndarray) -> np.ndarray:
-    return np.log(z.reshape(-1)[_cells(z, target)].astype(np.float64) / _sums(z))
+    return np.log(z.reshape(-1)[target].astype(np.float64) / _sums(z))
 
 
 class Trainer:
@@ -433,20 +444,21 @@ class Trainer:
 
         def gradient(z: np.ndarray, target: np.ndarray) -> np.ndarray:
             total = _sums(z)
-            z.reshape(-1)[_cells(z, target)] -= total
+            z.reshape(-1)[target] -= total
             return np.multiply(z, (scale / total)[:, None], out=z)
 
+        turned = list(w["word"][:, :WIDTH].transpose(0, 2, 1))
         of_kinds, of_hidden = np.zeros_like(w["kind"]), room("of hidden", len(part.at) + 1, WIDTH)
         for first, rows, classes, h, kinds, members in part.exponentials(w):
-            gradient(kinds, part.kind[rows])
-            gradient(members, part.member[rows])
+            gradient(kinds, part.target(0, rows))
+            gradient(members, part.target(1, rows))
             back = np.matmul(kinds, w["kind"][:WIDTH].T, out=of_hidden[rows])
             of_kinds += h.T @ kinds
             more, grad = room("more", len(h), WIDTH), room("of words", min(TOGETHER, CLASSES - first), WIDTH + 1, MEMBERS)
             if len(classes) < len(grad):
                 grad[:] = 0
             for k, at in classes:
-                np.matmul(members[at], w["word"][k, :WIDTH].T, out=more[at])
+                np.matmul(members[at], turned[k], out=more[at])
                 np.matmul(h[at].T, members[at], out=grad[k - first])
             back += more
             slope = np.multiply(part.hidden[rows], part.hidden[rows], out=more)
@@ -461,15 +473,14 @@ class Trainer:
         spread = led[2 * SIDE : 2 * SIDE + part.size]
         led[: 2 * SIDE] = led[2 * SIDE + part.size :] = 0
         np.take(of_hidden, place_of, axis=0, out=spread, mode="clip")
-        embed = room("of embed", long, WIDTH)
-        np.einsum("pij,pj->ij", _shifted(led), np.tile(part.places[::-1], ABREAST), out=_abreast(embed))
-        place = np.einsum("pij,ij->pj", _shifted(part.embedded), _abreast(spread))
-        shift = np.einsum("ij->j", _abreast(spread))
+        place, shift = np.einsum("pij,ij->pj", _shifted(part.embedded), _abreast(spread)), np.einsum("ij->j", _abreast(spread))
+        embed = room("embedded", long, WIDTH)  # no more needed
+        np.einsum("pij,pj->ij", _shifted(led), _tiled(part.places[::-1]), out=_abreast(embed))
         ordered = ids[part.order]
         first = np.flatnonzero(np.r_[True, ordered[1:] > ordered[:-1]])
         grouped = np.take(embed, part.order, axis=0, out=room("sorted", len(ids), WIDTH), mode="clip")
         self._move("embed", np.add.reduceat(grouped, first, axis=0, out=room("summed", len(first), WIDTH)), ordered[first])
-        self._move("place", np.delete(place.reshape(-1, ABREAST, WIDTH).sum(axis=1), SIDE, axis=0))
+        self._move("place", place.reshape(-1, ABREAST, WIDTH).sum(axis=1)[PLACES])
         self._move("shift", shift.reshape(ABREAST, WIDTH).sum(axis=0))
 
 
